@@ -3,10 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siftline.llm import chat, mixing
+from siftline.llm import chat, lines, mixing, pii, quality, secrets
 from siftline.llm.common import table
 
+#: Key of the registered query only; a real run passes its own.
+PII_KEY = b"public key of the registered query"
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    scored = quality.classify(docs.select("doc_id", "text", "n_chars"), labels)
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repository is a source in one language, an owner is a source."""
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
+
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
@@ -19,9 +35,21 @@ def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
+
+
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_secret_scans": op2_secret_scans,
     "op4_chat_formatting": op4_chat_formatting,
     "op7_source_mixing": op7_source_mixing,
+    "op8_line_dedup": op8_line_dedup,
+    "op9_pii_surrogates": op9_pii_surrogates,
 }
 ORACLE = {
     "op4_chat_formatting": chat.ORACLE,
