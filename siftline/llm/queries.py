@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import chat, lines, mixing, pii, quality, secrets
+from siftline.llm import chat, lines, minhash, mixing, pii, quality, secrets
 from siftline.llm.common import table
 
 #: Key of the registered query only; a real run passes its own.
@@ -31,6 +31,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(rows))
 
 
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -47,6 +51,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scans": op2_secret_scans,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op7_source_mixing": op7_source_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op9_pii_surrogates": op9_pii_surrogates,
