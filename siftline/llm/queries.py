@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import chat, lines, minhash, mixing, pii, quality, secrets, substrings
+from siftline.llm import caps, chat, lines, minhash, mixing, pii, quality, secrets, substrings
 from siftline.llm.common import table
 
 #: Key of the registered query only; a real run passes its own.
@@ -39,6 +39,10 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caps.near_duplicates(table(spark, sf_dir, "embeddings"), cosine=0.98)
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
@@ -57,11 +61,13 @@ QUERIES = {
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
     "op7_source_mixing": op7_source_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op9_pii_surrogates": op9_pii_surrogates,
 }
 ORACLE = {
     "op4_chat_formatting": chat.ORACLE,
+    "op6_embedding_near_dedup": caps.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
 }
