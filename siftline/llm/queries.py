@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import caps, chat, lines, minhash, mixing, pii, quality, secrets, substrings
+from siftline.llm import caps, chat, decontaminate, lines, minhash, mixing, pii, quality, secrets, substrings
 from siftline.llm.common import table
 
 #: Key of the registered query only; a real run passes its own.
@@ -55,6 +55,10 @@ def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scans": op2_secret_scans,
@@ -65,6 +69,7 @@ QUERIES = {
     "op7_source_mixing": op7_source_mixing,
     "op8_line_dedup": op8_line_dedup,
     "op9_pii_surrogates": op9_pii_surrogates,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLE = {
     "op4_chat_formatting": chat.ORACLE,
