@@ -237,16 +237,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
+def _clean(index: Index):
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        out = np.ones(len(texts), bool)
+        for begin, part in parcels(texts.tolist()):
+            out[[begin + f[0] for f in matches(words_of(part, loose=True), index)]] = False
+        return pd.Series(out)
+
+    return clean
+
+
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8, recall: float = 0.95) -> DataFrame:
     """``docs`` without the rows in which an item is found; all columns stay. Null texts stay."""
     for index in _passes(benchmark, similarity, recall):
-
-        @F.pandas_udf("boolean")
-        def clean(texts: pd.Series, index: Index = index) -> pd.Series:
-            out = np.ones(len(texts), bool)
-            for begin, part in parcels(texts.tolist()):
-                out[[begin + f[0] for f in matches(words_of(part, loose=True), index)]] = False
-            return pd.Series(out)
-
-        docs = docs.where(clean("text"))
+        docs = docs.where(_clean(index)("text"))
     return docs
