@@ -6,10 +6,11 @@ holds several variants whose other tokens agree in most places, the places that
 differ are variable too and the variants are one template. Templates that recur
 across documents are boilerplate and their lines go.
 
-Documents count once per content: each has a sketch, the smallest hash of its
-three-word shingles, and recurrence is the number of distinct sketches. A group
-of copies thus counts about once and is left to near-duplicate removal, while a
-line shared by unrelated texts counts in full.
+Equal texts count once, and each text has a sketch, the smallest hash of its
+three-word shingles. Recurrence is the number of distinct sketches, which must
+also be at least half the number of texts: most texts of a group of near copies
+have the same sketch, so their lines are left to near-duplicate removal, while a
+line of unrelated texts comes with a sketch from each.
 """
 
 from __future__ import annotations
@@ -18,11 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import WordHashes, materialize
+from siftline.llm.common import materialize
+from siftline.llm.tokens import Words, mix, parcels, words_of
 
 #: Leading tokens that lead to a leaf.
 DEPTH = 3
@@ -31,69 +32,59 @@ SLOTS = 16
 MIN_TOKENS = 3
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-_FIELD = xxhash.xxh3_64_intdigest(b"<*>")
-_HAS_FIELD = frozenset(b"0123456789@")
 
 
-class TokenHashes(WordHashes):
-    """Hash of a token; all variable fields have the same."""
+def masked_lines(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each line over all texts: number of its tokens and, from ``MIN_TOKENS`` tokens on, a hash with its fields masked, else 0.
 
-    def __missing__(self, word: bytes) -> int:
-        if _HAS_FIELD.isdisjoint(word):
-            return super().__missing__(word)
-        return _FIELD
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _M2
-    return x ^ (x >> np.uint64(29))
-
-
-def tokens(text: str, hashes: TokenHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of a whole text, and the number of tokens of each line."""
-    found: list[int] = []
-    sizes = []
-    for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n"):
-        words = line.split()
-        sizes.append(len(words))
-        found.extend(map(hashes.__getitem__, words))
-    return np.array(found, np.uint64), np.array(sizes, np.int64)
-
-
-def _keys(hashed: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For lines with tokens: their number, place of the first token of each, place in line of each token, line of each token."""
+    Also the place of each token in its line.
+    """
+    sizes = np.bincount(words.line, minlength=int(words.line_of[-1]))
     lines = np.flatnonzero(sizes)
     starts = np.cumsum(sizes[lines]) - sizes[lines]
-    row = np.repeat(np.arange(len(lines)), sizes[lines])
-    return lines, starts, np.arange(len(hashed)) - starts[row], row
-
-
-def masked_hash(hashed: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """64-bit hash of each line with its variable fields masked; 0 for lines under ``MIN_TOKENS`` tokens."""
+    place = np.arange(len(words.hashes)) - np.repeat(starts, sizes[lines])
     out = np.zeros(len(sizes), np.uint64)
-    lines, starts, place, _ = _keys(hashed, sizes)
     if len(lines):
-        summed = np.add.reduceat(_mix(hashed + place.astype(np.uint64) * _M1), starts)
-        out[lines] = np.where(sizes[lines] >= MIN_TOKENS, _mix(summed + sizes[lines].astype(np.uint64) * _M3) | np.uint64(1), np.uint64(0))
-    return out
+        summed = np.add.reduceat(mix(words.hashes + place.astype(np.uint64) * _M1), starts)
+        out[lines] = np.where(sizes[lines] >= MIN_TOKENS, mix(summed + sizes[lines].astype(np.uint64) * _M3) | np.uint64(1), np.uint64(0))
+    return sizes, out, place
 
 
-def leaves(hashed: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def leaves(words: Words, sizes: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Leaf of each line with tokens, and the slots of its tokens behind the leading ones."""
-    lines, starts, place, row = _keys(hashed, sizes)
-    lead = np.where(place < DEPTH, _mix(hashed + place.astype(np.uint64) * _M3), np.uint64(0))
-    leaf = _mix(np.add.reduceat(lead, starts) + sizes[lines].astype(np.uint64) * _M1)
-    behind = place >= DEPTH
+    used = sizes[sizes > 0]
+    row = np.repeat(np.arange(len(used)), used)
+    head, behind = place < DEPTH, place >= DEPTH
+    leaf = used.astype(np.uint64) * _M1
+    np.add.at(leaf, row[head], mix(words.hashes[head] + place[head].astype(np.uint64) * _M3))
     cell = row[behind] * SLOTS + (place[behind] - DEPTH) % SLOTS
-    folded = np.bincount(cell, ((_mix(hashed[behind] + place[behind].astype(np.uint64) * _M2)) >> np.uint64(40)).astype(np.float64), len(lines) * SLOTS)
-    return leaf, (folded % 251).astype(np.uint8).reshape(-1, SLOTS)
+    folded = np.bincount(cell, (mix(words.hashes[behind] + place[behind].astype(np.uint64) * _M2) >> np.uint64(40)).astype(np.float64), len(used) * SLOTS)
+    return mix(leaf), (folded % 251).astype(np.uint8).reshape(-1, SLOTS)
+
+
+def sketches(words: Words) -> np.ndarray:
+    """Smallest shingle hash of each text; of one with fewer than three words, the hash of all, without words 0."""
+    hashed, count = words.hashes, np.diff(words.word_of)
+    out = np.zeros(len(count), np.uint64)
+    for k in np.flatnonzero((count > 0) & (count < 3)):
+        out[k] = mix(words.of(k) * _M1).sum()
+    long = np.flatnonzero(count >= 3)
+    if len(long):
+        shingle = np.full(len(hashed), np.iinfo(np.uint64).max, np.uint64)
+        shingle[:-2] = mix(hashed[:-2] * _M1 + hashed[1:-1] * _M2 + hashed[2:] * _M3)
+        last = words.word_of[1:][long]
+        shingle[last - 1] = shingle[last - 2] = np.iinfo(np.uint64).max  # these would reach into the next text
+        spans = np.stack([words.word_of[:-1][long], last], axis=1).ravel()
+        out[long] = np.minimum.reduceat(np.append(shingle, np.uint64(0)), spans)[::2]
+    return out
 
 
-def sketch(hashed: np.ndarray) -> int:
-    """Smallest shingle hash of a document; of fewer than three words, the hash of all."""
-    if len(hashed) < 3:
-        return int(_mix(hashed * _M1).sum()) if len(hashed) else 0
-    return int(_mix(hashed[:-2] * _M1 + hashed[1:-1] * _M2 + hashed[2:] * _M3).min())
+def text_hashes(words: Words) -> np.ndarray:
+    """Hash of the words of each text in their order and lines."""
+    place = np.arange(len(words.hashes)) - words.word_of[np.searchsorted(words.word_of, np.arange(len(words.hashes)), side="right") - 1]
+    line = words.line - words.line_of[np.searchsorted(words.line_of, words.line, side="right") - 1]
+    sums = np.concatenate([[0], np.cumsum(mix(words.hashes + mix(place.astype(np.uint64) * _M1 + line.astype(np.uint64) * _M3)))]).astype(np.uint64)
+    return mix(sums[words.word_of[1:]] - sums[words.word_of[:-1]])
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -101,40 +92,46 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _line_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each distinct masked line of a document: leaf, variant, slots, number of tokens, sketch of the document."""
-    hashes = TokenHashes()
+    """Each distinct masked line of a document: leaf, variant, slots, number of tokens, sketch and hash of the document."""
     for batch in batches:
-        parts = []
-        for text in batch["text"]:
-            if not text:
-                continue
-            hashed, sizes = tokens(text, hashes)
-            if not len(hashed):
+        for _, texts in parcels(batch["text"].tolist()):
+            words = words_of(texts, mask_fields=True)
+            if not len(words.hashes):
                 continue
-            keep = sizes[sizes > 0] >= MIN_TOKENS
-            variant = masked_hash(hashed, sizes)[sizes > 0]
-            leaf, slots = leaves(hashed, sizes)
-            _, first = np.unique(variant, return_index=True)
-            first = first[keep[first]]
-            parts.append((_signed(leaf[first]), _signed(variant[first]), slots[first], sizes[sizes > 0][first], np.full(len(first), np.int64(np.uint64(sketch(hashed)).view(np.int64)))))
-        if parts:
-            leaf, variant, slots, size, sketches = (np.concatenate(p) for p in zip(*parts, strict=True))
-            yield pd.DataFrame({"leaf": leaf, "variant": variant, "slots": [s.tobytes() for s in slots], "size": size, "sketch": sketches})
+            sizes, variant, place = masked_lines(words)
+            leaf, slots = leaves(words, sizes, place)
+            text = np.searchsorted(words.line_of, np.flatnonzero(sizes), side="right") - 1
+            variant, sizes = variant[sizes > 0], sizes[sizes > 0]
+            order = np.lexsort((variant, text))
+            new = np.concatenate([[True], (variant[order][1:] != variant[order][:-1]) | (text[order][1:] != text[order][:-1])])
+            first = order[new & (variant[order] != 0)]
+            yield pd.DataFrame(
+                {
+                    "leaf": _signed(leaf[first]),
+                    "variant": _signed(variant[first]),
+                    "slots": [s.tobytes() for s in slots[first]],
+                    "size": sizes[first],
+                    "sketch": _signed(sketches(words)[text[first]]),
+                    "text": _signed(text_hashes(words)[text[first]]),
+                }
+            )
 
 
 def recurring_variants(docs: DataFrame, min_docs: int, min_variants: int = 4, agree: float = 0.8, constant: float = 0.7) -> DataFrame:
-    """Masked lines (``variant``) whose template occurs in ``min_docs`` contents or more.
+    """Masked lines (``variant``) whose template recurs: in ``min_docs`` sketches or more, and in half as many as texts.
 
     A leaf with ``min_variants`` or more variants is generalised: a slot in which at
     least ``agree`` of them have the same value is constant. If 3 slots or more,
     and a share of at least ``constant`` of those in use, are constant, the
     variants that have all constant values are one template.
     """
-    uses = materialize(
-        docs.select("text").mapInPandas(_line_rows, "leaf bigint, variant bigint, slots binary, size bigint, sketch bigint").distinct(), "line-uses"
-    )
-    variants = materialize(uses.groupBy("leaf", "variant", "slots", "size").agg(F.count(F.lit(1)).alias("n")), "line-variants")
-    direct = variants.where(F.col("n") >= min_docs).select("variant")
+    rows = "leaf bigint, variant bigint, slots binary, size bigint, sketch bigint, text bigint"
+    uses = docs.select("text").mapInPandas(_line_rows, rows).distinct().groupBy("leaf", "variant", "slots", "size", "sketch")
+    uses = materialize(uses.agg(F.count(F.lit(1)).alias("texts")), "line-uses")
+    variants = uses.groupBy("leaf", "variant", "slots", "size").agg(F.count(F.lit(1)).alias("n"), F.sum("texts").alias("texts"))
+    variants = materialize(variants, "line-variants")
+    recurs = (F.col("n") >= min_docs) & (2 * F.col("n") >= F.col("texts"))
+    direct = variants.where(recurs).select("variant")
     several = variants.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= min_variants)
     used = F.least(F.col("size") - DEPTH, F.lit(SLOTS)).cast("int")
     cells = variants.where(F.col("size") > DEPTH + 2).join(several, "leaf").select("leaf", "m", used.alias("used"), F.explode(F.sequence(F.lit(1), used)).alias("slot"), F.col("slots"))
@@ -154,13 +151,13 @@ def recurring_variants(docs: DataFrame, min_docs: int, min_variants: int = 4, ag
     fits = F.forall("fixed", lambda f: F.substring(F.hex("slots"), f["slot"] * 2 - 1, F.lit(2)) == f["value"])
     members = variants.join(patterns.select("leaf", "fixed"), "leaf").where(fits).select("leaf", "variant")
     wide = (
-        uses.select("variant", "sketch")
+        uses.select("variant", "sketch", "texts")
         .join(members, "variant")
         .groupBy("leaf", "sketch")
-        .agg(F.count(F.lit(1)).alias("lines"))
+        .agg(F.sum("texts").alias("texts"))
         .groupBy("leaf")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= min_docs)
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("texts").alias("texts"))
+        .where(recurs)
     )
     return direct.unionByName(members.join(wide, "leaf").select("variant")).distinct()
 
@@ -169,6 +166,8 @@ def _kept(text: str | None, drop: np.ndarray) -> tuple[str | None, int, int]:
     """The text without the lines marked in ``drop``, the number of its lines and of those that went."""
     if text is None:
         return None, 0, 0
+    if not text:
+        return text, 1, 0
     lines = text.split("\n")
     gone = int(drop.sum())
     return ("\n".join(line for line, d in zip(lines, drop, strict=True) if not d) if gone else text), len(lines), gone
@@ -193,25 +192,29 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, broadcast_limit: in
 
         @F.pandas_udf(result)
         def kept(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            hashes = TokenHashes()
-            for texts in batches:
+            for batch in batches:
                 rows = []
-                for text in texts:
-                    variant = _signed(masked_hash(*tokens(text, hashes))) if text else np.zeros(1, np.int64)
-                    at = np.searchsorted(known, variant)
-                    rows.append(_kept(text, (at < len(known)) & (known[np.minimum(at, len(known) - 1)] == variant) if len(known) else variant < variant))
+                for _, texts in parcels(batch.tolist()):
+                    words = words_of(texts, mask_fields=True)
+                    variant = _signed(masked_lines(words)[1])
+                    drop = np.zeros(len(variant), bool)
+                    if len(known):
+                        drop = known[np.minimum(np.searchsorted(known, variant), len(known) - 1)] == variant
+                    rows += [_kept(t, drop[words.line_of[k] : words.line_of[k + 1]]) for k, t in enumerate(texts)]
                 yield pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
 
         out = docs.withColumn("__new", kept("text"))
     else:
 
         def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            hashes = TokenHashes()
             for batch in batches:
-                for key, text in zip(batch["__hash"], batch["text"], strict=True):
-                    if text:
-                        variant = _signed(masked_hash(*tokens(text, hashes)))
-                        yield pd.DataFrame({"__hash": key, "line": np.arange(len(variant)), "variant": variant})
+                keys = batch["__hash"].array
+                for begin, texts in parcels(batch["text"].tolist()):
+                    words = words_of(texts, mask_fields=True)
+                    variant = _signed(masked_lines(words)[1])
+                    text = np.repeat(np.arange(len(texts)), np.diff(words.line_of))
+                    line = np.arange(len(variant)) - words.line_of[text]
+                    yield pd.DataFrame({"__hash": keys[begin + text], "line": line, "variant": variant})
 
         @F.pandas_udf(result)
         def kept_by_row(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
