@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.plans import state
+from siftline.plans import exchange, state
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_PARTS = (state,)
+_PARTS = (state, exchange)
 QUERIES: dict[str, Query] = {name: query for part in _PARTS for name, query in part.QUERIES.items()}
 ORACLE: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
