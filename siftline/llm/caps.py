@@ -236,8 +236,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98) -> DataFrame:
 ORACLE = """
 WITH RECURSIVE good AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
-  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND list_sum(list_transform(embedding::DOUBLE[], x -> x * x)) > 0
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
   ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.98
