@@ -178,7 +178,7 @@ def crowd(text: Column, pattern: str = CROWD) -> Column:
 
 def phrases(text: Column, least: int = 3, most: int = 120) -> Column:
     """Pieces of a text between line ends, commas, colons and sentence ends, of ``least`` to ``most`` characters."""
-    parts = F.transform(F.split(text, r"[\n;,:]|[.!?](?:\s|$)| - "), F.trim)
+    parts = F.transform(F.split(text, r"[\n;,:]|[.!?](?:\s|$)| - "), lambda p: F.trim(p))
     return F.filter(parts, lambda p: (F.length(p) >= least) & (F.length(p) <= most))
 
 
