@@ -35,6 +35,13 @@ def route(points: Column, most_points: int = 6, most_leg: float = 120, least_tot
     return F.aggregate(points, F.array().cast(f"array<{_POINT}>"), add, checked)
 
 
+def upsert_routes(stored: DataFrame, fresh: DataFrame) -> DataFrame:
+    """One route a message, the last write wins; a fresh null route deletes."""
+    both = stored.withColumn("turn", F.lit(0)).unionByName(fresh.withColumn("turn", F.lit(1)))
+    last = both.groupBy("raw_message_id").agg(F.max_by(F.struct(*[c for c in stored.columns if c != "raw_message_id"]), "turn").alias("r"))
+    return last.select("raw_message_id", "r.*").where("points IS NOT NULL")
+
+
 def route_dedupe(routes: DataFrame, limit: int = 400) -> DataFrame:
     """Equal routes of one threat are one row, with the newest time and the highest severity."""
     return (

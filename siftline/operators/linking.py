@@ -71,6 +71,15 @@ def candidates(grams: DataFrame, index: DataFrame, stop_words: tuple[str, ...] =
     return exact.unionByName(stems.join(exact.select(*keys).distinct(), keys, "left_anti").withColumn("exact", F.lit(False)))
 
 
+def district_to_city(grams: DataFrame, found: DataFrame, index: DataFrame, zones: DataFrame, ending: str = "sk(?:iy|ii|y|aya|oe)?$", unit: str = "district") -> DataFrame:
+    """An adjective before a district word leads to the town it is made of, where nothing else was found; regions and larger places only."""
+    last = F.element_at(F.split("gram", " "), -1)
+    rows = grams.where((F.col("size") == 2) & (last == unit)).join(found.select("message_id", "pos", "start").distinct(), ["message_id", "pos", "start"], "left_anti")
+    base = F.regexp_replace(F.element_at(F.split("gram", " "), 1), ending, "")
+    big = zones.where((F.col("level") == "region") | (F.coalesce("population", F.lit(0)) >= 20_000)).select("zone_id")
+    return rows.withColumn("stem", T.stem_key(base)).join(index.select("stem", "zone_id").distinct(), "stem").join(big, "zone_id").drop("stem").withColumn("exact", F.lit(False))
+
+
 def leftmost_longest(found: DataFrame) -> DataFrame:
     """Of each phrase the grams met from left to right, longest first, without overlap."""
     grams = found.groupBy("message_id", "pos", "start").agg(F.max(F.struct("size", "gram")).alias("g"))

@@ -53,8 +53,13 @@ def _route_rows(s, d):
     return days.withColumn("points", delivery.route(points, sinuosity=3.0)).where("points IS NOT NULL")
 
 
+def _route_table(s, d):
+    return _route_rows(s, d).withColumn("raw_message_id", F.pmod(F.xxhash64("zone_id", "day", "threat"), F.lit(1 << 40))).select("raw_message_id", "threat", "points")
+
+
 QUERIES = {
     "n01_repost_pairs": lambda s, d: networks.pairs(V.messages(s, d)),
+    "n02_components": lambda s, d: networks.components(networks.pairs(V.messages(s, d))),
     "n03_networks": lambda s, d: networks.networks(networks.pairs(V.messages(s, d)), least_shared=1),
     "n04_resolved_networks": lambda s, d: networks.resolved_networks(
         networks.networks(networks.pairs(V.messages(s, d)), least_shared=1),
@@ -70,6 +75,7 @@ QUERIES = {
     "n09_lead_lag": lambda s, d: networks.lead_lag(V.messages(s, d)),
     "a06_latest_flag": lambda s, d: delivery.latest_flag(V.messages(s, d), "AKIA", "license|License", F.lit("2024-01-01 00:16:40").cast("timestamp")),
     "a07_routes": lambda s, d: _route_rows(s, d).select("zone_id", "day", "threat", F.size("points").alias("n_points")),
+    "a08_route_upsert": lambda s, d: delivery.upsert_routes(_route_table(s, d).where("raw_message_id % 3 <> 0"), _route_table(s, d).where("raw_message_id % 3 = 0")).select("raw_message_id", "threat"),
     "a09_route_dedupe": lambda s, d: delivery.route_dedupe(_route_rows(s, d)),
     "a33_watch_list": lambda s, d: V.incidents(s, d).where(F.arrays_overlap("zone_path", F.array(F.lit("n3"), F.lit("c7")))).select("id"),
     "a34_alerts": lambda s, d: delivery.alerts(V.incidents(s, d).where("first_seen >= '2024-01-15'"), _subscriptions(s, d)),
@@ -101,6 +107,7 @@ QUERIES = {
 _DUP = V.EVENT_SOURCES
 ORACLE = {
     "n01_repost_pairs": f"{_M}, {_KEYED}, {_PAIRS} SELECT * FROM pairs",
+    "n02_components": f"{_M}, {_KEYED}, {_PAIRS}, {_NETS} SELECT * FROM roots",
     "n03_networks": f"{_M}, {_KEYED}, {_PAIRS}, {_NETS} SELECT * FROM nets",
     "n04_resolved_networks": f"{_M}, {_KEYED}, {_PAIRS}, {_NETS} SELECT source_key, coalesce(n.network, CASE WHEN source_key < 'src2' THEN 'configured' END) AS network FROM (SELECT DISTINCT source_key FROM messages) LEFT JOIN nets n USING (source_key)",
     "n05_provenance_walk": f"{_WALK} SELECT * FROM walk",

@@ -20,6 +20,14 @@ def _zones(s, d):
     return V.zones(s, d).withColumn("name", F.translate("name", "_#", "  "))
 
 
+def _adjectives(s, d):
+    zones = V.zones(s, d).where("level = 'place'").select("zone_id", "level", F.concat(F.lit("town"), F.translate("zone_id", "c0123456789", "xabcdefghij")).alias("name"), "population")
+    words = zones.select(F.col("zone_id").alias("message_id"), F.lit(0).alias("pos"), F.concat("name", F.lit("skiy district")).alias("phrase"))
+    grams = linking.ngrams(words)
+    index = linking.name_index(zones)
+    return grams, linking.candidates(grams, index), index, zones
+
+
 def _linked(s, d):
     z = _zones(s, d)
     return linking.link(_phrases(s, d), z, linking.name_index(z))
@@ -63,6 +71,16 @@ ranked AS (SELECT *, hits * hits / size AS score, row_number() OVER w AS rn, lea
 
 QUERIES = {
     "g01_name_index": lambda s, d: linking.name_index(_zones(s, d)).select("norm", "zone_id"),
+    "g02_aliases": lambda s, d: linking.name_index(_zones(s, d), V.read(s, d, "nation").select(F.concat(F.lit("old land "), "n_nationkey").alias("alias"), F.translate("n_name", "_", " ").alias("target")))
+    .where("norm LIKE 'old land%'")
+    .select("norm", "zone_id"),
+    "g06_district_to_city": lambda s, d: linking.district_to_city(*_adjectives(s, d)).select("message_id", "zone_id"),
+    "g09_narrowed": lambda s, d: linking.narrowed(V.observations(s, d).select(F.col("zone_id").alias("message_id"), F.lit(0).alias("pos"), F.lit(0).alias("start"), "raw_id", "severity"), F.col("severity") >= 4).select("message_id", "raw_id"),
+    "g12_groups": lambda s, d: linking.expand_groups(
+        V.zones(s, d).where("level = 'place'").select(F.col("zone_id").alias("message_id"), F.lit("The Group").alias("phrase")),
+        V.zones(s, d).where("level = 'district'").select(F.lit("the group").alias("group"), F.col("parent_id").alias("region_id"), "zone_id"),
+        V.observations(s, d).select(F.col("zone_id").alias("message_id"), F.col("zone_path")[2].alias("region_id"), F.col("raw_id").alias("place")),
+    ).select("message_id", "zone_id"),
     "g03_closure": lambda s, d: linking.closure(V.zones(s, d)),
     "g03_zone_paths": lambda s, d: linking.paths(V.zones(s, d)).select("zone_id", F.array_join("zone_path", ">").alias("path")),
     "g04_ngrams": lambda s, d: linking.ngrams(V.zones(s, d).where("level <> 'place'").select(F.col("zone_id").alias("message_id"), F.lit(0).alias("pos"), F.translate("name", "_", " ").alias("phrase"))).select("message_id", "start", "size", "gram"),
@@ -95,6 +113,9 @@ QUERIES = {
 }
 _NAME = "lower(replace(replace(name, '_', ' '), '#', ' '))"
 ORACLE = {
+    "g02_aliases": "SELECT 'old land ' || n_nationkey AS norm, 'n' || n_nationkey AS zone_id FROM nation",
+    "g09_narrowed": f"WITH {V.OBSERVATIONS} SELECT zone_id AS message_id, raw_id FROM (SELECT *, max(severity >= 4) OVER (PARTITION BY zone_id) AS any_ok FROM observations) WHERE severity >= 4 OR NOT any_ok",
+    "g12_groups": f"WITH {V.OBSERVATIONS}, {V.ZONES} SELECT m AS message_id, z.zone_id FROM (SELECT DISTINCT zone_id AS m, zone_path[3] AS r FROM observations) JOIN zones z ON z.parent_id = r AND z.level = 'district'",
     "g03_closure": f"WITH {V.ZONES}, {_PATH} SELECT zone_id, zone_path[i] AS ancestor_id, (i - 1)::INT AS depth FROM (SELECT *, unnest(range(1, len(zone_path) + 1)) AS i FROM paths)",
     "g03_zone_paths": f"WITH {V.ZONES}, {_PATH} SELECT zone_id, array_to_string(zone_path, '>') AS path FROM paths",
     "g04_ngrams": f"""WITH {V.ZONES}, w AS (SELECT zone_id AS message_id, string_split(lower(replace(name, '_', ' ')), ' ') AS words FROM zones WHERE level <> 'place'),

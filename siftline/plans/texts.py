@@ -23,6 +23,11 @@ def _case(rules, column: str, place: int) -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches(lower({column}), '{r[1]}') THEN {value(r)}" for r in rules)
 
 
+def _hedged(s, d):
+    body = F.when(F.col("raw_id") % 4 == 0, "unconfirmed explosion").when(F.col("raw_id") % 4 == 1, "possible").otherwise("explosion seen")
+    return V.observations(s, d).withColumn("body", body)
+
+
 _STEM = "|".join(T.ENDINGS)
 _NAMES = "names AS (SELECT p_partkey AS id, p_name AS ascii_name, unnest(['old ' || p_name, upper(p_name), p_brand]) AS alternate, unnest([0, 1, 2]) AS place FROM part)"
 
@@ -60,6 +65,12 @@ QUERIES = {
         V.read(s, d, "part").select(F.col("p_name").alias("key"), F.col("p_brand").alias("name"), F.col("p_size").alias("priority")),
         V.read(s, d, "part").select(F.col("p_type").alias("query"), F.col("p_name").alias("key"), (F.col("p_partkey") % 5).alias("penalty")),
     ),
+    "t06_gender": lambda s, d: V.read(s, d, "part").select("p_partkey", T.gender(F.element_at(F.split("p_name", " "), -1)).alias("gender")),
+    "t13_downgrades": lambda s, d: _hedged(s, d).select("raw_id", *[c.alias(n) for c, n in zip(T.downgraded(F.col("body"), F.col("signal"), F.col("severity")), ("label", "level"), strict=True)]),
+    "t14_fallback_signal": lambda s, d: _hedged(s, d).select("raw_id", T.fallback_signal(F.lit("unknown"), F.col("threat"), F.when(F.col("raw_id") % 3 == 0, F.lit(2)), F.lit(None).cast("int"), F.col("raw_id") % 5 == 0).alias("label")),
+    "t15_infra_pairs": lambda s, d: _hedged(s, d).select("raw_id", T.infra_pair(F.when(F.col("raw_id") % 2 == 0, "airport opened").otherwise("bridge closed"), F.lit("unknown"), F.when(F.col("raw_id") % 3 == 0, "airport").otherwise("uav"))[0].alias("label")),
+    "t27_transliteration": lambda s, d: V.read(s, d, "part").select("p_partkey", T.transliterate(F.translate("p_name", "abe", "абе")).alias("latin")),
+    "t28_tidy_names": lambda s, d: V.read(s, d, "part").select("p_partkey", T.replaced(F.col("p_brand"), {}, [("^Brand", ""), ("#([0-9])$", "#0$1")]).alias("tidy")),
     "t29_same_place": lambda s, d: V.zones(s, d).select("zone_id", T.same_place(F.col("name"), F.concat(F.lower("name"), F.lit(" city"))).alias("same")),
 }
 _DIR = "['" + "', '".join(T.DIRECTIONS) + "']"
@@ -91,5 +102,12 @@ SELECT id, arg_min(alternate, (score, place)) AS alternate, min(score)::INT AS s
     "t25_replaced_names": "SELECT p_partkey, CASE WHEN p_name = 'small ring' THEN 'Ring' ELSE regexp_replace(regexp_replace(p_name, '^red ', 'crimson '), 'bolt$', 'screw') END AS name FROM part",
     "t26_best_by_key": """WITH best AS (SELECT p_name AS key, min(p_size) AS priority, arg_min(p_brand, (p_size, p_brand)) AS name FROM part GROUP BY 1)
 SELECT p_type AS query, arg_min(name, (priority + p_partkey % 5, name)) AS name, min(priority + p_partkey % 5)::BIGINT AS score FROM part JOIN best ON p_name = key GROUP BY 1""",
+    "t06_gender": "SELECT p_partkey, CASE WHEN right(p_name, 1) = 'a' THEN 'f' WHEN regexp_matches(p_name, '[a-z]$') THEN 'm' ELSE '' END AS gender FROM part",
+    "t13_downgrades": f"""WITH {V.OBSERVATIONS} SELECT raw_id, CASE WHEN raw_id % 4 = 0 AND signal IN ('impact', 'detection') THEN 'alarm' WHEN raw_id % 4 = 1 THEN 'danger' ELSE signal END AS label,
+  CASE WHEN raw_id % 4 = 0 AND signal IN ('impact', 'detection') THEN least(severity, 7) WHEN raw_id % 4 = 1 THEN least(severity, 5) ELSE severity END AS level FROM observations""",
+    "t14_fallback_signal": f"WITH {V.OBSERVATIONS} SELECT raw_id, CASE WHEN (threat <> 'unknown' OR raw_id % 3 = 0) AND raw_id % 5 = 0 THEN 'danger' WHEN raw_id % 3 = 0 THEN 'detection' ELSE 'unknown' END AS label FROM observations",
+    "t15_infra_pairs": f"WITH {V.OBSERVATIONS} SELECT raw_id, CASE WHEN raw_id % 3 = 0 THEN CASE WHEN raw_id % 2 = 0 THEN 'allclear' ELSE 'danger' END ELSE 'unknown' END AS label FROM observations",
+    "t27_transliteration": "SELECT p_partkey, lower(p_name) AS latin FROM part",
+    "t28_tidy_names": "SELECT p_partkey, regexp_replace(regexp_replace(p_brand, '^Brand', ''), '#([0-9])$', '#0\\1') AS tidy FROM part",
     "t29_same_place": f"WITH {V.ZONES} SELECT zone_id, true AS same FROM zones",
 }
