@@ -14,8 +14,9 @@ anchors are equal need to meet:
    suffix order starts with the same L bytes. As all contexts of a route are
    aligned at the anchor, the shared middle is one symbol and what follows it is
    read in symbols of eight bytes, which keeps the order of bytes;
-4. routes with very many contexts count their windows by hash instead, so no task
-   gets a group that grows with the input.
+4. routes with very many contexts are sorted in parts. A window that finds no
+   equal in its part is looked for in the other parts by hash, so no task gets a
+   group that grows with the input.
 
 Equal whole texts are one class and take part once.
 """
@@ -36,7 +37,7 @@ from siftline.llm.suffixes import suffix_array
 L = 200
 K = 64
 W = L - K + 1
-#: Contexts of a route that are sorted together; routes with more are counted by window.
+#: Contexts of a route that are sorted together; a route with more is sorted in parts.
 LIMIT = 256
 #: Symbols that are sorted together.
 SORTED = 60_000
@@ -203,7 +204,7 @@ def _context_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 )
 
 
-_SPAN = "tid long, doc_id long, lo long, hi long"
+_FOUND = "tid long, doc_id long, lo long, hi long, window long, again boolean"
 
 
 def _sorted_symbols(bodies: list[bytes], firsts: list[int], counts: list[int], routes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -236,44 +237,80 @@ def _sorted_symbols(bodies: list[bytes], firsts: list[int], counts: list[int], r
     return symbols, np.concatenate(owner), np.concatenate(window)
 
 
-def _repeats(group: pd.DataFrame) -> pd.DataFrame | None:
-    """Spans of the windows of some whole routes that repeat among them; rows are distinct contexts per route or their copies."""
-    keys = list(zip(group["route"], group["context"], strict=True))
+def _window_hashes(bodies: list[bytes], firsts: np.ndarray, routes: np.ndarray, marks: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, place and hash (of route, distance to the anchor and bytes) of the marked windows."""
+    pieces = Pieces(bodies)
+    own = np.repeat(np.arange(len(marks)), [len(m) for m in marks])
+    place = np.concatenate([np.arange(len(m)) for m in marks])
+    keep = np.concatenate(marks)
+    own, place = own[keep], place[keep]
+    salt = (firsts[own] - place).astype(np.uint64) * _C2 + routes.view(np.uint64)[own]
+    return own, place, _mix(pieces.hashes((pieces.end - pieces.size)[own] + place, L) + salt).view(np.int64)
+
+
+def _repeats(group: pd.DataFrame) -> list[pd.DataFrame]:
+    """What repeats among the contexts of some whole parts of routes.
+
+    Rows are spans (``window`` null) or, of routes in several parts, windows that
+    the other parts have to be asked for, and with ``again`` the windows found here.
+    """
+    keys = list(zip(group["part"], group["context"], strict=True))
     distinct: dict[tuple[int, int], int] = {}
     for k in keys:
         distinct.setdefault(k, len(distinct))
     index = np.array([distinct[k] for k in keys])
     _, lead = np.unique(index, return_index=True)
-    bodies, firsts = [bytes(b) for b in group["body"].iloc[lead]], group["first"].iloc[lead].tolist()
-    counts, routes = group["n"].iloc[lead].tolist(), group["route"].iloc[lead].tolist()
-    symbols, owner, window = _sorted_symbols(bodies, firsts, counts, routes)
+    some = group.iloc[lead]
+    bodies, firsts = [bytes(b) for b in some["body"]], some["first"].tolist()
+    counts, parts, several = some["n"].tolist(), some["part"].tolist(), some["parts"].to_numpy() > 1
+    symbols, owner, window = _sorted_symbols(bodies, firsts, counts, parts)
     order = suffix_array(symbols)
     order = order[window[order] >= 0]
-    hit = [np.zeros(c, bool) for c in counts]
+    hit, run = [np.zeros(c, bool) for c in counts], [np.zeros(c, bool) for c in counts]
     own, win = owner[order].tolist(), window[order].tolist()
     for i in range(1, len(own)):
         a, b, p, q = own[i - 1], own[i], win[i - 1], win[i]
-        if routes[a] == routes[b] and firsts[a] - p == firsts[b] - q and bodies[a][p : p + L] == bodies[b][q : q + L]:
+        if parts[a] == parts[b] and firsts[a] - p == firsts[b] - q and bodies[a][p : p + L] == bodies[b][q : q + L]:
+            run[a][p] |= not hit[a][p]  # the first of its equals stands for them
             hit[a][p] = hit[b][q] = True
-    copies = np.bincount(index, minlength=len(distinct)) > 1
-    whole = np.zeros(len(distinct), bool)
+    whole = np.bincount(index, minlength=len(distinct)) > 1
     whole[index[group["again"].to_numpy()]] = True
+    for k in np.flatnonzero(whole):
+        hit[k][:] = run[k][:] = True
     rows = []
     for k, tid, doc, at in zip(index, group["tid"], group["doc_id"], group["at"], strict=True):
-        mark = np.ones(counts[k], bool) if copies[k] or whole[k] else hit[k]
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], mark.astype(np.int8), [0]])))
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[k].astype(np.int8), [0]])))
         rows += [(tid, doc, at + s, at + e - 1 + L) for s, e in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-    return pd.DataFrame(rows, columns=["tid", "doc_id", "lo", "hi"]) if rows else None
+    out = [pd.DataFrame(rows, columns=["tid", "doc_id", "lo", "hi"]).assign(window=pd.array([None] * len(rows), "Int64"), again=False)] if rows else []
+    if several.any():
+        far = np.flatnonzero(several)
+        args = [bodies[k] for k in far], np.array(firsts)[far], some["route"].to_numpy()[far]
+        for again, marks in ((False, [~hit[k] for k in far]), (True, [run[k] for k in far])):
+            who, place, hashed = _window_hashes(*args, marks)
+            start = some["at"].to_numpy()[far][who] + place
+            out.append(
+                pd.DataFrame(
+                    {
+                        "tid": some["tid"].to_numpy()[far][who],
+                        "doc_id": some["doc_id"].array[far[who]],
+                        "lo": start,
+                        "hi": start + L,
+                        "window": pd.array(hashed, "Int64"),
+                        "again": again,
+                    }
+                )
+            )
+    return out
 
 
 def _sorted_routes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows come sorted by route; whole routes are gathered up to SORTED symbols."""
+    """Rows come sorted by part; whole parts are gathered up to SORTED symbols."""
     rest: pd.DataFrame | None = None
 
     def parcels(frame: pd.DataFrame, final: bool) -> Iterator[pd.DataFrame]:
         nonlocal rest
-        route = frame["route"].to_numpy()
-        ends = np.concatenate([np.flatnonzero(route[1:] != route[:-1]) + 1, [len(route)] if final else []]).astype(int)
+        part = frame["part"].to_numpy()
+        ends = np.concatenate([np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)] if final else []]).astype(int)
         weight = np.concatenate([[0], np.cumsum(frame["first"].to_numpy() + frame["body"].map(len).to_numpy() // 8 + 2)])
         begin = 0
         for k, end in enumerate(ends):
@@ -285,33 +322,10 @@ def _sorted_routes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         frame = batch if rest is None or not len(rest) else pd.concat([rest, batch], ignore_index=True)
         for parcel in parcels(frame, False):
-            if (found := _repeats(parcel)) is not None:
-                yield found
+            yield from _repeats(parcel)
     if rest is not None and len(rest):
         for parcel in parcels(rest.reset_index(drop=True), True):
-            if (found := _repeats(parcel)) is not None:
-                yield found
-
-
-def _windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every window of a context: its route and its distance to the anchor, and its hash."""
-    for batch in batches:
-        for s in range(0, len(batch), 2048):
-            rows = batch.iloc[s : s + 2048]
-            pieces = Pieces([bytes(b) for b in rows["body"]])
-            n = rows["n"].to_numpy()
-            row = np.repeat(np.arange(len(rows)), n)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            before = rows["first"].to_numpy()[row] - place
-            yield pd.DataFrame(
-                {
-                    "tid": rows["tid"].to_numpy()[row],
-                    "doc_id": rows["doc_id"].array[row],
-                    "lo": rows["at"].to_numpy()[row] + place,
-                    "again": rows["again"].to_numpy()[row],
-                    "window": _mix(pieces.hashes((pieces.end - pieces.size)[row] + place, L) + before.astype(np.uint64) * _C2 + rows["route"].to_numpy().view(np.uint64)[row]).view(np.int64),
-                }
-            )
+            yield from _repeats(parcel)
 
 
 def _removed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -354,16 +368,16 @@ def repeated_spans(docs: DataFrame, lists: DataFrame) -> DataFrame:
     )
     met = contexts.join(stats, "route")
     whole = met.where("low = high").select("tid", "doc_id", F.col("at").alias("lo"), (F.col("at") + F.col("n") + (L - 1)).alias("hi"))
-    columns = ["tid", "doc_id", "route", "context", "at", "first", "n", "body", "again"]
-    contested = met.where("low <> high")
-    few = contested.where(F.col("size") <= LIMIT).select(*columns).repartition("route").sortWithinPartitions("route").mapInPandas(_sorted_routes, _SPAN)
-    windows = materialize(
-        contested.where(F.col("size") > LIMIT).select(*columns).mapInPandas(_windows, "tid long, doc_id long, lo long, again boolean, window long"),
-        "substring-windows",
-    )
-    twice = windows.groupBy("window").agg(F.count(F.lit(1)).alias("uses"), F.max("again").alias("some")).where("uses > 1 or some")
-    many = windows.join(twice, "window").select("tid", "doc_id", "lo", (F.col("lo") + L).alias("hi"))
-    return inner.unionByName(whole).unionByName(few).unionByName(many)
+    parts = F.ceil(F.col("size") / LIMIT)
+    contested = met.where("low <> high").withColumn("parts", parts)
+    # equal contexts go to one part
+    contested = contested.withColumn("part", F.xxhash64("route", F.pmod(F.xxhash64("context"), F.col("parts")))).drop("size", "low", "high")
+    found = materialize(contested.repartition("part").sortWithinPartitions("part").mapInPandas(_sorted_routes, _FOUND), "substring-found")
+    near = found.where("window is null").select("tid", "doc_id", "lo", "hi")
+    apart = found.where("window is not null")
+    twice = apart.groupBy("window").agg(F.count(F.lit(1)).alias("uses"), F.max("again").alias("some")).where("uses > 1 or some")
+    far = apart.where(~F.col("again")).join(twice, "window").select("tid", "doc_id", "lo", "hi")
+    return inner.unionByName(whole).unionByName(near).unionByName(far)
 
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
