@@ -361,17 +361,15 @@ def repeated_spans(docs: DataFrame, lists: DataFrame) -> DataFrame:
     )
     inner = rows.where("route is null").select("tid", "doc_id", F.col("at").alias("lo"), (F.col("at") + F.col("n") + (L - 1)).alias("hi"))
     contexts = rows.where("route is not null")
-    stats = (
-        contexts.groupBy("route")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("context").alias("low"), F.max("context").alias("high"))
-        .where("size > 1")
-    )
-    met = contexts.join(stats, "route")
-    whole = met.where("low = high").select("tid", "doc_id", F.col("at").alias("lo"), (F.col("at") + F.col("n") + (L - 1)).alias("hi"))
-    parts = F.ceil(F.col("size") / LIMIT)
-    contested = met.where("low <> high").withColumn("parts", parts)
-    # equal contexts go to one part
-    contested = contested.withColumn("part", F.xxhash64("route", F.pmod(F.xxhash64("context"), F.col("parts")))).drop("size", "low", "high")
+    # copies of a context are counted, not gathered: one of them stands for all
+    copies = contexts.groupBy("route", "context").agg(F.count(F.lit(1)).alias("uses"), F.min(F.struct("tid", "at")).alias("lead"))
+    stats = copies.groupBy("route").agg(F.count(F.lit(1)).alias("kinds"))
+    known = copies.join(stats, "route").where("kinds > 1 OR uses > 1")
+    met = contexts.join(known, ["route", "context"])
+    whole = met.where("uses > 1").select("tid", "doc_id", F.col("at").alias("lo"), (F.col("at") + F.col("n") + (L - 1)).alias("hi"))
+    leads = met.where((F.col("kinds") > 1) & (F.struct("tid", "at") == F.col("lead"))).withColumn("again", F.col("again") | (F.col("uses") > 1))
+    contested = leads.withColumn("parts", F.ceil(F.col("kinds") / LIMIT)).drop("uses", "lead", "kinds")
+    contested = contested.withColumn("part", F.xxhash64("route", F.pmod(F.xxhash64("context"), F.col("parts"))))
     found = materialize(contested.repartition("part").sortWithinPartitions("part").mapInPandas(_sorted_routes, _FOUND), "substring-found")
     near = found.where("window is null").select("tid", "doc_id", "lo", "hi")
     apart = found.where("window is not null")
