@@ -9,12 +9,14 @@ similar enough share at least T tokens, but for a chance below ``MISS``, so
 * skip: tokens behind the prefix are not merged but counted in the signature
   when a pair has met.
 
-Long posting lists are never expanded into pairs. First every class meets the
-smallest class of each of its lists; links found so join classes to components.
-Only lists that still span components go on, and there only classes outside the
-list's largest component meet the others, in blocks. A bound on the symmetric
-difference (the parity of hashed shingles) drops pairs that cannot link without
-loss; what is left is confirmed on the full sets.
+Long posting lists are never expanded into pairs. First every class meets HUBS
+classes of each of its lists; links found so join classes to components. Lists
+that still span components do the same again, with hubs from their largest
+component for the classes outside it. What spans components even then is done
+in full: classes outside the largest component meet all others, in blocks, each
+pair in the first token only that both are posted under. A bound on the
+symmetric difference (the parity of hashed shingles) drops pairs that cannot
+link without loss; what is left is confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ M = 32
 MISS = 1e-7
 PARITY_WORDS = 16
 BLOCK = 512
+#: Classes of a list that its others meet first.
+HUBS = 4
 
 _seeds = random.Random(20)
 _A = np.array([_seeds.getrandbits(64) | 1 for _ in range(M)], np.uint64)
@@ -119,6 +123,11 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack([np.asarray(x, np.int64) for x in column])
 
 
+def _posted(rows: pd.DataFrame) -> np.ndarray:
+    """Which tokens of the signature a class is posted under."""
+    return np.stack([np.isin(t, o) for t, o in zip(rows["tokens"], rows["own"], strict=True)])
+
+
 def _block_pairs(percent: int, least: int):
     """Candidates among the rows of each (token, row block, other block); rows come sorted by that key."""
 
@@ -126,7 +135,7 @@ def _block_pairs(percent: int, least: int):
         a, b = group[group["outside"]], group[~group["outside"]]
         pairs = []
         for other, whole in ((b, False), (a, True)):
-            if not len(a) or not len(other) or (whole and group["own"].iat[0] == 0):
+            if not len(a) or not len(other) or (whole and group["inner"].iat[0] == 0):
                 continue
             size_a, size_b = a["n_shingles"].to_numpy()[:, None], other["n_shingles"].to_numpy()[None, :]
             bound = (100 - percent) * (size_a + size_b)
@@ -138,7 +147,12 @@ def _block_pairs(percent: int, least: int):
             odd = np.bitwise_count(x[i] ^ y[j]).sum(axis=1)
             ok = (100 + percent) * odd.astype(np.int64) <= bound[i, j]
             i, j = i[ok], j[ok]
-            ok = (_stack(a["tokens"])[i] == _stack(other["tokens"])[j]).sum(axis=1) >= least if len(i) else np.zeros(0, bool)
+            if not len(i):
+                continue
+            same = _stack(a["tokens"])[i] == _stack(other["tokens"])[j]
+            both = same & _posted(a)[i] & _posted(other)[j]
+            first = _stack(a["tokens"])[i, both.argmax(axis=1)]
+            ok = (same.sum(axis=1) >= least) & (first == a["token"].iat[0])
             left, right = a["nid"].to_numpy()[i[ok]], other["nid"].to_numpy()[j[ok]]
             pairs.append(pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)}))
         return pd.concat(pairs).drop_duplicates() if pairs else None
@@ -232,22 +246,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         .select("nid", F.explode(F.slice("own", F.lit(1), F.size("own") - least + 1)).alias("one"))
     )
     postings = materialize(prefix.select("nid", F.col("one.token").alias("token")), "minhash-postings")
-    posted = materialize(
-        classes.join(postings.select("nid").distinct(), "nid").select("nid", "n_shingles", "tokens", "parity"), "minhash-posted"
-    )
-
-    heads = postings.groupBy("token").agg(F.min("nid").alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    stars = postings.withColumnRenamed("nid", "b").join(heads, "token").where("a <> b").select("a", "b").distinct()
-    x, y = posted.alias("x"), posted.alias("y")
-    hopeful = (
-        stars.join(x, F.col("a") == F.col("x.nid")).join(y, F.col("b") == F.col("y.nid")).where(_may_link("x", "y", percent, least)).select("a", "b")
-    )
-    links = _confirmed(materialize(hopeful, "minhash-stars"), classes, docs, k, percent, "stars")
-    found = connected(links)
-
-    labelled = materialize(
-        posted.join(found.withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("root", "nid")).drop("root"), "minhash-labelled"
-    )
+    prefixes = postings.groupBy("nid").agg(F.collect_list("token").alias("own"))
+    posted = materialize(classes.join(prefixes, "nid").select("nid", "n_shingles", "tokens", "parity", "own"), "minhash-posted")
+
+    links, labelled = None, posted.withColumn("comp", F.col("nid"))
+    for turn in range(2):
+        met = postings.join(labelled.select("nid", "comp"), "nid")
+        main = met.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token")
+        main = main.agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
+        inside = met.join(main, "token").where("comp = main")
+        # at first every class is a component of its own and any class of the list can be a hub
+        source = met.join(main.select("token"), "token", "left_semi") if turn == 0 else inside
+        hubs = source.groupBy("token").agg(*[F.min_by(F.struct("nid", "comp"), F.xxhash64("nid", "token", F.lit(h))).alias(f"h{h}") for h in range(HUBS)])
+        hubs = hubs.select("token", F.explode(F.array_distinct(F.array(*[f"h{h}" for h in range(HUBS)]))).alias("hub"))
+        pairs = met.join(hubs, "token").where(F.col("comp") != F.col("hub.comp"))
+        pairs = pairs.select(F.least("nid", "hub.nid").alias("a"), F.greatest("nid", "hub.nid").alias("b")).distinct()
+        x, y = posted.alias("x"), posted.alias("y")
+        hopeful = pairs.join(x, F.col("a") == F.col("x.nid")).join(y, F.col("b") == F.col("y.nid")).where(_may_link("x", "y", percent, least)).select("a", "b")
+        found = _confirmed(materialize(hopeful, "minhash-hubs"), classes, docs, k, percent, f"hubs{turn}")
+        links = found if links is None else links.unionByName(found)
+        labelled = posted.join(connected(links).withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("root", "nid")).drop("root")
+        labelled = materialize(labelled, "minhash-labelled")
     per_comp = postings.join(labelled.select("nid", "comp"), "nid").groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
     spans = (
         per_comp.groupBy("token")
@@ -266,25 +285,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
     # a class outside meets every block of the main component; of two outside blocks the pair is (low, high)
     with_main = F.when(
-        F.col("outside"), F.transform(upto(F.col("main_blocks")), lambda j: F.struct(F.lit(0).alias("own"), F.col("block").alias("i"), j.alias("j")))
-    ).otherwise(F.transform(upto(F.col("out_blocks")), lambda i: F.struct(F.lit(0).alias("own"), i.alias("i"), F.col("block").alias("j"))))
+        F.col("outside"), F.transform(upto(F.col("main_blocks")), lambda j: F.struct(F.lit(0).alias("inner"), F.col("block").alias("i"), j.alias("j")))
+    ).otherwise(F.transform(upto(F.col("out_blocks")), lambda i: F.struct(F.lit(0).alias("inner"), i.alias("i"), F.col("block").alias("j"))))
     with_out = F.when(
         F.col("outside"),
         F.transform(
-            upto(F.col("out_blocks")), lambda o: F.struct(F.lit(1).alias("own"), F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))
+            upto(F.col("out_blocks")), lambda o: F.struct(F.lit(1).alias("inner"), F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))
         ),
     )
-    parts = F.concat(with_main, F.coalesce(with_out, F.array().cast("array<struct<own:int,i:bigint,j:bigint>>")))
+    parts = F.concat(with_main, F.coalesce(with_out, F.array().cast("array<struct<inner:int,i:bigint,j:bigint>>")))
     spread = met.withColumn("at", F.explode(parts)).select(
         "token",
-        F.concat_ws(":", "at.own", "at.i", "at.j").alias("part"),
-        F.col("at.own").alias("own"),
+        F.concat_ws(":", "at.inner", "at.i", "at.j").alias("part"),
+        F.col("at.inner").alias("inner"),
         "outside",
         "nid",
         "comp",
         "n_shingles",
         "tokens",
         "parity",
+        "own",
     )
     again = (
         spread.repartition("token", "part").sortWithinPartitions("token", "part").mapInPandas(_block_pairs(percent, least), "a long, b long").distinct()
