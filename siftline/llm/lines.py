@@ -6,11 +6,12 @@ holds several variants whose other tokens agree in most places, the places that
 differ are variable too and the variants are one template. Templates that recur
 across documents are boilerplate and their lines go.
 
-Equal texts count once, and each text has a sketch, the smallest hash of its
-three-word shingles. Recurrence is the number of distinct sketches, which must
-also be at least half the number of texts: most texts of a group of near copies
-have the same sketch, so their lines are left to near-duplicate removal, while a
-line of unrelated texts comes with a sketch from each.
+A line is judged by what its texts have besides it: smallest hashes of the
+three-word shingles of all lines but those of its leaf. Texts that share three
+eighths of these hashes are alike, and recurrence is the number of texts no two
+of which are alike. A group of near copies, of any size, is alike throughout and counts as
+one, so its lines are left to near-duplicate removal, while unrelated texts count
+one each, however much of them the line makes up.
 """
 
 from __future__ import annotations
@@ -30,6 +31,11 @@ DEPTH = 3
 #: Tokens behind them are folded into so many one-byte slots by place.
 SLOTS = 16
 MIN_TOKENS = 3
+#: One-byte hashes of what a text has besides a line, and how many of them alike texts share.
+SKETCHES = 32
+ALIKE = 12
+#: Sketches that are compared together; a line with more is compared in parts first.
+TOGETHER = 2048
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -62,29 +68,43 @@ def leaves(words: Words, sizes: np.ndarray, place: np.ndarray) -> tuple[np.ndarr
     return mix(leaf), (folded % 251).astype(np.uint8).reshape(-1, SLOTS)
 
 
-def sketches(words: Words) -> np.ndarray:
-    """Smallest shingle hash of each text; of one with fewer than three words, the hash of all, without words 0."""
-    hashed, count = words.hashes, np.diff(words.word_of)
-    out = np.zeros(len(count), np.uint64)
-    for k in np.flatnonzero((count > 0) & (count < 3)):
-        out[k] = mix(words.of(k) * _M1).sum()
-    long = np.flatnonzero(count >= 3)
-    if len(long):
-        shingle = np.full(len(hashed), np.iinfo(np.uint64).max, np.uint64)
-        shingle[:-2] = mix(hashed[:-2] * _M1 + hashed[1:-1] * _M2 + hashed[2:] * _M3)
-        last = words.word_of[1:][long]
-        shingle[last - 1] = shingle[last - 2] = np.iinfo(np.uint64).max  # these would reach into the next text
-        spans = np.stack([words.word_of[:-1][long], last], axis=1).ravel()
-        out[long] = np.minimum.reduceat(np.append(shingle, np.uint64(0)), spans)[::2]
-    return out
+def besides(words: Words, sizes: np.ndarray, leaf: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Sketches of what the text of each line with tokens has besides the lines of its leaf.
 
-
-def text_hashes(words: Words) -> np.ndarray:
-    """Hash of the words of each text in their order and lines."""
-    place = np.arange(len(words.hashes)) - words.word_of[np.searchsorted(words.word_of, np.arange(len(words.hashes)), side="right") - 1]
-    line = words.line - words.line_of[np.searchsorted(words.line_of, words.line, side="right") - 1]
-    sums = np.concatenate([[0], np.cumsum(mix(words.hashes + mix(place.astype(np.uint64) * _M1 + line.astype(np.uint64) * _M3)))]).astype(np.uint64)
-    return mix(sums[words.word_of[1:]] - sums[words.word_of[:-1]])
+    A line of fewer than three words is one shingle; no shingle reaches over two lines.
+    """
+    used = sizes[sizes > 0]
+    starts = np.cumsum(used) - used
+    row = np.repeat(np.arange(len(used)), used)
+    hashed = np.append(words.hashes, np.zeros(2, np.uint64))
+    shingle = mix(hashed[:-2] * _M1 + hashed[1:-1] * _M2 + hashed[2:] * _M3)
+    short = np.flatnonzero(used < 3)
+    pair = hashed[starts[short]] * _M1 + np.where(used[short] == 2, hashed[starts[short] + 1], np.uint64(0)) * _M2
+    shingle[starts[short]] = mix(pair + used[short].astype(np.uint64))
+    valid = np.concatenate([row[2:] == row[:-2], np.zeros(min(2, len(row)), bool)])
+    valid[starts[short]] = True
+    shingle = shingle[valid]
+    per_line = np.maximum(used - 2, 1)
+    line_starts = np.cumsum(per_line) - per_line
+    order = np.lexsort((leaf, text))
+    new_text = np.concatenate([[True], text[order][1:] != text[order][:-1]])
+    new = new_text | np.concatenate([[True], leaf[order][1:] != leaf[order][:-1]])
+    group_starts = np.flatnonzero(new)
+    text_starts = np.flatnonzero(new_text[group_starts])
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(new) - 1
+    own = np.cumsum(new_text[group_starts]) - 1
+    none = np.iinfo(np.uint64).max
+    out = np.empty((len(group_starts), SKETCHES), np.uint8)
+    for k in range(SKETCHES):
+        factor = mix(np.array([k + 1], np.uint64) * _M2) | np.uint64(1)
+        lowest = np.minimum.reduceat(np.minimum.reduceat(shingle * factor, line_starts)[order], group_starts)
+        first = np.minimum.reduceat(lowest, text_starts)
+        is_first = lowest == first[own]
+        alone = np.add.reduceat(is_first.astype(np.int64), text_starts) == 1
+        second = np.minimum.reduceat(np.where(is_first, none, lowest), text_starts)
+        out[:, k] = (mix(np.where(is_first & alone[own], second[own], first[own])) >> np.uint64(56)).astype(np.uint8)
+    return out[group]
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -92,7 +112,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _line_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each distinct masked line of a document: leaf, variant, slots, number of tokens, sketch and hash of the document."""
+    """Each distinct masked line of a document: leaf, variant, slots, number of tokens and sketches of the document besides it."""
     for batch in batches:
         for _, texts in parcels(batch["text"].tolist()):
             words = words_of(texts, mask_fields=True)
@@ -101,6 +121,7 @@ def _line_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sizes, variant, place = masked_lines(words)
             leaf, slots = leaves(words, sizes, place)
             text = np.searchsorted(words.line_of, np.flatnonzero(sizes), side="right") - 1
+            sketch = besides(words, sizes, leaf, text)
             variant, sizes = variant[sizes > 0], sizes[sizes > 0]
             order = np.lexsort((variant, text))
             new = np.concatenate([[True], (variant[order][1:] != variant[order][:-1]) | (text[order][1:] != text[order][:-1])])
@@ -111,27 +132,72 @@ def _line_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     "variant": _signed(variant[first]),
                     "slots": [s.tobytes() for s in slots[first]],
                     "size": sizes[first],
-                    "sketch": _signed(sketches(words)[text[first]]),
-                    "text": _signed(text_hashes(words)[text[first]]),
+                    "sketch": [s.tobytes() for s in sketch[first]],
                 }
             )
 
 
+def _unlike(sketches: np.ndarray, most: int) -> np.ndarray:
+    """Numbers of at most ``most`` rows of ``sketches`` no two of which are alike; each other row is like one of them, or there are ``most``."""
+    rest, out = np.arange(len(sketches)), []
+    while len(rest) and len(out) < most:
+        out.append(rest[0])
+        rest = rest[(sketches[rest] == sketches[rest[0]]).sum(axis=1) < ALIKE]
+    return np.array(out, np.int64)
+
+
+def spread(rows: DataFrame, min_docs: int) -> DataFrame:
+    """Values of ``key`` that have ``min_docs`` rows or more no two of which are alike; rows are ``key``, ``sketch`` and the ``n`` rows of the key."""
+
+    def kept(final: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            # rows come sorted by key and part; what is kept of the last one is taken along
+            rest: pd.DataFrame | None = None
+
+            def reduced(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, bool]]:
+                both = frame[["key", "part"]].to_numpy()
+                cuts = np.flatnonzero(np.concatenate([[True], (both[1:] != both[:-1]).any(axis=1), [True]]))
+                values = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, SKETCHES)
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    yield a + _unlike(values[a:b], min_docs), b == len(frame)
+
+            def given(frame: pd.DataFrame, groups: list[np.ndarray]) -> pd.DataFrame:
+                some = [g[:1] if final else g for g in groups if not final or len(g) >= min_docs]
+                return frame.iloc[np.concatenate(some) if some else []]
+
+            for batch in batches:
+                frame = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+                if not len(frame):
+                    continue
+                groups = list(reduced(frame))
+                yield given(frame, [g for g, last in groups if not last])
+                rest = frame.iloc[groups[-1][0]]
+            if rest is not None:
+                rest = rest.reset_index(drop=True)
+                yield given(rest, [g for g, _ in reduced(rest)])
+
+        return run
+
+    schema = "key bigint, part bigint, sketch binary"
+    parted = rows.select("key", F.pmod(F.xxhash64("sketch"), F.ceil(F.col("n") / TOGETHER)).alias("part"), "sketch")
+    first = parted.repartition("key", "part").sortWithinPartitions("key", "part", "sketch").mapInPandas(kept(False), schema)
+    first = first.withColumn("part", F.lit(0).cast("bigint"))
+    return first.repartition("key").sortWithinPartitions("key", "sketch").mapInPandas(kept(True), schema).select("key")
+
+
 def recurring_variants(docs: DataFrame, min_docs: int, min_variants: int = 4, agree: float = 0.8, constant: float = 0.7) -> DataFrame:
-    """Masked lines (``variant``) whose template recurs: in ``min_docs`` sketches or more, and in half as many as texts.
+    """Masked lines (``variant``) whose template recurs, in ``min_docs`` or more texts no two of which are alike besides it.
 
     A leaf with ``min_variants`` or more variants is generalised: a slot in which at
     least ``agree`` of them have the same value is constant. If 3 slots or more,
     and a share of at least ``constant`` of those in use, are constant, the
     variants that have all constant values are one template.
     """
-    rows = "leaf bigint, variant bigint, slots binary, size bigint, sketch bigint, text bigint"
-    uses = docs.select("text").mapInPandas(_line_rows, rows).distinct().groupBy("leaf", "variant", "slots", "size", "sketch")
-    uses = materialize(uses.agg(F.count(F.lit(1)).alias("texts")), "line-uses")
-    variants = uses.groupBy("leaf", "variant", "slots", "size").agg(F.count(F.lit(1)).alias("n"), F.sum("texts").alias("texts"))
-    variants = materialize(variants, "line-variants")
-    recurs = (F.col("n") >= min_docs) & (2 * F.col("n") >= F.col("texts"))
-    direct = variants.where(recurs).select("variant")
+    rows = "leaf bigint, variant bigint, slots binary, size bigint, sketch binary"
+    uses = materialize(docs.select("text").mapInPandas(_line_rows, rows).distinct(), "line-uses")
+    variants = materialize(uses.groupBy("leaf", "variant", "slots", "size").agg(F.count(F.lit(1)).alias("n")), "line-variants")
+    often = variants.where(F.col("n") >= min_docs).select("variant", "n")
+    direct = spread(uses.join(often, "variant").select(F.col("variant").alias("key"), "sketch", "n"), min_docs).select(F.col("key").alias("variant"))
     several = variants.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= min_variants)
     used = F.least(F.col("size") - DEPTH, F.lit(SLOTS)).cast("int")
     cells = variants.where(F.col("size") > DEPTH + 2).join(several, "leaf").select("leaf", "m", used.alias("used"), F.explode(F.sequence(F.lit(1), used)).alias("slot"), F.col("slots"))
@@ -150,15 +216,9 @@ def recurring_variants(docs: DataFrame, min_docs: int, min_variants: int = 4, ag
     )
     fits = F.forall("fixed", lambda f: F.substring(F.hex("slots"), f["slot"] * 2 - 1, F.lit(2)) == f["value"])
     members = variants.join(patterns.select("leaf", "fixed"), "leaf").where(fits).select("leaf", "variant")
-    wide = (
-        uses.select("variant", "sketch", "texts")
-        .join(members, "variant")
-        .groupBy("leaf", "sketch")
-        .agg(F.sum("texts").alias("texts"))
-        .groupBy("leaf")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("texts").alias("texts"))
-        .where(recurs)
-    )
+    met = uses.select("variant", "sketch").join(members, "variant").select("leaf", "sketch").distinct()
+    often = met.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    wide = spread(met.join(often, "leaf").select(F.col("leaf").alias("key"), "sketch", "n"), min_docs).select(F.col("key").alias("leaf"))
     return direct.unionByName(members.join(wide, "leaf").select("variant")).distinct()
 
 

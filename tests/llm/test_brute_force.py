@@ -111,6 +111,20 @@ def test_lines(spark, limit):
     assert all(got[n].text == texts[n] for n in range(12, len(texts)))
 
 
+@pytest.mark.parametrize("together", [2048, 7])
+def test_lines_of_short_texts(spark, together, monkeypatch):
+    """A line that makes up most of unrelated texts goes, also besides many near copies that have it; near copies alone keep theirs."""
+    monkeypatch.setattr(lines, "TOGETHER", together, raising=False)
+    rng = random.Random(8)
+    shared, other = prose(rng, 60), prose(rng, 60)
+    texts = [f"{prose(rng, 5)}\n{shared}\n{prose(rng, 5)}" for _ in range(40)]
+    copy = prose(rng, 60)
+    texts += [f"{edited(rng, copy, 0.02)}\n{shared}" for _ in range(100)] + [f"{edited(rng, copy, 0.02)}\n{other}" for _ in range(300)]
+    got = {r.doc_id: r for r in lines.drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert [got[n].n_dropped for n in range(140)] == [1] * 140 and not any(shared in r.text for r in got.values())
+    assert all(got[n].text == texts[n] for n in range(140, 440))
+
+
 def test_line_templates(spark):
     """Places that differ without digits are found through the leaf."""
     rng = random.Random(4)
