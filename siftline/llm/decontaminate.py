@@ -5,12 +5,14 @@ distance is the number of word edits. A CGK walk reads a sequence and writes one
 symbol a step; whether it moves on depends on a random bit of the step and the
 symbol. Two sequences a few edits apart fall in step again, so edit distance
 becomes Hamming distance. A repetition has its own walk and samples a few steps;
-item and window meet if all sampled symbols agree. The number of repetitions is
-set by simulation on the items so that pairs right at the threshold meet with
-the target recall. What meets is verified by exact edit distance to the best
-place in the text.
-
-Windows have the sizes of the items, in classes of about 15 % difference, and
+item and window meet if all sampled symbols agree. A long item takes part in
+pieces: its edits cannot exceed the share allowed in every one of them, so some
+piece is within the threshold. The number of repetitions grows until simulated
+pairs right at the threshold, inside running text, meet with the target recall;
+if that takes too many, it is an error. What meets is verified by exact edit
+distance of the whole item to the best place in the text.
+
+Windows have the sizes of the pieces, in classes of about 15 % difference, and
 start at every word; only those are walked that can match at all: an edit
 touches two pairs of neighbouring words, so most pairs of a window must be pairs
 of the benchmark. Everything happens while
@@ -31,7 +33,13 @@ from siftline.llm.tokens import Words, mix, parcels, words_of
 
 #: Steps that a repetition samples.
 SAMPLED = 3
-MAX_REPETITIONS = 48
+#: Repetitions are added in blocks; a target recall that MAX_REPETITIONS miss is an error.
+BLOCK = 16
+MAX_REPETITIONS = 1024
+#: Simulated pairs of a size class.
+TRIALS = 400
+#: Words of a piece; a longer item is cut into pieces of even size.
+PIECE_WORDS = 60
 #: Benchmark characters that one pass takes to the tasks; a larger benchmark takes several passes.
 PASS_CHARS = 8_000_000
 _TABLE = 1 << 22
@@ -41,9 +49,10 @@ TOGETHER = 1 << 18
 
 @dataclass(frozen=True)
 class SizeClass:
-    """Items of about one size with their LSH keys; ``keys`` ascend and ``item`` has the number of each key's item."""
+    """Pieces of about one size with their LSH keys; ``keys`` ascend and ``item`` has the number of each key's item."""
 
     size: int
+    edits: int  # allowed in the largest piece
     bits: np.ndarray  # repetition, step: odd multiplier of the random bit
     steps: np.ndarray  # repetition, sample: ascending step
     keys: np.ndarray
@@ -108,39 +117,62 @@ def _walkers(items: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return np.concatenate(items), end - size, end
 
 
-def _size_class(numbers: list[int], items: list[np.ndarray], size: int, similarity: float, recall: float, seed: int) -> SizeClass:
+def _enough(known: np.ndarray, size: int, edits: int) -> np.ndarray:
+    """Whether so many known pairs are enough for a window of ``size`` words; an edit touches two pairs."""
+    return known >= size - 1 - 2 * edits
+
+
+def _size_class(numbers: list[int], pieces: list[np.ndarray], size: int, similarity: float, recall: float, known: np.ndarray, seed: int) -> SizeClass:
+    """``numbers`` are the items of ``pieces``; of each piece the first ``size`` words are walked, as windows have no more."""
     rng = np.random.default_rng(seed)
-    n_steps = max(2 * min(len(items[k]) for k in numbers), 1)
-    bits = rng.integers(0, 2**63, (MAX_REPETITIONS, n_steps), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-    steps = np.sort(rng.integers(0, n_steps, (MAX_REPETITIONS, SAMPLED)), axis=1)
-    own = [items[k] for k in numbers]
-    keys = walk(*_walkers(own), bits, steps)
-    trial = [_edited(i, allowed(len(i), similarity), rng) for i in own for _ in range(max(1, 40 // len(own)))]
-    trial = [t if len(t) else np.zeros(1, np.uint64) for t in trial]
-    met = walk(*_walkers(trial), bits, steps) == np.repeat(keys, max(1, 40 // len(own)), axis=0)
-    reached = np.maximum.accumulate(met, axis=1).mean(axis=0)
-    enough = np.flatnonzero(reached >= recall)
-    r = int(enough[0]) + 1 if len(enough) else MAX_REPETITIONS
-    r = min(max(r, 8), MAX_REPETITIONS)
-    flat, item = keys[:, :r].ravel(), np.repeat(np.array(numbers), r)
+    edits = max(allowed(len(p), similarity) for p in pieces)
+    own = _walkers([p[:size] for p in pieces])
+    picked = np.arange(max(TRIALS, len(pieces))) % len(pieces)
+    trial = [
+        np.concatenate([_edited(pieces[k], allowed(len(pieces[k]), similarity), rng), rng.integers(1, 2**63, size).astype(np.uint64)])[:size]
+        for k in picked
+    ]
+    passed = _enough(np.array([known[_pairs(t)].sum() for t in trial]), size, edits)
+    trial = _walkers(trial)
+    met = np.zeros(len(picked), bool)
+    goal = min(recall + 2 * np.sqrt(recall * (1 - recall) / len(picked)), 1.0)  # two standard errors of the trials above
+    blocks: list[tuple[np.ndarray, np.ndarray]] = []
+    r = 0
+    while not r:
+        if len(blocks) * BLOCK >= MAX_REPETITIONS:
+            raise ValueError(f"recall {recall} at similarity {similarity} is not reached for items of {size} words: {met.mean():.3f} after {MAX_REPETITIONS} repetitions")
+        bits = rng.integers(0, 2**63, (BLOCK, 2 * size), dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        steps = np.sort(rng.integers(0, 2 * size, (BLOCK, SAMPLED)), axis=1)
+        keys = walk(*own, bits, steps)
+        same = (walk(*trial, bits, steps) == keys[picked]) & passed[:, None]
+        reached = np.maximum.accumulate(np.concatenate([met[:, None], same], axis=1), axis=1)
+        enough = np.flatnonzero(reached.mean(axis=0)[1:] >= goal)
+        if len(enough):
+            r = max(len(blocks) * BLOCK + int(enough[0]) + 1, 8)
+        met = reached[:, -1]
+        blocks.append((bits, steps))
+    bits, steps = (np.concatenate([b[k] for b in blocks])[:r] for k in range(2))
+    # a key holds the number of its repetition, so keys are made over all blocks
+    flat, item = walk(*own, bits, steps).ravel(), np.repeat(np.array(numbers), r)
     order = np.argsort(flat)
-    return SizeClass(size, bits[:r], steps[:r], flat[order], item[order])
+    return SizeClass(size, edits, bits, steps, flat[order], item[order])
 
 
 def build_index(ids: list, texts: list[str | None], similarity: float = 0.8, recall: float = 0.95) -> Index:
     """Items without words are left out: they match nothing."""
     words = words_of(texts, loose=True)
     items = [words.of(k) for k in range(len(texts))]
-    classes, number, size = [], 0, 1
-    ranked = sorted((k for k in range(len(items)) if len(items[k])), key=lambda k: (len(items[k]), k))
-    while number < len(ranked):
-        size = len(items[ranked[number]])
-        members = [k for k in ranked[number:] if len(items[k]) <= size * 1.15]
-        number += len(members)
-        classes.append(_size_class(members, items, size, similarity, recall, seed=size))
     known = np.zeros(_TABLE, bool)
     for item in items:
         known[_pairs(item)] = True
+    pieces = [(k, piece) for k, item in enumerate(items) if len(item) for piece in np.array_split(item, -(-len(item) // PIECE_WORDS))]
+    classes, number = [], 0
+    ranked = sorted(range(len(pieces)), key=lambda k: (len(pieces[k][1]), k))
+    while number < len(ranked):
+        size = len(pieces[ranked[number]][1])
+        members = [pieces[k] for k in ranked[number:] if len(pieces[k][1]) <= size * 1.15]
+        number += len(members)
+        classes.append(_size_class([m[0] for m in members], [m[1] for m in members], size, similarity, recall, known, seed=size))
     return Index(ids, items, similarity, classes, known)
 
 
@@ -166,11 +198,11 @@ def matches(words: Words, index: Index) -> list[tuple[int, int, int, int]]:
     sums[-1] = sums[-2]  # pairs before each word
     text = np.searchsorted(words.word_of, np.arange(len(hashed)), side="right") - 1
     end = words.word_of[1:][text]
-    met: set[tuple[int, int, int]] = set()
+    met: set[tuple[int, int, int, int]] = set()
     for c in index.classes:
         # a window that is cut short by the end of the text can still match, with the words it lacks as edits
         stop = np.minimum(np.arange(len(hashed)) + c.size, end)
-        start = np.flatnonzero(sums[stop - 1] - sums[:-1] >= c.size - 1 - 2 * allowed(c.size, index.similarity))
+        start = np.flatnonzero(_enough(sums[stop - 1] - sums[:-1], c.size, c.edits))
         chunk = max(1, TOGETHER // len(c.bits))
         for s in range(0, len(start), chunk):
             own = start[s : s + chunk]
@@ -179,17 +211,24 @@ def matches(words: Words, index: Index) -> list[tuple[int, int, int, int]]:
             for w, r in zip(*np.nonzero(high > low), strict=True):
                 at = int(own[w])
                 for item in set(c.item[low[w, r] : high[w, r]].tolist()):
-                    met.add((int(text[at]), item, at // max(c.size, 1)))
+                    met.add((int(text[at]), item, at // c.size * c.size, c.size))
+    regions: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for k, item, at, size in sorted(met):
+        n, limit = len(index.items[item]), allowed(len(index.items[item]), index.similarity)
+        low = max(at - n - limit, int(words.word_of[k]))
+        high = min(at + size + n + limit + 1, int(words.word_of[k + 1]))
+        some = regions.setdefault((k, item), [])
+        if some and low <= some[-1][1]:
+            low, high = some[-1][0], max(high, some.pop()[1])
+        some.append((low, high))
     best: dict[tuple[int, int], tuple[int, int]] = {}
-    for k, item, cell in sorted(met):
+    for (k, item), some in regions.items():
         symbols = index.items[item]
         n, limit = len(symbols), allowed(len(symbols), index.similarity)
-        size = max((c.size for c in index.classes if c.size <= n), default=n)
-        low = max(cell * size - n - limit, int(words.word_of[k]))
-        high = min((cell + 1) * size + n + limit + 1, int(words.word_of[k + 1]))
-        distance, _ = best_place(symbols, hashed[low:high])
-        if distance <= limit and distance < best.get((k, item), (n + 1, 0))[0]:
-            best[k, item] = distance, low - int(words.word_of[k])
+        for low, high in some:
+            distance, _ = best_place(symbols, hashed[low:high])
+            if distance <= limit and distance < best.get((k, item), (n + 1, 0))[0]:
+                best[k, item] = distance, low - int(words.word_of[k])
     return [(k, item, d, low) for (k, item), (d, low) in sorted(best.items())]
 
 

@@ -184,6 +184,26 @@ def test_decontamination(spark):
     assert kept == {r[0] for r in rows} - {n for n, _ in got}
 
 
+@pytest.mark.parametrize("size", [59, 68, 150, 400])
+def test_decontamination_at_the_threshold(size):
+    """Items with as many edits as are allowed, inside running text."""
+    rng, numbers = random.Random(size), np.random.default_rng(size)
+    items = [[f"w{n}x{k}" for k in range(size - n % 5)] for n in range(60 if size > 100 else 200)]
+    texts = []
+    for item in items:
+        words_in = dict(enumerate(item, 1))
+        new = decontaminate._edited(np.arange(1, len(item) + 1, dtype=np.uint64), decontaminate.allowed(len(item), 0.8), numbers)
+        texts.append(f"{prose(rng, 40)} {' '.join(words_in.get(int(w), f'new{w}') for w in new)} {prose(rng, 40)}")
+    index = decontaminate.build_index(list(range(len(items))), [" ".join(i) for i in items])
+    found = {(m[0], m[1]) for m in decontaminate.matches(decontaminate.words_of(texts, loose=True), index)}
+    assert found <= {(n, n) for n in range(len(items))} and len(found) >= 0.93 * len(items)
+
+
+def test_decontamination_says_what_it_misses():
+    with pytest.raises(ValueError, match="recall"):
+        decontaminate.build_index([1], [" ".join(f"w{k}" for k in range(50))], similarity=0.1)
+
+
 def test_secrets_by_place(spark):
     import re
 
