@@ -5,7 +5,7 @@ strings with the smallest hash. The anchor depends on the window's bytes alone,
 so equal windows have equal anchors at equal distance, and only windows whose
 anchors are equal need to meet:
 
-1. anchors that occur in one text only are dropped (one shuffle of hashes);
+1. anchors that occur in one place only are dropped (one shuffle of hashes);
 2. for the others, the windows of an anchor are one context, routed by the 2K
    bytes around the anchor that all of them contain. Equal contexts are repeats
    as a whole;
@@ -120,16 +120,18 @@ def _bytes(text: str | None) -> bytes:
 
 
 def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each anchor hash of a text once, and whether it occurs there again."""
+    """Each anchor hash of a part of a text once, a place of it in the text, and whether it occurs in the part again."""
     for batch in batches:
         tids = batch["tid"].to_numpy()
-        for number, _, parts in _cut([_bytes(t) for t in batch["text"]]):
-            part, _, _, _, hashed = Pieces(parts).anchors()
+        for number, offset, parts in _cut([_bytes(t) for t in batch["text"]]):
+            pieces = Pieces(parts)
+            part, _, _, anchor, hashed = pieces.anchors()
             if not len(part):
                 continue
+            place = np.array(offset)[part] + anchor - (pieces.end - pieces.size)[part]
             pair = np.stack([np.array(number)[part], hashed.view(np.int64)], axis=1)
-            pair, times = np.unique(pair, axis=0, return_counts=True)
-            yield pd.DataFrame({"tid": tids[pair[:, 0]], "anchor": pair[:, 1], "again": times > 1})
+            pair, first, times = np.unique(pair, axis=0, return_index=True, return_counts=True)
+            yield pd.DataFrame({"tid": tids[pair[:, 0]], "anchor": pair[:, 1], "place": place[first], "again": times > 1})
 
 
 _CONTEXT = "tid long, doc_id long, route long, context long, at long, first int, n int, body binary, again boolean"
@@ -393,12 +395,19 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     texts = rows.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"), F.any_value("tid").alias("tid"), F.any_value("n_bytes").alias("n_bytes"))
     texts = materialize(texts, "substring-texts")
     anchors = materialize(
-        docs.where(F.octet_length("text") >= L).select("tid", "text").mapInPandas(_anchor_rows, "tid long, anchor long, again boolean"), "substring-anchors"
+        docs.where(F.octet_length("text") >= L).select("tid", "text").mapInPandas(_anchor_rows, "tid long, anchor long, place int, again boolean"), "substring-anchors"
     )
     shared = (
         anchors.groupBy("anchor")
-        .agg(F.min("tid").alias("low"), F.max("tid").alias("high"), F.max("again").alias("again"))
-        .where("low <> high or again")
+        .agg(
+            F.min("tid").alias("low"),
+            F.max("tid").alias("high"),
+            F.min("place").alias("first"),
+            F.max("place").alias("last"),
+            F.max("again").alias("again"),
+        )
+        # parts of one long text tell their places apart, equal texts have equal places
+        .where("low <> high or first <> last or again")
         .select("anchor")
     )
     lists = (

@@ -59,6 +59,19 @@ def test_substrings(spark, corpus, limit, monkeypatch):
     assert sum(w[2] for w in want) > 5000
 
 
+def test_substrings_far_apart_in_one_text(spark):
+    """A string that starts twice in one text of several parts, and nowhere else."""
+    rng = random.Random(12)
+    twice = prose(rng, 100)[:200]
+    long = f"{prose(rng, 40_000)}<{twice}>{prose(rng, 240_000)}({twice}){prose(rng, 40_000)}"
+    assert long.index(f"({twice}") - long.index(f"<{twice}") > substrings.PIECE
+    once = prose(rng, 300_000)
+    got = {r.doc_id: r for r in substrings.dedup_substrings(spark.createDataFrame([(1, long), (2, once)], DOCS)).collect()}
+    assert (got[1].n_removed, got[1].n_spans) == (400, 2)
+    assert got[1].kept_sha256 == hashlib.sha256(long.replace(twice, "").encode()).hexdigest()
+    assert (got[2].n_removed, got[2].n_spans) == (0, 0)
+
+
 @pytest.mark.parametrize("k, percent", [(3, 85), (5, 80)])
 def test_minhash(spark, corpus, k, percent):
     hashes = WordHashes()
