@@ -40,6 +40,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run of an operator, in a folder of their own that goes with :meth:`clear`.
+
+    Clear it only once everything that reads the tables has been written.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.written = spark, f"{scratch_dir(spark)}/siftline/{name}-{uuid.uuid4().hex}", 0
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Like :func:`materialize`."""
+        self.written += 1
+        path = f"{self.path}/{self.written}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def clear(self) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)  # any file system that Spark has
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

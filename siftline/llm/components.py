@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialize
+from siftline.llm.common import Scratch
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -13,16 +13,15 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row["n"], row["h"]
 
 
-def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, scratch: Scratch | None = None, rounds: int = 60) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``a``, ``b``, long); ``root`` is the smallest node reachable.
 
     Self-loops and repeated edges change nothing; no edges give no rows. Every
     round writes its edges, at most as many as it was given plus the nodes, and
-    the loop ends when a round changes none.
+    the loop ends when a round changes none. Tables go to ``scratch`` where one is given.
     """
-    edges = materialize(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "component-edges"
-    )
+    scratch = scratch or Scratch(edges.sparkSession, "components")
+    edges = scratch.write(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = _state(edges)
     for _ in range(rounds):
         # large star: larger neighbours of a node go to the smallest of its neighbourhood
@@ -32,7 +31,7 @@ def connected(edges: DataFrame, rounds: int = 60) -> DataFrame:
         # small star: smaller neighbours of a node and the node itself go to the smallest of them
         least = large.groupBy("a").agg(F.min("b").alias("low")).withColumnRenamed("a", "at")
         moved = large.join(least, F.col("a") == F.col("at")).where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-        edges = materialize(moved.unionByName(least.select(F.col("at").alias("a"), F.col("low").alias("b"))).distinct(), "component-edges")
+        edges = scratch.write(moved.unionByName(least.select(F.col("at").alias("a"), F.col("low").alias("b"))).distinct(), "edges")
         after = _state(edges)
         if after == before:
             roots = edges.select("b").distinct().select(F.col("b").alias("node"), F.col("b").alias("root"))

@@ -9,14 +9,16 @@ similar enough share at least T tokens, but for a chance below ``MISS``, so
 * skip: tokens behind the prefix are not merged but counted in the signature
   when a pair has met.
 
-Long posting lists are never expanded into pairs. First every class meets HUBS
-classes of each of its lists; links found so join classes to components. Lists
-that still span components do the same again, with hubs from their largest
-component for the classes outside it. What spans components even then is done
-in full: classes outside the largest component meet all others, in blocks, each
-pair in the first token only that both are posted under. A bound on the
-symmetric difference (the parity of hashed shingles) drops pairs that cannot
-link without loss; what is left is confirmed on the full sets.
+Long posting lists are not expanded into pairs. In a turn every long list that
+spans components elects one hub, by a hash of the class alone, so that all lists
+of a group of near copies elect the same few; the classes of other components
+meet it, and links found join components. Turns go on while they find links and
+some long list spans components. What spans components then is done in full:
+short lists pair by pair, of long ones the classes outside the largest component
+meet all others, in blocks, each pair in the first token only that both are
+posted under. A bound on the symmetric difference (the parity of hashed
+shingles) drops pairs that cannot link without loss; what is left is confirmed
+on the full sets.
 """
 
 from __future__ import annotations
@@ -26,25 +28,44 @@ from collections.abc import Iterator
 from math import comb
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import WordHashes, materialize, words
+from siftline.llm.common import Scratch, materialize
 from siftline.llm.components import connected
+from siftline.llm.tokens import Words, parcels, words_of
 
 M = 32
 #: Chance that a pair right at the threshold shares fewer than T coordinates.
 MISS = 1e-7
 PARITY_WORDS = 16
-BLOCK = 512
-#: Classes of a list that its others meet first.
-HUBS = 4
+#: Lists with more classes elect hubs; at the end they are met in blocks of BLOCK classes.
+LONG = 64
+BLOCK = 256
+#: Turns of hubs; more would only cost time, as the comparison in full is exact by itself.
+TURNS = 6
+#: Parts of the pairs of one hub, and postings of one list that are met together.
+PARTS = 16
+PART_ROWS = 4096
+#: Pairs that are compared at once.
+SLICE = 16_384
 
 _seeds = random.Random(20)
 _A = np.array([_seeds.getrandbits(64) | 1 for _ in range(M)], np.uint64)
 _MUL = np.array([_seeds.getrandbits(64) | 1 for _ in range(64)], np.uint64)
+_ROWS = pa.schema(
+    [
+        ("doc_id", pa.int64()),
+        ("text_hash", pa.int64()),
+        ("n_shingles", pa.int64()),
+        ("class", pa.binary()),
+        ("tokens", pa.list_(pa.int64())),
+        ("parity", pa.list_(pa.int64())),
+    ]
+)
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -62,47 +83,85 @@ def match_threshold(similarity: float, m: int = M, miss: float = MISS) -> int:
     return m
 
 
-def shingles(text: str | None, k: int, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the ``k``-word shingles of a whole text."""
-    found = [hashes[w] for w in words(text)]
-    if not found:
-        return np.zeros(0, np.uint64)
-    hashed = np.array(found, np.uint64)
-    k = min(k, len(hashed))
-    total = np.full(len(hashed) - k + 1, k, np.uint64)
-    for i in range(k):
-        total += hashed[i : len(hashed) - k + 1 + i] * _MUL[i]
-    return np.unique(_mix(total))
-
-
-def signature(members: np.ndarray) -> np.ndarray:
-    """Token of each coordinate: its minimum, mixed with the coordinate."""
-    out = np.full(M, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(members), 4096):
-        out = np.minimum(out, (members[at : at + 4096, None] * _A).min(axis=0))
+def shingle_sets(words: Words, k: int) -> list[np.ndarray]:
+    """For each text its sorted distinct 64-bit hashes of ``k``-word shingles, or of all its words if they are fewer."""
+    n = len(words.hashes)
+    total = np.full(max(n - k + 1, 0), k, np.uint64)
+    for i in range(k if len(total) else 0):
+        total += words.hashes[i : n - k + 1 + i] * _MUL[i]
+    total = _mix(total)
+    out = []
+    for begin, end in zip(words.word_of[:-1].tolist(), words.word_of[1:].tolist(), strict=True):
+        if end - begin >= k:
+            one = np.sort(total[begin : end - k + 1])
+            out.append(one[np.concatenate([[True], one[1:] != one[:-1]])])
+        else:
+            few = words.hashes[begin:end]
+            out.append(_mix(np.array([len(few) + int((few * _MUL[: len(few)]).sum(dtype=np.uint64))], np.uint64)) if len(few) else few)
+    return out
+
+
+def signatures(sets: list[np.ndarray]) -> np.ndarray:
+    """Tokens of each set, none of them empty: the minimum at each coordinate, mixed with the coordinate."""
+    starts = np.cumsum([0, *map(len, sets)])[:-1]
+    whole = np.concatenate(sets)
+    out = np.empty((len(sets), M), np.uint64)
+    for i in range(M):
+        out[:, i] = np.minimum.reduceat(whole * _A[i], starts)
     return _mix(out + np.arange(M, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def parity(members: np.ndarray) -> np.ndarray:
-    """For each of 64 * PARITY_WORDS slots whether an odd number of members falls into it."""
-    odd = np.bincount((members % np.uint64(64 * PARITY_WORDS)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """For each set and each of 64 * PARITY_WORDS slots whether an odd number of members falls into it, as bits."""
+    slots = 64 * PARITY_WORDS
+    out = np.empty((len(sets), slots // 8), np.uint8)
+    for i, one in enumerate(sets):
+        out[i] = np.packbits((np.bincount((one % np.uint64(slots)).astype(np.int64), minlength=slots) & 1).astype(np.uint8))
+    return out.view(np.uint64)
+
+
+def _lists(rows: np.ndarray, given: np.ndarray) -> pa.Array:
+    """One list of 64-bit numbers for each text; those that are not ``given`` are empty."""
+    offsets = np.concatenate([[0], np.cumsum(given * rows.shape[1])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1).view(np.int64)))
 
 
 def _documents(k: int):
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, hashes = batch.column("doc_id"), batch.column("text_hash")
+            for begin, texts in parcels(batch.column("text").to_pylist()):
+                sets = shingle_sets(words_of(texts), k)
+                full = [s for s in sets if len(s)]
+                given = np.array([len(s) > 0 for s in sets])
+                tokens = signatures(full) if full else np.zeros((0, M), np.uint64)
+                parity = parities(full) if full else np.zeros((0, PARITY_WORDS), np.uint64)
+                columns = [
+                    ids.slice(begin, len(texts)),
+                    hashes.slice(begin, len(texts)),
+                    pa.array([len(s) for s in sets], pa.int64()),
+                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
+                    _lists(tokens, given),
+                    _lists(parity, given),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, schema=_ROWS)
+
+    return rows
+
+
+def _members(k: int):
+    """The full set of each wanted text; a text whose set is not of the class is another one with the same hash."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, k, hashes) for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "n_shingles": [len(s) for s in sets],
-                    "class": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
-                    "tokens": [signature(s).view(np.int64) if len(s) else None for s in sets],
-                    "parity": [parity(s).view(np.int64) if len(s) else None for s in sets],
-                }
-            )
+            nids, classes = batch.column("nid").to_numpy(), batch.column("class").to_pylist()
+            for begin, texts in parcels(batch.column("text").to_pylist()):
+                found = list(enumerate(shingle_sets(words_of(texts), k), begin))
+                found = [(i, s) for i, s in found if xxhash.xxh3_128_digest(s.tobytes()) == classes[i]]
+                if found:
+                    offsets = np.concatenate([[0], np.cumsum([len(s) for _, s in found])]).astype(np.int32)
+                    members = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([s for _, s in found]).view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([pa.array(nids[[i for i, _ in found]]), members], names=["nid", "members"])
 
     return rows
 
@@ -119,95 +178,119 @@ def _may_link(left: str, right: str, percent: int, least: int) -> Column:
     return ((100 + percent) * gap <= bound) & ((100 + percent) * odd <= bound) & (same >= least)
 
 
-def _stack(column: pd.Series) -> np.ndarray:
-    return np.stack([np.asarray(x, np.int64) for x in column])
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy().reshape(-1, width)
+
 
+def _compared(rows: pa.RecordBatch | pa.Table, percent: int, least: int) -> Iterator[pa.RecordBatch]:
+    """Candidates among ``rows``, which come sorted by token, part and side, every (token, part) whole.
 
-def _posted(rows: pd.DataFrame) -> np.ndarray:
-    """Which tokens of the signature a class is posted under."""
-    return np.stack([np.isin(t, o) for t, o in zip(rows["tokens"], rows["own"], strict=True)])
+    In a part that is ``alone`` all rows meet, in others those of one side meet those of the other.
+    """
+    column = {n: rows.column(n).combine_chunks() for n in rows.schema.names} if isinstance(rows, pa.Table) else {n: rows.column(n) for n in rows.schema.names}
+    plain = {n: column[n].to_numpy(zero_copy_only=False) for n in ("token", "part", "side", "alone", "nid", "comp", "n_shingles", "posted")}
+    tokens, parity = _matrix(column["tokens"], M), _matrix(column["parity"], PARITY_WORDS).view(np.uint64)
+    token, size, comp = plain["token"], plain["n_shingles"], plain["comp"]
+    place = np.arange(len(token))
+    new = np.concatenate([[True], (token[1:] != token[:-1]) | (plain["part"][1:] != plain["part"][:-1])])
+    starts = np.flatnonzero(new)
+    group = np.cumsum(new) - 1
+    ends = np.append(starts[1:], len(token))[group]
+    # where the other side of the group begins
+    other = np.add.reduceat((plain["side"] == 0).astype(np.int64), starts)[group] + starts[group]
+    first = np.where(plain["alone"], place + 1, other)
+    count = np.where(plain["alone"] | (plain["side"] == 0), ends - first, 0)
+    upto = np.cumsum(count)
+    bits = np.int64(1) << np.arange(M, dtype=np.int64)
+    for low in range(0, int(upto[-1]), SLICE):
+        pair = np.arange(low, min(low + SLICE, int(upto[-1])))
+        i = np.searchsorted(upto, pair, side="right")
+        j = first[i] + pair - (upto[i] - count[i])
+        bound = (100 - percent) * (size[i] + size[j])
+        ok = ((100 + percent) * np.abs(size[i] - size[j]) <= bound) & (comp[i] != comp[j])
+        i, j, bound = i[ok], j[ok], bound[ok]
+        ok = (100 + percent) * np.bitwise_count(parity[i] ^ parity[j]).sum(axis=1, dtype=np.int64) <= bound
+        i, j = i[ok], j[ok]
+        same = tokens[i] == tokens[j]
+        both = same & ((plain["posted"][i] & plain["posted"][j])[:, None] & bits != 0)
+        ok = (same.sum(axis=1) >= least) & both.any(axis=1)
+        ok &= tokens[i, both.argmax(axis=1)] == token[i]
+        left, right = plain["nid"][i[ok]], plain["nid"][j[ok]]
+        if len(left):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(left, right)), pa.array(np.maximum(left, right))], schema=_PAIRS)
 
 
 def _block_pairs(percent: int, least: int):
-    """Candidates among the rows of each (token, row block, other block); rows come sorted by that key."""
-
-    def of(group: pd.DataFrame) -> pd.DataFrame | None:
-        a, b = group[group["outside"]], group[~group["outside"]]
-        pairs = []
-        for other, whole in ((b, False), (a, True)):
-            if not len(a) or not len(other) or (whole and group["inner"].iat[0] == 0):
-                continue
-            size_a, size_b = a["n_shingles"].to_numpy()[:, None], other["n_shingles"].to_numpy()[None, :]
-            bound = (100 - percent) * (size_a + size_b)
-            keep = ((100 + percent) * np.abs(size_a - size_b) <= bound) & (a["comp"].to_numpy()[:, None] != other["comp"].to_numpy()[None, :])
-            i, j = np.nonzero(keep)
-            if not len(i):
-                continue
-            x, y = _stack(a["parity"]).view(np.uint64), _stack(other["parity"]).view(np.uint64)
-            odd = np.bitwise_count(x[i] ^ y[j]).sum(axis=1)
-            ok = (100 + percent) * odd.astype(np.int64) <= bound[i, j]
-            i, j = i[ok], j[ok]
-            if not len(i):
-                continue
-            same = _stack(a["tokens"])[i] == _stack(other["tokens"])[j]
-            both = same & _posted(a)[i] & _posted(other)[j]
-            first = _stack(a["tokens"])[i, both.argmax(axis=1)]
-            ok = (same.sum(axis=1) >= least) & (first == a["token"].iat[0])
-            left, right = a["nid"].to_numpy()[i[ok]], other["nid"].to_numpy()[j[ok]]
-            pairs.append(pd.DataFrame({"a": np.minimum(left, right), "b": np.maximum(left, right)}))
-        return pd.concat(pairs).drop_duplicates() if pairs else None
-
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
         for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            key = list(zip(batch["token"], batch["part"], strict=True))
-            cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1])]
-            found = [of(batch.iloc[s:e]) for s, e in zip(cuts, cuts[1:], strict=False)]
-            rest = batch.iloc[cuts[-1] :]
-            found = [f for f in found if f is not None and len(f)]
-            if found:
-                yield pd.concat(found)
-        if rest is not None and len(rest) and (last := of(rest)) is not None:
-            yield last
+            whole = pa.Table.from_batches([batch])
+            whole = whole if rest is None else pa.concat_tables([rest, whole]).combine_chunks()
+            token, part = whole.column("token").to_numpy(), whole.column("part").to_numpy()
+            changes = np.flatnonzero((token[1:] != token[:-1]) | (part[1:] != part[:-1])) if len(token) else []
+            cut = int(changes[-1]) + 1 if len(changes) else 0
+            if cut:
+                yield from _compared(whole.slice(0, cut), percent, least)
+            rest = whole.slice(cut).combine_chunks()
+        if rest is not None and len(rest):
+            yield from _compared(rest, percent, least)
 
     return rows
 
 
-def _confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, name: str) -> DataFrame:
-    """Pairs (``a``, ``b`` of ``nid``) whose full sets link, as a written table."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
-    wanted = ends.join(classes.select("nid", "class", "doc_id"), "nid").select("nid", "class", F.col("doc_id").alias("key"))
+def _confirmed(pairs: DataFrame, sets: DataFrame, parts: int) -> DataFrame:
+    """Pairs (``a``, ``b``) whose full sets link; those of one ``a`` are dealt over ``parts`` tasks."""
+    others = sets.select(F.col("nid").alias("b"), F.col("members").alias("y"))
+    hubs = pairs.select("a").distinct().join(sets, F.col("a") == F.col("nid")).select("a", F.col("members").alias("x"))
+    hubs = hubs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    met = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)).cast("int")).join(others, "b").join(hubs, ["a", "part"])
+    shared = F.size(F.array_intersect("x", "y"))
+    return met.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("sum"))
 
-    def sets_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
-        for batch in batches:
-            made = [shingles(t, k, hashes).tobytes() for t in batch["text"]]
-            same = [xxhash.xxh3_128_digest(m) == bytes(c) for m, c in zip(made, batch["class"], strict=True)]
-            yield pd.DataFrame({"nid": batch["nid"], "members": made})[same]
-
-    # a repeated id may stand for several texts; only the one of the class counts, once
-    sets = materialize(
-        docs.select("doc_id", "text")
-        .join(wanted, F.col("doc_id").eqNullSafe(F.col("key")))
-        .select("nid", "class", "text")
-        .mapInPandas(sets_of, "nid long, members binary")
-        .groupBy("nid")
-        .agg(F.any_value("members").alias("members")),
-        f"minhash-sets-{name}",
+
+def _linked(met: DataFrame, percent: int) -> DataFrame:
+    return met.where((100 + percent) * F.col("shared") >= percent * F.col("sum")).select("a", "b")
+
+
+def _labelled(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """``postings`` with the component of each class, which is the class itself where nothing links it."""
+    if roots is None:
+        return postings.withColumn("comp", F.col("nid"))
+    return postings.join(roots.select(F.col("node").alias("nid"), "root"), "nid", "left").withColumn("comp", F.coalesce("root", "nid")).drop("root")
+
+
+def _spread(labelled: DataFrame, posted: DataFrame) -> DataFrame:
+    """Postings of the lists that span components, once for each block or pair of blocks they take part in."""
+    spans = (
+        labelled.groupBy("token", "comp")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("token")
+        .agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top"))
+        .where("comps > 1")
+        .select(
+            "token",
+            (F.col("size") <= LONG).alias("short"),
+            F.col("top.comp").alias("main"),
+            F.greatest(F.ceil(F.col("top.n") / BLOCK), F.lit(1)).alias("main_blocks"),
+            F.greatest(F.ceil((F.col("size") - F.col("top.n")) / BLOCK), F.lit(1)).alias("out_blocks"),
+        )
     )
+    met = labelled.join(spans, "token").withColumn("outside", F.col("comp") != F.col("main"))
+    met = met.withColumn("block", F.pmod(F.xxhash64("nid", "token"), F.when(F.col("outside"), F.col("out_blocks")).otherwise(F.col("main_blocks"))))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
 
-    @F.pandas_udf("boolean")
-    def linked(left: pd.Series, right: pd.Series) -> pd.Series:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            both = np.concatenate([np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)])
-            union = len(np.unique(both))
-            out.append(100 * (len(both) - union) >= percent * union)
-        return pd.Series(out, dtype=bool)
+    def at(kind: int, i: Column, j: Column, side: Column, alone: Column) -> Column:
+        return F.struct(F.xxhash64(F.lit(kind), i, j).alias("part"), side.cast("int").alias("side"), alone.alias("alone"))
 
-    left, right = sets.select(F.col("nid").alias("a"), F.col("members").alias("x")), sets.select(F.col("nid").alias("b"), F.col("members").alias("y"))
-    return materialize(pairs.join(left, "a").join(right, "b").where(linked("x", "y")).select("a", "b"), f"minhash-links-{name}")
+    zero, block, no = F.lit(0).cast("long"), F.col("block"), F.lit(False)
+    whole = F.array(at(2, zero, zero, zero, F.lit(True)))
+    # a class outside meets every block of the main component; of two outside blocks the pair is (low, high)
+    main = F.transform(upto(F.col("out_blocks")), lambda i: at(0, i, block, F.lit(1), no))
+    with_main = F.transform(upto(F.col("main_blocks")), lambda j: at(0, block, j, F.lit(0), no))
+    with_out = F.transform(upto(F.col("out_blocks")), lambda o: at(1, F.least(block, o), F.greatest(block, o), block > o, block == o))
+    parts = F.when(F.col("short"), whole).when(F.col("outside"), F.concat(with_main, with_out)).otherwise(main)
+    dealt = met.withColumn("at", F.explode(parts)).select("token", "nid", "comp", "at.*")
+    return dealt.join(posted.select("nid", "n_shingles", "posted", "tokens", "parity"), "nid")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -223,102 +306,80 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     are ignored.
     """
     least = match_threshold(percent / 100)
-    rows = materialize(
-        docs.select("doc_id", "text").mapInPandas(
-            _documents(k), "doc_id long, n_shingles long, class binary, tokens array<bigint>, parity array<bigint>"
-        ),
-        "minhash-rows",
-    )
-    classes = materialize(
+    scratch = Scratch(docs.sparkSession, "minhash")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    schema = "doc_id long, text_hash long, n_shingles long, class binary, tokens array<bigint>, parity array<bigint>"
+    rows = scratch.write(texts.mapInArrow(_documents(k), schema), "rows")
+    classes = scratch.write(
         rows.where("class is not null")
         .groupBy("class")
-        .agg(F.min("doc_id").alias("doc_id"), *[F.any_value(c).alias(c) for c in ("n_shingles", "tokens", "parity")])
+        .agg(
+            F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")).alias("first"),
+            *[F.any_value(c).alias(c) for c in ("n_shingles", "tokens", "parity")],
+        )
+        .select("class", "first.doc_id", "first.text_hash", "n_shingles", "tokens", "parity")
         .withColumn("nid", F.monotonically_increasing_id()),
-        "minhash-classes",
+        "classes",
     )
-    tokens = classes.select("nid", F.explode("tokens").alias("token"))
+    tokens = classes.select("nid", F.posexplode("tokens").alias("place", "token"))
     shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("uses")).where("uses > 1")
-    prefix = (
+    prefixes = scratch.write(
         tokens.join(shared, "token")
         .groupBy("nid")
-        .agg(F.sort_array(F.collect_list(F.struct("uses", "token"))).alias("own"))
+        .agg(F.sort_array(F.collect_list(F.struct("uses", "token", "place"))).alias("own"))
         .where(F.size("own") >= least)
-        .select("nid", F.explode(F.slice("own", F.lit(1), F.size("own") - least + 1)).alias("one"))
+        .select("nid", F.slice("own", F.lit(1), F.size("own") - least + 1).alias("own")),
+        "prefixes",
     )
-    postings = materialize(prefix.select("nid", F.col("one.token").alias("token")), "minhash-postings")
-    prefixes = postings.groupBy("nid").agg(F.collect_list("token").alias("own"))
-    posted = materialize(classes.join(prefixes, "nid").select("nid", "n_shingles", "tokens", "parity", "own"), "minhash-posted")
-
-    links, labelled = None, posted.withColumn("comp", F.col("nid"))
-    for turn in range(2):
-        met = postings.join(labelled.select("nid", "comp"), "nid")
-        main = met.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n")).groupBy("token")
-        main = main.agg(F.max(F.struct("n", "comp"))["comp"].alias("main"), F.count(F.lit(1)).alias("comps")).where("comps > 1")
-        inside = met.join(main, "token").where("comp = main")
-        # at first every class is a component of its own and any class of the list can be a hub
-        source = met.join(main.select("token"), "token", "left_semi") if turn == 0 else inside
-        hubs = source.groupBy("token").agg(*[F.min_by(F.struct("nid", "comp"), F.xxhash64("nid", "token", F.lit(h))).alias(f"h{h}") for h in range(HUBS)])
-        hubs = hubs.select("token", F.explode(F.array_distinct(F.array(*[f"h{h}" for h in range(HUBS)]))).alias("hub"))
-        pairs = met.join(hubs, "token").where(F.col("comp") != F.col("hub.comp"))
-        pairs = pairs.select(F.least("nid", "hub.nid").alias("a"), F.greatest("nid", "hub.nid").alias("b")).distinct()
-        x, y = posted.alias("x"), posted.alias("y")
-        hopeful = pairs.join(x, F.col("a") == F.col("x.nid")).join(y, F.col("b") == F.col("y.nid")).where(_may_link("x", "y", percent, least)).select("a", "b")
-        found = _confirmed(materialize(hopeful, "minhash-hubs"), classes, docs, k, percent, f"hubs{turn}")
-        links = found if links is None else links.unionByName(found)
-        labelled = posted.join(connected(links).withColumnRenamed("node", "nid"), "nid", "left").withColumn("comp", F.coalesce("root", "nid")).drop("root")
-        labelled = materialize(labelled, "minhash-labelled")
-    per_comp = postings.join(labelled.select("nid", "comp"), "nid").groupBy("token", "comp").agg(F.count(F.lit(1)).alias("n"))
-    spans = (
-        per_comp.groupBy("token")
-        .agg(F.count(F.lit(1)).alias("comps"), F.sum("n").alias("size"), F.max(F.struct("n", "comp")).alias("top"))
-        .where("comps > 1")
-        .select(
-            "token",
-            F.col("top.comp").alias("main"),
-            F.greatest(F.ceil(F.col("top.n") / BLOCK), F.lit(1)).alias("main_blocks"),
-            F.greatest(F.ceil((F.col("size") - F.col("top.n")) / BLOCK), F.lit(1)).alias("out_blocks"),
-        )
-    )
-    met = postings.join(spans, "token").join(labelled, "nid").withColumn("outside", F.col("comp") != F.col("main"))
-    block = F.pmod(F.xxhash64("nid", "token"), F.when(F.col("outside"), F.col("out_blocks")).otherwise(F.col("main_blocks")))
-    met = met.withColumn("block", block)
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    # a class outside meets every block of the main component; of two outside blocks the pair is (low, high)
-    with_main = F.when(
-        F.col("outside"), F.transform(upto(F.col("main_blocks")), lambda j: F.struct(F.lit(0).alias("inner"), F.col("block").alias("i"), j.alias("j")))
-    ).otherwise(F.transform(upto(F.col("out_blocks")), lambda i: F.struct(F.lit(0).alias("inner"), i.alias("i"), F.col("block").alias("j"))))
-    with_out = F.when(
-        F.col("outside"),
-        F.transform(
-            upto(F.col("out_blocks")), lambda o: F.struct(F.lit(1).alias("inner"), F.least("block", o).alias("i"), F.greatest("block", o).alias("j"))
-        ),
-    )
-    parts = F.concat(with_main, F.coalesce(with_out, F.array().cast("array<struct<inner:int,i:bigint,j:bigint>>")))
-    spread = met.withColumn("at", F.explode(parts)).select(
-        "token",
-        F.concat_ws(":", "at.inner", "at.i", "at.j").alias("part"),
-        F.col("at.inner").alias("inner"),
-        "outside",
-        "nid",
-        "comp",
-        "n_shingles",
-        "tokens",
-        "parity",
-        "own",
-    )
-    again = (
-        spread.repartition("token", "part").sortWithinPartitions("token", "part").mapInPandas(_block_pairs(percent, least), "a long, b long").distinct()
+    mask = F.aggregate("own", F.lit(0).cast("long"), lambda m, o: m.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), o["place"])))
+    posted = scratch.write(classes.join(prefixes.select("nid", mask.alias("posted")), "nid"), "posted")
+    postings = prefixes.select("nid", F.explode("own.token").alias("token"))
+    wanted = posted.select("nid", "class", F.col("doc_id").alias("first_id"), F.col("text_hash").alias("first_hash"))
+    sets = scratch.write(
+        texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("text_hash") == F.col("first_hash")))
+        .select("nid", "class", "text")
+        .mapInArrow(_members(k), "nid long, members array<bigint>")
+        .dropDuplicates(["nid"]),
+        "sets",
     )
-    rest = _confirmed(materialize(again, "minhash-rest"), classes, docs, k, percent, "rest")
-    roots = connected(links.unionByName(rest))
+    long = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG)
+    long = scratch.write(postings.join(long, "token").select("token", F.ceil(F.col("n") / PART_ROWS).alias("parts"), "nid"), "long")
+    roots, x, y = None, posted.alias("x"), posted.alias("y")
+    for turn in range(TURNS):
+        met = scratch.write(_labelled(long, roots), "met")
+        hubs = met.groupBy("token", "parts").agg(
+            F.min_by(F.struct("nid", "comp"), F.xxhash64("nid", F.lit(turn))).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")
+        )
+        hubs = hubs.where("low <> high").select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "hub")
+        pairs = met.withColumn("part", F.pmod(F.xxhash64("nid"), "parts")).join(hubs, ["token", "part"]).where(F.col("comp") != F.col("hub.comp"))
+        pairs = scratch.write(pairs.select(F.col("hub.nid").alias("a"), F.col("nid").alias("b")).distinct(), "pairs")
+        ends = pairs.select("a").distinct().join(x, F.col("a") == F.col("x.nid")).select(F.col("a").alias("nid"), "n_shingles", "tokens", "parity")
+        ends = ends.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).alias("x")
+        dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int")).alias("p")
+        hopeful = dealt.join(y, F.col("b") == F.col("y.nid")).join(ends, (F.col("a") == F.col("x.nid")) & (F.col("p.part") == F.col("x.part")))
+        hopeful = scratch.write(hopeful.where(_may_link("x", "y", percent, least)).select("a", "b"), "hopeful")
+        links = scratch.write(_linked(_confirmed(hopeful, sets, PARTS), percent), "links")
+        if links.isEmpty():
+            break
+        edges = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        roots = connected(edges, scratch)
+    spread = _spread(scratch.write(_labelled(postings, roots), "labelled"), posted)
+    names = ["token", "part", "side"]
+    again = spread.repartition("token", "part").sortWithinPartitions(*names).mapInArrow(_block_pairs(percent, least), "a long, b long").distinct()
+    links = scratch.write(_linked(_confirmed(scratch.write(again, "rest"), sets, 1), percent), "links")
+    edges = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    roots = connected(edges, scratch)
 
     groups = classes.select("class", "doc_id", "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
-    groups = materialize(groups.select("class", "doc_id", F.coalesce("root", "nid").alias("root")), "minhash-groups")
+    groups = scratch.write(groups.select("class", "doc_id", F.coalesce("root", "nid").alias("root")), "groups")
     lowest = groups.groupBy("root").agg(F.min("doc_id").alias("low"))
     named = groups.join(lowest, "root").select(F.col("class").alias("named"), "low")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("low"))
-    return (
+    found = materialize(
         rows.select("doc_id", "n_shingles", "class")
         .join(named, F.col("class") == F.col("named"), "left")
-        .select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+        .select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")),
+        "minhash",
     )
+    scratch.clear()
+    return found
