@@ -70,7 +70,7 @@ def test_stream_equals_batch(spark, tmp_path):
     query = stream.run(source, f"{tmp_path}/out")
     query.awaitTermination(120)
     assert query.exception() is None
-    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "events").iterdir())
+    last = max(int(p.name.split("=")[1]) for p in (tmp_path / "out" / "changed").iterdir())
     got = stream.FusionSink(f"{tmp_path}/out").finish(spark, last)
     columns = ["id", "signal", "severity", "first_seen", "last_seen", "resolved_at", "source_count", "confidence"]
     assert got.select(columns).orderBy("id").collect() == fuse(whole).select(columns).orderBy("id").collect()
