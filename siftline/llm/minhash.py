@@ -11,12 +11,13 @@ similar enough share at least T tokens, but for a chance below ``MISS``, so
 
 Long posting lists are not expanded into pairs. In a turn every long list that
 spans components elects one hub, by a hash of the class alone, so that all lists
-of a group of near copies elect the same few; the classes of other components
-meet it, and links found join components. Turns go on while they find links and
-some long list spans components. What spans components then is done in full:
-short lists pair by pair, of long ones the classes outside the largest component
-meet all others, in blocks, each pair in the first token only that both are
-posted under. A bound on the symmetric difference (the parity of hashed
+of a group of near copies elect the same few; the other classes of the list meet
+it, and labels that a link joins become one. Turns go on
+while they find links and some long list has several labels. Then components are
+made of all links. What spans components is done in full: short lists pair by
+pair, of long ones the classes outside the largest component meet all others, in
+blocks, each pair in the first token only that both are posted under. A bound on
+the symmetric difference (the parity of hashed
 shingles) drops pairs that cannot link without loss; what is left is confirmed
 on the full sets.
 """
@@ -44,8 +45,10 @@ PARITY_WORDS = 16
 #: Lists with more classes elect hubs; at the end they are met in blocks of BLOCK classes.
 LONG = 64
 BLOCK = 256
-#: Turns of hubs; more would only cost time, as the comparison in full is exact by itself.
+#: Turns of hubs, and the share of the best turn's links below which no other follows; both are only a matter of pace, as
+#: the comparison in full is exact by itself.
 TURNS = 6
+WORTH = 0.125
 #: Parts of the pairs of one hub, and postings of one list that are met together.
 PARTS = 16
 PART_ROWS = 4096
@@ -259,6 +262,23 @@ def _labelled(postings: DataFrame, roots: DataFrame | None) -> DataFrame:
     return postings.join(roots.select(F.col("node").alias("nid"), "root"), "nid", "left").withColumn("comp", F.coalesce("root", "nid")).drop("root")
 
 
+def _merged(links: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``node, root`` after a turn: of two labels that a link joins, the larger becomes the smallest it is joined with.
+
+    Equal labels mean one component, different ones may; that is settled once, by
+    :func:`connected` over the links of all turns.
+    """
+    own = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    if labels is None:
+        labels = own.withColumn("root", F.col("node"))
+    else:
+        labels = labels.unionByName(own.join(labels, "node", "left_anti").withColumn("root", F.col("node")))
+    left, right = labels.select(F.col("node").alias("a"), F.col("root").alias("x")), labels.select(F.col("node").alias("b"), F.col("root").alias("y"))
+    joined = links.join(right, "b").join(left, "a").where("x <> y")
+    lower = joined.groupBy(F.greatest("x", "y").alias("root")).agg(F.min(F.least("x", "y")).alias("low"))
+    return labels.join(lower, "root", "left").select("node", F.coalesce("low", "root").alias("root"))
+
+
 def _spread(labelled: DataFrame, posted: DataFrame) -> DataFrame:
     """Postings of the lists that span components, once for each block or pair of blocks they take part in."""
     spans = (
@@ -344,9 +364,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
     long = postings.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LONG)
     long = scratch.write(postings.join(long, "token").select("token", F.ceil(F.col("n") / PART_ROWS).alias("parts"), "nid"), "long")
-    roots, x, y = None, posted.alias("x"), posted.alias("y")
+    found, labels, most, x, y = None, None, 0, posted.alias("x"), posted.alias("y")
     for turn in range(TURNS):
-        met = scratch.write(_labelled(long, roots), "met")
+        met = scratch.write(_labelled(long, labels), "met")
         hubs = met.groupBy("token", "parts").agg(
             F.min_by(F.struct("nid", "comp"), F.xxhash64("nid", F.lit(turn))).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")
         )
@@ -359,10 +379,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         hopeful = dealt.join(y, F.col("b") == F.col("y.nid")).join(ends, (F.col("a") == F.col("x.nid")) & (F.col("p.part") == F.col("x.part")))
         hopeful = scratch.write(hopeful.where(_may_link("x", "y", percent, least)).select("a", "b"), "hopeful")
         links = scratch.write(_linked(_confirmed(hopeful, sets, PARTS), percent), "links")
-        if links.isEmpty():
+        most = max(most, n_links := links.count())
+        if not n_links:
+            break
+        found = links if found is None else found.unionByName(links)
+        if n_links < WORTH * most:
             break
-        edges = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        roots = connected(edges, scratch)
+        labels = scratch.write(_merged(links, labels), "labels")
+    roots = None if found is None else connected(found, scratch)
     spread = _spread(scratch.write(_labelled(postings, roots), "labelled"), posted)
     names = ["token", "part", "side"]
     again = spread.repartition("token", "part").sortWithinPartitions(*names).mapInArrow(_block_pairs(percent, least), "a long, b long").distinct()
@@ -375,11 +399,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     lowest = groups.groupBy("root").agg(F.min("doc_id").alias("low"))
     named = groups.join(lowest, "root").select(F.col("class").alias("named"), "low")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("low"))
-    found = materialize(
+    result = materialize(
         rows.select("doc_id", "n_shingles", "class")
         .join(named, F.col("class") == F.col("named"), "left")
         .select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")),
         "minhash",
     )
     scratch.clear()
-    return found
+    return result
