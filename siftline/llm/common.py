@@ -61,6 +61,15 @@ class Scratch:
         folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def dealt_join(large: DataFrame, small: DataFrame, keys: list[str], by: str, how: str = "inner", parts: int = 16) -> DataFrame:
+    """Join on ``keys`` with the rows of one key dealt over ``parts`` tasks by a hash of ``by``; ``small`` is repeated that often.
+
+    For sides with one row a key, so that a key with a third of all rows of the large side is no single task.
+    """
+    dealt = large.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(parts)).cast("int"))
+    return dealt.join(small.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))), [*keys, "__part"], how).drop("__part")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

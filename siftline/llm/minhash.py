@@ -10,13 +10,12 @@ similar enough share at least T tokens, but for a chance below ``MISS``, so
   when a pair has met.
 
 Long posting lists are not expanded into pairs. In a turn every long list that
-spans components elects one hub, by a hash of the class alone, so that all lists
+spans components elects HUBS hubs, by hashes of the class alone, so that all lists
 of a group of near copies elect the same few; the other classes of the list meet
 it, and labels that a link joins become one. Turns go on
-while they find links and some long list has several labels. Then components are
-made of all links. What spans components is done in full: short lists pair by
-pair, of long ones the classes outside the largest component meet all others, in
-blocks, each pair in the first token only that both are posted under. A bound on
+while they find links and some long list has several labels. What spans labels is
+done in full: short lists pair by
+pair, of long ones the classes outside the largest label meet all others, in blocks, each pair in the first token only that both are posted under. A bound on
 the symmetric difference (the parity of hashed
 shingles) drops pairs that cannot link without loss; what is left is confirmed
 on the full sets.
@@ -34,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import Scratch, materialize
+from siftline.llm.common import WORD, Scratch, materialize
 from siftline.llm.components import connected
 from siftline.llm.tokens import Words, parcels, words_of
 
@@ -45,9 +44,11 @@ PARITY_WORDS = 16
 #: Lists with more classes elect hubs; at the end they are met in blocks of BLOCK classes.
 LONG = 64
 BLOCK = 256
+#: Classes of a long list that the others meet in a turn.
+HUBS = 4
 #: Turns of hubs, and the share of the best turn's links below which no other follows; both are only a matter of pace, as
 #: the comparison in full is exact by itself.
-TURNS = 6
+TURNS = 4
 WORTH = 0.125
 #: Parts of the pairs of one hub, and postings of one list that are met together.
 PARTS = 16
@@ -313,20 +314,9 @@ def _spread(labelled: DataFrame, posted: DataFrame) -> DataFrame:
     return dealt.join(posted.select("nid", "n_shingles", "posted", "tokens", "parity"), "nid")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs`` (``doc_id``, ``text``).
-
-    Words are lower-cased (A-Z) and parted by ASCII white space; a set holds the
-    distinct ``k``-word shingles of the whole text, or the whole sequence if it has
-    fewer words. Sets link if 100 times their intersection is at least ``percent``
-    times their union. ``component_id`` is the smallest id reachable by links.
-    Texts that are null or without words have an empty set and link with nothing;
-    equal texts always link; rows with null id can link but never name a
-    component unless all its ids are null; no rows give no rows; other columns
-    are ignored.
-    """
+def _grouped(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Rows with their class, and the classes with the root of their component."""
     least = match_threshold(percent / 100)
-    scratch = Scratch(docs.sparkSession, "minhash")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     schema = "doc_id long, text_hash long, n_shingles long, class binary, tokens array<bigint>, parity array<bigint>"
     rows = scratch.write(texts.mapInArrow(_documents(k), schema), "rows")
@@ -368,9 +358,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     for turn in range(TURNS):
         met = scratch.write(_labelled(long, labels), "met")
         hubs = met.groupBy("token", "parts").agg(
-            F.min_by(F.struct("nid", "comp"), F.xxhash64("nid", F.lit(turn))).alias("hub"), F.min("comp").alias("low"), F.max("comp").alias("high")
+            F.array_distinct(F.array(*[F.min_by(F.struct("nid", "comp"), F.xxhash64("nid", F.lit(turn * HUBS + h))) for h in range(HUBS)])).alias("hubs"),
+            F.min("comp").alias("low"),
+            F.max("comp").alias("high"),
         )
-        hubs = hubs.where("low <> high").select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "hub")
+        hubs = hubs.where("low <> high").select("token", "parts", F.explode("hubs").alias("hub"))
+        hubs = hubs.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "hub")
         pairs = met.withColumn("part", F.pmod(F.xxhash64("nid"), "parts")).join(hubs, ["token", "part"]).where(F.col("comp") != F.col("hub.comp"))
         pairs = scratch.write(pairs.select(F.col("hub.nid").alias("a"), F.col("nid").alias("b")).distinct(), "pairs")
         ends = pairs.select("a").distinct().join(x, F.col("a") == F.col("x.nid")).select(F.col("a").alias("nid"), "n_shingles", "tokens", "parity")
@@ -383,19 +376,33 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if not n_links:
             break
         found = links if found is None else found.unionByName(links)
+        labels = scratch.write(_merged(links, labels), "labels")
         if n_links < WORTH * most:
             break
-        labels = scratch.write(_merged(links, labels), "labels")
-    roots = None if found is None else connected(found, scratch)
-    spread = _spread(scratch.write(_labelled(postings, roots), "labelled"), posted)
+    spread = _spread(scratch.write(_labelled(postings, labels), "labelled"), posted)
     names = ["token", "part", "side"]
     again = spread.repartition("token", "part").sortWithinPartitions(*names).mapInArrow(_block_pairs(percent, least), "a long, b long").distinct()
     links = scratch.write(_linked(_confirmed(scratch.write(again, "rest"), sets, 1), percent), "links")
-    edges = links if roots is None else links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    roots = connected(edges, scratch)
+    roots = connected(links if found is None else links.unionByName(found), scratch)
+
+    groups = classes.select("class", "doc_id", "text_hash", "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
+    return rows, scratch.write(groups.select("class", "doc_id", "text_hash", F.coalesce("root", "nid").alias("root")), "groups")
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs`` (``doc_id``, ``text``).
 
-    groups = classes.select("class", "doc_id", "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
-    groups = scratch.write(groups.select("class", "doc_id", F.coalesce("root", "nid").alias("root")), "groups")
+    Words are lower-cased (A-Z) and parted by ASCII white space; a set holds the
+    distinct ``k``-word shingles of the whole text, or the whole sequence if it has
+    fewer words. Sets link if 100 times their intersection is at least ``percent``
+    times their union. ``component_id`` is the smallest id reachable by links.
+    Texts that are null or without words have an empty set and link with nothing;
+    equal texts always link; rows with null id can link but never name a
+    component unless all its ids are null; no rows give no rows; other columns
+    are ignored.
+    """
+    scratch = Scratch(docs.sparkSession, "minhash")
+    rows, groups = _grouped(docs, k, percent, scratch)
     lowest = groups.groupBy("root").agg(F.min("doc_id").alias("low"))
     named = groups.join(lowest, "root").select(F.col("class").alias("named"), "low")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("low"))
@@ -407,3 +414,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
     scratch.clear()
     return result
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component of :func:`near_duplicates`, and all rows whose text has no words.
+
+    The row is that of the smallest id, null ids last; of texts with the same id the
+    one with the smallest hash, so repeated ids don't keep copies. All columns stay.
+    """
+    scratch = Scratch(docs.sparkSession, "minhash")
+    rows, groups = _grouped(docs, k, percent, scratch)
+    first = groups.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_hash")).alias("f"))
+    chosen = materialize(first.select(F.col("f.doc_id").alias("id"), F.col("f.text_hash").alias("hash")), "minhash-chosen")
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash"))
+    repeated = rows.where("class is not null").join(chosen, same, "left_semi").count() > chosen.count()
+    scratch.clear()
+    packed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("some"))
+    kept = packed.where("some").join(chosen, same, "left_semi")
+    # only where rows are repeated, their texts have to be brought together
+    kept = kept.dropDuplicates(["doc_id", "text_hash"]) if repeated else kept
+    return kept.unionByName(packed.where("NOT some")).select("row.*")
