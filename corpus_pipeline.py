@@ -46,12 +46,7 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     Repeated rows of that document go as well. Documents without words stay.
     """
     ship(spark)
-    found = materialize(minhash.near_duplicates(docs, k=5, percent=80).where("kept").select(F.col("doc_id").alias("__kept")), "pipeline-kept")
-    ids = found.distinct()
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    # ids are unique as a rule; only if some are not, rows have to be told apart by their texts
-    unique = found.agg((F.count(F.lit(1)) == F.count_distinct(F.coalesce(F.col("__kept"), F.lit(-1)))).alias("u")).first()["u"]
-    return kept if unique else kept.dropDuplicates(["doc_id", "text"])
+    return minhash.one_of_each(docs, k=5, percent=80)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,9 +56,16 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the mix, with the words it takes of each (repeats counted)."""
+    """Documents in the mix, with the words it takes of each (repeats counted); documents of a better score are drawn first.
+
+    The weights are the scores of the machine of the first stage. It is fitted
+    again on the same labelled rows of ``documents``, as stages hand on nothing
+    but documents.
+    """
     ship(spark)
-    return mixing.mix(docs).where("taken > 0")
+    machine = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = quality.scored(docs.select("doc_id", "text", "source", "n_chars"), machine)
+    return mixing.mix(scored, quality=F.greatest("score", F.lit(0.01))).where("taken > 0")
 
 
 STAGES = [
