@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import WORD, Scratch, materialize
+from siftline.llm.common import WORD, Scratch, dealt_join, materialize
 from siftline.llm.components import connected
 from siftline.llm.tokens import Words, parcels, words_of
 
@@ -277,7 +277,7 @@ def _merged(links: DataFrame, labels: DataFrame | None) -> DataFrame:
     left, right = labels.select(F.col("node").alias("a"), F.col("root").alias("x")), labels.select(F.col("node").alias("b"), F.col("root").alias("y"))
     joined = links.join(right, "b").join(left, "a").where("x <> y")
     lower = joined.groupBy(F.greatest("x", "y").alias("root")).agg(F.min(F.least("x", "y")).alias("low"))
-    return labels.join(lower, "root", "left").select("node", F.coalesce("low", "root").alias("root"))
+    return dealt_join(labels, lower, ["root"], "node", "left").select("node", F.coalesce("low", "root").alias("root"))
 
 
 def _spread(labelled: DataFrame, posted: DataFrame) -> DataFrame:
@@ -362,9 +362,9 @@ def _grouped(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[D
             F.min("comp").alias("low"),
             F.max("comp").alias("high"),
         )
-        hubs = hubs.where("low <> high").select("token", "parts", F.explode("hubs").alias("hub"))
-        hubs = hubs.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "hub")
-        pairs = met.withColumn("part", F.pmod(F.xxhash64("nid"), "parts")).join(hubs, ["token", "part"]).where(F.col("comp") != F.col("hub.comp"))
+        hubs = hubs.where("low <> high").select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "hubs")
+        pairs = met.withColumn("part", F.pmod(F.xxhash64("nid"), "parts")).join(hubs, ["token", "part"])
+        pairs = pairs.select("nid", "comp", F.explode("hubs").alias("hub")).where(F.col("comp") != F.col("hub.comp"))
         pairs = scratch.write(pairs.select(F.col("hub.nid").alias("a"), F.col("nid").alias("b")).distinct(), "pairs")
         ends = pairs.select("a").distinct().join(x, F.col("a") == F.col("x.nid")).select(F.col("a").alias("nid"), "n_shingles", "tokens", "parity")
         ends = ends.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).alias("x")
