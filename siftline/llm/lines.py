@@ -1,29 +1,34 @@
 """Line dedup by a fixed-depth log-template tree.
 
 A line goes to the leaf given by its number of tokens and its first tokens.
-Tokens with digits or ``@`` are variable fields from the start. Where a leaf
-holds several variants whose other tokens agree in most places, the places that
-differ are variable too and the variants are one template. Templates that recur
+Tokens with digits or ``@`` are variable fields from the start. Where variants of
+a leaf agree in most of their other tokens, the places that differ are variable
+too and the variants are one template. A leaf may have many templates: its
+variants are grouped by what they have in a few places, for several choices of
+places, so other lines of the leaf do not dilute a group. Templates that recur
 across documents are boilerplate and their lines go.
 
-A line is judged by what its texts have besides it: smallest hashes of the
-three-word shingles of all lines but those of its leaf. Texts that share three
-eighths of these hashes are alike, and recurrence is the number of texts no two
-of which are alike. A group of near copies, of any size, is alike throughout and counts as
-one, so its lines are left to near-duplicate removal, while unrelated texts count
-one each, however much of them the line makes up.
+A line is judged by its texts: smallest hashes of the three-word shingles of the
+whole text, and of all its lines but those of the leaf. Texts are alike that share
+two thirds of the former and three eighths of the latter, and recurrence is the
+number of texts no two of which are alike. A group of near copies, of any size, is
+alike in both and counts as one, so its lines are left to near-duplicate removal.
+Unrelated texts count one each, be it that one line makes up most of them, or a
+block of lines, as long as the block does not make near copies of them.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialize
+from siftline.llm.common import dealt_join, materialize
 from siftline.llm.tokens import Words, mix, parcels, words_of
 
 #: Leading tokens that lead to a leaf.
@@ -31,9 +36,14 @@ DEPTH = 3
 #: Tokens behind them are folded into so many one-byte slots by place.
 SLOTS = 16
 MIN_TOKENS = 3
-#: One-byte hashes of what a text has besides a line, and how many of them alike texts share.
+#: Choices of PLACES slots by which the variants of a leaf are grouped; a template with constants in seven of ten slots
+#: is missed by all of them with a chance of about 0.4 %, and the leaf as a whole is one more group.
+CHOICES = 13
+PLACES = 3
+#: One-byte hashes of what a text has besides a line, as many of the whole text, and how many of either alike texts share.
 SKETCHES = 32
-ALIKE = 12
+ALIKE_BESIDES = 12
+ALIKE_WHOLE = 21
 #: Sketches that are compared together; a line with more is compared in parts first.
 TOGETHER = 2048
 
@@ -69,7 +79,7 @@ def leaves(words: Words, sizes: np.ndarray, place: np.ndarray) -> tuple[np.ndarr
 
 
 def besides(words: Words, sizes: np.ndarray, leaf: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Sketches of what the text of each line with tokens has besides the lines of its leaf.
+    """Sketches of what the text of each line with tokens has besides the lines of its leaf, and behind them those of the whole text.
 
     A line of fewer than three words is one shingle; no shingle reaches over two lines.
     """
@@ -95,7 +105,7 @@ def besides(words: Words, sizes: np.ndarray, leaf: np.ndarray, text: np.ndarray)
     group[order] = np.cumsum(new) - 1
     own = np.cumsum(new_text[group_starts]) - 1
     none = np.iinfo(np.uint64).max
-    out = np.empty((len(group_starts), SKETCHES), np.uint8)
+    out = np.empty((len(group_starts), 2 * SKETCHES), np.uint8)
     for k in range(SKETCHES):
         factor = mix(np.array([k + 1], np.uint64) * _M2) | np.uint64(1)
         lowest = np.minimum.reduceat(np.minimum.reduceat(shingle * factor, line_starts)[order], group_starts)
@@ -104,6 +114,7 @@ def besides(words: Words, sizes: np.ndarray, leaf: np.ndarray, text: np.ndarray)
         alone = np.add.reduceat(is_first.astype(np.int64), text_starts) == 1
         second = np.minimum.reduceat(np.where(is_first, none, lowest), text_starts)
         out[:, k] = (mix(np.where(is_first & alone[own], second[own], first[own])) >> np.uint64(56)).astype(np.uint8)
+        out[:, SKETCHES + k] = (mix(first) >> np.uint64(56)).astype(np.uint8)[own]
     return out[group]
 
 
@@ -142,7 +153,8 @@ def _unlike(sketches: np.ndarray, most: int) -> np.ndarray:
     rest, out = np.arange(len(sketches)), []
     while len(rest) and len(out) < most:
         out.append(rest[0])
-        rest = rest[(sketches[rest] == sketches[rest[0]]).sum(axis=1) < ALIKE]
+        same = sketches[rest] == sketches[rest[0]]
+        rest = rest[(same[:, :SKETCHES].sum(axis=1) < ALIKE_BESIDES) | (same[:, SKETCHES:].sum(axis=1) < ALIKE_WHOLE)]
     return np.array(out, np.int64)
 
 
@@ -157,7 +169,7 @@ def spread(rows: DataFrame, min_docs: int) -> DataFrame:
             def reduced(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, bool]]:
                 both = frame[["key", "part"]].to_numpy()
                 cuts = np.flatnonzero(np.concatenate([[True], (both[1:] != both[:-1]).any(axis=1), [True]]))
-                values = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, SKETCHES)
+                values = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, 2 * SKETCHES)
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     yield a + _unlike(values[a:b], min_docs), b == len(frame)
 
@@ -185,41 +197,63 @@ def spread(rows: DataFrame, min_docs: int) -> DataFrame:
     return first.repartition("key").sortWithinPartitions("key", "sketch").mapInPandas(kept(True), schema).select("key")
 
 
-def recurring_variants(docs: DataFrame, min_docs: int, min_variants: int = 4, agree: float = 0.8, constant: float = 0.7) -> DataFrame:
-    """Masked lines (``variant``) whose template recurs, in ``min_docs`` or more texts no two of which are alike besides it.
+def _choices(used: Column) -> Column:
+    """Groups of a variant within its leaf: the whole leaf, and the values in PLACES slots for each of CHOICES choices."""
+    rng = random.Random(16)
+    keys = [F.lit("")]
+    for choice in range(CHOICES):
+        places = accumulate([rng.randrange(1 << 20), *(rng.randrange(1, 6) for _ in range(PLACES - 1))])
+        # the variants of one leaf have equally many slots, so a choice is the same for all of them
+        values = [F.substr(F.hex("slots"), (F.pmod(F.lit(place), used) * 2 + 1).cast("int"), F.lit(2)) for place in places]
+        keys.append(F.concat(F.lit(f"{choice}:"), *values))
+    return F.array(*keys)
 
-    A leaf with ``min_variants`` or more variants is generalised: a slot in which at
-    least ``agree`` of them have the same value is constant. If 3 slots or more,
-    and a share of at least ``constant`` of those in use, are constant, the
-    variants that have all constant values are one template.
-    """
-    rows = "leaf bigint, variant bigint, slots binary, size bigint, sketch binary"
-    uses = materialize(docs.select("text").mapInPandas(_line_rows, rows).distinct(), "line-uses")
-    variants = materialize(uses.groupBy("leaf", "variant", "slots", "size").agg(F.count(F.lit(1)).alias("n")), "line-variants")
-    often = variants.where(F.col("n") >= min_docs).select("variant", "n")
-    direct = spread(uses.join(often, "variant").select(F.col("variant").alias("key"), "sketch", "n"), min_docs).select(F.col("key").alias("variant"))
-    several = variants.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= min_variants)
+
+def templates(variants: DataFrame, min_variants: int, agree: float, constant: float) -> DataFrame:
+    """``leaf, fixed`` of each template: the slots (with their values) that most variants of a group of a leaf agree in."""
+    several = variants.groupBy("leaf").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= min_variants).select("leaf")
     used = F.least(F.col("size") - DEPTH, F.lit(SLOTS)).cast("int")
-    cells = variants.where(F.col("size") > DEPTH + 2).join(several, "leaf").select("leaf", "m", used.alias("used"), F.explode(F.sequence(F.lit(1), used)).alias("slot"), F.col("slots"))
-    cells = cells.select("leaf", "m", "used", "slot", F.substring(F.hex("slots"), F.col("slot") * 2 - 1, F.lit(2)).alias("value"))
+    wide = dealt_join(variants.where(F.col("size") > DEPTH + 2), several, ["leaf"], "variant").select("leaf", "variant", used.alias("used"), "slots")
+    grouped = wide.withColumn("group", F.explode(F.array_distinct(_choices(F.col("used")))))
+    groups = grouped.groupBy("leaf", "group").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= min_variants)
+    cells = dealt_join(grouped, groups, ["leaf", "group"], "variant").select("leaf", "group", "m", "used", "slots", F.explode(F.sequence(F.lit(1), F.col("used"))).alias("slot"))
+    cells = cells.select("leaf", "group", "m", "used", "slot", F.substring(F.hex("slots"), F.col("slot") * 2 - 1, F.lit(2)).alias("value"))
     best = (
-        cells.groupBy("leaf", "m", "used", "slot", "value")
+        cells.groupBy("leaf", "group", "m", "used", "slot", "value")
         .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("leaf", "m", "used", "slot")
+        .groupBy("leaf", "group", "m", "used", "slot")
         .agg(F.max(F.struct("n", "value")).alias("top"))
         .where(F.col("top.n") >= F.lit(agree) * F.col("m"))
     )
-    patterns = (
-        best.groupBy("leaf", "used")
+    return (
+        best.groupBy("leaf", "group", "used")
         .agg(F.sort_array(F.collect_list(F.struct("slot", F.col("top.value").alias("value")))).alias("fixed"))
         .where((F.size("fixed") >= 3) & (F.size("fixed") >= F.lit(constant) * F.col("used")))
+        .select("leaf", "fixed")
+        .distinct()
     )
+
+
+def recurring_variants(docs: DataFrame, min_docs: int, min_variants: int = 4, agree: float = 0.8, constant: float = 0.7) -> DataFrame:
+    """Masked lines (``variant``) whose template recurs, in ``min_docs`` or more texts no two of which are alike besides it.
+
+    A group of a leaf with ``min_variants`` or more variants is generalised: a slot in
+    which at least ``agree`` of them have the same value is constant. If 3 slots or
+    more, and a share of at least ``constant`` of those in use, are constant, the
+    variants of the leaf that have all constant values are one template.
+    """
+    rows = "leaf bigint, variant bigint, slots binary, size bigint, sketch binary"
+    uses = materialize(docs.select("text").mapInPandas(_line_rows, rows).distinct(), "line-uses")
+    variants = materialize(uses.groupBy("leaf", "variant", "slots", "size").agg(F.count(F.lit(1)).alias("n")), "line-variants")
+    often = variants.where(F.col("n") >= min_docs).select("variant", "n")
+    direct = spread(dealt_join(uses, often, ["variant"], "sketch").select(F.col("variant").alias("key"), "sketch", "n"), min_docs).select(F.col("key").alias("variant"))
+    patterns = templates(variants, min_variants, agree, constant).withColumn("key", F.xxhash64("leaf", "fixed"))
     fits = F.forall("fixed", lambda f: F.substring(F.hex("slots"), f["slot"] * 2 - 1, F.lit(2)) == f["value"])
-    members = variants.join(patterns.select("leaf", "fixed"), "leaf").where(fits).select("leaf", "variant")
-    met = uses.select("variant", "sketch").join(members, "variant").select("leaf", "sketch").distinct()
-    often = met.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
-    wide = spread(met.join(often, "leaf").select(F.col("leaf").alias("key"), "sketch", "n"), min_docs).select(F.col("key").alias("leaf"))
-    return direct.unionByName(members.join(wide, "leaf").select("variant")).distinct()
+    members = materialize(dealt_join(variants, patterns, ["leaf"], "variant").where(fits).select("key", "variant"), "line-members")
+    met = materialize(uses.select("variant", "sketch").join(members, "variant").select("key", "sketch").distinct(), "line-met")
+    often = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    wide = spread(dealt_join(met, often, ["key"], "sketch").select("key", "sketch", "n"), min_docs)
+    return direct.unionByName(members.join(wide, "key").select("variant")).distinct()
 
 
 def _kept(text: str | None, drop: np.ndarray) -> tuple[str | None, int, int]:
@@ -263,18 +297,18 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, broadcast_limit: in
                     rows += [_kept(t, drop[words.line_of[k] : words.line_of[k + 1]]) for k, t in enumerate(texts)]
                 yield pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
 
-        out = docs.withColumn("__new", kept("text"))
+        out = docs.select(F.struct("*").alias("row"), kept("text").alias("new"))
     else:
 
         def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                keys = batch["__hash"].array
+                keys = batch["hash"].array
                 for begin, texts in parcels(batch["text"].tolist()):
                     words = words_of(texts, mask_fields=True)
                     variant = _signed(masked_lines(words)[1])
                     text = np.repeat(np.arange(len(texts)), np.diff(words.line_of))
                     line = np.arange(len(variant)) - words.line_of[text]
-                    yield pd.DataFrame({"__hash": keys[begin + text], "line": line, "variant": variant})
+                    yield pd.DataFrame({"hash": keys[begin + text], "line": line, "variant": variant})
 
         @F.pandas_udf(result)
         def kept_by_row(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
@@ -286,13 +320,15 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, broadcast_limit: in
                 rows.append(_kept(text, drop))
             return pd.DataFrame(rows, columns=["text", "n_lines", "n_dropped"])
 
-        hashed = docs.withColumn("__hash", F.sha2("text", 256))
+        hashed = docs.select(F.struct("*").alias("row"), F.sha2("text", 256).alias("hash"))
         gone = (
-            hashed.select("__hash", "text")
-            .mapInPandas(numbered, "__hash string, line bigint, variant bigint")
+            hashed.select("hash", "row.text")
+            .mapInPandas(numbered, "hash string, line bigint, variant bigint")
             .join(found, "variant", "left_semi")
-            .groupBy("__hash")
-            .agg(F.collect_set("line").alias("__gone"))
+            .groupBy("hash")
+            .agg(F.collect_set("line").alias("gone"))
         )
-        out = hashed.join(gone, "__hash", "left").withColumn("__new", kept_by_row("text", "__gone")).drop("__hash", "__gone")
-    return out.withColumns({c: F.col(f"__new.{c}") for c in ("text", "n_lines", "n_dropped")}).drop("__new")
+        out = hashed.join(gone, "hash", "left").select("row", kept_by_row("row.text", "gone").alias("new"))
+    # rows are packed, so a column of theirs may have any name
+    own = [F.col("new.text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return out.select(*own, "new.n_lines", "new.n_dropped")
