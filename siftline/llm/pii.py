@@ -4,13 +4,16 @@ Digits and letters are replaced by a keyed permutation of all strings of the
 same pattern (a Feistel network with cycle walking), so two different entities
 of one pattern can never get the same surrogate, and one entity has the same
 surrogate in every document. Case, separators, script, country codes, issuer
-digits and check digits keep their form. Person names behind a title get names
-made of syllables of the same script and gender; later mentions in the same
-text get the same name.
+digits and check digits keep their form. Person names, found by a title, a given
+name or a phrase that introduces one, get names made of syllables of the same
+script and gender; later mentions in the same text get the same name.
 
 A corpus-wide check looks for surrogates that two entities share or that are
-themselves an entity of the corpus, and gives those entities another attempt
-until none is left.
+themselves an entity of the corpus, as they stand in the text, and gives those
+entities another attempt until none is left. Names get longer with the attempts,
+so there are always enough. A pattern of which the corpus has more than a
+sixteenth of all strings has no free ones to look for: its entities keep their
+first surrogate, which is distinct by itself.
 """
 
 from __future__ import annotations
@@ -21,12 +24,12 @@ from functools import lru_cache
 from hashlib import blake2b
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.llm.common import materialize
 
-KINDS = ("email", "card", "iban", "ip", "ssn", "phone", "name")
+KINDS = ("email", "card", "iban", "ip", "ssn", "phone", "address", "name")
 
 #: Titles by gender.
 TITLES = {
@@ -34,6 +37,22 @@ TITLES = {
     "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Madame", "Mme", "Mlle", "Señora", "Señorita", "Sra", "Srta", "Госпожа", "госпожа", "г-жа"),
     "n": ("Dr", "Prof"),
 }
+#: Common given names by gender; with another capitalised word behind them they are a person.
+GIVEN = {
+    "m": (
+        "James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Andrew Paul Steven Kenneth "
+        "Kevin Brian George Edward Peter Henry Hans Klaus Jürgen Wolfgang Pierre Jacques Jean Carlos José Luis Juan Pedro Miguel Antonio Marco "
+        "Giuseppe Ivan Dmitry Иван Дмитрий Сергей Алексей Андрей Николай Владимир Михаил"
+    ).split(),
+    "f": (
+        "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Nancy Lisa Margaret Sandra Ashley Emily Donna Michelle Carol "
+        "Amanda Laura Anna Emma Olivia Sophie Ursula Ingrid Heike Marie Claire Nathalie Carmen Lucía María Isabel Ana Giulia Francesca Elena "
+        "Olga Natalia Анна Мария Елена Ольга Наталья Татьяна Екатерина Ирина"
+    ).split(),
+}
+#: Phrases that introduce a name, and kinds of street.
+INTRODUCED = ("my name is", "i am called", "signed by", "signed,", "sincerely,", "kind regards,", "best regards,", "full name:", "contact person:", "mit freundlichen grüßen,", "mein name ist", "je m'appelle", "me llamo", "меня зовут")
+STREETS = ("Street", "Avenue", "Road", "Boulevard", "Lane", "Drive", "Court", "Square", "Terrace", "St", "Ave", "Rd", "Blvd", "Ln")
 _GENDER = {title: gender for gender, titles in TITLES.items() for title in titles}
 #: Syllables and endings of made-up names by script.
 SYLLABLES = {
@@ -54,10 +73,20 @@ _ENTITY = re.compile(
     r"|(?P<card>(?<![0-9A-Za-z+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))"
     r"|(?P<phone>(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
     r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z]))"
+    # bare digits only where a word says what they are
+    r"|(?i:(?<![a-z])(?:phone|telephone|tel|mobile|cell|fax|telefon|téléphone|teléfono)(?: (?:number|no))?[.:]{0,2} ?)(?P<dialled>[0-9]{7,12})(?![0-9A-Za-z])"
+    r"|(?i:(?<![a-z])(?:ssn|social security(?: number| no)?)[.:#]{0,2} ?)(?P<insured>[0-9]{9})(?![0-9A-Za-z])"
+    rf"|(?P<address>(?<![0-9A-Za-z.,-])[0-9]{{1,5}} (?:[A-Z][a-z]+ ){{1,3}}(?:{'|'.join(STREETS)})(?![A-Za-z]))"
 )
+#: Kinds of the groups that stand behind a word.
+_BEHIND = {"dialled": "phone", "insured": "ssn"}
 _NAME = re.compile(
     r"(?<!\w)(?P<title>" + "|".join(sorted(map(re.escape, _GENDER), key=len, reverse=True)) + r")\.? (?P<name>[^\W\d_a-zа-я][^\W\d_]+(?:[ -][^\W\d_a-zа-я][^\W\d_]+){0,2})"
 )
+_WORD = r"[^\W\d_a-zа-я][^\W\d_]+"
+_CALLED = re.compile(rf"(?<!\w)(?P<given>{'|'.join(n for names in GIVEN.values() for n in names)})(?P<rest>(?: [^\W\d_a-zа-я]\.)?(?: {_WORD}){{1,2}})(?!\w)")
+_INTRODUCED = re.compile(rf"(?i:(?<!\w)(?:{'|'.join(map(re.escape, INTRODUCED))})\s)\s*(?P<name>{_WORD}(?:[ -]{_WORD}){{1,2}})(?!\w)")
+_GENDER_OF = {name: gender for gender, names in GIVEN.items() for name in names}
 _TRIGGER = re.compile(r"[0-9]")
 _RADIX = ((ord("0"), 10), (ord("a"), 26), (ord("A"), 26), (ord("а"), 32), (ord("А"), 32))
 
@@ -130,17 +159,53 @@ def _phone(norm: str, key: bytes, tweak: str) -> str:
     return _mixed(norm, key, tweak, country, {first: (ord("2"), 8)} if wide else None)
 
 
-def _name(norm: str, key: bytes, tweak: str) -> str:
-    """``norm`` is role:gender:token."""
-    role, gender, token = norm.split(":", 2)
-    script = "cyrillic" if re.search("[а-яё]", token) else "latin"
-    value = int.from_bytes(blake2b(f"{tweak}{norm}".encode("utf-8", "surrogatepass"), key=key, digest_size=8).digest(), "big")
+def _iban_check(country: str, rest: str) -> str:
+    """The two check digits that make an IBAN valid modulo 97."""
+    number = "".join(str(int(c, 36)) for c in f"{rest}{country}00")
+    return f"{98 - int(number) % 97:02d}"
+
+
+def iban_valid(norm: str) -> bool:
+    return int("".join(str(int(c, 36)) for c in norm[4:] + norm[:4])) % 97 == 1
+
+
+def _iban(norm: str, key: bytes, tweak: str) -> str:
+    """Valid numbers get valid ones, with new check digits; the others stay invalid, so no two share a surrogate."""
+    if iban_valid(norm):
+        rest = _mixed(norm[4:], key, tweak + "valid")
+        return norm[:2] + _iban_check(norm[:2], rest) + rest
+    out = _mixed(norm, key, tweak, 2)
+    while iban_valid(out):
+        out = _mixed(out, key, tweak, 2)
+    return out
+
+
+def _syllables(value: int, attempt: int, script: str, ends: tuple[str, ...]) -> str:
+    """A made-up word; every second attempt adds a syllable."""
     out = ""
-    for _ in range(3 + value % 2):
+    for _ in range(3 + value % 2 + attempt // 2):
         value, i = divmod(value, len(SYLLABLES[script]))
         out += SYLLABLES[script][i]
-    ends = ENDINGS[script][gender if role == "given" else "n"]
-    return f"{role}:{gender}:{out + ends[value % len(ends)]}"
+    return out + ends[value % len(ends)]
+
+
+def _hashed(text: str, key: bytes) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), key=key, digest_size=32).digest(), "big")
+
+
+def _name(norm: str, key: bytes, tweak: str, attempt: int) -> str:
+    """``norm`` is role:gender:token."""
+    role, gender, token = norm.split(":", 2)
+    script = "cyrillic" if re.search("[а-яё]", token) else "latin"
+    made = _syllables(_hashed(f"{tweak}{norm}", key), attempt, script, ENDINGS[script][gender if role == "given" else "n"])
+    return f"{role}:{gender}:{made}"
+
+
+def _address(norm: str, key: bytes, tweak: str, attempt: int) -> str:
+    """House number by its digits, the words of the street's name made up, the kind of street kept."""
+    number, *words, street = norm.split(" ")
+    made = [_syllables(_hashed(f"{tweak}{norm}/{n}", key), attempt, "latin", ENDINGS["latin"]["n"]).capitalize() for n in range(len(words))]
+    return " ".join([_mixed(number, key, tweak, 0, {0: (ord("1"), 9)} if number[0] != "0" else None), *made, street])
 
 
 def surrogate(kind: str, norm: str, key: bytes, attempt: int = 0) -> str:
@@ -150,9 +215,9 @@ def surrogate(kind: str, norm: str, key: bytes, attempt: int = 0) -> str:
         local, _, domain = norm.rpartition("@")
         host, _, top = domain.rpartition(".")
         return _mixed(f"{local}@{host}", key, f"{tweak}{top}") + "." + top
-    if kind == "iban":
-        return _mixed(norm, key, tweak, 2)
-    maker: Callable[[str, bytes, str], str] = {"card": _card, "ip": _ip, "phone": _phone, "name": _name}.get(kind, _mixed)
+    if kind in ("name", "address"):
+        return (_name if kind == "name" else _address)(norm, key, tweak, attempt)
+    maker: Callable[[str, bytes, str], str] = {"card": _card, "iban": _iban, "ip": _ip, "phone": _phone}.get(kind, _mixed)
     return maker(norm, key, tweak)
 
 
@@ -174,15 +239,22 @@ def _dressed(kind: str, found: str, norm: str) -> str:
 
 
 def _people(text: str) -> dict[str, str]:
-    """Name tokens behind a title, with their entity; the last token of a mention is the family name."""
+    """Name tokens behind a title, of a known given name or behind a phrase, with their entity; the last token of a mention is the family name."""
     people: dict[str, str] = {}
-    if not any(title in text for title in _GENDER):
-        return people
-    for m in _NAME.finditer(text):
-        tokens, gender = re.split("[ -]", m["name"]), _GENDER[m["title"]]
+
+    def add(tokens: list[str], gender: str) -> None:
         for token in tokens[:-1]:
             people.setdefault(token, f"given:{gender}:{token.lower()}")
         people.setdefault(tokens[-1], f"family:n:{tokens[-1].lower()}")
+
+    if any(title in text for title in _GENDER):
+        for m in _NAME.finditer(text):
+            add(re.split("[ -]", m["name"]), _GENDER[m["title"]])
+    for m in _CALLED.finditer(text):
+        add([m["given"], *(t for t in m["rest"].split() if not t.endswith("."))], _GENDER_OF[m["given"]])
+    for m in _INTRODUCED.finditer(text):
+        tokens = re.split("[ -]", m["name"])
+        add(tokens, _GENDER_OF.get(tokens[0], "n"))
     return people
 
 
@@ -192,7 +264,8 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         return []
     out = []
     if _TRIGGER.search(text) or "@" in text:
-        out = [(m.start(), m.end(), m.lastgroup, normal(m.lastgroup, m[0])) for m in _ENTITY.finditer(text)]
+        groups = [(m, m.lastgroup, _BEHIND.get(m.lastgroup, m.lastgroup)) for m in _ENTITY.finditer(text)]
+        out = [(m.start(group), m.end(group), kind, normal(kind, m[group])) for m, group, kind in groups]
     if people := _people(text):
         taken = [(s, e) for s, e, _, _ in out]
         mention = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, people), key=len, reverse=True)) + r")(?!\w)")
@@ -227,33 +300,55 @@ def _distinct_entities(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame
 
 
 def _with_surrogates(table: DataFrame, key: bytes) -> DataFrame:
+    """``made`` is the surrogate as :func:`surrogate` gives it, ``shown`` what of it stands in a text."""
+
     @F.pandas_udf("string")
     def made(kinds: pd.Series, norms: pd.Series, attempts: pd.Series) -> pd.Series:
         return pd.Series([surrogate(k, n, key, int(a)) for k, n, a in zip(kinds, norms, attempts, strict=True)], dtype=object)
 
-    return table.withColumn("made", made("kind", "norm", "attempt"))
+    return table.withColumn("made", made("kind", "norm", "attempt")).withColumn("shown", _shown("kind", "made"))
+
+
+def _shown(kind: str, norm: str) -> Column:
+    return F.when(F.col(kind) == "name", F.substring_index(norm, ":", -1)).otherwise(F.col(norm))
+
+
+def _crowded(found: DataFrame) -> DataFrame:
+    """``found`` with ``crowded``: whether the corpus has more than a sixteenth of the strings of an entity's pattern."""
+    pattern, bits = F.col("norm"), F.lit(0.0)
+    for letters, sign, size in (("[0-9]", "0", 10), ("[a-z]", "a", 26), ("[A-Z]", "A", 26), ("[а-я]", "а", 32), ("[А-Я]", "А", 32)):
+        pattern, bits = F.regexp_replace(pattern, letters, sign), bits + F.regexp_count("norm", F.lit(letters)) * F.log2(F.lit(float(size)))
+    ip, endless = F.col("kind") == "ip", F.col("kind").isin("name", "address")
+    keyed = found.withColumns({"pattern": F.when(ip | endless, F.lit("")).otherwise(pattern), "bits": F.when(ip, F.lit(31.0)).when(endless, F.lit(1e9)).otherwise(bits)})
+    sizes = keyed.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n"), F.max("bits").alias("bits")).where(F.log2("n") > F.col("bits") - 4)
+    return keyed.join(sizes.select("kind", "pattern", F.lit(True).alias("crowded")), ["kind", "pattern"], "left").select("kind", "norm", F.coalesce("crowded", F.lit(False)).alias("crowded"))
 
 
-def second_attempts(docs: DataFrame, key: bytes, rounds: int = 12) -> DataFrame:
+def second_attempts(docs: DataFrame, key: bytes, rounds: int = 60) -> DataFrame:
     """Entities whose first surrogate is not free, with the attempt that is.
 
     A surrogate is free if no other entity of its kind got it and it is no entity
-    of the corpus. Of those that share one, the smallest keeps it. Only entity
-    tables are shuffled, after a distinct in each task.
+    of the corpus, both as they stand in the text. Of those that share one, the
+    smallest keeps it. Only entity tables are shuffled, after a distinct in each
+    task. A round settles all but a fraction of what it tries again, a sixteenth at
+    most, so ``rounds`` are more than any corpus needs.
     """
     found = docs.select("text").mapInPandas(_distinct_entities, "kind string, norm string").distinct()
+    found = materialize(_crowded(materialize(found, "pii-found")), "pii-patterns")
+    real = found.select("kind", _shown("kind", "norm").alias("shown")).distinct()
     table = materialize(_with_surrogates(found.withColumn("attempt", F.lit(0)), key), "pii-entities")
     for _ in range(rounds):
-        shared = table.groupBy("kind", "made").agg(F.count(F.lit(1)).alias("n"), F.min("norm").alias("keeper")).where("n > 1")
-        taken = table.alias("s").join(table.select("kind", F.col("norm").alias("made")), ["kind", "made"]).select("s.kind", "s.norm")
-        double = table.join(shared, ["kind", "made"]).where("norm <> keeper").select("kind", "norm")
+        loose = table.where("NOT crowded")
+        shared = loose.groupBy("kind", "shown").agg(F.count(F.lit(1)).alias("n"), F.min("norm").alias("keeper")).where("n > 1")
+        taken = loose.join(real, ["kind", "shown"]).select("kind", "norm")
+        double = loose.join(shared, ["kind", "shown"]).where("norm <> keeper").select("kind", "norm")
         again = materialize(taken.unionByName(double).distinct(), "pii-again")
         if again.isEmpty():
             return table.where("attempt > 0").select("kind", "norm", "attempt")
         bumped = table.join(again.withColumn("again", F.lit(1)), ["kind", "norm"], "left")
-        bumped = bumped.select("kind", "norm", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
+        bumped = bumped.select("kind", "norm", "crowded", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt"))
         table = materialize(_with_surrogates(bumped, key), "pii-entities")
-    raise ValueError("surrogates still collide: the patterns of these entities have too few strings")
+    raise ValueError(f"surrogates still collide after {rounds} attempts")
 
 
 def pseudonymise(docs: DataFrame, key: bytes, broadcast_limit: int = 20_000) -> DataFrame:
@@ -282,27 +377,30 @@ def pseudonymise(docs: DataFrame, key: bytes, broadcast_limit: int = 20_000) ->
         def new(texts: pd.Series) -> pd.DataFrame:
             return rewritten(texts, [known] * len(texts))
 
-        out = docs.withColumn("__new", new("text"))
+        out = docs.select(F.struct("*").alias("row"), new("text").alias("new"))
     else:
 
         def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                rows = {(h, kind, norm) for h, text in zip(batch["__hash"], batch["text"], strict=True) for _, _, kind, norm in entities(text)}
-                yield pd.DataFrame(sorted(rows), columns=["__hash", "kind", "norm"])
+                rows = {(h, kind, norm) for h, text in zip(batch["hash"], batch["text"], strict=True) for _, _, kind, norm in entities(text)}
+                yield pd.DataFrame(sorted(rows), columns=["hash", "kind", "norm"])
 
         @F.pandas_udf(f"text string, {counts}")
         def new_by_row(texts: pd.Series, own: pd.Series) -> pd.DataFrame:
             return rewritten(texts, [{(k, n): int(a) for k, n, a in (e.split("\x1f") for e in (() if entries is None else entries))} for entries in own])
 
-        hashed = docs.withColumn("__hash", F.sha2("text", 256))
+        hashed = docs.select(F.struct("*").alias("row"), F.sha2("text", 256).alias("hash"))
         entry = F.concat_ws("\x1f", "kind", "norm", F.col("attempt").cast("string"))
         own = (
-            hashed.select("__hash", "text")
-            .mapInPandas(keyed, "__hash string, kind string, norm string")
+            hashed.select("hash", "row.text")
+            .mapInPandas(keyed, "hash string, kind string, norm string")
             .distinct()
             .join(attempts, ["kind", "norm"])
-            .groupBy("__hash")
-            .agg(F.collect_list(entry).alias("__own"))
+            .groupBy("hash")
+            .agg(F.collect_list(entry).alias("own"))
         )
-        out = hashed.join(own, "__hash", "left").withColumn("__new", new_by_row("text", "__own")).drop("__hash", "__own")
-    return out.withColumn("text", F.col("__new.text")).withColumns({f"n_{k}": F.col(f"__new.n_{k}") for k in KINDS}).drop("__new")
+        out = hashed.join(own, "hash", "left").select("row", new_by_row("row.text", "own").alias("new"))
+    # rows are packed, so a column of theirs may have any name
+    counted = [f"n_{k}" for k in KINDS]
+    kept = [F.col("new.text").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns if c not in counted]
+    return out.select(*kept, *[f"new.{c}" for c in counted])
