@@ -2,9 +2,9 @@
 
 Every text is scanned for three base patterns and for long mixed tokens. The
 value of each candidate is hashed; a corpus-wide aggregate counts the distinct
-repositories and owners of every hash. A value that several owners share is a
-copied example; a value that one owner has and that looks random is taken for a
-live credential. Base spans are always reported; a long mixed token adds a span
+repositories and owners of every hash. A value that several owners or many
+repositories share is a copied example; a value that one owner has in few
+repositories and that looks random is taken for a live credential. Base spans are always reported; a long mixed token adds a span
 of kind ``token`` only where ownership makes it a live credential.
 """
 
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import materialize
+from siftline.llm.common import dealt_join, materialize
 
 
 @dataclass(frozen=True)
@@ -45,6 +45,9 @@ PATTERNS = (*BASE, ADDED)
 #: Words that mark a value as a placeholder.
 PLACEHOLDER = r"(?i)example|sample|changeme|placeholder|dummy|xxxx|12345678|abcdefgh|your[_-]"
 
+#: Matches of a text that are placed together.
+FOLD = 64
+
 _SPAN = "struct<start:int,rank:int,stop:int,hash:bigint,random:boolean>"
 
 
@@ -80,6 +83,19 @@ def spans_of(text: Column, rank: int, pattern: Pattern) -> Column:
             looks_random(value).alias("random"),
         )
 
+    sized = F.zip_with(pieces, matches, found)
+    # places are running sums; they are taken in two steps, over FOLD matches and over the groups of FOLD, as appending copies
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / FOLD).cast("int")), lambda g: F.slice(sized, g * FOLD + 1, F.lit(FOLD)))
+    length = lambda g: F.aggregate(g, F.lit(0), lambda n, m: n + m["gap"] + m["size"])
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    starts = F.aggregate(F.transform(groups, length), begin, lambda s, n: F.struct((s["at"] + n).alias("at"), F.array_append(s["starts"], s["at"]).alias("starts")))["starts"]
+    none = F.array().cast(f"array<{_SPAN}>")
+    return F.when(text.rlike(pattern.regex), F.flatten(F.zip_with(starts, groups, lambda at, g: _placed(at, g, rank)))).otherwise(none)
+
+
+def _placed(at: Column, group: Column, rank: int) -> Column:
+    """Spans of the matches of one group that are kept, the first of which begins its gap at ``at``."""
+
     def step(state: Column, match: Column) -> Column:
         start = state["at"] + match["gap"]
         span = F.struct(
@@ -94,9 +110,7 @@ def spans_of(text: Column, rank: int, pattern: Pattern) -> Column:
             F.when(match["keep"], F.array_append(state["spans"], span)).otherwise(state["spans"]).alias("spans"),
         )
 
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans"))
-    none = F.array().cast(f"array<{_SPAN}>")
-    return F.when(text.rlike(pattern.regex), F.aggregate(F.zip_with(pieces, matches, found), begin, step)["spans"]).otherwise(none)
+    return F.aggregate(group, F.struct(at.alias("at"), F.array().cast(f"array<{_SPAN}>").alias("spans")), step)["spans"]
 
 
 def _text_of(spans: Column, kinds: tuple[str, ...]) -> Column:
@@ -126,6 +140,7 @@ def scan(
     repo: Column,
     owner: Column,
     example_owners: int = 3,
+    example_repos: int = 4,
     live_owners: int = 1,
 ) -> DataFrame:
     """Secrets of each row of ``docs`` (``doc_id``, ``text``).
@@ -136,8 +151,9 @@ def scan(
     spans. A span is ``kind:start:end`` in code points, end exclusive; spans are
     in order of start, then kind as listed, joined by commas.
 
-    A hash with ``example_owners`` or more owners is an example; one with at most
-    ``live_owners`` owners that looks random is live. Null text counts as empty
+    A hash with ``example_owners`` or more owners, or ``example_repos`` or more
+    repositories, is an example; of the others, one with at most ``live_owners``
+    owners that looks random is live. Null text counts as empty
     and gives no spans; null repositories and owners count as one each; equal
     rows each get a row; an empty table gives no rows; other columns are ignored.
     """
@@ -160,11 +176,12 @@ def scan(
         "secret-spans",
     )
     candidates = scanned.select("row", "repo", "owner", F.explode(F.concat("base", "added")).alias("span")).withColumn("hash", F.col("span.hash"))
-    verdicts = ownership(candidates).select("hash", "n_owners")
-    live = (F.col("n_owners") <= live_owners) & F.col("span.random")
+    example = (F.col("n_owners") >= example_owners) | (F.col("n_repos") >= example_repos)
+    verdicts = ownership(candidates).select("hash", "n_owners", example.alias("example"))
+    live = ~F.col("example") & (F.col("n_owners") <= live_owners) & F.col("span.random")
     judged = (
-        candidates.join(verdicts, "hash")
-        .select("row", "span", live.alias("live"), (F.col("n_owners") >= example_owners).alias("example"))
+        dealt_join(candidates, verdicts, ["hash"], "row")
+        .select("row", "span", live.alias("live"), "example")
         .groupBy("row")
         .agg(
             F.count_if("live").alias("n_live"),
