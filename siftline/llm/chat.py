@@ -8,9 +8,10 @@ The grammar has two productions::
 Text that the parser would read differently, or that holds a control string,
 gets one backslash after the first character of every control string, also of
 those that already have backslashes there; reading takes one away again. Turns
-whose plain form comes back identical, stay plain. The formatted conversation
-is parsed by the same deterministic grammar and everything the query reports is
-read from that parse.
+whose plain form comes back identical, stay plain; the others are escaped and
+compared again, up to ROUNDS times, and a turn that does not come back by then is
+an error. The formatted conversation is parsed by the same deterministic grammar
+and everything the query reports is read from that parse.
 """
 
 from __future__ import annotations
@@ -23,6 +24,9 @@ from pyspark.sql import functions as F
 #: Control strings that must never stand bare in a text.
 CONTROLS = ("[INST]", "[/INST]", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>", "<|endoftext|>")
 
+#: Escapes that are tried; with any set of control strings the first one is enough, unless one contains a backslash.
+ROUNDS = 3
+
 _PIECE = r"(?s)\[INST\].*?\[/INST\]|<s>.*?</s>"
 _TURN = "struct<role:string,text:string>"
 
@@ -84,6 +88,23 @@ def parse(formatted: Column, controls: tuple[str, ...] = CONTROLS) -> Column:
     return F.when(covered, turns)
 
 
+def _until_identical(controls: tuple[str, ...]) -> Column:
+    """A turn (``role``, ``text``) in the first form whose parse gives the turn back; bare control strings are always escaped."""
+    role, text = F.col("role"), F.col("text")
+    wanted = F.array(F.struct("role", "text").cast(_TURN))
+    none = F.array().cast(f"array<{_TURN}>")
+    shown = None
+    for n in range(ROUNDS + 1):
+        form = text
+        for _ in range(n):
+            form = escape(form, controls)
+        turn = render(role, form)
+        identical = F.coalesce(parse(turn, controls), none) == wanted
+        identical = identical if n else ~has_control(text, controls) & identical
+        shown = F.when(identical, turn) if shown is None else shown.when(identical, turn)
+    return shown.otherwise(F.raise_error(F.concat(F.lit("no escape brings this text back: "), F.substring(text, 1, 200))))
+
+
 def format_conversations(rows: DataFrame, controls: tuple[str, ...] = CONTROLS) -> DataFrame:
     """One row per ``conv_id`` of ``rows`` (``conv_id``, ``turn``, ``role``, ``text``).
 
@@ -97,12 +118,7 @@ def format_conversations(rows: DataFrame, controls: tuple[str, ...] = CONTROLS)
     row; that is the only thing gathered per key.
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    plain = render(F.col("role"), F.col("text"))
-    wanted = F.array(F.struct("role", "text").cast(_TURN))
-    identical = ~has_control(F.col("text"), controls) & (F.coalesce(parse(plain, controls), F.array().cast(f"array<{_TURN}>")) == wanted)
-    turns = rows.select("conv_id", "turn", role.alias("role"), text.alias("text")).withColumn(
-        "shown", F.when(identical, plain).otherwise(render(F.col("role"), escape(F.col("text"), controls)))
-    )
+    turns = rows.select("conv_id", "turn", role.alias("role"), text.alias("text")).withColumn("shown", _until_identical(controls))
     ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "text", "shown")))
     together = turns.groupBy("conv_id").agg(ordered.alias("rows"))
     formatted = together.select(
