@@ -9,7 +9,10 @@ gives only the words still missing.
 The prefix sum is taken in two levels. Keys are mapped to ranges of about
 ``rows_per_range`` rows within each source; a small table of range sums gives
 each range its offset, and only the rows of one range are ordered together. A
-source with a third of all rows is thus many ranges, never one task.
+source with a third of all rows is thus many ranges, never one task. The ranges
+are even whatever the weights: a key of weight w is at most x with the chance
+1 - exp(-w x), so the share of a source's keys below x follows from how often
+each weight, rounded to half powers of two, occurs in it.
 """
 
 from __future__ import annotations
@@ -20,6 +23,8 @@ from pyspark.sql import functions as F
 from siftline.llm.common import materialize, n_words
 
 _U_BITS = 52
+#: Half powers of two either way that weights are told apart by, for the ranges only.
+WEIGHT_STEPS = 40
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -85,25 +90,33 @@ def mix(
             "source",
             n_words(text).alias("size"),
             (-F.ln(uniform(F.col("doc_id"), seed)) / weight).alias("key"),
+            weight.cast("double").alias("weight"),
         ),
         "mix-sizes",
     )
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows"))
+    step = F.least(F.greatest(F.round(F.log2(F.greatest("weight", F.lit(1e-12))) * 2), F.lit(-WEIGHT_STEPS)), F.lit(WEIGHT_STEPS)).cast("int")
+    per_weight = sized.groupBy("source", step.alias("step")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows"))
+    # at most 2 WEIGHT_STEPS + 1 entries a source
+    per_source = per_weight.groupBy("source").agg(
+        F.sum("size").alias("source_size"), F.sum("rows").alias("rows"), F.sort_array(F.collect_list(F.struct("step", "rows"))).alias("steps")
+    )
     targets = source_targets(per_source.select("source", "source_size"), weights, cap)
     plan = (
         targets.alias("t")
-        .join(per_source.select(F.col("source").alias("s"), "rows"), F.col("t.source").eqNullSafe(F.col("s")))
+        .join(per_source.select(F.col("source").alias("s"), "rows", "steps"), F.col("t.source").eqNullSafe(F.col("s")))
         .select(
             F.col("t.source").alias("plan_source"),
             "source_size",
             "target",
             F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).alias("epochs"),
             F.ceil(F.col("rows") / F.lit(rows_per_range)).alias("ranges"),
+            F.transform("steps", lambda s: F.struct(F.pow(F.lit(2.0), s["step"] / 2).alias("weight"), (s["rows"] / F.col("rows")).alias("share"))).alias("steps"),
         )
         .withColumn("rest", F.greatest(F.floor(F.col("target") - F.col("epochs") * F.col("source_size")), F.lit(0)))
     )
-    # 1 - exp(-key) is even for weights near 1, which is what makes the ranges about equal
-    place = F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * F.col("ranges")), F.col("ranges") - 1)
+    above = F.aggregate("steps", F.lit(0.0), lambda total, s: total + s["share"] * F.exp(-F.col("key") * s["weight"]))
+    # rounded down to steps far wider than the error of a sum, so that the order of ranges is that of keys
+    place = F.greatest(F.least(F.floor((F.lit(1.0) - F.round(above, 12)) * F.col("ranges")), F.col("ranges") - 1), F.lit(0).cast("long"))
     ranged = sized.join(plan, F.col("source").eqNullSafe(F.col("plan_source"))).withColumn("range", place)
     offsets = (
         ranged.groupBy("plan_source", "range")
