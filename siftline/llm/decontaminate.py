@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -257,21 +258,20 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = 0.8,
     out = None
     for index in _passes(benchmark, similarity, recall):
 
-        def rows(batches: Iterator[pd.DataFrame], index: Index = index) -> Iterator[pd.DataFrame]:
+        def rows(batches: Iterator[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
+            # ids stay in Arrow, which keeps them whole beside nulls
+            ids = pa.array(index.ids, pa.int64())
+            sizes = np.array([len(i) for i in index.items], np.int64)
             for batch in batches:
-                doc = batch["doc_id"].array
-                for begin, texts in parcels(batch["text"].tolist()):
-                    found = matches(words_of(texts, loose=True), index)
-                    yield pd.DataFrame(
-                        {
-                            "doc_id": doc[[begin + f[0] for f in found]],
-                            "item_id": [index.ids[f[1]] for f in found],
-                            "distance": [f[2] for f in found],
-                            "item_words": [len(index.items[f[1]]) for f in found],
-                        }
-                    )
-
-        one = docs.select("doc_id", "text").mapInPandas(rows, schema)
+                for begin, texts in parcels(batch.column("text").to_pylist()):
+                    found = np.array(matches(words_of(texts, loose=True), index), np.int64).reshape(-1, 4)
+                    if len(found):
+                        doc = batch.column("doc_id").take(pa.array(begin + found[:, 0]))
+                        yield pa.RecordBatch.from_arrays(
+                            [doc, ids.take(pa.array(found[:, 1])), pa.array(found[:, 2]), pa.array(sizes[found[:, 1]])], names=["doc_id", "item_id", "distance", "item_words"]
+                        )
+
+        one = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, schema)
         out = one if out is None else out.unionByName(one)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 

@@ -180,10 +180,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Machine:
         docs.select("doc_id", "text", F.col("n_chars").cast("double").alias("n_chars"))
         .join(F.broadcast(chosen), "doc_id")  # max_rows at most
         .mapInPandas(_vectors, "quality int, doc_id long, slots binary, vals binary")
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "slots", "vals")
+        .limit(2 * max_rows)  # ids may be repeated
         .collect()
     )
     rows.sort(key=lambda r: (r["doc_id"], r["slots"], r["vals"]))
-    rows = rows[: 2 * max_rows]  # a repeated id counts twice at most on the whole
     examples = [(np.frombuffer(r["slots"], "<i4").astype(np.int64), np.frombuffer(r["vals"], "<f4").astype(np.float64)) for r in rows]
     return fit(examples, np.array([float(r["quality"]) for r in rows]))
 

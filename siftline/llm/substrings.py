@@ -134,7 +134,7 @@ def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"tid": tids[pair[:, 0]], "anchor": pair[:, 1], "place": place[first], "again": times > 1})
 
 
-_CONTEXT = "tid long, doc_id long, route long, context long, at long, first int, n int, body binary, again boolean"
+_CONTEXT = "tid long, doc_id string, route long, context long, at long, first int, n int, body binary, again boolean"
 
 
 def _context_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,7 +206,7 @@ def _context_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 )
 
 
-_FOUND = "tid long, doc_id long, lo long, hi long, window long, again boolean"
+_FOUND = "tid long, doc_id string, lo long, hi long, window long, again boolean"
 
 
 def _sorted_symbols(bodies: list[bytes], firsts: list[int], counts: list[int], routes: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -392,8 +392,10 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     # the hash routes a text, the digest tells texts apart
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
     rows = materialize(docs.select("doc_id", "tid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha")), "substring-rows")
-    texts = rows.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("rep"), F.any_value("tid").alias("tid"), F.any_value("n_bytes").alias("n_bytes"))
+    texts = rows.groupBy("sha").agg(F.count(F.lit(1)).alias("copies"), F.min(F.col("doc_id").cast("string")).alias("rep"), F.any_value("tid").alias("tid"), F.any_value("n_bytes").alias("n_bytes"))
     texts = materialize(texts, "substring-texts")
+    # ids go through Python as strings, which keeps them whole beside nulls
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
     anchors = materialize(
         docs.where(F.octet_length("text") >= L).select("tid", "text").mapInPandas(_anchor_rows, "tid long, anchor long, place int, again boolean"), "substring-anchors"
     )
@@ -426,7 +428,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         docs.alias("d")
         .join(own.alias("o"), (F.col("d.tid") == F.col("o.tid")) & F.col("d.doc_id").eqNullSafe(F.col("o.key")))
         .select("o.tid", "o.key", "d.text", "o.spans")
-        .mapInPandas(_removed, "tid long, key long, n_removed long, n_spans long, sha string")
+        .mapInPandas(_removed, "tid long, key string, n_removed long, n_spans long, sha string")
         .distinct(),
         "substring-cut",
     )

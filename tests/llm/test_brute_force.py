@@ -186,6 +186,49 @@ def test_line_templates(spark):
     assert all(r.n_dropped == 1 for r in found)
 
 
+def test_line_templates_in_one_leaf(spark):
+    """Two templates and many other lines with the same length and the same leading words."""
+    rng = random.Random(14)
+    first = "some user here {} opened the door of {} and went in without a word to us"
+    second = "some user here {} could not be reached under any of {} numbers that we all know"
+    assert len(first.split()) == len(second.split())
+    other = lambda: "some user here " + prose(rng, len(first.split()) - 3)
+    lined = [first, second]
+    texts = [f"{prose(rng, 30)}\n{lined[n % 2].format(prose(rng, 1), prose(rng, 1))}\n{prose(rng, 20)}" for n in range(24)]
+    texts += [f"{prose(rng, 30)}\n{other()}\n{prose(rng, 20)}" for _ in range(80)]
+    found = {r.doc_id: r.n_dropped for r in lines.drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert [found[n] for n in range(24)] == [1] * 24 and not any(found[n] for n in range(24, len(texts)))
+
+
+@pytest.mark.parametrize("own", [32, 40, 100, 400, 900])
+def test_line_blocks_of_any_share(spark, own):
+    """A block of 8 lines and 96 words that 30 unrelated documents share goes whole, whatever its share of them; nothing else goes.
+
+    With fewer words of their own, texts would be near copies of each other, which are left to near-duplicate removal.
+    """
+    rng = random.Random(own)
+    block = [prose(rng, 12) for _ in range(8)]
+    texts = []
+    for _ in range(30):
+        rest = [prose(rng, 8) for _ in range(own // 8)]
+        at = rng.randrange(len(rest) + 1)
+        texts.append("\n".join(rest[:at] + block + rest[at:]))
+    texts += ["\n".join(prose(rng, 8) for _ in range(12)) for _ in range(30)]
+    got = {r.doc_id: r for r in lines.drop_recurring_lines(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    for n, text in enumerate(texts):
+        assert got[n].text == "\n".join(line for line in text.split("\n") if line not in block)
+
+
+def test_clashing_names(spark):
+    """Columns of the user keep their names and values, whatever the operators call theirs."""
+    names = ("__new", "__hash", "__own", "__gone", "__part", "row", "new", "hash", "gone", "own")
+    docs = spark.createDataFrame([(1, "one two three\nmail me at joe@x.example.com")], DOCS).withColumns({n: F.lit(f"kept {n}") for n in names})
+    for limit in (10, -1):
+        for got in (lines.drop_recurring_lines(docs, broadcast_limit=limit), pii.pseudonymise(docs, b"k", broadcast_limit=limit)):
+            row = got.first()
+            assert all(row[n] == f"kept {n}" for n in names) and got.columns[:2] == ["doc_id", "text"]
+
+
 @pytest.mark.parametrize("limit", [20_000, -1])
 def test_surrogates(spark, limit):
     text = "Call Mr. John Smith at +1 (623) 555-7038 or john.smith@mail.example.com; card 4111 1111 1111 1111, host 60.235.178.194. Smith agreed."
