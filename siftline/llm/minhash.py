@@ -45,10 +45,10 @@ PARITY_WORDS = 16
 LONG = 64
 BLOCK = 256
 #: Classes of a long list that the others meet in a turn.
-HUBS = 4
+HUBS = 3
 #: Turns of hubs, and the share of the best turn's links below which no other follows; both are only a matter of pace, as
 #: the comparison in full is exact by itself.
-TURNS = 4
+TURNS = 3
 WORTH = 0.125
 #: Parts of the pairs of one hub, and postings of one list that are met together.
 PARTS = 16
@@ -364,8 +364,10 @@ def _grouped(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> tuple[D
         )
         hubs = hubs.where("low <> high").select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "hubs")
         pairs = met.withColumn("part", F.pmod(F.xxhash64("nid"), "parts")).join(hubs, ["token", "part"])
-        pairs = pairs.select("nid", "comp", F.explode("hubs").alias("hub")).where(F.col("comp") != F.col("hub.comp"))
-        pairs = scratch.write(pairs.select(F.col("hub.nid").alias("a"), F.col("nid").alias("b")).distinct(), "pairs")
+        other = F.transform(F.filter("hubs", lambda h: h["comp"] != F.col("comp")), lambda h: h["nid"])
+        # the lists of a class name the same few hubs, so they are put together before they become pairs
+        pairs = pairs.select("nid", other.alias("hubs")).where(F.size("hubs") > 0).groupBy("nid").agg(F.collect_set("hubs").alias("hubs"))
+        pairs = scratch.write(pairs.select(F.explode(F.array_distinct(F.flatten("hubs"))).alias("a"), F.col("nid").alias("b")), "pairs")
         ends = pairs.select("a").distinct().join(x, F.col("a") == F.col("x.nid")).select(F.col("a").alias("nid"), "n_shingles", "tokens", "parity")
         ends = ends.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).alias("x")
         dealt = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(PARTS)).cast("int")).alias("p")
