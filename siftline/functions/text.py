@@ -26,6 +26,8 @@ COUNT = r"([0-9]{1,3}) (?:drones|uavs|targets|rockets|missiles|units)"
 CROWD = r"massive|swarm|group of"
 FOOTER = r"subscribe|follow us|send (?:us )?(?:your )?news"
 MOTION = r" (?:towards|heading for|in the direction of) "
+#: Rules that fit one expression.
+MOST_RULES = 1000
 _ZERO_WIDTH = "​‌‍⁠﻿"
 #: Cyrillic letters in Latin.
 CYRILLIC = "абвгдежзийклмнопрстуфхцчшщъыьэюя"
@@ -33,8 +35,11 @@ LATIN = "a b v g d e zh z i y k l m n o p r s t u f kh ts ch sh shch  y  e yu ya
 
 
 def rules_from(table: DataFrame) -> list[tuple]:
-    """Ordered rules of a small table (``place, label, pattern, severity``)."""
-    return [(r["label"], r["pattern"], r["severity"]) for r in table.orderBy("place").limit(1000).collect()]
+    """Ordered rules of a small table (``place, label, pattern, severity``); a table that is no rule table is refused."""
+    rows = table.orderBy("place").limit(MOST_RULES + 1).collect()
+    if len(rows) > MOST_RULES:
+        raise ValueError(f"more than {MOST_RULES} rules make no rule table")
+    return [(r["label"], r["pattern"], r["severity"]) for r in rows]
 
 
 def norm_key(text: Column) -> Column:
@@ -69,6 +74,25 @@ def transliterate(text: Column) -> Column:
     return F.translate(text, "ё" + "".join(c for c, _ in single) + dropped, "e" + "".join(x for _, x in single))
 
 
+#: Latin spellings of Cyrillic sounds, longest first, and endings of names of units.
+DIGRAPHS = (("shch", "щ"), ("yo", "ё"), ("zh", "ж"), ("kh", "х"), ("ts", "ц"), ("ch", "ч"), ("sh", "ш"), ("yu", "ю"), ("ya", "я"))
+LETTERS = ("abcdefghijklmnopqrstuvwxyz", "абкдефгхижклмнопкрстуввхйз")
+SUFFIXES = (("skiy$", "ский"), ("sky$", "ский"), ("skaya$", "ская"), ("skoe$", "ское"), ("iy$", "ий"), ("yy$", "ый"))
+
+
+def to_cyrillic(text: Column) -> Column:
+    """Latin words in Cyrillic, each with a capital: endings first, then digraphs, then letters."""
+
+    def word(w: Column) -> Column:
+        for pattern, ending in SUFFIXES:
+            w = F.regexp_replace(w, pattern, ending)
+        for latin, letter in DIGRAPHS:
+            w = F.replace(w, F.lit(latin), F.lit(letter))
+        return F.initcap(F.translate(w, *LETTERS))
+
+    return F.array_join(F.transform(F.split(F.lower(text), " "), word), " ")
+
+
 def slug(text: Column) -> Column:
     """T4: transliterated words joined by underscores."""
     return F.regexp_replace(F.regexp_replace(transliterate(text), "[^a-z0-9]+", "_"), "^_+|_+$", "")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from siftline.functions.scoring import km, seconds
 
+#: Default rule: what says that a message describes a way.
+ROUTE_MARKER = r"heading for|towards|then to|via|route|-> ?|flew past"
 _POINT = "struct<lat:double,lon:double,name:string>"
 
 
@@ -35,6 +37,25 @@ def route(points: Column, most_points: int = 6, most_leg: float = 120, least_tot
     return F.aggregate(points, F.array().cast(f"array<{_POINT}>"), add, checked)
 
 
+def message_routes(parsed: DataFrame, zones: DataFrame, marker: str = ROUTE_MARKER) -> DataFrame:
+    """Routes of messages: ``raw_message_id, source_key, posted_at, threat, severity, points``, null points where there is none.
+
+    ``parsed`` are parsed messages, ``zones`` their linked zones (``message_id, pos,
+    start, name, level, lat, lon``). Only relevant messages whose text has a route
+    marker and that clear nothing make routes; regions are directions, not points.
+    """
+    wanted = parsed.where(F.col("drop_reason").isNull() & ~F.col("signal").isin("allclear", "retracted") & F.lower("text").rlike(marker))
+    spots = zones.where("level <> 'region'").groupBy("message_id").agg(F.sort_array(F.collect_list(F.struct("pos", "start", "lat", "lon", "name"))).alias("spots"))
+    points = F.transform("spots", lambda p: F.struct(p["lat"].alias("lat"), p["lon"].alias("lon"), p["name"].alias("name")))
+    made = wanted.join(spots, "message_id", "left").withColumn("points", route(F.coalesce(points, F.array().cast(f"array<{_POINT}>"))))
+    return made.select(F.col("message_id").alias("raw_message_id"), "source_key", "posted_at", "threat", "severity", "points")
+
+
+def backfill_routes(stored: DataFrame, made: DataFrame, now: Column, days: int = 90) -> DataFrame:
+    """Stored routes with those of the messages of the last ``days`` made anew; older ones stay."""
+    return upsert_routes(stored, made.where(seconds(now, F.col("posted_at")) <= days * 86_400).select(*stored.columns))
+
+
 def upsert_routes(stored: DataFrame, fresh: DataFrame) -> DataFrame:
     """One route a message, the last write wins; a fresh null route deletes."""
     both = stored.withColumn("turn", F.lit(0)).unionByName(fresh.withColumn("turn", F.lit(1)))
@@ -62,18 +83,45 @@ def latest_flag(messages: DataFrame, closed: str, opened: str, now: Column, newe
     return rows.groupBy("source_key").agg(F.min_by(F.struct("state", "posted_at"), "rn").alias("r")).select("source_key", "r.state", "r.posted_at")
 
 
-def alerts(incidents: DataFrame, subscriptions: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """One alert per recipient and incident, and one per clear, unless the ledger has it.
+def watching(incidents: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Incidents (all columns) with each ``recipient`` that watches a zone on their path.
 
-    Subscriptions have ``recipient`` and an array ``zones``; both sides are exploded
-    and joined on zone, so no recipient is compared with all incidents.
+    Both sides are exploded and joined on zone, so no recipient is compared with
+    all incidents; an incident comes once a recipient, however many of its zones
+    are watched.
     """
     watched = subscriptions.select("recipient", F.explode("zones").alias("zone")).distinct()
-    lifted = incidents.select("id", "resolved_at", F.explode("zone_path").alias("zone"))
-    met = watched.join(lifted, "zone").select("recipient", "id", "resolved_at").distinct()
-    keys = F.array_compact(F.array(F.col("id"), F.when(F.col("resolved_at").isNotNull(), F.concat("id", F.lit(":clear")))))
-    out = met.select("recipient", F.explode(keys).alias("alert"))
-    return out if ledger is None else out.join(ledger.select("recipient", "alert"), ["recipient", "alert"], "left_anti")
+    met = incidents.select("id", F.explode(F.array_distinct("zone_path")).alias("zone")).join(watched, "zone").select("recipient", "id").distinct()
+    return met.join(incidents, "id")
+
+
+def alerts(incidents: DataFrame, subscriptions: DataFrame, ledger: DataFrame | None = None, now: Column | None = None, expiry_hours: int = 24) -> DataFrame:
+    """One alert per recipient and incident, unless the ledger has it: ``id`` while it is open, ``id:clear`` once it is resolved.
+
+    Entries of the ledger (``recipient, alert, at``) count for ``expiry_hours`` before
+    ``now``; without ``now`` they all count.
+    """
+    key = F.when(F.col("resolved_at").isNotNull(), F.concat("id", F.lit(":clear"))).otherwise(F.col("id"))
+    out = watching(incidents.select("id", "resolved_at", "zone_path"), subscriptions).select("recipient", key.alias("alert"))
+    if ledger is None:
+        return out
+    sent = ledger if now is None else ledger.where(seconds(now, F.col("at")) < expiry_hours * 3600)
+    return out.join(sent.select("recipient", "alert"), ["recipient", "alert"], "left_anti")
+
+
+def expired(ledger: DataFrame, now: Column, expiry_hours: int = 24) -> DataFrame:
+    """Ledger entries that still count."""
+    return ledger.where(seconds(now, F.col("at")) < expiry_hours * 3600)
+
+
+def journal(actions: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Rows to append to the activity journal (``recipient, action, detail, at``): those that it does not have.
+
+    A journal is only ever appended to; rows are told apart by all their columns, so
+    a batch that is written again adds nothing.
+    """
+    rows = actions.select("recipient", "action", "detail", "at").distinct()
+    return rows if stored is None else rows.join(stored.select("recipient", "action", "detail", "at"), ["recipient", "action", "detail", "at"], "left_anti")
 
 
 def suppressed(lines: DataFrame, minutes: int = 30, expiry_hours: int = 24) -> DataFrame:
@@ -111,11 +159,15 @@ def retention_report(messages: DataFrame, provenance: DataFrame, cutoff: Column)
     return totals.crossJoin(affected)
 
 
-def purge(messages: DataFrame, cutoff: Column, days: int) -> DataFrame:
-    """Messages that stay; fewer than seven days are refused."""
+def purge(messages: DataFrame, cutoff: Column, days: int, provenance: DataFrame | None = None, routes: DataFrame | None = None) -> DataFrame | tuple[DataFrame, DataFrame, DataFrame]:
+    """Messages that stay, and the provenance and routes of those, where given; incidents are not touched. Fewer than seven days are refused."""
     if days < 7:
         raise ValueError("retention must be at least 7 days")
-    return messages.where(F.col("posted_at") >= cutoff)
+    kept = messages.where(F.col("posted_at") >= cutoff)
+    if provenance is None or routes is None:
+        return kept
+    gone = messages.where(F.col("posted_at") < cutoff).select(F.col("message_id").alias("raw_message_id"))
+    return kept, provenance.join(gone, "raw_message_id", "left_anti"), routes.join(gone, "raw_message_id", "left_anti")
 
 
 def profile(messages: DataFrame) -> DataFrame:

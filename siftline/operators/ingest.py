@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -42,3 +42,21 @@ def keep_facts(layer: DataFrame, previous: DataFrame, key: str, facts: tuple[str
 def counts(tables: dict[str, DataFrame]) -> DataFrame:
     """Rows of each table."""
     return reduce(DataFrame.unionByName, [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, t in tables.items()])
+
+
+def window_read(messages: DataFrame, mark: int, key: str = "message_id", at: str = "posted_at") -> DataFrame:
+    """The messages behind a mark, in the order in which they are folded."""
+    return messages.where(F.col(key) > mark).orderBy(at, key)
+
+
+#: Tables that are made of others and can be made again.
+DERIVED = ("incidents", "provenance", "routes")
+
+
+def reset_derived(spark: SparkSession, folder: str, tables: tuple[str, ...] = DERIVED) -> None:
+    """Empty the derived tables under ``folder``, keeping their columns; messages and zones are not touched."""
+    for name in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")  # any file system that Spark has
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            schema = spark.read.parquet(f"{folder}/{name}").schema
+            spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/{name}")

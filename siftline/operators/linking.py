@@ -6,18 +6,57 @@ Zones have ``zone_id, parent_id, level, name, lat, lon, population``; names have
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import text as T
+from siftline.sources.scratch import materialize
 
 MOST_WORDS = 4
 #: Fixed values.
 LEVEL_RANK = {"region": 0, "district": 1, "place": 2}
 BIG_CITY = 500_000
+MAJOR_CITY = 100_000
+KNOWN_PLACE = 20_000
+LEAST_PLACE = 1_000
 MOST_ZONES = 15
 
 
+@dataclass(frozen=True)
+class LinkRules:
+    """Vocabulary of the linker, in lower case; words are compared by their stems."""
+
+    #: Words of reports that are no names, whatever place is called so.
+    stop_words: tuple[str, ...] = ("alarm", "danger", "drone", "rocket", "siren", "seen", "near")
+    #: Natural and technical features: an adjective before one, or the name behind one, is no place.
+    features: tuple[str, ...] = ("river", "lake", "sea", "bay", "bridge", "peninsula", "spit", "strait")
+    #: Words for a region and for a district, and words that say a place follows.
+    region_words: tuple[str, ...] = ("region", "oblast")
+    district_words: tuple[str, ...] = ("district",)
+    markers: tuple[str, ...] = ("city", "town", "village", "settlement")
+    #: Endings of adjectives made of names.
+    adjectives: tuple[str, ...] = ("skiy", "skaya", "skoe", "sky", "ish", "ese", "ian")
+    #: Names that only count beside other evidence.
+    ambiguous: tuple[str, ...] = ()
+
+
+def _stem_in(word: Column, words: tuple[str, ...]) -> Column:
+    """Whether a word has the stem of one of ``words``."""
+    return F.coalesce(T.stem(word).isin([_stem_of(w) for w in words]), F.lit(False)) if words else F.lit(False)
+
+
+def _stem_of(word: str) -> str:
+    """The stem that :func:`siftline.functions.text.stem` gives a word of a rule table."""
+    ending = next((e for e in T.ENDINGS if word.endswith(e) and len(word) - len(e) >= 3), "")
+    return word[: len(word) - len(ending)]
+
+
+def _ends(word: Column, endings: tuple[str, ...]) -> Column:
+    return F.coalesce(word.rlike(f"(?:{'|'.join(endings)})$"), F.lit(False)) if endings else F.lit(False)
+
+
 def rank(level: Column) -> Column:
     return F.when(level == "region", 0).when(level == "district", 1).otherwise(2)
 
@@ -54,21 +93,73 @@ def name_index(zones: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
 
 
 def ngrams(phrases: DataFrame, most: int = MOST_WORDS) -> DataFrame:
-    """Every run of 1 to ``most`` words of a phrase with its start and size."""
-    words = F.filter(F.split(T.norm_key(F.col("phrase")), " "), lambda w: w != "")
-    rows = phrases.withColumn("words", words).withColumn("n", F.size("words")).where("n > 0")
+    """Every run of 1 to ``most`` words of a phrase with its start and size.
+
+    With it go the word before it, the one behind it and its last one, whether the
+    first and the following word begin with a capital (``upper``, ``upper_after``),
+    and ``cased``: whether the message has words of either kind, so that capitals say
+    something.
+    """
+    words = F.transform(F.split(T.expand_units(F.col("phrase")), r"\s+"), lambda w: F.struct(T.norm_key(w).alias("w"), w.rlike(r"^\p{Lu}").alias("up"), w.rlike(r"^\p{Ll}").alias("low")))
+    # a word of a phrase may hold several of a key where a dash or a mark parted them
+    words = F.filter(words, lambda w: w["w"] != "")
+    rows = phrases.withColumn("words", words).withColumn("n", F.size("words"))
+    message = Window.partitionBy("message_id")
+    some = lambda side: F.max(F.exists("words", lambda w: w[side])).over(message)
+    rows = rows.withColumn("cased", F.coalesce(some("up") & some("low"), F.lit(False))).where("n > 0")
     starts = rows.withColumn("start", F.explode(F.sequence(F.lit(1), F.col("n"))))
     sized = starts.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.col("n") - F.col("start") + 1))))
-    return sized.withColumn("gram", F.array_join(F.slice("words", F.col("start"), F.col("size")), " ")).drop("words", "n")
-
-
-def candidates(grams: DataFrame, index: DataFrame, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """Zones of a gram by exact name, else by stem."""
-    grams = grams.where(~F.col("gram").isin(*stop_words)) if stop_words else grams
-    exact = grams.join(index.select(F.col("norm").alias("gram"), "zone_id").distinct(), "gram").withColumn("exact", F.lit(True))
-    stems = grams.withColumn("stem", T.stem_key(F.col("gram"))).join(index.select("stem", "zone_id").distinct(), "stem").drop("stem")
-    keys = ["message_id", "pos", "start", "size"]
-    return exact.unionByName(stems.join(exact.select(*keys).distinct(), keys, "left_anti").withColumn("exact", F.lit(False)))
+    at = lambda place: F.try_element_at("words", place)
+    behind = F.col("start") + F.col("size")
+    return sized.withColumns(
+        {
+            "gram": F.array_join(F.transform(F.slice("words", F.col("start"), F.col("size")), lambda w: w["w"]), " "),
+            "before": F.when(F.col("start") > 1, at(F.col("start") - 1)["w"]),
+            "after": at(behind)["w"],
+            "last": at(behind - 1)["w"],
+            "upper": F.coalesce(at(F.col("start"))["up"], F.lit(False)),
+            "upper_after": F.coalesce(at(behind)["up"], F.lit(False)),
+        }
+    ).drop("words", "n")
+
+
+def _guarded_grams(grams: DataFrame, index: DataFrame, zones: DataFrame | None, rules: LinkRules) -> DataFrame:
+    """Grams that can be names: no stop words, no part of a feature's name, no region that is not among the zones."""
+    one = F.col("size") == 1
+    stop = one & _stem_in(F.col("gram"), rules.stop_words)
+    heads = _stem_in(F.col("after"), rules.features) & _ends(F.col("last"), rules.adjectives)
+    named = one & _stem_in(F.col("gram"), rules.features) & _ends(F.col("before"), rules.adjectives) & ~_stem_in(F.col("before"), rules.markers)
+    kept = grams.where(~(stop | heads | named))
+    if zones is None:
+        return kept
+    regions = index.join(zones.where("level = 'region'").select("zone_id"), "zone_id")
+    regions = regions.select("norm").unionByName(regions.select(F.col("stem").alias("norm"))).distinct()
+    outside = kept.where(_stem_in(F.col("after"), rules.region_words)).select("message_id", "pos", "start", "size", "gram", "after")
+    names = F.array(F.col("gram"), F.concat_ws(" ", "gram", "after"))
+    keys = outside.withColumn("norm", F.explode(F.concat(names, F.transform(names, lambda n: T.stem_key(n))))).join(regions, "norm", "left_semi")
+    keyed = ["message_id", "pos", "start", "size"]
+    foreign = outside.join(keys.select(*keyed).distinct(), keyed, "left_anti").select(*keyed)
+    return kept.join(foreign, keyed, "left_anti")
+
+
+def candidates(grams: DataFrame, index: DataFrame, zones: DataFrame | None = None, rules: LinkRules | None = None) -> DataFrame:
+    """Zones of a gram by exact name, and by stem; of a place where both are found, the stem's are ``alternative``.
+
+    Stems count from four letters on. ``marked`` tells that a word for a place stands
+    before the gram, ``adjectival`` that it is a single adjective.
+    """
+    rules = rules or LinkRules()
+    grams = _guarded_grams(grams, index, zones, rules)
+    exact = grams.join(index.select(F.col("norm").alias("gram"), "zone_id").distinct(), "gram").withColumns({"exact": F.lit(True), "key": F.col("gram")})
+    stems = grams.withColumn("key", T.stem_key(F.col("gram"))).where(F.length("key") >= 4).join(index.select(F.col("stem").alias("key"), "zone_id").distinct(), "key").withColumn("exact", F.lit(False))
+    place = ["message_id", "pos", "start"]
+    met = exact.select(*place).distinct().withColumn("alternative", F.lit(True))
+    stems = stems.join(met, place, "left").withColumn("alternative", F.coalesce("alternative", F.lit(False)))
+    # the stem of an exact gram that leads to the same names is no other reading
+    found = exact.withColumn("alternative", F.lit(False)).unionByName(stems)
+    return found.withColumns(
+        {"marked": _stem_in(F.col("before"), rules.markers), "adjectival": ~F.col("exact") & (F.col("size") == 1) & _ends(F.col("gram"), rules.adjectives)}
+    )
 
 
 def district_to_city(grams: DataFrame, found: DataFrame, index: DataFrame, zones: DataFrame, ending: str = "sk(?:iy|ii|y|aya|oe)?$", unit: str = "district") -> DataFrame:
@@ -77,12 +168,35 @@ def district_to_city(grams: DataFrame, found: DataFrame, index: DataFrame, zones
     rows = grams.where((F.col("size") == 2) & (last == unit)).join(found.select("message_id", "pos", "start").distinct(), ["message_id", "pos", "start"], "left_anti")
     base = F.regexp_replace(F.element_at(F.split("gram", " "), 1), ending, "")
     big = zones.where((F.col("level") == "region") | (F.coalesce("population", F.lit(0)) >= 20_000)).select("zone_id")
-    return rows.withColumn("stem", T.stem_key(base)).join(index.select("stem", "zone_id").distinct(), "stem").join(big, "zone_id").drop("stem").withColumn("exact", F.lit(False))
+    found = rows.withColumn("key", T.stem_key(base)).join(index.select(F.col("stem").alias("key"), "zone_id").distinct(), "key").join(big, "zone_id")
+    return found.withColumns({"exact": F.lit(False), "alternative": F.lit(False), "marked": F.lit(False), "adjectival": F.lit(False)})
+
+
+def plausible(found: DataFrame, zones: DataFrame, rules: LinkRules) -> DataFrame:
+    """Matches less single words that are no names in a text with capitals.
+
+    A lower-case word goes if only places are called so and no word for a place
+    stands before it. A feature goes if its name follows with a capital, unless that
+    name is a district or a region.
+    """
+    levels = zones.select("zone_id", (F.col("level") != "place").alias("admin"))
+    place = ["message_id", "pos", "start"]
+    known = found.join(levels, "zone_id")
+    at = known.where("NOT alternative").groupBy(*place).agg(
+        F.max("size").alias("most"), F.max("admin").alias("some_admin"), F.max("marked").alias("is_marked"), F.max("upper").alias("is_upper"),
+        F.max("cased").alias("is_cased"), F.max("upper_after").alias("next_upper"), F.max(_stem_in(F.col("gram"), rules.features)).alias("feature"),
+    )
+    single = at.where("most = 1 AND is_cased AND NOT is_marked")
+    common = single.where("NOT is_upper AND NOT some_admin").select(*place)
+    behind = known.where("admin").select("message_id", "pos", (F.col("start") - 1).alias("start")).distinct()
+    feature = single.where("feature AND next_upper").select(*place).join(behind, place, "left_anti")
+    return found.join(common.unionByName(feature).distinct(), place, "left_anti")
 
 
 def leftmost_longest(found: DataFrame) -> DataFrame:
-    """Of each phrase the grams met from left to right, longest first, without overlap."""
-    grams = found.groupBy("message_id", "pos", "start").agg(F.max(F.struct("size", "gram")).alias("g"))
+    """Of each phrase the grams met from left to right, longest first, without overlap; alternatives stay where their place does."""
+    main = found.where("NOT alternative") if "alternative" in found.columns else found
+    grams = main.groupBy("message_id", "pos", "start").agg(F.max(F.struct("size", "gram")).alias("g"))
     per_phrase = grams.groupBy("message_id", "pos").agg(F.sort_array(F.collect_list(F.struct("start", F.col("g.size").alias("size")))).alias("c"))
     begin = F.struct(F.lit(1).alias("free"), F.array().cast("array<struct<start:int,size:int>>").alias("kept"))
     walk = F.aggregate(
@@ -90,44 +204,125 @@ def leftmost_longest(found: DataFrame) -> DataFrame:
         begin,
         lambda s, c: F.when(c["start"] >= s["free"], F.struct((c["start"] + c["size"]).alias("free"), F.array_append(s["kept"], c).alias("kept"))).otherwise(s),
     )
-    kept = per_phrase.select("message_id", "pos", F.explode(walk["kept"]).alias("k")).select("message_id", "pos", "k.start", "k.size")
-    return found.join(kept, ["message_id", "pos", "start", "size"])
-
-
-def with_context(matches: DataFrame, zones: DataFrame) -> DataFrame:
-    """Whether a candidate, or one above it, is also evidenced by another name of the message."""
-    chain = closure(zones).select("zone_id", "ancestor_id")
-    evidence = matches.select("message_id", F.col("gram").alias("other"), "zone_id").join(chain, "zone_id").select("message_id", "other", F.col("ancestor_id").alias("seen")).distinct()
-    lifted = matches.select("message_id", "gram", "zone_id").distinct().join(chain, "zone_id")
-    met = lifted.join(evidence, (lifted.message_id == evidence.message_id) & (F.col("ancestor_id") == F.col("seen")) & (F.col("gram") != F.col("other")))
-    hits = met.select(lifted.message_id, "gram", "zone_id").distinct().withColumn("in_context", F.lit(True))
-    return matches.join(hits, ["message_id", "gram", "zone_id"], "left").withColumn("in_context", F.coalesce("in_context", F.lit(False)))
+    kept = per_phrase.select("message_id", "pos", F.explode(walk["kept"]).alias("k")).select("message_id", "pos", "k.start", F.col("k.size").alias("taken"))
+    met = found.join(kept, ["message_id", "pos", "start"])
+    if "alternative" not in found.columns:
+        return met.where("size = taken").drop("taken")
+    longest = Window.partitionBy("message_id", "pos", "start", "alternative")
+    other = met.where("alternative").withColumn("most", F.max("size").over(longest)).where("size = most").drop("most")
+    return met.where("NOT alternative AND size = taken").unionByName(other).drop("taken")
+
+
+def with_context(matches: DataFrame, zones: DataFrame, above: DataFrame | None = None) -> DataFrame:
+    """Whether a candidate, or one above it, is also evidenced by another name of the message.
+
+    A name is evidence of the region it is exactly called, or else, with two zones
+    at most, of those that are no places, and of all above them. What other names
+    say counts; where they say nothing of any candidate of a name, its own evidence
+    does. Names are told apart by their keys, so a repeated one is no second witness.
+    """
+    if "alternative" not in matches.columns:
+        matches = matches.withColumn("alternative", F.lit(False))
+    if "key" not in matches.columns:
+        matches = matches.withColumn("key", F.col("gram"))
+    chain = (closure(zones) if above is None else above).select("zone_id", "ancestor_id")
+    levels = zones.select("zone_id", F.col("level").alias("own_level"))
+    named = matches.where("NOT alternative").select("message_id", "key", "exact", "zone_id").distinct().join(levels, "zone_id")
+    of = Window.partitionBy("message_id", "key")
+    counted = named.withColumns({"n_zones": F.count(F.lit(1)).over(of), "n_regions": F.sum((F.col("own_level") == "region").cast("int")).over(of)})
+    is_region = F.col("exact") & (F.col("n_regions") == 1)
+    shared = counted.where((is_region & (F.col("own_level") == "region")) | (~is_region & (F.col("n_zones") <= 2) & (F.col("own_level") != "place")))
+    evidence = shared.join(chain, "zone_id").groupBy("message_id", F.col("ancestor_id").alias("seen")).agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    lifted = matches.select("message_id", "key", "zone_id").distinct().join(chain, "zone_id").withColumnRenamed("ancestor_id", "seen")
+    met = lifted.join(evidence, ["message_id", "seen"])
+    other = (F.col("low") != F.col("key")) | (F.col("high") != F.col("key"))
+    hits = met.groupBy("message_id", "key", "zone_id").agg(F.max(other).alias("by_others"))
+    hits = hits.withColumn("supported", F.max("by_others").over(of))
+    hits = hits.select("message_id", "key", "zone_id", F.when(F.col("supported"), F.col("by_others")).otherwise(F.lit(True)).alias("in_context"))
+    return matches.join(hits, ["message_id", "key", "zone_id"], "left").withColumn("in_context", F.coalesce("in_context", F.lit(False)))
+
+
+def narrowed(matches: DataFrame, agrees: Column, by: tuple[str, ...] = ("message_id", "pos", "start")) -> DataFrame:
+    """Candidates that agree, or all where none does."""
+    some = Window.partitionBy(*by)
+    return matches.withColumn("ok", F.coalesce(agrees, F.lit(False))).withColumn("some", F.max("ok").over(some)).where("ok OR NOT some").drop("ok", "some")
 
 
-def narrowed(matches: DataFrame, agrees: Column) -> DataFrame:
-    """Candidates that agree, or all where none does."""
-    some = Window.partitionBy("message_id", "pos", "start")
-    return matches.withColumn("ok", agrees).withColumn("some", F.max("ok").over(some)).where("ok OR NOT some").drop("ok", "some")
+def fitting(matches: DataFrame, zones: DataFrame, chain: DataFrame | None = None) -> DataFrame:
+    """A single adjective means a district or region, else a place whose name agrees with it in gender; a marked name a place or what covers it.
 
+    ``matches`` have ``level`` and ``name`` of their zone.
+    """
+    by = ("message_id", "pos", "start", "alternative")
+    rows = narrowed(matches, ~F.col("adjectival") | (F.col("level") != "place"), by)
+    form = T.gender(F.element_at(F.split("gram", " "), -1))
+    agrees = ~F.col("adjectival") | (F.col("level") != "place") | (form == "") | (T.gender(F.lower("name")) == form)
+    rows = narrowed(rows, agrees, by)
+    chain = closure(zones) if chain is None else chain
+    above = chain.select(F.col("zone_id").alias("place_id"), F.col("ancestor_id").alias("zone_id"))
+    marked = rows.where("marked AND level = 'place'").select(*by, F.col("zone_id").alias("place_id"))
+    covering = marked.join(above, "place_id").select(*by, "zone_id").distinct().withColumn("covers", F.lit(True))
+    rows = rows.join(covering, [*by, "zone_id"], "left")
+    return narrowed(rows, ~F.col("marked") | F.col("covers"), by).drop("covers")
+
+
+def score(in_context: Column, at_home: Column, level: Column, population: Column, alone: Column | None = None) -> Column:
+    """Context before home before level before population; a major city ranks with districts where no district of its own is a candidate (``alone``)."""
+    people = F.coalesce(population, F.lit(0))
+    big = (level == "place") & (people >= MAJOR_CITY) & (F.lit(True) if alone is None else alone)
+    step = F.when(big, 2 - LEVEL_RANK["district"]).otherwise(2 - rank(level))
+    return F.when(in_context, 1e6).otherwise(0.0) + F.when(at_home, 1e5).otherwise(0.0) + step * 1e4 + F.least(people, F.lit(BIG_CITY)) / 100.0
+
+
+def believable(rows: DataFrame, index: DataFrame | None, rules: LinkRules) -> DataFrame:
+    """Candidates less those that their evidence is too weak for.
+
+    Ambiguous names need context. A single stemmed word needs context, a marker, a
+    known zone among its candidates or to be a name itself. A small place that is
+    only named by one unmarked word needs context, or to be at home and exact.
+    """
+    by = Window.partitionBy("message_id", "pos", "start", "alternative")
+    single = ~F.contains(F.col("key"), F.lit(" "))
+    weak = single & ~F.col("exact")
+    people = F.coalesce("population", F.lit(0))
+    ambiguous = F.col("key").isin(*rules.ambiguous) | (single & _stem_in(F.col("key"), rules.ambiguous)) if rules.ambiguous else F.lit(False)
+    known = F.max((F.col("level") == "region") | (people >= KNOWN_PLACE)).over(by)
+    stray = F.col("adjectival") & ~F.max(F.col("level") != "place").over(by)
+    if index is not None:
+        nouns = index.select(F.col("norm").alias("key")).distinct().withColumn("noun", F.lit(True))
+        rows = rows.join(nouns, "key", "left")
+    else:
+        rows = rows.withColumn("noun", F.lit(None).cast("boolean"))
+    rows = rows.withColumn("prominent", ~stray & (known | F.coalesce("noun", F.lit(False))))
+    doubtful = weak & ~F.col("in_context") & ~F.col("prominent") & ~F.col("marked")
+    small = single & (F.col("level") == "place") & ~F.col("marked") & (people < LEAST_PLACE) & (weak | ~F.col("in_context")) & ~(F.col("at_home") & F.col("exact"))
+    return rows.where(~((ambiguous & ~F.col("in_context")) | doubtful | small)).drop("noun", "prominent")
 
-def score(in_context: Column, at_home: Column, level: Column, population: Column) -> Column:
-    """Context before home before level before population."""
-    big = (level == "place") & (F.coalesce(population, F.lit(0)) >= BIG_CITY)
-    step = F.when(big, 2).otherwise(2 - rank(level))
-    return F.when(in_context, 1e6).otherwise(0.0) + F.when(at_home, 1e5).otherwise(0.0) + step * 1e4 + F.least(F.coalesce(population, F.lit(0)), F.lit(BIG_CITY)) / 100.0
 
+def pick(matches: DataFrame, zones: DataFrame, home: DataFrame | None = None, index: DataFrame | None = None, rules: LinkRules | None = None, chain: DataFrame | None = None) -> DataFrame:
+    """The best zone of each match, else of its stem reading; one zone once a message at its first place.
 
-def pick(matches: DataFrame, zones: DataFrame, home: DataFrame | None = None) -> DataFrame:
-    """The best zone of each match, one zone once a message at its first place. ``home`` has ``message_id, home_zone``."""
-    rows = matches.join(zones.select("zone_id", "level", "name", "population", "lat", "lon"), "zone_id")
+    ``home`` has ``message_id, home_zone``. Candidates with their zones, and those that
+    are left, are written once each, as later steps use them several times.
+    """
+    chain = closure(zones) if chain is None else chain
+    rows = matches.withColumns({c: F.lit(False) for c in ("alternative", "marked", "adjectival") if c not in matches.columns})
+    rows = rows.join(zones.select("zone_id", "level", "name", "population", "lat", "lon"), "zone_id")
     if home is None:
         rows = rows.withColumn("at_home", F.lit(False))
     else:
-        below = closure(zones).select("zone_id", F.col("ancestor_id").alias("home_zone"))
+        below = chain.select("zone_id", F.col("ancestor_id").alias("home_zone"))
         rows = rows.join(home, "message_id", "left").join(below.withColumn("at_home", F.lit(True)), ["zone_id", "home_zone"], "left")
         rows = rows.withColumn("at_home", F.coalesce("at_home", F.lit(False)))
-    rows = rows.withColumn("score", score(F.col("in_context"), F.col("at_home"), F.col("level"), F.col("population")))
-    best = Window.partitionBy("message_id", "pos", "start").orderBy(F.desc("score"), "zone_id")
+    rows = fitting(materialize(rows, "link-candidates"), zones, chain)
+    rows = materialize(believable(rows, index, rules or LinkRules()), "link-believable")
+    by = ["message_id", "pos", "start", "alternative"]
+    above = chain.where("depth > 0").select("zone_id", F.col("ancestor_id").alias("admin_id"))
+    cities = rows.where((F.col("level") == "place") & (F.col("population") >= MAJOR_CITY)).select(*by, "zone_id").distinct().join(above, "zone_id")
+    crowded = cities.join(rows.where("level <> 'place'").select(*by, F.col("zone_id").alias("admin_id")), [*by, "admin_id"]).select(*by, "zone_id").distinct()
+    rows = rows.join(crowded.withColumn("covered", F.lit(True)), [*by, "zone_id"], "left")
+    rows = rows.withColumn("score", score(F.col("in_context"), F.col("at_home"), F.col("level"), F.col("population"), F.col("covered").isNull()))
+    best = Window.partitionBy("message_id", "pos", "start").orderBy("alternative", F.desc("score"), "zone_id")
     once = Window.partitionBy("message_id", "zone_id").orderBy("pos", "start")
     one = rows.withColumn("rn", F.row_number().over(best)).where("rn = 1").withColumn("rn", F.row_number().over(once)).where("rn = 1")
     return one.select("message_id", "zone_id", "level", "name", "lat", "lon", "pos", "start", "gram", "score")
@@ -162,6 +357,20 @@ def home_of(sources: DataFrame, zones: DataFrame) -> DataFrame:
     return sources.withColumn("key", T.norm_key(F.col("region"))).join(regions, "key", "left").select("source_key", "home_zone")
 
 
+def unmatched_regions(sources: DataFrame, zones: DataFrame) -> DataFrame:
+    """Region names of sources that no region zone has."""
+    keys = zones.where("level = 'region'").select(T.norm_key(F.col("name")).alias("key"))
+    named = sources.where("region IS NOT NULL").select("region").distinct()
+    return named.withColumn("key", T.norm_key(F.col("region"))).join(keys, "key", "left_anti").select("region")
+
+
+def extra_zones(vertices: DataFrame, zones: DataFrame, level: str = "region") -> DataFrame:
+    """``zones`` and, as zones of ``level`` at the mean of their vertices, features that are not among them."""
+    centres = vertices.groupBy(F.col("feature_id").alias("zone_id")).agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))
+    fresh = centres.join(zones.select("zone_id"), "zone_id", "left_anti").withColumn("level", F.lit(level))
+    return zones.unionByName(fresh, allowMissingColumns=True)
+
+
 def expand_groups(phrases: DataFrame, groups: DataFrame, evidence: DataFrame) -> DataFrame:
     """Members of a group that a phrase names, in the first region of the message's evidence that has the group.
 
@@ -172,10 +381,19 @@ def expand_groups(phrases: DataFrame, groups: DataFrame, evidence: DataFrame) ->
     return first.join(groups, ["group", "region_id"]).select("message_id", "zone_id", "group")
 
 
-def link(phrases: DataFrame, zones: DataFrame, index: DataFrame, home: DataFrame | None = None, stop_words: tuple[str, ...] = ()) -> DataFrame:
-    """The whole linker: grams, lookup, scan, context, pick."""
-    found = leftmost_longest(candidates(ngrams(phrases), index, stop_words))
-    return pick(with_context(found, zones), zones, home)
+def link(phrases: DataFrame, zones: DataFrame, index: DataFrame, home: DataFrame | None = None, rules: LinkRules | None = None) -> DataFrame:
+    """The whole linker: grams, lookup with its fallback, scan, context, pick.
+
+    What the lookup finds is written once: scan, context and pick use it several times.
+    """
+    rules = rules or LinkRules()
+    zones, index = materialize(zones, "link-zones"), materialize(index, "link-index")
+    grams = materialize(ngrams(phrases), "link-grams")
+    found = materialize(candidates(grams, index, zones, rules), "link-found")
+    found = found.unionByName(district_to_city(grams, found.where("NOT alternative"), index, zones, unit=rules.district_words[0]), allowMissingColumns=True)
+    matches = materialize(leftmost_longest(plausible(found, zones, rules)), "link-matches")
+    chain = materialize(closure(zones), "link-chain")
+    return pick(with_context(matches, zones, chain), zones, home, index, rules, chain)
 
 
 def prefix_search(zones: DataFrame, index: DataFrame, query: str, limit: int = 12) -> DataFrame:
@@ -189,8 +407,16 @@ def prefix_search(zones: DataFrame, index: DataFrame, query: str, limit: int = 1
 
 
 def find_zone(zones: DataFrame, index: DataFrame, queries: DataFrame) -> DataFrame:
-    """The best zone of each query (``query``): exact before prefix, then level and population."""
-    hits = queries.join(index, F.col("norm").startswith(F.col("query")) & (F.substring("norm", 1, 3) == F.substring("query", 1, 3)))
-    rows = hits.withColumn("exact", F.col("norm") == F.col("query")).join(zones.select("zone_id", "level", "population"), "zone_id")
-    order = Window.partitionBy("query").orderBy(F.desc("exact"), rank(F.col("level")), F.desc_nulls_last("population"), "zone_id")
-    return rows.withColumn("rn", F.row_number().over(order)).where("rn = 1").select("query", "zone_id", "exact")
+    """The best zone of each query (``query``): exact before prefix, then level and population.
+
+    Names are cut to every length that is asked for, so the join is on equal keys; a
+    short query is asked once, however often it comes.
+    """
+    asked = queries.select("query").distinct()
+    sizes = asked.select(F.length("query").alias("n")).distinct()
+    names = index.select("norm", "zone_id").distinct().join(F.broadcast(sizes), F.length("norm") >= F.col("n"))
+    best = names.select(F.substring(F.col("norm"), F.lit(1), F.col("n")).alias("query"), (F.length("norm") == F.col("n")).alias("exact"), "zone_id").join(zones.select("zone_id", "level", "population"), "zone_id")
+    # partial aggregates: a prefix that all names share sends one row from each task
+    order = F.struct(~F.col("exact"), rank(F.col("level")), F.coalesce(-F.col("population"), F.lit(1)), F.col("zone_id"))
+    found = best.groupBy("query").agg(F.min_by(F.struct("zone_id", "exact"), order).alias("f"))
+    return queries.join(found, "query").select("query", "f.zone_id", "f.exact")

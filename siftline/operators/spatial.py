@@ -7,10 +7,14 @@ edges' latitude bands, so points only meet the edges of their own band.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftline.functions import text
 from siftline.functions.scoring import km
+from siftline.sources.scratch import materialize
 
 RING = ("feature_id", "part", "ring")
 
@@ -25,16 +29,19 @@ def edges(vertices: DataFrame) -> DataFrame:
 def contains(points: DataFrame, vertices: DataFrame, band: float = 0.5) -> DataFrame:
     """Features that contain a point: even-odd over all rings, so holes count.
 
-    An edge is put into every latitude band that it crosses, a point into its own;
-    the crossings to the right of the point are counted with a partial aggregate.
-    A box per feature is checked on the way.
+    A feature takes part in the cells of ``band`` degrees that its box covers, a
+    point in its own; they meet by cell and box first. Only such pairs meet the
+    edges of their feature, by its latitude bands, and the crossings to the right of
+    the point are counted with a partial aggregate.
     """
+    cell = lambda c: F.floor(F.col(c) / band)
+    boxes = vertices.groupBy("feature_id").agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n"))
+    cells = boxes.withColumn("cx", F.explode(F.sequence(cell("w"), cell("e")))).withColumn("cy", F.explode(F.sequence(cell("s"), cell("n"))))
+    near = points.select("point_id", "lon", "lat").withColumns({"cx": cell("lon"), "cy": cell("lat")}).join(cells, ["cx", "cy"])
+    near = near.where(F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n"))).select("point_id", "lon", "lat", "feature_id", F.col("cy").alias("band"))
     e = edges(vertices)
     low, high = F.floor(F.least("lat1", "lat2") / band), F.floor(F.greatest("lat1", "lat2") / band)
-    banded = e.withColumn("band", F.explode(F.sequence(low, high)))
-    boxes = vertices.groupBy("feature_id").agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n"))
-    met = points.withColumn("band", F.floor(F.col("lat") / band)).join(banded, "band").join(boxes, "feature_id")
-    met = met.where(F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n")))
+    met = near.join(e.withColumn("band", F.explode(F.sequence(low, high))), ["feature_id", "band"])
     at = (F.col("lon2") - F.col("lon1")) * (F.col("lat") - F.col("lat1")) / (F.col("lat2") - F.col("lat1")) + F.col("lon1")
     crosses = ((F.col("lat1") > F.col("lat")) != (F.col("lat2") > F.col("lat"))) & (F.col("lon") < at)
     return met.groupBy("point_id", "feature_id").agg(F.count_if(crosses).alias("n")).where("n % 2 = 1").select("point_id", "feature_id")
@@ -62,24 +69,31 @@ def smallest_containing(points: DataFrame, vertices: DataFrame, band: float = 0.
     )
 
 
-def nearest(points: DataFrame, found: DataFrame, anchors: DataFrame, cell: float = 4.0) -> DataFrame:
+def nearest(points: DataFrame, found: DataFrame, anchors: DataFrame, cell: float = 2.0) -> DataFrame:
     """For points without a feature the nearest anchor (``feature_id, lon, lat``).
 
-    Rings of cells around a point are tried first; a point with no anchor near
-    meets one anchor of every cell in use, so no point is paired with all anchors.
+    Points look for anchors in the nine cells around them; cells double in size for
+    those that are not yet sure, until one holds everything, so near points meet few
+    anchors and only points far from all meet many. A distance within one cell's
+    height and width, at the latitude of the cells, is surely the least.
     """
-    lost = points.join(found.select("point_id"), "point_id", "left_anti")
+    lost = materialize(points.select("point_id", "lon", "lat").join(found.select("point_id"), "point_id", "left_anti"), "nearest-points")
     a = anchors.select("feature_id", F.col("lon").alias("alon"), F.col("lat").alias("alat"))
-    a = a.withColumn("cx", F.floor(F.col("alon") / cell)).withColumn("cy", F.floor(F.col("alat") / cell))
     around = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
-    p = lost.withColumn("o", F.explode(around)).withColumn("cx", F.floor(F.col("lon") / cell) + F.col("o.x")).withColumn("cy", F.floor(F.col("lat") / cell) + F.col("o.y"))
     d = km(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"))
-    near = p.join(a, ["cx", "cy"]).select("point_id", "feature_id", d.alias("d"))
-    # only a distance under one cell is surely the least within the neighbourhood
-    sure = near.groupBy("point_id").agg(F.min_by("feature_id", F.struct("d", "feature_id")).alias("feature_id"), F.min("d").alias("d")).where(F.col("d") <= cell * 111.0 * 0.3)
-    far = lost.join(sure.select("point_id"), "point_id", "left_anti")
-    rest = far.join(a).groupBy("point_id").agg(F.min_by("feature_id", F.struct(d, F.col("feature_id"))).alias("feature_id"))
-    return sure.select("point_id", "feature_id").unionByName(rest)
+    out = None
+    while cell < 720 and not lost.isEmpty():
+        at = a.withColumns({"cx": F.floor(F.col("alon") / cell), "cy": F.floor(F.col("alat") / cell)})
+        p = lost.withColumn("o", F.explode(around)).withColumns({"cx": F.floor(F.col("lon") / cell) + F.col("o.x"), "cy": F.floor(F.col("lat") / cell) + F.col("o.y")})
+        near = p.join(at, ["cx", "cy"]).groupBy("point_id", "lat").agg(F.min(F.struct(d.alias("d"), "feature_id")).alias("best"))
+        # what lies beyond the nine cells is at least a cell away, in longitude by the shortest degree between the two
+        width = F.cos(F.radians(F.least(F.abs("lat") + cell, F.lit(90.0)))) * cell * 111.0
+        sure = near.where((F.col("best.d") <= F.least(width, F.lit(cell * 111.0))) | F.lit(cell >= 360)).select("point_id", "best.feature_id")
+        sure = materialize(sure, "nearest-sure")
+        out = sure if out is None else out.unionByName(sure)
+        lost = materialize(lost.join(sure.select("point_id"), "point_id", "left_anti"), "nearest-points")
+        cell *= 2
+    return out if out is not None else lost.select("point_id", F.lit(None).cast(anchors.schema["feature_id"].dataType).alias("feature_id"))
 
 
 def majority_parent(samples: DataFrame, vertices: DataFrame, tolerance: float = 0.9, band: float = 0.5) -> DataFrame:
@@ -115,12 +129,34 @@ def claim(matches: DataFrame) -> DataFrame:
 
 
 def gazetteer(regions: DataFrame, districts: DataFrame, places: DataFrame) -> DataFrame:
-    """One zone table; unique slugs in order of source, suffixes from the second on."""
-    from siftline.functions.text import slug
-
-    rows = regions.unionByName(districts, True).unionByName(places, True).withColumn("base", slug(F.col("name")))
+    """One zone table of three (``source_id, parent_source, level, name``): unique slugs in order of source, suffixes from the second on, and parents."""
+    rows = regions.unionByName(districts, True).unionByName(places, True).withColumn("base", text.slug(F.col("name")))
     n = F.row_number().over(Window.partitionBy("base").orderBy("level", "source_id"))
-    return rows.withColumn("zone_id", F.when(n == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), n))).drop("base")
+    zones = rows.withColumn("zone_id", F.when(n == 1, F.col("base")).otherwise(F.concat("base", F.lit("_"), n))).drop("base")
+    zones = materialize(zones, "gazetteer")
+    parents = zones.select(F.col("source_id").alias("parent_source"), F.col("zone_id").alias("parent_id"))
+    return zones.join(parents, "parent_source", "left").drop("parent_source")
+
+
+def zone_names(zones: DataFrame) -> DataFrame:
+    """``zone_id, norm, kind`` of every variant of a name; the plain key is ``primary``, the others are ``variant``."""
+    names = zones.select("zone_id", text.norm_key(F.col("name")).alias("key"), F.explode(text.name_variants(F.col("name"))).alias("norm"))
+    return names.select("zone_id", "norm", F.when(F.col("norm") == F.col("key"), "primary").otherwise("variant").alias("kind"))
+
+
+def orphans(zones: DataFrame) -> DataFrame:
+    """Per level its zones and how many of them lack a parent; regions have none."""
+    lost = F.col("parent_id").isNull() & (F.col("level") != "region")
+    return zones.groupBy("level").agg(F.count(F.lit(1)).alias("zones"), F.count_if(lost).alias("orphans"))
+
+
+def write_facts(layer: DataFrame, zones: DataFrame) -> DataFrame:
+    """A layer's features (``source_id``) with the name, ``zone`` and ``parent`` of their zone; features without one keep what they have."""
+    facts = zones.select("source_id", F.col("name").alias("fact_name"), F.col("zone_id").alias("fact_zone"), F.col("parent_id").alias("fact_parent"))
+    rows = layer.join(facts, "source_id", "left")
+    new = {"name": "fact_name", "zone": "fact_zone", "parent": "fact_parent"}
+    kept = {c: F.coalesce(F.col(f), F.col(c)) if c in layer.columns else F.col(f) for c, f in new.items()}
+    return rows.withColumns(kept).drop(*new.values())
 
 
 def share_inside(vertices: DataFrame, regions: DataFrame, least: float = 0.6, band: float = 0.5) -> DataFrame:
@@ -164,12 +200,36 @@ def tiers(lines: DataFrame, size: float = 5.0) -> DataFrame:
     return lines.groupBy(tier.alias("tier"), cell("lon").alias("cell_lon"), cell("lat").alias("cell_lat")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def compacted(points: DataFrame, properties: dict[str, Column], precision: int) -> DataFrame:
+    """The named properties of each row and its coordinates, rounded."""
+    return points.select(*[column.alias(name) for name, column in properties.items()], F.round("lon", precision).alias("lon"), F.round("lat", precision).alias("lat"))
+
+
 def layer_class(kind: Column, classes: dict[str, str], default: str = "other") -> Column:
     """Class of a feature by its kind."""
     table = F.create_map(*[F.lit(x) for pair in classes.items() for x in pair])
     return F.coalesce(F.element_at(table, kind), F.lit(default))
 
 
+def layer(features: DataFrame, classes: dict[str, tuple[str, int]], threshold: float) -> DataFrame:
+    """A thematic layer of features (``kind, measure``): those of a listed kind, with ``class`` and least ``zoom``, split into ``main`` and ``detail`` by their measure."""
+    rows = features.where(F.col("kind").isin(*classes))
+    kind = layer_class(F.col("kind"), {k: c for k, (c, _) in classes.items()})
+    zoom = layer_class(F.col("kind"), {k: str(z) for k, (_, z) in classes.items()}).cast("int")
+    return rows.withColumns({"class": kind, "zoom": zoom, "part": F.when(F.col("measure") >= threshold, "main").otherwise("detail")})
+
+
+def places_union(first: DataFrame, second: DataFrame, least_population: int) -> DataFrame:
+    """Places of two sources that are large enough, most populous first, then by name."""
+    both = first.unionByName(second, allowMissingColumns=True)
+    return both.where(F.col("population") >= least_population).orderBy(F.desc("population"), "name")
+
+
+def layer_summary(layers: dict[str, DataFrame]) -> DataFrame:
+    """Rows of each layer."""
+    return reduce(DataFrame.unionByName, [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("layer"), "n") for name, rows in layers.items()])
+
+
 def active_layer(incidents: DataFrame, zones: DataFrame, levels: tuple[str, ...], newest: int = 400) -> DataFrame:
     """Zones of some levels on the path of any of the newest incidents."""
     top = incidents.orderBy(F.desc("last_seen"), "id").limit(newest)

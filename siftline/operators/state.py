@@ -117,12 +117,16 @@ def day_archive(incidents: DataFrame, sources: DataFrame, least_sources: int = 5
     return rows.withColumn("density", F.round(F.col("events") / F.max("events").over(everything), 3))
 
 
-def source_analytics(sources: DataFrame, incidents: DataFrame) -> DataFrame:
-    """Per source its contributions, firsts, confirmed share and the upper median of its lag behind the first report."""
+def source_analytics(sources: DataFrame, incidents: DataFrame, messages: DataFrame | None = None) -> DataFrame:
+    """Per source its contributions, firsts, confirmed share and the upper median of its lag behind the first report.
+
+    Every contribution to an incident of several sources has a lag. With
+    ``messages`` (``source_key``), sources that never contributed are listed too,
+    and all with their number of messages.
+    """
     multi = incidents.select(F.col("id").alias("event_id"), "source_count", "first_seen")
     rows = sources.join(multi, "event_id")
-    lag = F.when((F.col("source_count") > 1) & (F.col("role") == "confirm"), S.seconds(F.col("contributed_at"), F.col("first_seen")))
-    rows = rows.withColumn("lag", lag)
+    rows = rows.withColumn("lag", F.when(F.col("source_count") > 1, S.seconds(F.col("contributed_at"), F.col("first_seen"))))
     ordered = Window.partitionBy("source_key").orderBy("lag", "raw_message_id")
     lags = rows.where("lag IS NOT NULL").withColumn("rn", F.row_number().over(ordered) - 1)
     sizes = lags.groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
@@ -135,7 +139,11 @@ def source_analytics(sources: DataFrame, incidents: DataFrame) -> DataFrame:
         F.min("contributed_at").alias("since"),
         F.max("contributed_at").alias("until"),
     )
-    return base.join(median, "source_key", "left")
+    base = base.join(median, "source_key", "left")
+    if messages is None:
+        return base
+    totals = messages.groupBy("source_key").agg(F.count(F.lit(1)).alias("messages"))
+    return totals.join(base, "source_key", "full").fillna(0, ["messages", "contributions", "firsts", "confirms"])
 
 
 def zone_analytics(incidents: DataFrame, now: Column, hours: int = 168, limit: int = 25) -> DataFrame:
@@ -171,6 +179,16 @@ def region_digest(incidents: DataFrame, hours: int = 3) -> DataFrame:
     )
 
 
+def digest_counts(incidents: DataFrame, hours: int = 3) -> DataFrame:
+    """Per root zone the number of its incidents by threat, by the zone below it, and by local hour: ``root, kind, value, events``."""
+    root = incidents.withColumn("root", F.element_at("zone_path", -1))
+    below = F.when(F.size("zone_path") > 1, F.element_at("zone_path", -2))
+    hour = F.hour(F.col("first_seen") + F.expr(f"INTERVAL {hours} HOURS"))
+    kinds = {"threat": F.col("threat"), "zone": below, "hour": F.lpad(hour.cast("string"), 2, "0")}
+    entries = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()]))
+    return root.select("root", entries.alias("e")).where("e.value IS NOT NULL").groupBy("root", "e.kind", "e.value").agg(F.count(F.lit(1)).alias("events"))
+
+
 def newest_of_root(incidents: DataFrame, n: int = 6) -> DataFrame:
     """The newest ``n`` incidents of each root zone."""
     order = Window.partitionBy("root").orderBy(F.desc("last_seen"), "id")
@@ -219,12 +237,49 @@ def open_per_root(incidents: DataFrame, limit: int = 6) -> DataFrame:
     )
 
 
+def open_listing(incidents: DataFrame, n: int = 10) -> DataFrame:
+    """Per root the zones with open incidents, most severe and newest first (``place``), ``n`` at most."""
+    rows = incidents.withColumn("root", F.element_at("zone_path", -1)).groupBy("root", "zone_id")
+    zones = rows.agg(F.count(F.lit(1)).alias("open"), F.max("severity").alias("max_severity"), F.max("last_seen").alias("last_seen"))
+    order = Window.partitionBy("root").orderBy(F.desc("max_severity"), F.desc("last_seen"), "zone_id")
+    return zones.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+
+
 def severity_bands(incidents: DataFrame, edges: tuple[int, ...] = (1, 4, 6, 8, 11)) -> DataFrame:
     """Incidents per half-open severity band, in one row."""
     bands = zip(edges, edges[1:], strict=False)
     return incidents.agg(*[F.count_if((F.col("severity") >= a) & (F.col("severity") < b)).alias(f"band_{a}_{b}") for a, b in bands])
 
 
+def day_window(incidents: DataFrame, day: str, hours: int = 3) -> DataFrame:
+    """Incidents that began on a local day."""
+    return incidents.where(local_day(F.col("first_seen"), hours) == F.lit(day).cast("date"))
+
+
+def hours_window(incidents: DataFrame, now: Column, hours: float = 24) -> DataFrame:
+    """Incidents seen in the last ``hours``."""
+    return incidents.where((F.col("first_seen") <= now) & (S.seconds(now, F.col("last_seen")) <= hours * 3600))
+
+
+def zone_meta(incidents: DataFrame, zones: DataFrame) -> DataFrame:
+    """Level, name and place of every zone on the path of an incident."""
+    used = incidents.select(F.explode("zone_path").alias("zone_id")).distinct()
+    return used.join(zones, "zone_id").select("zone_id", "level", "name", "lat", "lon")
+
+
+def top_confirmed(incidents: DataFrame, limit: int = 10) -> DataFrame:
+    """Incidents with most sources, then most confidence."""
+    return incidents.orderBy(F.desc("source_count"), F.desc("confidence"), "id").limit(limit)
+
+
+def slots_over(incidents: DataFrame, minutes: int = 15) -> DataFrame:
+    """The time grid over a table of incidents, from the first that was seen to the last, both aligned up."""
+    step = minutes * 60
+    aligned = lambda at: F.timestamp_seconds(F.ceil(F.unix_micros(at) / F.lit(1_000_000 * step)) * step)
+    span = incidents.agg(aligned(F.min("first_seen")).alias("a"), aligned(F.max("last_seen")).alias("b"))
+    return span.where("a IS NOT NULL").select(F.explode(F.sequence("a", "b", F.expr(f"INTERVAL {minutes} MINUTES"))).alias("slot"))
+
+
 def slots(spark, start: str, end: str, minutes: int = 15) -> DataFrame:
     """The time grid, aligned up."""
     step = minutes * 60
@@ -257,22 +312,34 @@ def slot_load(incidents: DataFrame, grid: DataFrame, minutes: int = 15) -> DataF
     return grid.join(per_slot, "slot", "left").select("slot", F.coalesce("events", F.lit(0)).alias("events"), F.coalesce("max_severity", F.lit(0)).alias("max_severity"))
 
 
-def successors(points: DataFrame, least_minutes: float = 2, most_minutes: float = 50) -> DataFrame:
+def successors(points: DataFrame, least_minutes: float = 2, most_minutes: float = 50, most_km: float = 160) -> DataFrame:
     """Links from a sighting to its only possible successor.
 
     ``points`` are sightings of one kind of target (``id, zone_id, first_seen, lat,
-    lon``). Both sides are put into buckets of the longest gap, so the join is an
-    equi-join on neighbouring buckets.
+    lon``). Both sides are put into buckets of the longest gap and into cells of the
+    longest way, so the join is an equi-join on neighbouring buckets and cells. Cells
+    are bands of latitude and, in each band, as many degrees of longitude as the way
+    takes at the band's end nearer to the pole.
     """
     width = int(most_minutes * 60)
     bucket = F.floor(F.unix_micros("first_seen") / F.lit(width * 1_000_000))
-    a = points.select(*[F.col(c).alias(f"a_{c}") for c in ("id", "zone_id", "first_seen", "lat", "lon")], F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
-    b = points.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "zone_id", "first_seen", "lat", "lon")], bucket.alias("bucket"))
+    tall = most_km / 111.0
+    band = F.floor(F.col("lat") / tall)
+
+    def column_of(row: Column) -> Column:
+        """Cell in a band, for the longitude of the point; the pair's mean latitude lies within a band of either."""
+        edge = F.least(F.greatest(F.abs(row), F.abs(row + 1)) + 1, F.lit(89.0 / tall)) * tall
+        return F.floor(F.col("lon") / (F.lit(tall) / F.cos(F.radians(edge))))
+
+    shifts = [(t, y, x) for t in (0, 1) for y in (-1, 0, 1) for x in (-1, 0, 1)]
+    spots = F.array(*[F.struct((bucket + t).alias("bucket"), (band + y).alias("band"), (column_of(band + y) + x).alias("col")) for t, y, x in shifts])
+    a = points.select(*[F.col(c).alias(f"a_{c}") for c in ("id", "zone_id", "first_seen", "lat", "lon")], F.explode(spots).alias("at")).select("*", "at.*").drop("at")
+    b = points.select(*[F.col(c).alias(f"b_{c}") for c in ("id", "zone_id", "first_seen", "lat", "lon")], bucket.alias("bucket"), band.alias("band"), column_of(band).alias("col"))
     gap = S.seconds(F.col("b_first_seen"), F.col("a_first_seen")) / 60
     far = S.km(F.col("a_lat"), F.col("a_lon"), F.col("b_lat"), F.col("b_lon"))
-    pairs = a.join(b, "bucket").withColumn("gap", gap).withColumn("km", far)
+    pairs = a.join(b, ["bucket", "band", "col"]).withColumn("gap", gap).withColumn("km", far)
     ok = F.col("gap").between(least_minutes, most_minutes) & (F.col("a_zone_id") != F.col("b_zone_id"))
-    ok = ok & (F.col("km") > 5) & (F.col("km") < F.least(F.lit(160.0), F.lit(10) + F.col("gap") * 3.5))
+    ok = ok & (F.col("km") > 5) & (F.col("km") < F.least(F.lit(float(most_km)), F.lit(10) + F.col("gap") * 3.5))
     return (
         pairs.where(ok)
         .groupBy(F.col("a_id").alias("source"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from siftline.operators import delivery, ingest, networks, state
@@ -32,16 +31,28 @@ _WALK = f"""WITH {V.EVENT_SOURCES}, walked AS (
 ), flagged AS (SELECT *, first_value(source_key) OVER (PARTITION BY event_id, stamp ORDER BY contributed_at, raw_message_id) <> source_key AS repost,
   network IS NOT NULL AND first_value(source_key) OVER (PARTITION BY event_id, network ORDER BY contributed_at, raw_message_id) <> source_key AS clone FROM walked
 ), kept AS (SELECT *, row_number() OVER (PARTITION BY event_id, source_key ORDER BY contributed_at, raw_message_id) = 1 AS first_from_source FROM flagged WHERE role <> 'repeat'),
-walk AS (SELECT event_id, raw_message_id, source_key, role, contributed_at, first_from_source, repost, clone, first_from_source AND NOT repost AND NOT clone AS counted FROM kept)"""
+walk AS (SELECT event_id, raw_message_id, source_key, role, contributed_at, first_from_source, repost, clone, first_from_source AND NOT repost AND NOT clone AS counted, text FROM kept)"""
 
 
 def _subscriptions(s, d):
-    return V.read(s, d, "customer").where("c_custkey % 7 = 0").groupBy(F.concat(F.lit("u"), F.col("c_custkey") % 25).alias("recipient")).agg(
+    return V.read(s, d, "customer").groupBy(F.concat(F.lit("u"), "c_custkey").alias("recipient")).agg(
         F.sort_array(F.collect_set(F.concat(F.lit("n"), "c_nationkey"))).alias("zones")
     )
 
 
-_SUBS = "subs AS (SELECT DISTINCT 'u' || (c_custkey % 25) AS recipient, 'n' || c_nationkey AS zone FROM customer WHERE c_custkey % 7 = 0)"
+_SUBS = "subs AS (SELECT DISTINCT 'u' || c_custkey AS recipient, 'n' || c_nationkey AS zone FROM customer)"
+
+
+def _ledger(s, d):
+    """What was sent of the incidents of every third second: half of it too long ago to count."""
+    met = delivery.watching(V.incidents(s, d), _subscriptions(s, d)).where(F.unix_seconds("first_seen") % 3 == 0)
+    hours = F.when(F.unix_seconds("first_seen") % 2 == 0, F.expr("INTERVAL 30 HOURS")).otherwise(F.expr("INTERVAL 2 HOURS"))
+    return met.select("recipient", F.col("id").alias("alert"), (V.now() - hours).alias("at"))
+
+
+def _actions(s, d):
+    events = V.read(s, d, "events")
+    return events.select(F.col("user_id").alias("recipient"), F.col("event_type").alias("action"), F.col("props").alias("detail"), F.col("ts").alias("at"))
 
 
 def _route_rows(s, d):
@@ -53,6 +64,14 @@ def _route_rows(s, d):
     return days.withColumn("points", delivery.route(points, sinuosity=3.0)).where("points IS NOT NULL")
 
 
+def _legs(s, d):
+    """Each observation as a leg from its customer's zone to its nation's."""
+    z = V.zones(s, d).select("zone_id", "lat", "lon")
+    rows = V.observations(s, d).withColumn("up", F.col("zone_path")[1]).join(z, "zone_id").join(z.select(F.col("zone_id").alias("up"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2")), "up")
+    points = F.array(*[F.struct(F.col(a).alias("lat"), F.col(b).alias("lon"), F.col(n).alias("name")) for a, b, n in (("lat", "lon", "zone_id"), ("lat2", "lon2", "up"))])
+    return rows.select(F.col("raw_id").alias("raw_message_id"), "threat", F.col("moment").alias("posted_at"), "severity", points.alias("points"))
+
+
 def _route_table(s, d):
     return _route_rows(s, d).withColumn("raw_message_id", F.pmod(F.xxhash64("zone_id", "day", "threat"), F.lit(1 << 40))).select("raw_message_id", "threat", "points")
 
@@ -65,27 +84,26 @@ QUERIES = {
         networks.networks(networks.pairs(V.messages(s, d)), least_shared=1),
         V.messages(s, d).select("source_key").distinct().select("source_key", F.when(F.col("source_key") < "src2", "configured").alias("network")),
     ),
-    "n05_provenance_walk": _walked,
+    "n05_provenance_walk": lambda s, d: _walked(s, d).drop("text"),
     "n06_independent_sources": lambda s, d: networks.independent(_walked(s, d)),
     "n07_message_links": lambda s, d: V.messages(s, d).select("message_id", networks.message_link("https://example.org", F.col("source_key"), F.col("message_id")).alias("link")),
-    "n08_event_source_listing": lambda s, d: _walked(s, d)
-    .withColumn("total", F.sum(F.col("counted").cast("long")).over(Window.partitionBy("event_id")))
-    .withColumn("place", F.row_number().over(Window.partitionBy("event_id").orderBy(F.desc("contributed_at"), F.desc("raw_message_id"))))
-    .select("event_id", "place", "source_key", "total"),
+    "n08_event_source_listing": lambda s, d: networks.source_listing(_walked(s, d)).select("event_id", "place", "source_key", "total", "text"),
     "n09_lead_lag": lambda s, d: networks.lead_lag(V.messages(s, d)),
     "a06_latest_flag": lambda s, d: delivery.latest_flag(V.messages(s, d), "AKIA", "license|License", F.lit("2024-01-01 00:16:40").cast("timestamp")),
     "a07_routes": lambda s, d: _route_rows(s, d).select("zone_id", "day", "threat", F.size("points").alias("n_points")),
+    "a08_one_route_a_message": lambda s, d: delivery.upsert_routes(_legs(s, d).where("severity < 5"), _legs(s, d).where("severity > 2").withColumn("points", F.when(F.col("raw_message_id") % 5 != 0, F.col("points")))).select("raw_message_id", "threat", "severity"),
+    "a09_distinct_legs": lambda s, d: delivery.route_dedupe(_legs(s, d), 1_000_000).select("threat", "posted_at", "severity", F.sha1("points").isNotNull().alias("drawn")),
     "a08_route_upsert": lambda s, d: delivery.upsert_routes(_route_table(s, d).where("raw_message_id % 3 <> 0"), _route_table(s, d).where("raw_message_id % 3 = 0")).select("raw_message_id", "threat"),
     "a09_route_dedupe": lambda s, d: delivery.route_dedupe(_route_rows(s, d)),
-    "a33_watch_list": lambda s, d: V.incidents(s, d).where(F.arrays_overlap("zone_path", F.array(F.lit("n3"), F.lit("c7")))).select("id"),
-    "a34_alerts": lambda s, d: delivery.alerts(V.incidents(s, d).where("first_seen >= '2024-01-15'"), _subscriptions(s, d)),
+    "a33_watch_list": lambda s, d: delivery.watching(V.incidents(s, d), _subscriptions(s, d)).select("recipient", "id"),
+    "a34_alerts": lambda s, d: delivery.alerts(V.incidents(s, d), _subscriptions(s, d), _ledger(s, d), V.now()),
     "a35_line_suppression": lambda s, d: delivery.suppressed(
         V.observations(s, d).select(F.col("zone_id").alias("recipient"), F.concat("signal", F.lit(" "), "threat").alias("line"), F.col("moment").alias("at")), 720, 48
     ).groupBy("sent").agg(F.count(F.lit(1)).alias("n")),
     "a36_subscriptions": lambda s, d: delivery.subscriptions_latest(
         V.observations(s, d).select(F.col("zone_id").alias("recipient"), F.col("zone_path").alias("zones"), (F.col("severity") < 3).alias("active"), F.col("moment").alias("at"), F.col("raw_id").alias("change_id"))
     ).select("recipient", F.array_join("zones", ",").alias("zones")),
-    "a37_activity_journal": lambda s, d: V.read(s, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("actions"), F.max("ts").alias("last_at")),
+    "a37_activity_journal": lambda s, d: delivery.journal(_actions(s, d), _actions(s, d).where("recipient % 3 = 0")),
     "a38_corpus_profile": lambda s, d: delivery.profile(V.messages(s, d)),
     "a38_top_words": lambda s, d: delivery.top_words(V.messages(s, d)),
     "a38_first_lines": lambda s, d: delivery.repeated_first_lines(V.messages(s, d)),
@@ -94,7 +112,7 @@ QUERIES = {
     "a40_mentions": lambda s, d: delivery.mentions(V.messages(s, d), "@([a-z0-9_.]+)"),
     "a41_candidates": lambda s, d: delivery.candidates(V.messages(s, d), "the|que|der", "%%%|!!"),
     "s03_source_cursor": lambda s, d: ingest.cursor(V.messages(s, d), V.messages(s, d).where("message_id % 3 = 0").groupBy("source_key").agg((F.max("message_id") + 5).alias("last_id"))),
-    "s04_backfill_gap": lambda s, d: ingest.gap(V.messages(s, d), V.messages(s, d).where("message_id % 4 <> 1"), "2024-01-01 00:01:00", "2024-01-01 00:10:00"),
+    "s04_backfill_gap": lambda s, d: ingest.gap(V.messages(s, d), V.messages(s, d).where("message_id % 4 <> 1"), "2024-01-01 00:01:00", "2100-01-01 00:00:00"),
     "s10_layer_carry_over": lambda s, d: ingest.keep_facts(
         V.zones(s, d).select("zone_id", F.when(F.col("level") != "place", F.col("name")).alias("name")), V.zones(s, d).select("zone_id", F.upper("name").alias("name")), "zone_id", ("name",)
     ),
@@ -102,7 +120,7 @@ QUERIES = {
     "s13_retention_purge": lambda s, d: delivery.purge(V.messages(s, d), F.lit("2024-01-01 00:05:00").cast("timestamp"), 7).select("message_id"),
     "s14_table_counts": lambda s, d: ingest.counts({n: V.read(s, d, n) for n in ("events", "documents", "customer", "orders")}),
     "s02_idempotent_append": lambda s, d: ingest.append_new(V.messages(s, d).where("message_id % 2 = 0"), V.messages(s, d), ("source_key", "message_id")).select("message_id"),
-    "s15_window_read": lambda s, d: V.messages(s, d).where("message_id > 100").select("message_id", "posted_at"),
+    "s15_window_read": lambda s, d: ingest.window_read(V.messages(s, d), 100).select("message_id", "posted_at"),
 }
 _DUP = V.EVENT_SOURCES
 ORACLE = {
@@ -110,28 +128,34 @@ ORACLE = {
     "n02_components": f"{_M}, {_KEYED}, {_PAIRS}, {_NETS} SELECT * FROM roots",
     "n03_networks": f"{_M}, {_KEYED}, {_PAIRS}, {_NETS} SELECT * FROM nets",
     "n04_resolved_networks": f"{_M}, {_KEYED}, {_PAIRS}, {_NETS} SELECT source_key, coalesce(n.network, CASE WHEN source_key < 'src2' THEN 'configured' END) AS network FROM (SELECT DISTINCT source_key FROM messages) LEFT JOIN nets n USING (source_key)",
-    "n05_provenance_walk": f"{_WALK} SELECT * FROM walk",
+    "n05_provenance_walk": f"{_WALK} SELECT * EXCLUDE (text) FROM walk",
     "n06_independent_sources": f"{_WALK} SELECT event_id, count(*) FILTER (counted) AS voices FROM walk GROUP BY event_id",
     "n07_message_links": "SELECT doc_id AS message_id, 'https://example.org/' || source || '/' || doc_id AS link FROM documents",
-    "n08_event_source_listing": f"{_WALK} SELECT event_id, (row_number() OVER (PARTITION BY event_id ORDER BY contributed_at DESC, raw_message_id DESC))::INT AS place, source_key, (sum(counted::INT) OVER (PARTITION BY event_id))::BIGINT AS total FROM walk",
+    "n08_event_source_listing": f"{_WALK} SELECT event_id, (row_number() OVER (PARTITION BY event_id ORDER BY contributed_at DESC, raw_message_id DESC))::INT AS place, source_key, (sum(counted::INT) OVER (PARTITION BY event_id))::BIGINT AS total, text FROM walk",
     "n09_lead_lag": f"""{_M}, {_KEYED}, span AS (SELECT source_key, min(posted_at) AS since, max(posted_at) AS until FROM messages GROUP BY 1),
-firsts AS (SELECT k.source_key, key, min(posted_at) AS at_, any_value(since) AS since, any_value(until) AS until FROM keyed k JOIN span USING (source_key) GROUP BY 1, 2)
-SELECT a.source_key AS a, b.source_key AS b, count(*) AS shared, count(*) FILTER (a.at_ < b.at_) AS a_first, median(abs(epoch_us(a.at_) - epoch_us(b.at_)) / 1e6) AS median_lag,
-  round(avg(CASE WHEN abs(epoch_us(a.at_) - epoch_us(b.at_)) <= 180000000 THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS within_3_min
-FROM firsts a JOIN firsts b ON a.key = b.key AND a.source_key < b.source_key WHERE least(a.at_, b.at_) >= greatest(a.since, b.since) AND greatest(a.at_, b.at_) <= least(a.until, b.until) GROUP BY 1, 2""",
+couples AS (SELECT a.source_key AS a, b.source_key AS b, greatest(a.since, b.since) AS low, least(a.until, b.until) AS high FROM span a JOIN span b ON a.source_key < b.source_key),
+fa AS (SELECT a, b, key, min(posted_at) AS at_ FROM couples JOIN keyed ON source_key = a AND posted_at BETWEEN low AND high GROUP BY 1, 2, 3),
+fb AS (SELECT a, b, key, min(posted_at) AS at_ FROM couples JOIN keyed ON source_key = b AND posted_at BETWEEN low AND high GROUP BY 1, 2, 3),
+na AS (SELECT a, b, count(*) AS n FROM fa GROUP BY 1, 2), nb AS (SELECT a, b, count(*) AS n FROM fb GROUP BY 1, 2)
+SELECT a, b, count(*) AS shared, count(*) FILTER (fa.at_ < fb.at_) AS a_first, median(abs(epoch_us(fa.at_) - epoch_us(fb.at_)) / 1e6) AS median_lag,
+  round(avg(CASE WHEN abs(epoch_us(fa.at_) - epoch_us(fb.at_)) <= 180000000 THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS within_3_min, round(count(*) / least(any_value(na.n), any_value(nb.n)), 4) AS share_of_smaller
+FROM fa JOIN fb USING (a, b, key) JOIN na USING (a, b) JOIN nb USING (a, b) GROUP BY 1, 2""",
     "a06_latest_flag": f"""{_M}, ranked AS (SELECT *, row_number() OVER (PARTITION BY source_key ORDER BY posted_at DESC, message_id DESC) AS rn FROM messages), judged AS (
   SELECT *, bool_or(posted_at < TIMESTAMP '2024-01-01 00:16:40' - INTERVAL 12 HOUR) OVER (PARTITION BY source_key ORDER BY rn) AS stale, CASE WHEN regexp_matches(text, 'AKIA') THEN 'closed' WHEN regexp_matches(text, 'license|License') THEN 'open' END AS state FROM ranked WHERE rn <= 30)
 SELECT source_key, arg_min(state, rn) AS state, arg_min(posted_at, rn) AS posted_at FROM judged WHERE NOT stale AND state IS NOT NULL GROUP BY source_key""",
-    "a33_watch_list": f"WITH {V.INCIDENTS} SELECT id FROM incidents WHERE list_has_any(zone_path, ['n3', 'c7'])",
-    "a34_alerts": f"""WITH {V.INCIDENTS}, {_SUBS}, met AS (SELECT DISTINCT recipient, id, resolved_at FROM (SELECT id, resolved_at, unnest(zone_path) AS zone FROM incidents WHERE first_seen >= TIMESTAMP '2024-01-15') JOIN subs USING (zone))
-SELECT recipient, id AS alert FROM met UNION ALL SELECT recipient, id || ':clear' FROM met WHERE resolved_at IS NOT NULL""",
+    "a08_one_route_a_message": f"WITH {V.OBSERVATIONS} SELECT raw_id AS raw_message_id, threat, severity FROM observations WHERE severity <= 2 OR raw_id % 5 <> 0",
+    "a09_distinct_legs": f"WITH {V.OBSERVATIONS} SELECT threat, max(moment) AS posted_at, max(severity) AS severity, true AS drawn FROM observations GROUP BY zone_id, threat",
+    "a33_watch_list": f"WITH {V.INCIDENTS}, {_SUBS} SELECT DISTINCT recipient, id FROM (SELECT id, unnest(zone_path) AS zone FROM incidents) JOIN subs USING (zone)",
+    "a34_alerts": f"""WITH {V.INCIDENTS}, {_SUBS}, met AS (SELECT DISTINCT recipient, id, resolved_at, first_seen FROM (SELECT id, resolved_at, first_seen, unnest(zone_path) AS zone FROM incidents) JOIN subs USING (zone))
+SELECT recipient, CASE WHEN resolved_at IS NULL THEN id ELSE id || ':clear' END AS alert FROM met
+WHERE NOT (resolved_at IS NULL AND floor(epoch_us(first_seen) / 1000000)::BIGINT % 3 = 0 AND floor(epoch_us(first_seen) / 1000000)::BIGINT % 2 = 1)""",
     "a35_line_suppression": f"""WITH {V.OBSERVATIONS}, rows_ AS (SELECT zone_id AS recipient, signal || ' ' || threat AS line, moment AS at_, raw_id FROM observations),
 e AS (SELECT *, floor((epoch_us(at_) - epoch_us(min(at_) OVER (PARTITION BY recipient, line))) / 1e6 / 172800) AS epoch FROM rows_),
 f AS (SELECT *, row_number() OVER (PARTITION BY recipient, line, epoch ORDER BY at_) AS n, min(at_) OVER (PARTITION BY recipient, line, epoch) AS began FROM e)
 SELECT n = 1 OR epoch_us(at_) - epoch_us(began) >= 43200000000 AS sent, count(*) AS n FROM f GROUP BY 1""",
     "a36_subscriptions": f"""WITH {V.OBSERVATIONS}, last AS (SELECT zone_id AS recipient, arg_max(zone_path, (moment, raw_id)) AS zones, arg_max(severity < 3, (moment, raw_id)) AS active FROM observations GROUP BY 1)
 SELECT recipient, array_to_string(zones, ',') AS zones FROM last WHERE active""",
-    "a37_activity_journal": "SELECT user_id, event_type, count(*) AS actions, max(ts) AS last_at FROM events GROUP BY 1, 2",
+    "a37_activity_journal": "SELECT DISTINCT user_id AS recipient, event_type AS action, props AS detail, ts AS \"at\" FROM events WHERE user_id % 3 <> 0",
     "a38_corpus_profile": f"""{_M} SELECT count(*) AS texts, median(length(text)) AS median_length, max(length(text)) AS max_length, median(len(string_split(text, chr(10)))) AS median_lines,
   round(avg(CASE WHEN regexp_matches(text, '[0-9]') THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS with_digit, round(avg(CASE WHEN regexp_matches(text, '!') THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS with_bang FROM messages""",
     "a38_top_words": f"{_M} SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(text), '[a-z]{{4,}}')) AS word FROM messages) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
@@ -143,7 +167,7 @@ SELECT recipient, array_to_string(zones, ',') AS zones FROM last WHERE active"""
   SELECT source_key, count(*) AS texts, round(avg(CASE WHEN regexp_matches(text, 'the|que|der') THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS alert_share, round(avg(CASE WHEN regexp_matches(text, '%%%|!!') THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS noise_share FROM ranked WHERE rn <= 40 GROUP BY 1)
 SELECT *, texts >= 5 AND alert_share >= 0.5 AND noise_share <= 0.2 AS suitable FROM shares""",
     "s03_source_cursor": f"{_M} SELECT source_key, greatest(max(message_id), coalesce(max(message_id) FILTER (message_id % 3 = 0) + 5, 0)) AS last_id FROM messages GROUP BY 1",
-    "s04_backfill_gap": f"{_M} SELECT source_key, count(*) AS missing FROM messages WHERE message_id % 4 = 1 AND posted_at BETWEEN TIMESTAMP '2024-01-01 00:01:00' AND TIMESTAMP '2024-01-01 00:10:00' GROUP BY 1",
+    "s04_backfill_gap": f"{_M} SELECT source_key, count(*) AS missing FROM messages WHERE message_id % 4 = 1 AND posted_at BETWEEN TIMESTAMP '2024-01-01 00:01:00' AND TIMESTAMP '2100-01-01 00:00:00' GROUP BY 1",
     "s10_layer_carry_over": f"WITH {V.ZONES} SELECT zone_id, CASE WHEN level <> 'place' THEN name ELSE upper(name) END AS name FROM zones",
     "s12_retention_report": f"""WITH {_DUP}, {V.MESSAGES} SELECT (SELECT count(*) FROM messages) AS total, (SELECT count(*) FROM messages WHERE posted_at < TIMESTAMP '2024-01-01 00:05:00') AS older, (SELECT min(posted_at) FROM messages) AS oldest,
   (SELECT count(*) FROM event_sources WHERE raw_message_id IN (SELECT message_id FROM messages WHERE posted_at < TIMESTAMP '2024-01-01 00:05:00')) AS affected""",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from siftline.functions import scoring as S
+from siftline.functions import text
 from siftline.operators import linking, spatial
 from siftline.plans import views as V
 
@@ -28,11 +29,23 @@ def _adjectives(s, d):
     return grams, linking.candidates(grams, index), index, zones
 
 
+def _home_sources(s, d):
+    """Customers as sources at home in their region; every fourth names its nation instead, which is none."""
+    rows = V.read(s, d, "customer").join(V.read(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(V.read(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return rows.select(F.concat(F.lit("s"), "c_custkey").alias("source_key"), F.when(F.col("c_custkey") % 4 == 3, F.col("n_name")).otherwise(F.lower("r_name")).alias("region"))
+
+
 def _linked(s, d):
     z = _zones(s, d)
     return linking.link(_phrases(s, d), z, linking.name_index(z))
 
 
+def _asked_names(s, d):
+    """All names of zones, whole and cut to their first eight and seventeen letters."""
+    name = F.lower("name")
+    return _zones(s, d).select(F.explode(F.array(name, F.substring(name, 1, 8), F.substring(name, 1, 17))).alias("query")).distinct()
+
+
 def _squares(s, d):
     """One square of 4 degrees per nation, with a hole for every fifth."""
     n = V.read(s, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("feature_id"), (20 + F.col("n_nationkey") % 5 * 5.0).alias("x"), (40 + F.floor(F.col("n_nationkey") / 5) * 1.5).alias("y"), F.col("n_nationkey").alias("k"))
@@ -56,19 +69,71 @@ _LINK = f"""WITH {V.ZONES}, given AS (SELECT o_orderkey AS message_id, o_orderke
 linked AS (SELECT message_id, 'n' || n_nationkey AS zone_id FROM given UNION ALL SELECT message_id, 'c' || c_custkey FROM given WHERE near)"""
 
 
+def _shapes(s, d):
+    """One square per supplier, of 0.1 to 0.5 degrees, off the lines of the nations' squares."""
+    n = V.read(s, d, "supplier").select(
+        F.concat(F.lit("s"), "s_suppkey").alias("feature_id"),
+        (F.lit(20.003) + (F.col("s_suppkey") * 37 % 2500) / F.lit(100.0)).alias("x"),
+        (F.lit(40.003) + (F.col("s_suppkey") * 91 % 1100) / F.lit(100.0)).alias("y"),
+        ((F.col("s_suppkey") % 5 + 1) / F.lit(10.0)).alias("side"),
+    )
+    corner = lambda i, x, y: F.struct(F.lit(i).alias("seq"), (F.col("x") + F.col("side") * x).alias("lon"), (F.col("y") + F.col("side") * y).alias("lat"))
+    ring = F.array(*[corner(i, x, y) for i, (x, y) in enumerate(((0, 0), (1, 0), (1, 1), (0, 1), (0, 0)))])
+    return n.select("feature_id", F.lit(0).alias("part"), F.lit(0).alias("ring"), F.explode(ring).alias("v")).select("feature_id", "part", "ring", "v.seq", "v.lon", "v.lat")
+
+
+_SHAPES = """shapes AS (SELECT 's' || s_suppkey AS feature_id, 20.003::DOUBLE + (s_suppkey * 37 % 2500) / 100.0::DOUBLE AS x, 40.003::DOUBLE + (s_suppkey * 91 % 1100) / 100.0::DOUBLE AS y, (s_suppkey % 5 + 1) / 10.0::DOUBLE AS side FROM supplier)"""
+
+
 def _registry(s, d):
-    return V.read(s, d, "lineitem").select(F.concat(F.lit("u"), F.col("l_suppkey") % 40).alias("unit"), F.concat(F.lit("m"), F.col("l_partkey") % 300).alias("member"), (F.col("l_partkey") % 300 * 97 % 9000).alias("population")).distinct()
+    """Units of eight parts; every fifth part is a member of the next unit as well."""
+    part = V.read(s, d, "part").withColumn("k", F.floor(F.col("p_partkey") / 8))
+    units = F.when(F.col("p_partkey") % 5 == 0, F.array(F.col("k"), F.col("k") + 1)).otherwise(F.array("k"))
+    return part.select(F.explode(units).alias("u"), F.concat(F.lit("m"), "p_partkey").alias("member"), (F.col("p_partkey") * 97 % 9000).alias("population")).select(F.concat(F.lit("u"), "u").alias("unit"), "member", "population")
 
 
 def _polygons(s, d):
-    return _registry(s, d).where("substring(member, 2) % 7 <> 0").select(F.concat(F.lit("p"), F.substring("unit", 2, 9)).alias("polygon"), "member", "population")
+    """For each unit a polygon with most of its members, and one with half of them."""
+    part = V.read(s, d, "part").withColumn("k", F.floor(F.col("p_partkey") / 8))
+    rows = lambda name, keep: part.where(keep).select(F.concat(F.lit(name), "k").alias("polygon"), F.concat(F.lit("m"), "p_partkey").alias("member"), (F.col("p_partkey") * 97 % 9000).alias("population"))
+    return rows("p", F.col("p_partkey") % 7 != 0).unionByName(rows("q", F.col("p_partkey") % 2 == 0))
 
 
-_REG = """reg AS (SELECT DISTINCT 'u' || (l_suppkey % 40) AS unit, 'm' || (l_partkey % 300) AS member, l_partkey % 300 * 97 % 9000 AS population, l_partkey % 300 AS k FROM lineitem),
-poly AS (SELECT 'p' || substr(unit, 2) AS polygon, member, population FROM reg WHERE k % 7 <> 0),
-hits AS (SELECT polygon, unit, count(*) AS hits FROM poly JOIN reg USING (member) GROUP BY 1, 2), sizes AS (SELECT unit, count(*) AS size FROM reg GROUP BY 1),
+_REG = """reg AS (SELECT 'u' || unnest(CASE WHEN p_partkey % 5 = 0 THEN [p_partkey // 8, p_partkey // 8 + 1] ELSE [p_partkey // 8] END) AS unit, 'm' || p_partkey AS member, p_partkey * 97 % 9000 AS population FROM part),
+poly AS (SELECT 'p' || (p_partkey // 8) AS polygon, 'm' || p_partkey AS member, p_partkey * 97 % 9000 AS population FROM part WHERE p_partkey % 7 <> 0
+  UNION ALL SELECT 'q' || (p_partkey // 8), 'm' || p_partkey, p_partkey * 97 % 9000 FROM part WHERE p_partkey % 2 = 0),
+hits AS (SELECT polygon, unit, count(*) AS hits FROM poly JOIN reg USING (member) GROUP BY 1, 2), sizes AS (SELECT unit, count(DISTINCT member) AS size FROM reg GROUP BY 1),
 ranked AS (SELECT *, hits * hits / size AS score, row_number() OVER w AS rn, lead(hits * hits / size) OVER w AS second FROM hits JOIN sizes USING (unit) WINDOW w AS (PARTITION BY polygon ORDER BY hits * hits / size DESC, unit))"""
 
+
+def _gazetteer(s, d):
+    """Regions, districts and, by the name of their customer's segment, places; so many names are shared."""
+    region = V.read(s, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("source_id"), F.lit(None).cast("string").alias("parent_source"), F.lit("region").alias("level"), F.col("r_name").alias("name"))
+    nation = V.read(s, d, "nation").select(F.concat(F.lit("n"), "n_nationkey").alias("source_id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_source"), F.lit("district").alias("level"), F.col("n_name").alias("name"))
+    parent = F.when(F.col("c_custkey") % 9 != 4, F.concat(F.lit("n"), "c_nationkey"))
+    place = V.read(s, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("source_id"), parent.alias("parent_source"), F.lit("place").alias("level"), F.col("c_mktsegment").alias("name"))
+    return spatial.gazetteer(region, nation, place)
+
+
+_GAZ = """sources AS (SELECT 'r' || r_regionkey AS source_id, NULL AS parent_source, 'region' AS level, r_name AS name FROM region
+  UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'district', n_name FROM nation UNION ALL SELECT 'c' || c_custkey, CASE WHEN c_custkey % 9 <> 4 THEN 'n' || c_nationkey END, 'place', c_mktsegment FROM customer),
+based AS (SELECT *, regexp_replace(regexp_replace(lower(name), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS base FROM sources),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY level, source_id) AS n FROM based),
+slugged AS (SELECT source_id, parent_source, level, name, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS zone_id FROM numbered),
+gaz AS (SELECT a.source_id, a.level, a.name, a.zone_id, b.zone_id AS parent_id FROM slugged a LEFT JOIN slugged b ON a.parent_source = b.source_id)"""
+
+
+def _parted(s, d):
+    """Four suppliers' squares as the parts of one feature."""
+    k = F.substring("feature_id", 2, 12).cast("long")
+    return _shapes(s, d).withColumns({"feature_id": F.concat(F.lit("f"), F.floor(k / 4)), "part": (k % 4).cast("int")})
+
+
+def _layer(s, d):
+    """Parts as features of a thematic layer."""
+    return V.read(s, d, "part").select(F.col("p_partkey").alias("feature_id"), F.col("p_type").alias("kind"), F.col("p_name").alias("name"), F.col("p_size").cast("double").alias("measure"))
+
+
 QUERIES = {
     "g01_name_index": lambda s, d: linking.name_index(_zones(s, d)).select("norm", "zone_id"),
     "g02_aliases": lambda s, d: linking.name_index(_zones(s, d), V.read(s, d, "nation").select(F.concat(F.lit("old land "), "n_nationkey").alias("alias"), F.translate("n_name", "_", " ").alias("target")))
@@ -83,34 +148,46 @@ QUERIES = {
     ).select("message_id", "zone_id"),
     "g03_closure": lambda s, d: linking.closure(V.zones(s, d)),
     "g03_zone_paths": lambda s, d: linking.paths(V.zones(s, d)).select("zone_id", F.array_join("zone_path", ">").alias("path")),
-    "g04_ngrams": lambda s, d: linking.ngrams(V.zones(s, d).where("level <> 'place'").select(F.col("zone_id").alias("message_id"), F.lit(0).alias("pos"), F.translate("name", "_", " ").alias("phrase"))).select("message_id", "start", "size", "gram"),
+    "g04_ngrams": lambda s, d: linking.ngrams(V.zones(s, d).select(F.col("zone_id").alias("message_id"), F.lit(0).alias("pos"), F.translate("name", "_#", "  ").alias("phrase"))).select("message_id", "start", "size", "gram"),
     "g10_linked_zones": lambda s, d: _linked(s, d).select("message_id", "zone_id"),
     "g13_uncovered_zones": lambda s, d: linking.drop_covered(_linked(s, d), _zones(s, d)).select("message_id", "zone_id"),
     "g14_primary_zone": lambda s, d: linking.primary(_linked(s, d)).select("message_id", "zone_id"),
     "g15_destinations": lambda s, d: linking.destinations(_linked(s, d), _linked(s, d).where("level = 'district'")),
-    "g16_source_home": lambda s, d: linking.home_of(V.read(s, d, "region").select(F.concat(F.lit("s"), "r_regionkey").alias("source_key"), F.upper("r_name").alias("region")), V.zones(s, d)),
+    "g16_source_home": lambda s, d: linking.home_of(_home_sources(s, d), V.zones(s, d)),
+    "g16_unmatched_regions": lambda s, d: linking.unmatched_regions(_home_sources(s, d), V.zones(s, d)),
     "g17_catalog_guard": lambda s, d: linking.guarded(V.observations(s, d).select(F.col("zone_id").alias("message_id"), "raw_id"), 60).select("message_id", "raw_id"),
     "g18_prefix_search": lambda s, d: linking.prefix_search(_zones(s, d), linking.name_index(_zones(s, d)), "nation 1"),
-    "g19_find_zone": lambda s, d: linking.find_zone(_zones(s, d), linking.name_index(_zones(s, d)), _zones(s, d).where("level <> 'place'").select(F.lower("name").alias("query"))),
-    "g21_zone_centres": lambda s, d: _squares(s, d).groupBy("feature_id").agg(F.round(F.avg("lon"), 6).alias("lon"), F.round(F.avg("lat"), 6).alias("lat")),
+    "g19_find_zone": lambda s, d: linking.find_zone(_zones(s, d), linking.name_index(_zones(s, d)), _asked_names(s, d)),
+    "g21_extra_zones": lambda s, d: linking.extra_zones(_shapes(s, d), V.zones(s, d).where("level = 'region'")).select("zone_id", "level", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat")),
     "p01_containment": lambda s, d: spatial.contains(_points(s, d), _squares(s, d)),
     "p02_smallest_containing": lambda s, d: spatial.smallest_containing(_points(s, d), _squares(s, d)),
     "p03_nearest_zone": lambda s, d: spatial.nearest(_points(s, d), spatial.contains(_points(s, d), _squares(s, d)), V.zones(s, d).where("level = 'district'").select(F.col("zone_id").alias("feature_id"), "lon", "lat")),
     "p04_majority_parent": lambda s, d: spatial.majority_parent(_points(s, d).withColumn("unit_id", F.concat(F.lit("u"), F.substring("point_id", 2, 9).cast("int") % 50)), _squares(s, d)),
     "p05_composition": lambda s, d: spatial.composition(_polygons(s, d), _registry(s, d)),
-    "p06_anchor_match": lambda s, d: spatial.anchor_match(_polygons(s, d), _registry(s, d).where("unit < 'u2'")),
+    "p06_anchor_match": lambda s, d: spatial.anchor_match(_polygons(s, d), _registry(s, d)),
     "p07_claims": lambda s, d: spatial.claim(spatial.composition(_polygons(s, d), _registry(s, d))).select("polygon", "unit"),
-    "p08_gazetteer": lambda s, d: spatial.gazetteer(*[V.zones(s, d).where(F.col("level") == x).select(F.col("zone_id").alias("source_id"), "level", F.substring("name", 1, 9).alias("name")) for x in ("region", "district", "place")]).select("source_id", "zone_id"),
-    "p10_touching": lambda s, d: spatial.touching(_squares(s, d).where("feature_id < 'n2'").withColumn("lon", F.col("lon") + 0.5).withColumn("lat", F.col("lat") + 0.25), _squares(s, d).where("feature_id >= 'n2'")),
+    "p08_gazetteer": lambda s, d: _gazetteer(s, d).select("source_id", "zone_id", "parent_id", "level"),
+    "p08_zone_names": lambda s, d: spatial.zone_names(_gazetteer(s, d)),
+    "p08_orphans": lambda s, d: spatial.orphans(_gazetteer(s, d)),
+    "p09_facts_written_back": lambda s, d: spatial.write_facts(
+        V.read(s, d, "customer").select(F.concat(F.lit("c"), "c_custkey").alias("source_id"), F.lit("old").alias("name"), F.col("c_acctbal").alias("other")), _gazetteer(s, d)
+    ),
+    "p10_touching": lambda s, d: spatial.touching(_shapes(s, d), _squares(s, d)),
     "p11_share_inside": lambda s, d: spatial.share_inside(_points(s, d).select(F.concat(F.lit("f"), F.substring("point_id", 2, 9).cast("int") % 80).alias("feature_id"), F.lit(0).alias("part"), F.lit(0).alias("ring"), F.col("point_id").alias("seq"), "lon", "lat"), _squares(s, d), 0.3),
-    "p12_rounded_coordinates": lambda s, d: _points(s, d).select("point_id", F.round("lon", 1).alias("lon"), F.round("lat", 1).alias("lat")),
+    "p12_rounded_coordinates": lambda s, d: spatial.compacted(_points(s, d).withColumn("unused", F.lit(1)), {"point_id": F.col("point_id")}, 1),
     "p13_layer_classes": lambda s, d: V.read(s, d, "part").select("p_partkey", spatial.layer_class(F.col("p_type"), {"ECONOMY": "minor", "SMALL": "minor", "LARGE": "major"}).alias("class")),
     "p14_tiered_grid": lambda s, d: spatial.tiers(V.zones(s, d).where("level = 'place'").select("lon", "lat", (F.col("population") / 10).alias("upland"), (F.col("population") % 200).alias("flow"))),
-    "p15_places_order": lambda s, d: V.zones(s, d).where("level = 'place'").orderBy(F.desc("population"), "name").limit(50).select("zone_id", "population"),
-    "p16_layer_summary": lambda s, d: V.zones(s, d).groupBy("level").agg(F.count(F.lit(1)).alias("n")),
-    "p18_ring_areas": lambda s, d: spatial.ring_area(_squares(s, d)).select("feature_id", "ring", F.round("area", 6).alias("area")),
+    "p13_layer": lambda s, d: spatial.layer(_layer(s, d), {"ECONOMY": ("minor", 8), "SMALL": ("minor", 9), "LARGE": ("major", 5)}, 20.0).select("feature_id", "class", "zoom", "part"),
+    "p15_places_order": lambda s, d: spatial.places_union(
+        V.read(s, d, "customer").select(F.col("c_name").alias("name"), F.floor("c_acctbal").alias("population")), V.read(s, d, "supplier").select(F.col("s_name").alias("name"), F.floor("s_acctbal").alias("population")), 5000
+    ),
+    "p16_layer_summary": lambda s, d: spatial.layer_summary({"regions": V.read(s, d, "region"), "districts": V.read(s, d, "nation"), "places": V.read(s, d, "customer")}),
+    "p17_rounded_rings": lambda s, d: spatial.rounded(_shapes(s, d), 1).groupBy("feature_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("lon"), 3).alias("lons")),
+    "p18_ring_areas": lambda s, d: spatial.ring_area(_shapes(s, d).unionByName(_squares(s, d))).select("feature_id", "ring", F.round("area", 6).alias("area")),
+    "p18_without_specks": lambda s, d: spatial.without_specks(_parted(s, d), 0.05).select("feature_id", "part").distinct(),
     "p19_active_layer": lambda s, d: spatial.active_layer(V.incidents(s, d), V.zones(s, d), ("region", "district")).select("zone_id", "level"),
 }
+_ENDINGS = "|".join(text.ENDINGS)
 _NAME = "lower(replace(replace(name, '_', ' '), '#', ' '))"
 ORACLE = {
     "g02_aliases": "SELECT 'old land ' || n_nationkey AS norm, 'n' || n_nationkey AS zone_id FROM nation",
@@ -118,18 +195,24 @@ ORACLE = {
     "g12_groups": f"WITH {V.OBSERVATIONS}, {V.ZONES} SELECT m AS message_id, z.zone_id FROM (SELECT DISTINCT zone_id AS m, zone_path[3] AS r FROM observations) JOIN zones z ON z.parent_id = r AND z.level = 'district'",
     "g03_closure": f"WITH {V.ZONES}, {_PATH} SELECT zone_id, zone_path[i] AS ancestor_id, (i - 1)::INT AS depth FROM (SELECT *, unnest(range(1, len(zone_path) + 1)) AS i FROM paths)",
     "g03_zone_paths": f"WITH {V.ZONES}, {_PATH} SELECT zone_id, array_to_string(zone_path, '>') AS path FROM paths",
-    "g04_ngrams": f"""WITH {V.ZONES}, w AS (SELECT zone_id AS message_id, string_split(lower(replace(name, '_', ' ')), ' ') AS words FROM zones WHERE level <> 'place'),
+    "g04_ngrams": f"""WITH {V.ZONES}, w AS (SELECT zone_id AS message_id, string_split(lower(replace(replace(name, '_', ' '), '#', ' ')), ' ') AS words FROM zones),
 g AS (SELECT *, unnest(range(1, len(words) + 1)) AS start FROM w), h AS (SELECT *, unnest(range(1, least(4, len(words) - start + 1) + 1)) AS size FROM g)
 SELECT message_id, start::INT AS start, size::INT AS size, array_to_string(words[start:start + size - 1], ' ') AS gram FROM h""",
     "g10_linked_zones": f"{_LINK} SELECT message_id, zone_id FROM linked",
     "g13_uncovered_zones": f"{_LINK} SELECT message_id, CASE WHEN near THEN 'c' || c_custkey ELSE 'n' || n_nationkey END AS zone_id FROM given",
     "g14_primary_zone": f"{_LINK} SELECT message_id, CASE WHEN near THEN 'c' || c_custkey ELSE 'n' || n_nationkey END AS zone_id FROM given",
     "g15_destinations": f"{_LINK} SELECT message_id, 'c' || c_custkey AS zone_id FROM given WHERE near",
-    "g16_source_home": "SELECT 's' || r_regionkey AS source_key, 'r' || r_regionkey AS home_zone FROM region",
+    "g16_source_home": "SELECT 's' || c_custkey AS source_key, CASE WHEN c_custkey % 4 <> 3 THEN 'r' || n_regionkey END AS home_zone FROM customer JOIN nation ON c_nationkey = n_nationkey",
+    "g16_unmatched_regions": "SELECT DISTINCT n_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 4 = 3",
     "g17_catalog_guard": f"WITH {V.OBSERVATIONS} SELECT zone_id AS message_id, raw_id FROM (SELECT *, count(*) OVER (PARTITION BY zone_id) AS n FROM observations) WHERE n <= 60",
     "g18_prefix_search": f"""WITH {V.ZONES} SELECT z.zone_id, replace(replace(z.name, '_', ' '), '#', ' ') AS name, z.level, replace(p.name, '_', ' ') AS parent_name, NULL::VARCHAR AS grandparent_name, length(z.name)::INT AS matched
   FROM zones z JOIN zones p ON p.zone_id = z.parent_id WHERE lower(replace(z.name, '_', ' ')) LIKE 'nation 1%' ORDER BY matched, z.zone_id LIMIT 12""",
-    "g21_zone_centres": f"WITH {V.ZONES}, {_SQ} SELECT feature_id, round(CASE WHEN hole THEN (5 * x + 8 + 5 * x + 7) / 10 ELSE x + 8 / 5.0::DOUBLE END, 6) AS lon, round(CASE WHEN hole THEN (5 * y + 8 + 5 * y + 7) / 10 ELSE y + 8 / 5.0::DOUBLE END, 6) AS lat FROM boxes",
+    "g21_extra_zones": f"WITH {V.ZONES}, {_SHAPES} SELECT feature_id AS zone_id, 'region' AS level, round((5 * x + 2 * side) / 5, 6) AS lon, round((5 * y + 2 * side) / 5, 6) AS lat FROM shapes UNION ALL SELECT zone_id, level, round(lon, 6), round(lat, 6) FROM zones WHERE level = 'region'",
+    "g01_name_index": f"WITH {V.ZONES} SELECT {_NAME} AS norm, zone_id FROM zones",
+    "g06_district_to_city": f"""WITH {V.ZONES}, towns AS (SELECT zone_id, population, regexp_replace('town' || translate(zone_id, 'c0123456789', 'xabcdefghij'), '^(.{{3,}}?)(?:{_ENDINGS})$', '\\1') AS stem FROM zones WHERE level = 'place')
+SELECT a.zone_id AS message_id, b.zone_id FROM towns a JOIN towns b USING (stem) WHERE b.population >= 20000""",
+    "g19_find_zone": f"""WITH {V.ZONES}, names AS (SELECT {_NAME} AS norm, zone_id, level, population FROM zones), asked AS (SELECT DISTINCT unnest([norm, substr(norm, 1, 8), substr(norm, 1, 17)]) AS query FROM names)
+SELECT query, arg_min(zone_id, (norm <> query, CASE level WHEN 'region' THEN 0 WHEN 'district' THEN 1 ELSE 2 END, coalesce(-population, 1), zone_id)) AS zone_id, bool_or(norm = query) AS exact FROM asked JOIN names ON starts_with(norm, query) GROUP BY query""",
     "p01_containment": f"{_P} SELECT point_id, feature_id FROM inside",
     "p02_smallest_containing": f"{_P} SELECT point_id, arg_min(feature_id, (area, feature_id)) AS feature_id FROM inside GROUP BY 1",
     "p03_nearest_zone": f"""{_P}, lost AS (SELECT * FROM points WHERE point_id NOT IN (SELECT point_id FROM inside)), far AS (SELECT point_id, zone_id AS feature_id, {S.km_sql("p.lat", "p.lon", "z.lat", "z.lon")} AS d FROM lost p, zones z WHERE level = 'district')
@@ -138,16 +221,25 @@ SELECT point_id, arg_min(feature_id, (d, feature_id)) AS feature_id FROM far GRO
 SELECT unit_id, arg_min(feature_id, (area, feature_id)) AS feature_id FROM m WHERE n >= 0.9::DOUBLE * most GROUP BY 1""",
     "p05_composition": f"WITH {_REG} SELECT polygon, unit, hits, score FROM ranked WHERE rn = 1 AND hits >= 3 AND score >= 1 AND (second IS NULL OR score >= 1.1::DOUBLE * second)",
     "p06_anchor_match": f"""WITH {_REG}, top AS (SELECT polygon, max(population) AS population, arg_max(member, (population, member)) AS member FROM poly GROUP BY 1)
-SELECT polygon, min(unit) AS unit FROM top t JOIN reg r ON t.member = r.member WHERE t.population >= 5000 AND unit < 'u2' GROUP BY 1 HAVING count(*) = 1""",
+SELECT polygon, min(unit) AS unit FROM top t JOIN reg r ON t.member = r.member WHERE t.population >= 5000 GROUP BY 1 HAVING count(*) = 1""",
     "p07_claims": f"WITH {_REG}, m AS (SELECT * FROM ranked WHERE rn = 1 AND hits >= 3 AND score >= 1 AND (second IS NULL OR score >= 1.1::DOUBLE * second)) SELECT arg_min(polygon, (-score, polygon)) AS polygon, unit FROM m GROUP BY unit",
-    "p08_gazetteer": f"""WITH {V.ZONES}, b AS (SELECT zone_id AS source_id, level, regexp_replace(regexp_replace(lower(substr(name, 1, 9)), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS base FROM zones), n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY level, source_id) AS n FROM b)
-SELECT source_id, CASE WHEN n = 1 THEN base ELSE base || '_' || n END AS zone_id FROM n""",
+    "p08_gazetteer": f"WITH {_GAZ} SELECT source_id, zone_id, parent_id, level FROM gaz",
+    "p08_zone_names": f"WITH {_GAZ} SELECT zone_id, replace(lower(name), '_', '_') AS norm, 'primary' AS kind FROM gaz",
+    "p08_orphans": f"WITH {_GAZ} SELECT level, count(*) AS zones, count(*) FILTER (parent_id IS NULL AND level <> 'region') AS orphans FROM gaz GROUP BY 1",
+    "p09_facts_written_back": f"""WITH {_GAZ} SELECT source_id, c_acctbal AS other, g.name, zone_id AS zone, parent_id AS parent FROM gaz g JOIN customer ON source_id = 'c' || c_custkey""",
+    "p10_touching": f"""WITH {V.ZONES}, {_SQ}, {_SHAPES}, our AS (SELECT feature_id, x + unnest([0, side, side, 0]) AS lon, y + unnest([0, 0, side, side]) AS lat FROM shapes),
+their AS (SELECT x + unnest([0, 4, 4, 0]) AS lon, y + unnest([0, 0, 4, 4]) AS lat FROM boxes UNION ALL SELECT x + unnest([1, 2, 2, 1]), y + unnest([1, 1, 2, 2]) FROM boxes WHERE hole)
+SELECT DISTINCT feature_id FROM (SELECT our.feature_id FROM our JOIN boxes ON lon > x AND lon < x + 4 AND lat > y AND lat < y + 4 AND NOT (hole AND lon > x + 1 AND lon < x + 2 AND lat > y + 1 AND lat < y + 2)
+  UNION ALL SELECT feature_id FROM shapes JOIN their ON lon > x AND lon < x + side AND lat > y AND lat < y + side)""",
     "p11_share_inside": f"""{_P} SELECT 'f' || (substr(point_id, 2)::INT % 80) AS feature_id, round(avg(CASE WHEN point_id IN (SELECT point_id FROM inside) THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS share FROM points GROUP BY 1 HAVING round(avg(CASE WHEN point_id IN (SELECT point_id FROM inside) THEN 1.0::DOUBLE ELSE 0.0 END), 6) >= 0.3""",
     "p12_rounded_coordinates": f"{_P} SELECT point_id, round(lon, 1) AS lon, round(lat, 1) AS lat FROM points",
     "p13_layer_classes": "SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN 'minor' WHEN 'SMALL' THEN 'minor' WHEN 'LARGE' THEN 'major' ELSE 'other' END AS class FROM part",
     "p14_tiered_grid": f"WITH {V.ZONES} SELECT CASE WHEN population / 10 >= 10000 OR population % 200 >= 100 THEN 1 WHEN population / 10 >= 1000 OR population % 200 >= 10 THEN 2 ELSE 3 END AS tier, floor(lon / 5) * 5.0::DOUBLE AS cell_lon, floor(lat / 5) * 5.0::DOUBLE AS cell_lat, count(*) AS n FROM zones WHERE level = 'place' GROUP BY 1, 2, 3",
-    "p15_places_order": f"WITH {V.ZONES} SELECT zone_id, population FROM zones WHERE level = 'place' ORDER BY population DESC, name LIMIT 50",
-    "p16_layer_summary": f"WITH {V.ZONES} SELECT level, count(*) AS n FROM zones GROUP BY 1",
-    "p18_ring_areas": f"WITH {V.ZONES}, {_SQ} SELECT feature_id, 0 AS ring, 16.0::DOUBLE AS area FROM boxes UNION ALL SELECT feature_id, 1, 1.0 FROM boxes WHERE hole",
+    "p13_layer": "SELECT p_partkey AS feature_id, CASE p_type WHEN 'LARGE' THEN 'major' ELSE 'minor' END AS class, CASE p_type WHEN 'ECONOMY' THEN 8 WHEN 'SMALL' THEN 9 ELSE 5 END AS zoom, CASE WHEN p_size >= 20 THEN 'main' ELSE 'detail' END AS part FROM part WHERE p_type IN ('ECONOMY', 'SMALL', 'LARGE')",
+    "p15_places_order": "SELECT c_name AS name, floor(c_acctbal)::BIGINT AS population FROM customer WHERE floor(c_acctbal) >= 5000 UNION ALL SELECT s_name, floor(s_acctbal)::BIGINT FROM supplier WHERE floor(s_acctbal) >= 5000",
+    "p16_layer_summary": "SELECT 'regions' AS layer, count(*) AS n FROM region UNION ALL SELECT 'districts', count(*) FROM nation UNION ALL SELECT 'places', count(*) FROM customer",
+    "p17_rounded_rings": f"WITH {_SHAPES}, c AS (SELECT feature_id, unnest([0, 1, 2, 3, 4]) AS k, x, y, side FROM shapes), v AS (SELECT feature_id, round(x + CASE WHEN k IN (1, 2) THEN side ELSE 0 END, 1) AS lon FROM c) SELECT feature_id, count(*) AS n, round(sum(lon), 3) AS lons FROM v GROUP BY 1",
+    "p18_ring_areas": f"WITH {V.ZONES}, {_SQ}, {_SHAPES} SELECT feature_id, 0 AS ring, 16.0::DOUBLE AS area FROM boxes UNION ALL SELECT feature_id, 1, 1.0 FROM boxes WHERE hole UNION ALL SELECT feature_id, 0, round(side * side, 6) FROM shapes",
+    "p18_without_specks": f"WITH {_SHAPES}, parts AS (SELECT 'f' || (substr(feature_id, 2)::BIGINT // 4) AS feature_id, substr(feature_id, 2)::BIGINT % 4 AS part, side * side AS area FROM shapes) SELECT feature_id, part::INT AS part FROM (SELECT *, max(area) OVER (PARTITION BY feature_id) AS largest FROM parts) WHERE area >= 0.05 OR area = largest",
     "p19_active_layer": f"WITH {V.INCIDENTS}, {V.ZONES} SELECT DISTINCT z.zone_id, level FROM (SELECT unnest(zone_path) AS zone_id FROM (SELECT * FROM incidents ORDER BY last_seen DESC, id LIMIT 400)) JOIN zones z USING (zone_id) WHERE level IN ('region', 'district')",
 }

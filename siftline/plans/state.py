@@ -33,6 +33,12 @@ def _rollup_sql(source: str, now: str, keys: str = "") -> str:
 ), weighed AS (SELECT *, severity * fade AS w FROM faded) {_ROLL.format(keys=keys)}"""
 
 
+def _texts(s, d):
+    """Messages of the sources of the incidents, every fortieth event being one of a source that never contributes."""
+    silent = F.when(F.col("event_id") % 40 == 7, F.lit("silent")).otherwise(F.concat(F.lit("s"), F.col("event_id") % 20))
+    return V.read(s, d, "events").select(silent.alias("source_key"))
+
+
 def _slots(s, d):
     return state.at_slots(V.incidents(s, d), T0, T1)
 
@@ -73,23 +79,22 @@ QUERIES = {
     "a04_zone_rollup": lambda s, d: state.zone_rollup(_open(s, d), V.zones(s, d), V.now()),
     "a05_freshness": lambda s, d: state.freshness(V.incidents(s, d), V.messages(s, d), V.now()),
     "a10_day_archive": lambda s, d: state.day_archive(V.incidents(s, d), V.event_sources(s, d)),
-    "a11_day_window": lambda s, d: V.incidents(s, d).where(state.local_day(F.col("first_seen")) == F.lit("2024-01-12").cast("date")).select("id", "first_seen"),
-    "a12_zone_meta": lambda s, d: _open(s, d)
-    .select(F.explode("zone_path").alias("zone_id"))
-    .distinct()
-    .join(V.zones(s, d), "zone_id")
-    .select("zone_id", "level", "name"),
-    "a13_source_analytics": lambda s, d: state.source_analytics(V.event_sources(s, d), V.incidents(s, d)),
+    "a11_day_window": lambda s, d: state.day_window(V.incidents(s, d), "2024-01-12").select("id", "first_seen"),
+    "a11_hours_window": lambda s, d: state.hours_window(V.incidents(s, d), V.now(), 72).select("id", "last_seen"),
+    "a12_zone_meta": lambda s, d: state.zone_meta(_open(s, d), V.zones(s, d)).select("zone_id", "level", "name"),
+    "a13_source_analytics": lambda s, d: state.source_analytics(V.event_sources(s, d), V.incidents(s, d), _texts(s, d)),
     "a14_zone_analytics": lambda s, d: state.zone_analytics(V.incidents(s, d), V.now()),
     "a15_hour_histogram": lambda s, d: state.histogram(V.incidents(s, d), "hour"),
     "a15_threat_histogram": lambda s, d: state.histogram(V.incidents(s, d), "threat"),
     "a16_region_digest": lambda s, d: state.region_digest(V.incidents(s, d)),
+    "a16_digest_counts": lambda s, d: state.digest_counts(V.incidents(s, d)),
     "a16_newest_of_region": lambda s, d: state.newest_of_root(V.incidents(s, d)),
     "a17_busiest_window": lambda s, d: state.busiest_window(V.incidents(s, d), share=0.2),
     "a18_ring_neighbours": lambda s, d: state.ring_neighbours(V.zones(s, d), "district"),
     "a19_open_per_region": lambda s, d: state.open_per_root(_open(s, d)),
+    "a19_open_zones": lambda s, d: state.open_listing(_open(s, d)),
     "a20_severity_bands": lambda s, d: state.severity_bands(V.incidents(s, d)),
-    "a21_time_grid": lambda s, d: state.slots(s, T0, T1).join(V.incidents(s, d).agg(F.count(F.lit(1)).alias("incidents"))),
+    "a21_time_grid": lambda s, d: state.slots_over(V.incidents(s, d)),
     "a22_as_of_snapshot": lambda s, d: _slots(s, d).select("slot", "id"),
     "a23_rollup_by_slot": lambda s, d: state.zone_rollup(_slots(s, d), V.zones(s, d), F.col("slot"), ("slot",)),
     "a24_slot_load": lambda s, d: state.slot_load(V.incidents(s, d), state.slots(s, T0, T1)),
@@ -100,7 +105,7 @@ QUERIES = {
     "a29_feed_filter": lambda s, d: state.feed_filter(V.incidents(s, d), V.zones(s, d), (42.0, 22.0, 46.0, 40.0), ("place",), ("uav", "rocket")).select("id", "zone_id"),
     "a30_quiet_zones": lambda s, d: state.quiet_count(_open(s, d), V.zones(s, d), "place"),
     "a31_point_layer": lambda s, d: state.point_layer(_open(s, d), V.zones(s, d), V.now()),
-    "a42_top_confirmed": lambda s, d: V.incidents(s, d).orderBy(F.desc("source_count"), F.desc("confidence"), "id").limit(10).select("id", "source_count", "confidence"),
+    "a42_top_confirmed": lambda s, d: state.top_confirmed(V.incidents(s, d)).select("id", "source_count", "confidence"),
 }
 
 ORACLE = {
@@ -120,18 +125,23 @@ counts AS (SELECT day, count(*) AS events, max(severity) AS max_severity, count(
 voices AS (SELECT day, count(DISTINCT source_key) AS sources FROM days JOIN event_sources ON event_id = id GROUP BY day)
 SELECT day, events, max_severity, confirmed, sources, round(events / max(events) OVER (), 3) AS density FROM counts JOIN voices USING (day) WHERE sources >= 5""",
     "a11_day_window": f"{_I} SELECT id, first_seen FROM incidents WHERE (first_seen + INTERVAL 3 HOUR)::DATE = DATE '2024-01-12'",
+    "a11_hours_window": f"{_I} SELECT id, last_seen FROM incidents WHERE first_seen <= {NOW} AND epoch_us({NOW}) - epoch_us(last_seen) <= 72 * 3600000000::BIGINT",
     "a12_zone_meta": f"{_IZO} SELECT DISTINCT z.zone_id, level, name FROM (SELECT unnest(zone_path) AS zone_id FROM open) JOIN zones z USING (zone_id)",
     "a13_source_analytics": f"""WITH {V.INCIDENTS}, {V.EVENT_SOURCES.replace(V.SESSIONS + ", ", "")}, joined AS (
-  SELECT s.*, source_count, CASE WHEN source_count > 1 AND role = 'confirm' THEN (epoch_us(contributed_at) - epoch_us(first_seen)) / 1e6 END AS lag FROM event_sources s JOIN incidents ON id = event_id)
+  SELECT s.*, source_count, CASE WHEN source_count > 1 THEN (epoch_us(contributed_at) - epoch_us(first_seen)) / 1e6 END AS lag FROM event_sources s JOIN incidents ON id = event_id)
+SELECT source_key, coalesce(messages, 0) AS messages, tier, coalesce(contributions, 0) AS contributions, coalesce(firsts, 0) AS firsts, coalesce(confirms, 0) AS confirms, confirmed_share, since, until, median_lag
+FROM (SELECT CASE WHEN event_id % 40 = 7 THEN 'silent' ELSE 's' || (event_id % 20) END AS source_key, count(*) AS messages FROM events GROUP BY 1) FULL JOIN (
 SELECT source_key, tier, count(*) AS contributions, count(*) FILTER (role = 'first') AS firsts, count(*) FILTER (role = 'confirm') AS confirms,
   round(avg(CASE WHEN source_count > 1 THEN 1.0::DOUBLE ELSE 0.0 END), 4) AS confirmed_share, min(contributed_at) AS since, max(contributed_at) AS until,
-  list_sort(list(lag) FILTER (lag IS NOT NULL))[1 + len(list(lag) FILTER (lag IS NOT NULL)) // 2] AS median_lag FROM joined GROUP BY source_key, tier""",
+  list_sort(list(lag) FILTER (lag IS NOT NULL))[1 + len(list(lag) FILTER (lag IS NOT NULL)) // 2] AS median_lag FROM joined GROUP BY source_key, tier) USING (source_key)""",
     "a14_zone_analytics": f"""{_I} SELECT zone_id, count(*) AS events, max(severity) AS max_severity, round(avg(confidence), 6) AS avg_confidence, round(avg((epoch_us(last_seen) - epoch_us(first_seen)) / 1e6), 3) AS avg_duration
   FROM incidents WHERE first_seen <= {NOW} AND epoch_us({NOW}) - epoch_us(first_seen) <= 168 * 3600000000::BIGINT GROUP BY zone_id ORDER BY events DESC, zone_id LIMIT 25""",
     "a15_hour_histogram": f"{_I} SELECT hour(first_seen)::INT AS hour, count(*) AS events FROM incidents GROUP BY 1",
     "a15_threat_histogram": f"{_I} SELECT threat, count(*) AS events FROM incidents GROUP BY 1",
     "a16_region_digest": f"""{_I} SELECT zone_path[-1] AS root, count(*) AS events, count(DISTINCT (first_seen + INTERVAL 3 HOUR)::DATE) AS days, max(last_seen) AS last_seen,
   {", ".join(f"count(*) FILTER (signal = '{x}') AS {x}" for x in ("impact", "detection", "danger", "alarm", "allclear"))} FROM incidents GROUP BY 1""",
+    "a16_digest_counts": f"""{_I}, root AS (SELECT zone_path[-1] AS root, threat, zone_path[-2] AS zone, lpad(hour(first_seen + INTERVAL 3 HOUR)::VARCHAR, 2, '0') AS hour FROM incidents)
+SELECT root, 'threat' AS kind, threat AS value, count(*) AS events FROM root GROUP BY 1, 2, 3 UNION ALL SELECT root, 'zone', zone, count(*) FROM root GROUP BY 1, 2, 3 UNION ALL SELECT root, 'hour', hour, count(*) FROM root GROUP BY 1, 2, 3""",
     "a16_newest_of_region": f"{_I} SELECT * FROM (SELECT zone_path[-1] AS root, (row_number() OVER (PARTITION BY zone_path[-1] ORDER BY last_seen DESC, id))::INT AS rn, id, last_seen FROM incidents) WHERE rn <= 6",
     "a17_busiest_window": f"""{_I}, hours AS (SELECT zone_path[-1] AS root, hour(first_seen + INTERVAL 3 HOUR)::INT AS h, count(*) AS n FROM incidents GROUP BY 1, 2),
 sums AS (SELECT root, (h - k + 24) % 24 AS start, sum(n)::BIGINT AS events FROM hours, (SELECT unnest(range(6))::INT AS k) GROUP BY 1, 2), best AS (SELECT root, start, events, row_number() OVER (PARTITION BY root ORDER BY events DESC, start) AS rn FROM sums)
@@ -139,8 +149,10 @@ SELECT root, CASE WHEN total >= 12 AND events >= 0.2 * total THEN start END::INT
     "a18_ring_neighbours": f"""WITH {V.ZONES}, ranked AS (SELECT zone_id, row_number() OVER (ORDER BY name, zone_id) - 1 AS i, count(*) OVER () AS m FROM zones WHERE level = 'district')
 SELECT a.zone_id, step, b.zone_id AS neighbour FROM ranked a, (SELECT unnest(range(1, 7))::INT AS step), ranked b WHERE step < a.m AND b.i = (a.i + step) % a.m""",
     "a19_open_per_region": f"{_IO} SELECT zone_path[-1] AS root, count(*) AS open FROM open GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 6",
+    "a19_open_zones": f"""{_IO}, g AS (SELECT zone_path[-1] AS root, zone_id, count(*) AS open, max(severity) AS max_severity, max(last_seen) AS last_seen FROM open GROUP BY 1, 2)
+SELECT * FROM (SELECT *, (row_number() OVER (PARTITION BY root ORDER BY max_severity DESC, last_seen DESC, zone_id))::INT AS place FROM g) WHERE place <= 10""",
     "a20_severity_bands": f"{_I} SELECT {', '.join(f'count(*) FILTER (severity >= {a} AND severity < {b}) AS band_{a}_{b}' for a, b in ((1, 4), (4, 6), (6, 8), (8, 11)))} FROM incidents",
-    "a21_time_grid": f"{_I}, {_GRID} SELECT slot, (SELECT count(*) FROM incidents) AS incidents FROM grid",
+    "a21_time_grid": f"""{_I} SELECT unnest(generate_series(make_timestamp((ceil(min(epoch_us(first_seen)) / 9e8) * 900000000)::BIGINT), make_timestamp((ceil(max(epoch_us(last_seen)) / 9e8) * 900000000)::BIGINT), INTERVAL 15 MINUTE)) AS slot FROM incidents""",
     "a22_as_of_snapshot": f"{_I}, {_SLOTS} SELECT slot, id FROM at_slots",
     "a23_rollup_by_slot": f"{_IZ}, {_SLOTS}" + _rollup_sql("at_slots", "slot", "slot, "),
     "a24_slot_load": f"""{_I}, {_GRID} SELECT slot, count(id) AS events, coalesce(max(severity), 0) AS max_severity FROM grid LEFT JOIN incidents ON first_seen <= slot AND last_seen > slot - INTERVAL 15 MINUTE GROUP BY slot""",

@@ -28,6 +28,14 @@ def _hedged(s, d):
     return V.observations(s, d).withColumn("body", body)
 
 
+#: Letters that are spelt the same way there and back.
+_ROUND = ("abvgdezklmnoprstuf", "абвгдезклмнопрстуф")
+_SPELT = "word"
+for _pattern, _ending in T.SUFFIXES:
+    _SPELT = f"regexp_replace({_SPELT}, '{_pattern}', '{_ending}')"
+for _latin, _letter in T.DIGRAPHS:
+    _SPELT = f"replace({_SPELT}, '{_latin}', '{_letter}')"
+_SPELT = "translate({}, '{}', '{}')".format(_SPELT, *T.LETTERS)
 _STEM = "|".join(T.ENDINGS)
 _NAMES = "names AS (SELECT p_partkey AS id, p_name AS ascii_name, unnest(['old ' || p_name, upper(p_name), p_brand]) AS alternate, unnest([0, 1, 2]) AS place FROM part)"
 
@@ -42,7 +50,7 @@ QUERIES = {
     "t02_strip_unit": lambda s, d: V.zones(s, d).select("zone_id", T.strip_unit(F.concat("name", F.lit(" District"))).alias("bare")),
     "t03_expand_units": lambda s, d: V.zones(s, d).select("zone_id", T.expand_units(F.concat(F.lit("reg. "), "name")).alias("full")),
     "t04_slugs": lambda s, d: V.read(s, d, "part").select("p_partkey", T.slug(F.concat_ws(" ", "p_name", "p_brand")).alias("slug")),
-    "t05_stems": lambda s, d: _docs(s, d).where("lang = 'en'").select("doc_id", F.md5(T.stem_key(F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), " "))).alias("stems")),
+    "t05_stems": lambda s, d: _docs(s, d).select("doc_id", F.md5(T.stem_key(F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0), " "))).alias("stems")),
     "t07_name_variants": lambda s, d: V.zones(s, d).select("zone_id", F.array_join(F.sort_array(T.name_variants(F.concat("name", F.lit("-District")))), ",").alias("variants")),
     "t08_strip_footer": lambda s, d: _docs(s, d).select("doc_id", F.length(T.strip_footer(F.col("text"), "licensed|license")).alias("left_chars")),
     "t09_signal": lambda s, d: _docs(s, d).select("doc_id", T.signal(F.col("text"), SIGNALS).alias("signal"), T.severity(F.col("text"), SIGNALS).alias("severity")),
@@ -69,9 +77,11 @@ QUERIES = {
     "t13_downgrades": lambda s, d: _hedged(s, d).select("raw_id", *[c.alias(n) for c, n in zip(T.downgraded(F.col("body"), F.col("signal"), F.col("severity")), ("label", "level"), strict=True)]),
     "t14_fallback_signal": lambda s, d: _hedged(s, d).select("raw_id", T.fallback_signal(F.lit("unknown"), F.col("threat"), F.when(F.col("raw_id") % 3 == 0, F.lit(2)), F.lit(None).cast("int"), F.col("raw_id") % 5 == 0).alias("label")),
     "t15_infra_pairs": lambda s, d: _hedged(s, d).select("raw_id", T.infra_pair(F.when(F.col("raw_id") % 2 == 0, "airport opened").otherwise("bridge closed"), F.lit("unknown"), F.when(F.col("raw_id") % 3 == 0, "airport").otherwise("uav"))[0].alias("label")),
-    "t27_transliteration": lambda s, d: V.read(s, d, "part").select("p_partkey", T.transliterate(F.translate("p_name", "abe", "абе")).alias("latin")),
+    "t27_transliteration": lambda s, d: V.read(s, d, "part").select("p_partkey", T.transliterate(F.translate("p_name", *_ROUND)).alias("latin"), T.to_cyrillic(F.concat("p_name", F.lit("skiy"))).alias("cyrillic")),
     "t28_tidy_names": lambda s, d: V.read(s, d, "part").select("p_partkey", T.replaced(F.col("p_brand"), {}, [("^Brand", ""), ("#([0-9])$", "#0$1")]).alias("tidy")),
-    "t29_same_place": lambda s, d: V.zones(s, d).select("zone_id", T.same_place(F.col("name"), F.concat(F.lower("name"), F.lit(" city"))).alias("same")),
+    "t29_same_place": lambda s, d: V.read(s, d, "part").select(
+        "p_partkey", T.same_place(F.col("p_name"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.upper("p_name"), F.lit(" City"))).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("district "), "p_name")).otherwise(F.concat("p_name", F.lit(" two")))).alias("same")
+    ),
 }
 _DIR = "['" + "', '".join(T.DIRECTIONS) + "']"
 _DEG = "[" + ", ".join(map(str, T.DIRECTIONS.values())) + "]"
@@ -81,7 +91,7 @@ ORACLE = {
     "t02_strip_unit": f"WITH {V.ZONES} SELECT zone_id, lower(replace(name, '#', '')) AS bare FROM zones",
     "t03_expand_units": f"WITH {V.ZONES} SELECT zone_id, 'region ' || name AS full FROM zones",
     "t04_slugs": "SELECT p_partkey, regexp_replace(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part",
-    "t05_stems": f"SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda w: regexp_replace(w, '^(.{{3,}}?)(?:{_STEM})$', '\\1')), ' ')) AS stems FROM documents WHERE lang = 'en'",
+    "t05_stems": f"SELECT doc_id, md5(array_to_string(list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda w: regexp_replace(w, '^(.{{3,}}?)(?:{_STEM})$', '\\1')), ' ')) AS stems FROM documents",
     "t07_name_variants": f"WITH {V.ZONES} SELECT zone_id, array_to_string(list_sort(list_distinct([lower(replace(name, '#', '')) || '-district', lower(replace(name, '#', '')) || ' district'])), ',') AS variants FROM zones",
     "t08_strip_footer": "SELECT doc_id, length(trim(array_to_string(list_filter(string_split(text, chr(10)), lambda l: NOT (regexp_matches(lower(l), 'licensed|license') OR (length(trim(l)) <= 100 AND contains(l, '@')))), chr(10)))) AS left_chars FROM documents",
     "t09_signal": f"SELECT doc_id, {_case(SIGNALS, 'text', 0)} ELSE 'unknown' END AS signal, {_case(SIGNALS, 'text', 2)} ELSE 1 END AS severity FROM documents",
@@ -107,7 +117,9 @@ SELECT p_type AS query, arg_min(name, (priority + p_partkey % 5, name)) AS name,
   CASE WHEN raw_id % 4 = 0 AND signal IN ('impact', 'detection') THEN least(severity, 7) WHEN raw_id % 4 = 1 THEN least(severity, 5) ELSE severity END AS level FROM observations""",
     "t14_fallback_signal": f"WITH {V.OBSERVATIONS} SELECT raw_id, CASE WHEN (threat <> 'unknown' OR raw_id % 3 = 0) AND raw_id % 5 = 0 THEN 'danger' WHEN raw_id % 3 = 0 THEN 'detection' ELSE 'unknown' END AS label FROM observations",
     "t15_infra_pairs": f"WITH {V.OBSERVATIONS} SELECT raw_id, CASE WHEN raw_id % 3 = 0 THEN CASE WHEN raw_id % 2 = 0 THEN 'allclear' ELSE 'danger' END ELSE 'unknown' END AS label FROM observations",
-    "t27_transliteration": "SELECT p_partkey, lower(p_name) AS latin FROM part",
+    "t27_transliteration": f"""WITH w AS (SELECT p_partkey, p_name, unnest(string_split(lower(p_name || 'skiy'), ' ')) AS word, generate_subscripts(string_split(p_name, ' '), 1) AS k FROM part),
+c AS (SELECT p_partkey, p_name, k, {_SPELT} AS word FROM w)
+SELECT p_partkey, lower(p_name) AS latin, string_agg(upper(left(word, 1)) || substr(word, 2), ' ' ORDER BY k) AS cyrillic FROM c GROUP BY p_partkey, p_name""",
     "t28_tidy_names": "SELECT p_partkey, regexp_replace(regexp_replace(p_brand, '^Brand', ''), '#([0-9])$', '#0\\1') AS tidy FROM part",
-    "t29_same_place": f"WITH {V.ZONES} SELECT zone_id, true AS same FROM zones",
+    "t29_same_place": "SELECT p_partkey, p_partkey % 3 <> 2 AS same FROM part",
 }
