@@ -258,6 +258,39 @@ def test_surrogates_are_distinct():
         assert len(set(made)) == len(given) and [pii.luhn(m) for m in made] == [pii.luhn(g) for g in given] if kind == "card" else len(set(made)) == len(given)
 
 
+def test_surrogates_found_by_context():
+    text = "John Smith wrote to Mary Jones. My name is Bela Kun; phone 5551234567, SSN 123456789, 12 Main Street. New York is no name."
+    found = [(text[s:e], k) for s, e, k, _ in pii.entities(text)]
+    assert found == [
+        ("John", "name"), ("Smith", "name"), ("Mary", "name"), ("Jones", "name"), ("Bela", "name"), ("Kun", "name"), ("5551234567", "phone"), ("123456789", "ssn"), ("12 Main Street", "address"),
+    ]
+
+
+def test_iban_surrogates_are_valid():
+    made = set()
+    for n in range(500):
+        rest = f"BANK{n:014d}"
+        norm = "GB" + pii._iban_check("GB", rest) + rest
+        assert pii.iban_valid(norm)
+        new = pii.surrogate("iban", norm, b"k")
+        assert pii.iban_valid(new) and new[:2] == "GB" and len(new) == len(norm)
+        made.add(new)
+    assert len(made) == 500 and not pii.iban_valid(pii.surrogate("iban", "GB00BANK12345678901234", b"k"))
+
+
+def test_many_names_stay_distinct(spark):
+    """Given and family names by the ten thousand: no two share what stands in the text, and none is a name of the corpus."""
+    rng = random.Random(17)
+    names = sorted({"".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4)) + rng.choice("nk") for _ in range(40_000)})
+    title = ("Mr", "Mrs", "Dr")
+    docs = [(i // 50, f"{title[i % 3]}. {names[i].capitalize()} {names[-1 - i].capitalize()} came. ") for i in range(0, len(names) // 2)]
+    docs = spark.createDataFrame(docs, DOCS).groupBy("doc_id").agg(F.concat_ws("", F.collect_list("text")).alias("text"))
+    attempts = {(r.kind, r.norm): r.attempt for r in pii.second_attempts(docs, b"k").collect()}
+    real = {e[3] for r in docs.collect() for e in pii.entities(r.text)}
+    shown = [pii.surrogate("name", n, b"k", attempts.get(("name", n), 0)).rpartition(":")[2] for n in sorted(real)]
+    assert len(set(shown)) == len(shown) > 30_000 and not set(shown) & {n.rpartition(":")[2] for n in real}
+
+
 def test_decontamination(spark):
     rng = random.Random(6)
     items = [(n, prose(rng, rng.randint(15, 60))) for n in range(30)]
@@ -276,11 +309,11 @@ def test_decontamination(spark):
     assert kept == {r[0] for r in rows} - {n for n, _ in got}
 
 
-@pytest.mark.parametrize("size", [59, 68, 150, 400])
+@pytest.mark.parametrize("size", [5, 15, 30, 59, 68, 150, 400, 1000])
 def test_decontamination_at_the_threshold(size):
     """Items with as many edits as are allowed, inside running text."""
     rng, numbers = random.Random(size), np.random.default_rng(size)
-    items = [[f"w{n}x{k}" for k in range(size - n % 5)] for n in range(60 if size > 100 else 200)]
+    items = [[f"w{n}x{k}" for k in range(size - n % min(5, size // 8 + 1))] for n in range(60 if size > 100 else 200)]
     texts = []
     for item in items:
         words_in = dict(enumerate(item, 1))
