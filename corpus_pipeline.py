@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline.llm import decontaminate, lines, minhash, mixing, quality
-from siftline.llm.common import materialize, table
+from siftline.llm.common import Scratch, materialize, table
 from siftline.shipping import ship
 
 
@@ -78,13 +78,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs = scratch.write(stage(spark, docs, sf_dir), name)
+    docs = materialize(docs, "pipeline")
+    scratch.clear()
     return docs
 
 
-#: A trained score and hashed sketches cannot be put in SQL; the stages are tested against brute force.
+#: A trained score and hashed sketches cannot be put in SQL; ``tests/llm/test_pipeline.py`` holds each stage against a plain version.
 ORACLE_SQL = None
 QUERIES = {"pipeline": run}
 ORACLE: dict[str, str] = {}
