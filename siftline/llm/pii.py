@@ -86,6 +86,8 @@ _NAME = re.compile(
 _WORD = r"[^\W\d_a-zа-я][^\W\d_]+"
 _CALLED = re.compile(rf"(?<!\w)(?P<given>{'|'.join(n for names in GIVEN.values() for n in names)})(?P<rest>(?: [^\W\d_a-zа-я]\.)?(?: {_WORD}){{1,2}})(?!\w)")
 _INTRODUCED = re.compile(rf"(?i:(?<!\w)(?:{'|'.join(map(re.escape, INTRODUCED))})\s)\s*(?P<name>{_WORD}(?:[ -]{_WORD}){{1,2}})(?!\w)")
+#: Two words with capitals behind each other, without which there is no name to look for.
+_PAIR = re.compile(r"[^\W\d_a-zà-ÿа-яё]\w+[ -][^\W\d_a-zà-ÿа-яё]")
 _GENDER_OF = {name: gender for gender, names in GIVEN.items() for name in names}
 _TRIGGER = re.compile(r"[0-9]")
 _RADIX = ((ord("0"), 10), (ord("a"), 26), (ord("A"), 26), (ord("а"), 32), (ord("А"), 32))
@@ -250,6 +252,8 @@ def _people(text: str) -> dict[str, str]:
     if any(title in text for title in _GENDER):
         for m in _NAME.finditer(text):
             add(re.split("[ -]", m["name"]), _GENDER[m["title"]])
+    if not _PAIR.search(text):
+        return people
     for m in _CALLED.finditer(text):
         add([m["given"], *(t for t in m["rest"].split() if not t.endswith("."))], _GENDER_OF[m["given"]])
     for m in _INTRODUCED.finditer(text):
