@@ -87,7 +87,7 @@ def words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """64-bit hash of a word, remembered; emptied when it holds ``limit`` words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         super().__init__()
         self.limit = limit
 
