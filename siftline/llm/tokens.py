@@ -68,8 +68,8 @@ def _hashed(data: bytes, mask_fields: bool, breaks: np.ndarray) -> tuple[np.ndar
     return start, found
 
 
-def words_of(texts: list[str | None], mask_fields: bool = False, loose: bool = False) -> Words:
-    """Words of ``texts`` with A-Z lower-cased; null counts as empty.
+def words_of(texts: list[str | None], mask_fields: bool = False, loose: bool = False, fold: bool = True) -> Words:
+    """Words of ``texts`` with A-Z lower-cased, unless not ``fold``; null counts as empty.
 
     With ``mask_fields``, words with digits or ``@`` are all alike. With ``loose``,
     ASCII punctuation parts words as well and all letters are lower-cased.
@@ -78,7 +78,8 @@ def words_of(texts: list[str | None], mask_fields: bool = False, loose: bool = F
     parting = _BREAK if loose else _SPACE
     size = np.array([len(d) for d in data], np.int64)
     offset = np.concatenate([[0], np.cumsum(size + 1)])
-    whole = b"\n".join([*data, b""]).lower()
+    whole = b"\n".join([*data, b""])
+    whole = whole.lower() if fold else whole
     starts, hashes, at = [], [], 0
     while at < len(whole):
         end = min(at + PARCEL, len(whole))
