@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.llm import caps, chat, decontaminate, lines, minhash, mixing, pii, quality, secrets, substrings
+from siftline.llm import caps, chat, decontaminate, lines, minhash, mixing, pii, quality, ranking, recompression, secrets, spelling, substrings
 from siftline.llm.common import table
 
 #: Key of the registered query only; a real run passes its own.
@@ -59,6 +59,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recompression.dedup_passages(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scans": op2_secret_scans,
@@ -70,9 +82,15 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_pii_surrogates": op9_pii_surrogates,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_ranked_search": op12_ranked_search,
+    "op13_passage_dedup": op13_passage_dedup,
 }
 ORACLE = {
     "op4_chat_formatting": chat.ORACLE,
     "op6_embedding_near_dedup": caps.ORACLE,
     "op7_source_mixing": mixing.ORACLE,
+    "op11_spelling_variants": spelling.ORACLE,
+    "op12_ranked_search": ranking.ORACLE,
+    "op13_passage_dedup": recompression.ORACLE,
 }

@@ -68,14 +68,16 @@ def _hashed(data: bytes, mask_fields: bool, breaks: np.ndarray) -> tuple[np.ndar
     return start, found
 
 
-def words_of(texts: list[str | None], mask_fields: bool = False, loose: bool = False, fold: bool = True) -> Words:
+def words_of(texts: list[str | None], mask_fields: bool = False, loose: bool = False, fold: bool = True, parting: np.ndarray | None = None) -> Words:
     """Words of ``texts`` with A-Z lower-cased, unless not ``fold``; null counts as empty.
 
     With ``mask_fields``, words with digits or ``@`` are all alike. With ``loose``,
     ASCII punctuation parts words as well and all letters are lower-cased.
+    ``parting`` marks other bytes that part words, white space among them.
     """
     data = [b"" if t is None else (t.lower() if loose else t).encode("utf-8", "surrogatepass") for t in texts]
-    parting = _BREAK if loose else _SPACE
+    if parting is None:
+        parting = _BREAK if loose else _SPACE
     size = np.array([len(d) for d in data], np.int64)
     offset = np.concatenate([[0], np.cumsum(size + 1)])
     whole = b"\n".join([*data, b""])
