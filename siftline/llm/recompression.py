@@ -10,15 +10,15 @@ symbol, whatever stands around them.
 1. The anchor of a window is a symbol of the highest round whose context lies in
    the window, the one with the smallest digest if there are several. Equal
    windows have equal anchors at equal distance.
-2. Names are counted over all texts. A name with one place belongs to windows
-   that occur once.
-3. The windows with one anchor are a context. Equal contexts are repeats as a
-   whole; all but the first are removed.
+2. Half of the words of a window besides its anchor lie in front of it or behind
+   it. With them the symbol becomes a name, which is counted over all texts. A
+   name with one place belongs to windows that occur once.
+3. The windows with one anchor and name are a context. Equal contexts are repeats
+   as a whole; all but the first are removed. Tasks settle this among the texts
+   that they have at hand, so a name that all texts have is sent once by each.
 4. Different contexts of one name may share some of their windows. The first
    place of each context sends its windows as digests, and all but the first
    place of a digest are removed.
-
-Equal whole texts are one class, and only its first row takes part.
 """
 
 from __future__ import annotations
@@ -27,9 +27,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftline.llm.common import Scratch, dealt_join, n_words
 from siftline.llm.tokens import mix, parcels, words_of
@@ -88,7 +90,7 @@ def _least(key: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def anchors(words: np.ndarray, wall: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """First and last window start, anchor place and name, for each run of windows with one anchor.
+    """First and last window start, and begin and end of the anchor, for each run of windows with one anchor.
 
     ``wall`` marks the cells between texts, the first and the last cell included; their words count for nothing.
     """
@@ -99,7 +101,7 @@ def anchors(words: np.ndarray, wall: np.ndarray) -> tuple[np.ndarray, np.ndarray
     walls = np.concatenate([[0], np.cumsum(wall)])
     start = np.zeros(len(words), bool)
     start[: max(len(words) - L + 1, 0)] = walls[L:] == walls[: len(words) - L + 1] if len(words) >= L else False
-    place, name = np.full(len(words), -1), np.zeros(len(words), np.uint64)
+    place, stop = np.full(len(words), -1), np.full(len(words), -1)
     for symbols in reversed(rounds):
         new = np.flatnonzero(start & (place < 0))
         inside = np.flatnonzero(symbols.high - symbols.low <= L)
@@ -111,14 +113,30 @@ def anchors(words: np.ndarray, wall: np.ndarray) -> tuple[np.ndarray, np.ndarray
             continue
         key = (mix(symbols.name[inside] + _A) >> np.uint64(_PLACE_BITS) << np.uint64(_PLACE_BITS)) | inside.astype(np.uint64)
         chosen = (_least(key, begin, end) & np.uint64((1 << _PLACE_BITS) - 1)).astype(np.int64)
-        place[new], name[new] = symbols.at[chosen], symbols.name[chosen]
+        place[new], stop[new] = symbols.at[chosen], symbols.at[chosen + 1]  # a wall is the last of all
     own = np.flatnonzero(start)
     if not len(own):
-        return own, own, own, name[own]
-    change = (np.diff(own) > 1) | (np.diff(place[own]) != 0) | (name[own][1:] != name[own][:-1])
+        return own, own, own, own
+    change = (np.diff(own) > 1) | (np.diff(place[own]) != 0) | (np.diff(stop[own]) != 0)
     first = np.concatenate([[0], np.flatnonzero(change) + 1])
     last = np.concatenate([first[1:], [len(own)]]) - 1
-    return own[first], own[last], place[own[first]], name[own[first]]
+    return own[first], own[last], place[own[first]], stop[own[first]]
+
+
+class Digests:
+    """Digests of all runs of some words."""
+
+    def __init__(self, words: np.ndarray):
+        base = np.full(len(words) + 1, _A)
+        base[0] = 1
+        up = np.multiply.accumulate(base)
+        base[1:] = np.uint64(pow(int(_A), -1, 2**64))
+        self.down = np.multiply.accumulate(base)
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(words + _C) * up[:-1])])
+
+    def of(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+        """Digest of ``size`` words from place ``start`` on."""
+        return mix((self.sums[start + size] - self.sums[start]) * self.down[start])
 
 
 class Cells:
@@ -140,129 +158,129 @@ class Cells:
         self.wall = np.zeros(len(self.words), bool)
         self.wall[np.concatenate([[0], self.cell + size])] = True
         self.words[~self.wall] = np.concatenate([found.of(k)[b:e] for k, b, e in parts]) if parts else []
-        self.sums = None
+        self.digests = Digests(self.words).of
 
     def anchors(self) -> tuple[np.ndarray, ...]:
         """Text, place of the first cell in the text, first and last window, anchor, name; windows and anchors as cells."""
-        first, last, place, name = anchors(self.words, self.wall)
+        first, last, place, stop = anchors(self.words, self.wall)
+        half = (L - (stop - place)) // 2
+        # windows that hold half of their other words in front of the anchor, and those that hold them behind it
+        front, behind = np.flatnonzero(first <= place - half), np.flatnonzero(last > place - half)
+        of = np.concatenate([front, behind])
+        name = np.concatenate(
+            [
+                self.digests(place[front] - half[front], stop[front] - place[front] + half[front]),
+                ~self.digests(place[behind], L + 1 - half[behind]),
+            ]
+        )
+        first = np.concatenate([first[front], np.maximum(first[behind], place[behind] - half[behind] + 1)])
+        last = np.concatenate([np.minimum(last[front], place[front] - half[front]), last[behind]])
+        order = np.argsort(first, kind="stable")
+        first, last, place, name = first[order], last[order], place[of][order], name[order]
         part = np.searchsorted(self.cell, first, side="right") - 1
         return self.text[part], self.begin[part] - self.cell[part], first, last, place, name
 
-    def digests(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-        """Digest of ``size`` words from cell ``start`` on."""
-        if self.sums is None:
-            base = np.full(len(self.words) + 1, _A)
-            base[0] = 1
-            self.up = np.multiply.accumulate(base)
-            base[1:] = np.uint64(pow(int(_A), -1, 2**64))
-            self.down = np.multiply.accumulate(base)
-            self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.words + _C) * self.up[:-1])])
-        return mix((self.sums[start + size] - self.sums[start]) * self.down[start])
 
+_CONTEXT = [("tid", T.LongType()), ("name", T.LongType()), ("context", T.LongType()), ("at", T.LongType()), ("n", T.IntegerType()), ("again", T.BooleanType())]
 
-def _anchor_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each name of a parcel of a text once, and whether it has several places there."""
-    for batch in batches:
-        tids = batch["tid"].to_numpy()
-        for offset, texts in parcels(batch["text"].tolist()):
-            text, _, _, _, place, name = Cells(texts).anchors()
-            # parts of a text share places where they overlap, which does no harm: the name is looked at once more
-            order = np.lexsort((place, name, text))
-            text, name, place = text[order], name[order], place[order]
-            first = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (name[1:] != name[:-1])]) if len(text) else [])
-            times = np.diff(np.concatenate([first, [len(text)]]))
-            yield pd.DataFrame({"tid": tids[offset + text[first]], "name": name[first].view(np.int64), "again": times > 1})
 
+def _places(ids: pa.Array, tids: np.ndarray) -> np.ndarray:
+    """Places of rows in the order of the documents, null last; repeated rows share one."""
+    frame = pa.table({"id": ids, "tid": tids})
+    order = pc.sort_indices(frame, [("id", "ascending"), ("tid", "ascending")], null_placement="at_end").to_numpy()
+    rows = [(ids[i].as_py(), tids[i]) for i in order.tolist()]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum([0, *(x != y for x, y in zip(rows[1:], rows, strict=False))]) if rows else []
+    return place
 
-_CONTEXT = "tid long, doc_id string, name long, context long, at long, n int, windows array<long>, again boolean"
 
-
-def _context_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The first place of each context of a shared name in a text, and the places after it as runs of windows (``again``)."""
+def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first place of each context of a parcel of texts, and the places after it as runs of windows (``again``)."""
     for batch in batches:
-        tids, docs, names = batch["tid"].to_numpy(), batch["doc_id"].array, batch["names"].tolist()
-        for offset, texts in parcels(batch["text"].tolist()):
+        ids, tids = batch.column("doc_id"), batch.column("tid").to_numpy()
+        places = _places(ids, tids)
+        for offset, texts in parcels(batch.column("text").to_pylist()):
             cells = Cells(texts)
-            text, shift, first, last, place, name = cells.anchors()
-            keep = np.zeros(len(text), bool)
-            cuts = np.flatnonzero(np.concatenate([[True], text[1:] != text[:-1], [True]])) if len(text) else []
-            for s, e in zip(cuts, cuts[1:], strict=False):
-                keep[s:e] = np.isin(name[s:e].view(np.int64), np.asarray(names[offset + text[s]], np.int64))
-            text, shift, first, last, place, name = (x[keep] for x in (text, shift, first, last, place, name))
+            text, shift, first, last, anchor, name = cells.anchors()
             if not len(text):
                 continue
-            context = mix(cells.digests(first, last - first + L) + (place - first).astype(np.uint64) * _C)
-            order = np.lexsort((first, context, name, text))
-            same = (text[order][1:] == text[order][:-1]) & (name[order][1:] == name[order][:-1]) & (context[order][1:] == context[order][:-1])
+            context = mix(cells.digests(first, last - first + L) + (anchor - first).astype(np.uint64) * _C)
+            place, start = places[offset + text], first + shift
+            order = np.lexsort((start, place, context, name))
+            same = (name[order][1:] == name[order][:-1]) & (context[order][1:] == context[order][:-1])
+            group = np.concatenate([[0], np.cumsum(~same)])
+            lead = order[np.concatenate([[True], ~same])][group]  # of each row in order, the first of its group
             again = np.zeros(len(text), bool)
-            again[order[1:][same]] = True
+            again[order] = (place[order] != place[lead]) | (start[order] != start[lead])
             # consecutive places after the first become one run of windows
-            joined = np.concatenate([[False], again[1:] & again[:-1] & (text[1:] == text[:-1]) & (first[1:] + shift[1:] <= last[:-1] + shift[:-1] + 1)])
+            joined = np.concatenate([[False], again[1:] & again[:-1] & (text[1:] == text[:-1]) & (start[1:] <= last[:-1] + shift[:-1] + 1)])
             head = np.flatnonzero(~joined)
-            stop = np.maximum.reduceat(last, head)
-            size = stop - first[head] + 1
-            lead = ~again[head]
-            windows = [cells.digests(np.arange(f, s + 1), L).view(np.int64) if own else None for f, s, own in zip(first[head].tolist(), stop.tolist(), lead.tolist(), strict=True)]
-            yield pd.DataFrame(
-                {
-                    "tid": tids[offset + text[head]],
-                    "doc_id": docs[offset + text[head]],
-                    "name": name[head].view(np.int64),
-                    "context": context[head].view(np.int64),
-                    "at": (first + shift)[head],
-                    "n": size,
-                    "windows": windows,
-                    "again": ~lead,
-                }
-            )
-
-
-def _kept(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            size = np.maximum.reduceat(last, head) - first[head] + 1
+            row = offset + text[head]
+            columns = [pa.array(tids[row]), pa.array(name[head].view(np.int64)), pa.array(context[head].view(np.int64)), pa.array(start[head]), pa.array(size.astype(np.int32)), pa.array(again[head])]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), *columns], ["doc_id", *(c for c, _ in _CONTEXT)])
+
+
+def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Place and digest of the windows of some contexts of each text."""
+    for batch in batches:
+        ids, tids, runs = batch.column("doc_id"), batch.column("tid").to_numpy(), batch.column("runs").to_pylist()
+        for offset, texts in parcels(batch.column("text").to_pylist()):
+            found = words_of(texts, fold=False)
+            digests = Digests(found.hashes)
+            rows = np.repeat(np.arange(len(texts)), [len(r) for r in runs[offset : offset + len(texts)]])
+            flat = [(x["at"], x["n"]) for r in runs[offset : offset + len(texts)] for x in r]
+            begin, size = np.array(flat, np.int64).reshape(-1, 2).T
+            at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+            row = np.repeat(rows, size)
+            window = digests.of(found.word_of[row] + at, L).view(np.int64)
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(offset + row)), pa.array(tids[offset + row]), pa.array(at), pa.array(window)], ["doc_id", "tid", "at", "window"])
+
+
+def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words removed and digest of the rest, for texts with some spans."""
     for batch in batches:
         removed, digests = [], []
-        for text, spans in zip(batch["text"], batch["spans"], strict=True):
-            words = text.encode("utf-8", "surrogatepass").split()
+        for text, spans in zip(batch.column("text"), batch.column("spans"), strict=True):
+            words = text.as_py().encode("utf-8", "surrogatepass").split()
             gone = np.zeros(len(words) + 1, np.int64)
+            spans = spans.as_py()
             np.add.at(gone, [s["lo"] for s in spans], 1)
             np.add.at(gone, [s["hi"] for s in spans], -1)
             gone = np.cumsum(gone)[:-1] > 0
             removed.append(int(gone.sum()))
             digests.append(hashlib.sha256(b" ".join(words[i] for i in np.flatnonzero(~gone).tolist())).hexdigest())
-        yield pd.DataFrame({"tid": batch["tid"], "key": batch["key"], "n_removed": removed, "kept": digests})
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("tid"), pa.array(removed, pa.int64()), pa.array(digests, pa.string())], ["doc_id", "tid", "removed", "kept"])
 
 
-def repeated_spans(docs: DataFrame, lists: DataFrame, kind: str, scratch: Scratch) -> DataFrame:
-    """Spans of words, ``lo`` to ``hi``, of the texts (``tid``, ``doc_id``) of ``lists`` that also start earlier.
+def _beside(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``rows`` with the text of their document, once for repeated documents."""
+    on = (F.col("d.tid") == F.col("r.tid")) & F.col("d.doc_id").eqNullSafe(F.col("r.doc_id"))
+    return docs.alias("d").join(rows.alias("r"), on).select("r.*", "d.text")
 
-    ``kind`` is the type of the ids, in whose order texts come; null comes last.
-    """
-    rows = scratch.write(
-        docs.alias("d")
-        .join(lists.alias("l"), (F.col("d.tid") == F.col("l.tid")) & F.col("d.doc_id").eqNullSafe(F.col("l.rep")))
-        .select("d.tid", "d.doc_id", "d.text", "l.names")
-        .mapInPandas(_context_rows, _CONTEXT),
-        "contexts",
-    )
+
+def repeated_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """Spans of words, ``lo`` to ``hi``, of the texts (``doc_id``, ``tid``, ``text``) that also start earlier, in the order of ids with null last."""
+    doc_id = T.StructField("doc_id", docs.schema["doc_id"].dataType)
+    shape = lambda *fields: T.StructType([doc_id, *(T.StructField(name, kind) for name, kind in fields)])
+    rows = docs.mapInArrow(_context_rows, shape(*_CONTEXT))
     end = (F.col("at") + F.col("n") + (L - 1)).alias("hi")
-    inner = rows.where("again").select("tid", "doc_id", F.col("at").alias("lo"), end)
-    place = F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").cast(kind).alias("id"), "tid", "at")
-    contexts = rows.where(~F.col("again")).drop("again").withColumn("place", place)
-    kinds = contexts.groupBy("name", "context").agg(F.count(F.lit(1)).alias("uses"), F.min("place").alias("lead"))
-    known = scratch.write(kinds.join(kinds.groupBy("name").agg(F.count(F.lit(1)).alias("kinds")), "name").where("kinds > 1 or uses > 1"), "kinds")
-    met = contexts.join(known, ["name", "context"])
-    whole = met.where(F.col("place") > F.col("lead")).select("tid", "doc_id", F.col("at").alias("lo"), end)
+    place = F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tid", "at")
+    # rows of a parcel that are known to be later need not meet any others, so no name has more rows than there are parcels
+    name = F.when(F.col("again"), F.xxhash64("tid", "at")).otherwise(F.col("name"))
+    met = rows.withColumn("name", name).repartition("name").withColumn("place", place)
+    met = met.withColumn("lead", F.min(F.when(~F.col("again"), F.col("place"))).over(Window.partitionBy("name", "context", "again")))
+    alone = F.min("context").over(Window.partitionBy("name", "again")) == F.max("context").over(Window.partitionBy("name", "again"))
+    met = met.withColumn("later", F.col("again") | (F.col("place") > F.col("lead"))).withColumn("alone", alone)
+    met = scratch.write(met.where("later OR NOT alone").select("doc_id", "tid", "at", "n", "later"), "contexts")
+    whole = met.where("later").select("doc_id", "tid", F.col("at").alias("lo"), end)
     # equal windows are in contexts of one name; the first place of a context stands for its others
-    apart = met.where((F.col("kinds") > 1) & (F.col("place") == F.col("lead")))
-    apart = scratch.write(
-        apart.select("tid", "doc_id", F.col("at").alias("begin"), F.posexplode("windows").alias("step", "window")).select(
-            "tid", "doc_id", (F.col("begin") + F.col("step")).alias("at"), "window"
-        ),
-        "windows",
-    )
-    apart = apart.withColumn("place", place)
-    earliest = apart.groupBy("window").agg(F.min("place").alias("lead"), F.count(F.lit(1)).alias("uses")).where("uses > 1").drop("uses")
-    far = dealt_join(apart, earliest, ["window"], "tid", parts=8).where(F.col("place") > F.col("lead"))
-    return inner.unionByName(whole).unionByName(far.select("tid", "doc_id", F.col("at").alias("lo"), (F.col("at") + L).alias("hi")))
+    runs = met.where(~F.col("later")).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("at", "n")).alias("runs"))
+    windows = _beside(docs, runs).mapInArrow(_window_rows, shape(("tid", T.LongType()), ("at", T.LongType()), ("window", T.LongType())))
+    windows = scratch.write(windows.withColumn("place", place), "windows")
+    earliest = windows.groupBy("window").agg(F.min("place").alias("lead"), F.count(F.lit(1)).alias("uses")).where("uses > 1").drop("uses")
+    far = dealt_join(windows, earliest, ["window"], "tid", parts=4).where(F.col("place") > F.col("lead"))
+    return whole.unionByName(far.select("doc_id", "tid", F.col("at").alias("lo"), (F.col("at") + L).alias("hi")))
 
 
 def dedup_passages(docs: DataFrame) -> DataFrame:
@@ -275,38 +293,18 @@ def dedup_passages(docs: DataFrame) -> DataFrame:
     result. Texts under L words, empty and null ones keep everything (null counts
     as empty). No rows give no rows; other columns are ignored.
     """
-    kind, scratch = docs.schema["doc_id"].dataType.simpleString(), Scratch(docs.sparkSession, "recompression")
+    scratch = Scratch(docs.sparkSession, "recompression")
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tid", F.xxhash64("text"))
-    plain = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
-    rows = scratch.write(docs.select("doc_id", "tid", n_words(F.col("text")).alias("n_words"), F.sha2("text", 256).alias("sha"), F.sha2(plain, 256).alias("plain")), "rows")
-    # ids go through Python as strings, which keeps them whole beside nulls
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), F.col("doc_id").alias("id")))["id"].cast("string")
-    texts = scratch.write(rows.groupBy("sha").agg(first.alias("rep"), F.any_value("tid").alias("tid"), F.any_value("n_words").alias("size"), F.any_value("plain").alias("all")), "texts")
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("string"))
     # shorter texts have no window, and a word and its gap take two characters
     long = docs.where(F.length("text") >= 2 * L - 1)
-    names = scratch.write(long.select("tid", "text").mapInPandas(_anchor_rows, "tid long, name long, again boolean"), "names")
-    shared = names.groupBy("name").agg(F.min("tid").alias("low"), F.max("tid").alias("high"), F.max("again").alias("again")).where("low <> high or again").select("name")
-    lists = names.select("tid", "name").join(shared, "name").groupBy("tid").agg(F.collect_set("name").alias("names"))
-    lists = scratch.write(lists.join(texts.where(F.col("size") >= L).select("tid", "rep"), "tid"), "lists")
-    spans = repeated_spans(long, lists, kind, scratch)
-    own = scratch.write(spans.groupBy("tid", "doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).select("tid", F.col("doc_id").alias("key"), "spans"), "spans")
-    cut = scratch.write(
-        long.alias("d")
-        .join(own.alias("o"), (F.col("d.tid") == F.col("o.tid")) & F.col("d.doc_id").eqNullSafe(F.col("o.key")))
-        .select("o.tid", "o.key", "d.text", "o.spans")
-        .mapInPandas(_kept, "tid long, key string, n_removed long, kept string")
-        .distinct(),
-        "cut",
-    )
-    result = texts.alias("t").join(cut.alias("c"), (F.col("t.tid") == F.col("c.tid")) & F.col("t.rep").eqNullSafe(F.col("c.key")), "left")
-    result = result.select(F.col("t.sha").alias("of"), "t.rep", F.coalesce("c.n_removed", F.lit(0)).alias("own_removed"), F.coalesce("c.kept", "t.all").alias("own_kept"))
-    copy = ~F.col("doc_id").cast("string").eqNullSafe(F.col("rep")) & (F.col("n_words") >= L)
-    return rows.join(result, F.col("sha") == F.col("of")).select(
-        "doc_id",
-        "n_words",
-        F.when(copy, F.col("n_words")).otherwise(F.col("own_removed")).cast("long").alias("n_removed"),
-        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("own_kept")).alias("kept_sha256"),
+    spans = repeated_spans(long, scratch).groupBy("doc_id", "tid").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
+    shape = T.StructType([docs.schema["doc_id"], docs.schema["tid"], T.StructField("removed", T.LongType()), T.StructField("kept", T.StringType())])
+    cut = scratch.write(_beside(long, spans).mapInArrow(_kept, shape).distinct(), "cut")
+    plain = F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " "))
+    rows = docs.select("doc_id", "tid", n_words(F.col("text")).alias("n_words"), F.sha2(plain, 256).alias("whole"))
+    on = (F.col("a.tid") == F.col("c.tid")) & F.col("a.doc_id").eqNullSafe(F.col("c.doc_id"))
+    return rows.alias("a").join(cut.alias("c"), on, "left").select(
+        "a.doc_id", "n_words", F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"), F.coalesce("kept", "whole").alias("kept_sha256")
     )
 
 
