@@ -22,6 +22,8 @@ MAJOR_CITY = 100_000
 KNOWN_PLACE = 20_000
 LEAST_PLACE = 1_000
 MOST_ZONES = 15
+#: Endings that make an adjective of a town's name.
+ADJECTIVE = "sk(?:iy|ii|y|aya|oe)?$"
 
 
 @dataclass(frozen=True)
@@ -92,6 +94,12 @@ def name_index(zones: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     return named.withColumn("stem", T.stem_key(F.col("norm")))
 
 
+def phrase_words(phrase: Column) -> Column:
+    """Words of a phrase as keys, each with whether it begins with a capital (``up``) or a small letter (``low``)."""
+    words = F.transform(F.split(T.expand_units(phrase), r"\s+"), lambda w: F.struct(T.norm_key(w).alias("w"), w.rlike(r"^\p{Lu}").alias("up"), w.rlike(r"^\p{Ll}").alias("low")))
+    return F.filter(words, lambda w: w["w"] != "")
+
+
 def ngrams(phrases: DataFrame, most: int = MOST_WORDS) -> DataFrame:
     """Every run of 1 to ``most`` words of a phrase with its start and size.
 
@@ -100,10 +108,7 @@ def ngrams(phrases: DataFrame, most: int = MOST_WORDS) -> DataFrame:
     and ``cased``: whether the message has words of either kind, so that capitals say
     something.
     """
-    words = F.transform(F.split(T.expand_units(F.col("phrase")), r"\s+"), lambda w: F.struct(T.norm_key(w).alias("w"), w.rlike(r"^\p{Lu}").alias("up"), w.rlike(r"^\p{Ll}").alias("low")))
-    # a word of a phrase may hold several of a key where a dash or a mark parted them
-    words = F.filter(words, lambda w: w["w"] != "")
-    rows = phrases.withColumn("words", words).withColumn("n", F.size("words"))
+    rows = phrases.withColumn("words", phrase_words(F.col("phrase"))).withColumn("n", F.size("words"))
     message = Window.partitionBy("message_id")
     some = lambda side: F.max(F.exists("words", lambda w: w[side])).over(message)
     rows = rows.withColumn("cased", F.coalesce(some("up") & some("low"), F.lit(False))).where("n > 0")
@@ -123,123 +128,186 @@ def ngrams(phrases: DataFrame, most: int = MOST_WORDS) -> DataFrame:
     ).drop("words", "n")
 
 
-def _guarded_grams(grams: DataFrame, index: DataFrame, zones: DataFrame | None, rules: LinkRules) -> DataFrame:
-    """Grams that can be names: no stop words, no part of a feature's name, no region that is not among the zones."""
+def first_words(index: DataFrame) -> DataFrame:
+    """The first level of the names' words: the stem that a name begins with, and the words of the longest such name."""
+    words = F.split("stem", " ")
+    return index.select(words[0].alias("first"), F.size(words).alias("n")).groupBy("first").agg(F.max("n").alias("longest"))
+
+
+def lookup_keys(index: DataFrame, zones: DataFrame) -> DataFrame:
+    """G1: what a gram is looked up by, one row a ``kind`` and ``key``, with the zones behind it.
+
+    Kinds are the exact name, its stem (of four letters and more), the town of an
+    adjective (G6, regions and larger places only) and, without zones, the name of
+    a region. ``noun`` tells that the key is itself a name.
+    """
+    named = index.join(zones.join(paths(zones), "zone_id"), "zone_id")
+    zone = F.struct("zone_id", "level", "name", "population", "lat", "lon", F.col("zone_path").alias("path"))
+    both = lambda *kinds: F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in kinds])
+    region, large = F.col("level") == "region", F.coalesce("population", F.lit(0)) >= KNOWN_PLACE
+    kinds = both(("exact", "norm"), ("stem", "stem"))
+    kinds = F.when(region, F.concat(kinds, both(("region", "norm"), ("region", "stem"), ("city", "stem")))).when(large, F.concat(kinds, both(("city", "stem")))).otherwise(kinds)
+    rows = named.select(zone.alias("zone"), F.inline(kinds)).where("kind <> 'stem' OR length(key) >= 4")
+    rows = rows.groupBy("kind", "key").agg(F.collect_set(F.when(F.col("kind") != "region", F.col("zone"))).alias("zones"))
+    nouns = index.select(F.col("norm").alias("key")).distinct().withColumn("noun", F.lit(True))
+    return rows.join(nouns, "key", "left").withColumn("noun", F.coalesce("noun", F.lit(False)))
+
+
+def probes(texts: DataFrame, first: DataFrame, rules: LinkRules) -> DataFrame:
+    """What is looked up for each phrase (``phrase, words``): ``start, size, gram, kind, key`` and what the words around it say.
+
+    Only a word that begins a name goes on to longer grams. No stop words, and no
+    part of a feature's name; ``bound`` marks a gram before a word for a region,
+    which has to be a region of the gazetteer.
+    """
+    at = lambda place: F.try_element_at("words", place)["w"]
+    starts = texts.withColumn("start", F.explode(F.sequence(F.lit(1), F.size("words"))))
+    ahead = starts.join(first, T.stem(at(F.col("start"))) == F.col("first"))
+    rows = ahead.withColumn("size", F.explode(F.sequence(F.lit(1), F.least(F.lit(MOST_WORDS), F.col("longest"), F.size("words") - F.col("start") + 1)))).drop("first", "longest")
+    behind = F.col("start") + F.col("size")
+    gram = F.array_join(F.transform(F.slice("words", F.col("start"), F.col("size")), lambda w: w["w"]), " ")
+    up = lambda place: F.coalesce(F.try_element_at("words", place)["up"], F.lit(False))
+    facts = {"gram": gram, "before": F.when(F.col("start") > 1, at(F.col("start") - 1)), "after": at(behind), "last": at(behind - 1), "upper": up(F.col("start")), "upper_after": up(behind)}
+    rows = rows.withColumns(facts).withColumn("stemmed", T.stem_key(F.col("gram")))
     one = F.col("size") == 1
     stop = one & _stem_in(F.col("gram"), rules.stop_words)
     heads = _stem_in(F.col("after"), rules.features) & _ends(F.col("last"), rules.adjectives)
     named = one & _stem_in(F.col("gram"), rules.features) & _ends(F.col("before"), rules.adjectives) & ~_stem_in(F.col("before"), rules.markers)
-    kept = grams.where(~(stop | heads | named))
-    if zones is None:
-        return kept
-    regions = index.join(zones.where("level = 'region'").select("zone_id"), "zone_id")
-    regions = regions.select("norm").unionByName(regions.select(F.col("stem").alias("norm"))).distinct()
-    outside = kept.where(_stem_in(F.col("after"), rules.region_words)).select("message_id", "pos", "start", "size", "gram", "after")
-    names = F.array(F.col("gram"), F.concat_ws(" ", "gram", "after"))
-    keys = outside.withColumn("norm", F.explode(F.concat(names, F.transform(names, lambda n: T.stem_key(n))))).join(regions, "norm", "left_semi")
-    keyed = ["message_id", "pos", "start", "size"]
-    foreign = outside.join(keys.select(*keyed).distinct(), keyed, "left_anti").select(*keyed)
-    return kept.join(foreign, keyed, "left_anti")
-
-
-def candidates(grams: DataFrame, index: DataFrame, zones: DataFrame | None = None, rules: LinkRules | None = None) -> DataFrame:
-    """Zones of a gram by exact name, and by stem; of a place where both are found, the stem's are ``alternative``.
-
-    Stems count from four letters on. ``marked`` tells that a word for a place stands
-    before the gram, ``adjectival`` that it is a single adjective.
+    rows = rows.where(~(stop | heads | named)).withColumn("bound", _stem_in(F.col("after"), rules.region_words))
+    key = lambda kind, value: F.struct(F.lit(kind).alias("kind"), value.alias("key"))
+    plain = F.array(key("exact", F.col("gram")), key("stem", F.col("stemmed")))
+    whole = F.concat_ws(" ", "gram", "after")
+    outer = F.array(*[key("region", k) for k in (F.col("gram"), F.col("stemmed"), whole, T.stem_key(whole))])
+    rows = rows.withColumn("keys", F.when(F.col("bound"), F.concat(plain, outer)).otherwise(plain))
+    unit = rules.district_words[0]
+    towns = starts.where(at(F.col("start") + 1) == unit).withColumns({"size": F.lit(2), **facts}).withColumns({"stemmed": T.stem_key(F.col("gram")), "bound": F.lit(False)})
+    towns = towns.withColumn("keys", F.array(key("city", T.stem_key(F.regexp_replace(at(F.col("start")), ADJECTIVE, "")))))
+    rows = rows.unionByName(towns)
+    marked = _stem_in(F.col("before"), rules.markers)
+    feature = _stem_in(F.col("gram"), rules.features)
+    return rows.select("phrase", "start", "size", "gram", "upper", "upper_after", "bound", marked.alias("marked"), feature.alias("feature"), F.inline("keys"), _ends(F.col("gram"), rules.adjectives).alias("ends"))
+
+
+def _in_text(*by: str) -> Window:
+    return Window.partitionBy("phrase", *by)
+
+
+def found_names(asked: DataFrame, keys: DataFrame) -> DataFrame:
+    """Zones of each probe.
+
+    Exact names count before stems, which stay as ``alternative`` of their place; the
+    town of an adjective counts where nothing else is found.
     """
-    rules = rules or LinkRules()
-    grams = _guarded_grams(grams, index, zones, rules)
-    exact = grams.join(index.select(F.col("norm").alias("gram"), "zone_id").distinct(), "gram").withColumns({"exact": F.lit(True), "key": F.col("gram")})
-    stems = grams.withColumn("key", T.stem_key(F.col("gram"))).where(F.length("key") >= 4).join(index.select(F.col("stem").alias("key"), "zone_id").distinct(), "key").withColumn("exact", F.lit(False))
-    place = ["message_id", "pos", "start"]
-    met = exact.select(*place).distinct().withColumn("alternative", F.lit(True))
-    stems = stems.join(met, place, "left").withColumn("alternative", F.coalesce("alternative", F.lit(False)))
-    # the stem of an exact gram that leads to the same names is no other reading
-    found = exact.withColumn("alternative", F.lit(False)).unionByName(stems)
-    return found.withColumns(
-        {"marked": _stem_in(F.col("before"), rules.markers), "adjectival": ~F.col("exact") & (F.col("size") == 1) & _ends(F.col("gram"), rules.adjectives)}
+    rows = asked.join(keys, ["kind", "key"])
+    known = F.max(F.col("kind") == "region").over(_in_text("start", "size"))
+    rows = rows.withColumn("known", known).where("kind <> 'region' AND (NOT bound OR known)")
+    rows = rows.withColumn("exact", F.col("kind") == "exact")
+    rows = rows.withColumns({"named": F.max("exact").over(_in_text("start")), "other": F.max(F.col("kind") != "city").over(_in_text("start"))})
+    rows = rows.where("kind <> 'city' OR NOT other").withColumn("alternative", (F.col("kind") == "stem") & F.col("named"))
+    town = F.col("kind") == "city"
+    return rows.withColumns(
+        {"marked": F.col("marked") & ~town, "adjectival": ~F.col("exact") & ~town & (F.col("size") == 1) & F.col("ends"), "zone": F.explode("zones")}
+    ).select("phrase", "start", "size", "gram", "key", "exact", "alternative", "marked", "adjectival", "upper", "upper_after", "feature", "noun", "zone.*")
+
+
+def scanned(found: DataFrame) -> DataFrame:
+    """Of each phrase the names from left to right, longest first, without overlap; alternatives stay where their place does.
+
+    ``cased`` rows hold for messages with words of either case. There a lower-case
+    word goes if only places are called so and no word for a place stands before it;
+    a feature goes if its name follows with a capital, unless that name is a
+    district or a region.
+    """
+    main, admin = ~F.col("alternative"), F.col("level") != "place"
+    some = lambda c: F.max(main & c).over(_in_text("start"))
+    rows = found.withColumns(
+        {
+            "single": (F.max(F.when(main, F.col("size"))).over(_in_text("start")) == 1) & ~some(F.col("marked")),
+            "common": ~some(F.col("upper")) & ~some(admin),
+            "leads": some(F.col("feature")) & some(F.col("upper_after")),
+            "admins": F.collect_set(F.when(admin, F.col("start"))).over(_in_text()),
+        }
+    )
+    doubtful = F.col("single") & (F.col("common") | (F.col("leads") & ~F.array_contains("admins", F.col("start") + 1)))
+    rows = rows.withColumn("cased", F.explode(F.when(doubtful, F.array(F.lit(False))).otherwise(F.array(F.lit(True), F.lit(False))))).drop("single", "common", "leads", "admins")
+    grams = F.sort_array(F.collect_set(F.when(main, F.struct("start", (-F.col("size")).alias("minus")))).over(_in_text("cased")))
+    begin = F.struct(F.lit(1).alias("free"), F.array().cast("array<struct<start:int,minus:int>>").alias("kept"))
+    walk = F.aggregate(
+        "grams",
+        begin,
+        lambda s, c: F.when(c["start"] >= s["free"], F.struct((c["start"] - c["minus"]).alias("free"), F.array_append(s["kept"], c).alias("kept"))).otherwise(s),
     )
+    taken = -F.filter(walk["kept"], lambda k: k["start"] == F.col("start"))[0]["minus"]
+    rows = rows.withColumn("grams", grams).withColumn("taken", taken).drop("grams")
+    longest = F.max("size").over(_in_text("cased", "start", "alternative"))
+    return rows.where("taken IS NOT NULL").withColumn("longest", longest).where("CASE WHEN alternative THEN size = longest ELSE size = taken END").drop("taken", "longest", "upper", "upper_after", "feature")
 
 
-def district_to_city(grams: DataFrame, found: DataFrame, index: DataFrame, zones: DataFrame, ending: str = "sk(?:iy|ii|y|aya|oe)?$", unit: str = "district") -> DataFrame:
-    """An adjective before a district word leads to the town it is made of, where nothing else was found; regions and larger places only."""
-    last = F.element_at(F.split("gram", " "), -1)
-    rows = grams.where((F.col("size") == 2) & (last == unit)).join(found.select("message_id", "pos", "start").distinct(), ["message_id", "pos", "start"], "left_anti")
-    base = F.regexp_replace(F.element_at(F.split("gram", " "), 1), ending, "")
-    big = zones.where((F.col("level") == "region") | (F.coalesce("population", F.lit(0)) >= 20_000)).select("zone_id")
-    found = rows.withColumn("key", T.stem_key(base)).join(index.select(F.col("stem").alias("key"), "zone_id").distinct(), "key").join(big, "zone_id")
-    return found.withColumns({"exact": F.lit(False), "alternative": F.lit(False), "marked": F.lit(False), "adjectival": F.lit(False)})
+def judged(rows: DataFrame) -> DataFrame:
+    """What a phrase alone says of its candidates.
+
+    ``witness``: a name is evidence of the region it is exactly called, or else, with
+    two zones at most, of those that are no places. ``fit``: a single adjective means
+    a district or region, else a place whose name agrees with it in gender; a marked
+    name a place or what covers it. ``prominent``: what is left has a known zone or
+    is a name itself, and is no adjective of places alone.
+    """
+    main, admin, region = ~F.col("alternative"), F.col("level") != "place", F.col("level") == "region"
+    of, by = _in_text("cased", "key"), _in_text("cased", "start", "alternative")
+    kinds = lambda c: F.size(F.collect_set(F.when(c, F.struct("exact", "zone_id"))).over(of))
+    rows = rows.withColumns({"n_zones": kinds(main), "n_regions": kinds(main & region)})
+    sure = F.col("exact") & (F.col("n_regions") == 1)
+    rows = rows.withColumn("witness", main & F.when(sure, region).otherwise(admin & (F.col("n_zones") <= 2)))
+
+    def narrowed_by(rows: DataFrame, agrees: Column) -> DataFrame:
+        rows = rows.withColumn("ok", F.col("fit") & F.coalesce(agrees, F.lit(False)))
+        return rows.withColumn("fit", F.col("fit") & (F.col("ok") | ~F.max("ok").over(by))).drop("ok")
+
+    form = T.gender(F.element_at(F.split("gram", " "), -1))
+    rows = narrowed_by(rows.withColumn("fit", F.lit(True)), ~F.col("adjectival") | admin)
+    rows = narrowed_by(rows, ~F.col("adjectival") | admin | (form == "") | (T.gender(F.lower("name")) == form))
+    rows = rows.withColumn("covering", F.flatten(F.collect_set(F.when(F.col("fit") & F.col("marked") & ~admin, F.col("path"))).over(by)))
+    rows = narrowed_by(rows, ~F.col("marked") | F.array_contains("covering", F.col("zone_id"))).drop("covering")
+    people = F.coalesce("population", F.lit(0))
+    known = F.max(F.col("fit") & (region | (people >= KNOWN_PLACE))).over(by)
+    stray = F.col("adjectival") & ~F.max(F.col("fit") & admin).over(by)
+    return rows.withColumn("prominent", ~stray & (known | F.col("noun")))
 
 
-def plausible(found: DataFrame, zones: DataFrame, rules: LinkRules) -> DataFrame:
-    """Matches less single words that are no names in a text with capitals.
+def names_of(phrases: DataFrame, zones: DataFrame, index: DataFrame, rules: LinkRules | None = None) -> DataFrame:
+    """``phrase, up, low, found`` of each distinct phrase: whether it has capitals and small letters, and its candidates.
 
-    A lower-case word goes if only places are called so and no word for a place
-    stands before it. A feature goes if its name follows with a capital, unless that
-    name is a district or a region.
+    A phrase is looked up once, in however many messages it stands. All that
+    depends on the phrase alone is settled here, behind one shuffle by phrase.
     """
-    levels = zones.select("zone_id", (F.col("level") != "place").alias("admin"))
-    place = ["message_id", "pos", "start"]
-    known = found.join(levels, "zone_id")
-    at = known.where("NOT alternative").groupBy(*place).agg(
-        F.max("size").alias("most"), F.max("admin").alias("some_admin"), F.max("marked").alias("is_marked"), F.max("upper").alias("is_upper"),
-        F.max("cased").alias("is_cased"), F.max("upper_after").alias("next_upper"), F.max(_stem_in(F.col("gram"), rules.features)).alias("feature"),
-    )
-    single = at.where("most = 1 AND is_cased AND NOT is_marked")
-    common = single.where("NOT is_upper AND NOT some_admin").select(*place)
-    behind = known.where("admin").select("message_id", "pos", (F.col("start") - 1).alias("start")).distinct()
-    feature = single.where("feature AND next_upper").select(*place).join(behind, place, "left_anti")
-    return found.join(common.unionByName(feature).distinct(), place, "left_anti")
-
-
-def leftmost_longest(found: DataFrame) -> DataFrame:
-    """Of each phrase the grams met from left to right, longest first, without overlap; alternatives stay where their place does."""
-    main = found.where("NOT alternative") if "alternative" in found.columns else found
-    grams = main.groupBy("message_id", "pos", "start").agg(F.max(F.struct("size", "gram")).alias("g"))
-    per_phrase = grams.groupBy("message_id", "pos").agg(F.sort_array(F.collect_list(F.struct("start", F.col("g.size").alias("size")))).alias("c"))
-    begin = F.struct(F.lit(1).alias("free"), F.array().cast("array<struct<start:int,size:int>>").alias("kept"))
-    walk = F.aggregate(
-        "c",
-        begin,
-        lambda s, c: F.when(c["start"] >= s["free"], F.struct((c["start"] + c["size"]).alias("free"), F.array_append(s["kept"], c).alias("kept"))).otherwise(s),
-    )
-    kept = per_phrase.select("message_id", "pos", F.explode(walk["kept"]).alias("k")).select("message_id", "pos", "k.start", F.col("k.size").alias("taken"))
-    met = found.join(kept, ["message_id", "pos", "start"])
-    if "alternative" not in found.columns:
-        return met.where("size = taken").drop("taken")
-    longest = Window.partitionBy("message_id", "pos", "start", "alternative")
-    other = met.where("alternative").withColumn("most", F.max("size").over(longest)).where("size = most").drop("most")
-    return met.where("NOT alternative AND size = taken").unionByName(other).drop("taken")
-
-
-def with_context(matches: DataFrame, zones: DataFrame, above: DataFrame | None = None) -> DataFrame:
-    """Whether a candidate, or one above it, is also evidenced by another name of the message.
-
-    A name is evidence of the region it is exactly called, or else, with two zones
-    at most, of those that are no places, and of all above them. What other names
-    say counts; where they say nothing of any candidate of a name, its own evidence
-    does. Names are told apart by their keys, so a repeated one is no second witness.
+    rules = rules or LinkRules()
+    keys = materialize(lookup_keys(index, zones), "link-keys")
+    texts = materialize(phrases.select("phrase").distinct().withColumn("words", phrase_words(F.col("phrase"))).where(F.size("words") > 0), "link-phrases")
+    rows = judged(scanned(found_names(probes(texts, first_words(index), rules).repartition("phrase"), keys)))
+    fields = ("cased", "start", "gram", "key", "exact", "alternative", "marked", "adjectival", "witness", "fit", "prominent", "zone_id", "level", "name", "population", "lat", "lon", "path")
+    found = rows.groupBy("phrase").agg(F.collect_list(F.struct(*fields)).alias("found"))
+    side = lambda name: F.exists("words", lambda w: w[name]).alias(name)
+    return materialize(texts.select("phrase", side("up"), side("low")).join(found, "phrase", "left"), "link-names")
+
+
+def with_context(phrases: DataFrame, names: DataFrame) -> DataFrame:
+    """Candidates of each message, and whether they or one above them are also evidenced by another name (``in_context``).
+
+    What other names say counts; where they say nothing of any candidate of a name,
+    its own evidence does. Names are told apart by their keys, so a repeated one is
+    no second witness.
     """
-    if "alternative" not in matches.columns:
-        matches = matches.withColumn("alternative", F.lit(False))
-    if "key" not in matches.columns:
-        matches = matches.withColumn("key", F.col("gram"))
-    chain = (closure(zones) if above is None else above).select("zone_id", "ancestor_id")
-    levels = zones.select("zone_id", F.col("level").alias("own_level"))
-    named = matches.where("NOT alternative").select("message_id", "key", "exact", "zone_id").distinct().join(levels, "zone_id")
-    of = Window.partitionBy("message_id", "key")
-    counted = named.withColumns({"n_zones": F.count(F.lit(1)).over(of), "n_regions": F.sum((F.col("own_level") == "region").cast("int")).over(of)})
-    is_region = F.col("exact") & (F.col("n_regions") == 1)
-    shared = counted.where((is_region & (F.col("own_level") == "region")) | (~is_region & (F.col("n_zones") <= 2) & (F.col("own_level") != "place")))
-    evidence = shared.join(chain, "zone_id").groupBy("message_id", F.col("ancestor_id").alias("seen")).agg(F.min("key").alias("low"), F.max("key").alias("high"))
-    lifted = matches.select("message_id", "key", "zone_id").distinct().join(chain, "zone_id").withColumnRenamed("ancestor_id", "seen")
-    met = lifted.join(evidence, ["message_id", "seen"])
-    other = (F.col("low") != F.col("key")) | (F.col("high") != F.col("key"))
-    hits = met.groupBy("message_id", "key", "zone_id").agg(F.max(other).alias("by_others"))
-    hits = hits.withColumn("supported", F.max("by_others").over(of))
-    hits = hits.select("message_id", "key", "zone_id", F.when(F.col("supported"), F.col("by_others")).otherwise(F.lit(True)).alias("in_context"))
-    return matches.join(hits, ["message_id", "key", "zone_id"], "left").withColumn("in_context", F.coalesce("in_context", F.lit(False)))
+    message = Window.partitionBy("message_id")
+    met = phrases.select("message_id", "pos", "phrase").join(names, "phrase").drop("phrase")
+    met = met.withColumn("mixed", F.max("up").over(message) & F.max("low").over(message)).where("found IS NOT NULL")
+    met = met.withColumn("found", F.filter("found", lambda c: c["cased"] == F.col("mixed")))
+    seen = F.transform(F.filter("found", lambda c: c["witness"]), lambda c: F.struct(c["key"].alias("key"), c["path"].alias("path")))
+    met = met.withColumn("evidence", F.array_distinct(F.flatten(F.collect_list(seen).over(message))))
+    rows = met.select("message_id", "pos", "evidence", F.inline("found"))
+    above = lambda e: F.arrays_overlap(e["path"], F.col("path"))
+    rows = rows.withColumns({"own": F.exists("evidence", above), "others": F.exists("evidence", lambda e: (e["key"] != F.col("key")) & above(e))})
+    supported = F.max("others").over(Window.partitionBy("message_id", "key"))
+    return rows.withColumn("supported", supported).withColumn("in_context", F.when(F.col("supported"), F.col("others")).otherwise(F.col("own"))).drop("evidence", "own", "others", "supported", "cased", "witness")
 
 
 def narrowed(matches: DataFrame, agrees: Column, by: tuple[str, ...] = ("message_id", "pos", "start")) -> DataFrame:
@@ -248,24 +316,6 @@ def narrowed(matches: DataFrame, agrees: Column, by: tuple[str, ...] = ("message
     return matches.withColumn("ok", F.coalesce(agrees, F.lit(False))).withColumn("some", F.max("ok").over(some)).where("ok OR NOT some").drop("ok", "some")
 
 
-def fitting(matches: DataFrame, zones: DataFrame, chain: DataFrame | None = None) -> DataFrame:
-    """A single adjective means a district or region, else a place whose name agrees with it in gender; a marked name a place or what covers it.
-
-    ``matches`` have ``level`` and ``name`` of their zone.
-    """
-    by = ("message_id", "pos", "start", "alternative")
-    rows = narrowed(matches, ~F.col("adjectival") | (F.col("level") != "place"), by)
-    form = T.gender(F.element_at(F.split("gram", " "), -1))
-    agrees = ~F.col("adjectival") | (F.col("level") != "place") | (form == "") | (T.gender(F.lower("name")) == form)
-    rows = narrowed(rows, agrees, by)
-    chain = closure(zones) if chain is None else chain
-    above = chain.select(F.col("zone_id").alias("place_id"), F.col("ancestor_id").alias("zone_id"))
-    marked = rows.where("marked AND level = 'place'").select(*by, F.col("zone_id").alias("place_id"))
-    covering = marked.join(above, "place_id").select(*by, "zone_id").distinct().withColumn("covers", F.lit(True))
-    rows = rows.join(covering, [*by, "zone_id"], "left")
-    return narrowed(rows, ~F.col("marked") | F.col("covers"), by).drop("covers")
-
-
 def score(in_context: Column, at_home: Column, level: Column, population: Column, alone: Column | None = None) -> Column:
     """Context before home before level before population; a major city ranks with districts where no district of its own is a candidate (``alone``)."""
     people = F.coalesce(population, F.lit(0))
@@ -274,54 +324,37 @@ def score(in_context: Column, at_home: Column, level: Column, population: Column
     return F.when(in_context, 1e6).otherwise(0.0) + F.when(at_home, 1e5).otherwise(0.0) + step * 1e4 + F.least(people, F.lit(BIG_CITY)) / 100.0
 
 
-def believable(rows: DataFrame, index: DataFrame | None, rules: LinkRules) -> DataFrame:
+def believable(rows: DataFrame, rules: LinkRules) -> DataFrame:
     """Candidates less those that their evidence is too weak for.
 
-    Ambiguous names need context. A single stemmed word needs context, a marker, a
-    known zone among its candidates or to be a name itself. A small place that is
-    only named by one unmarked word needs context, or to be at home and exact.
+    Ambiguous names need context. A single stemmed word needs context, a marker or to
+    be prominent. A small place that is only named by one unmarked word needs
+    context, or to be at home and exact.
     """
-    by = Window.partitionBy("message_id", "pos", "start", "alternative")
     single = ~F.contains(F.col("key"), F.lit(" "))
     weak = single & ~F.col("exact")
-    people = F.coalesce("population", F.lit(0))
     ambiguous = F.col("key").isin(*rules.ambiguous) | (single & _stem_in(F.col("key"), rules.ambiguous)) if rules.ambiguous else F.lit(False)
-    known = F.max((F.col("level") == "region") | (people >= KNOWN_PLACE)).over(by)
-    stray = F.col("adjectival") & ~F.max(F.col("level") != "place").over(by)
-    if index is not None:
-        nouns = index.select(F.col("norm").alias("key")).distinct().withColumn("noun", F.lit(True))
-        rows = rows.join(nouns, "key", "left")
-    else:
-        rows = rows.withColumn("noun", F.lit(None).cast("boolean"))
-    rows = rows.withColumn("prominent", ~stray & (known | F.coalesce("noun", F.lit(False))))
     doubtful = weak & ~F.col("in_context") & ~F.col("prominent") & ~F.col("marked")
-    small = single & (F.col("level") == "place") & ~F.col("marked") & (people < LEAST_PLACE) & (weak | ~F.col("in_context")) & ~(F.col("at_home") & F.col("exact"))
-    return rows.where(~((ambiguous & ~F.col("in_context")) | doubtful | small)).drop("noun", "prominent")
+    small = single & (F.col("level") == "place") & ~F.col("marked") & (F.coalesce("population", F.lit(0)) < LEAST_PLACE)
+    small = small & (weak | ~F.col("in_context")) & ~(F.col("at_home") & F.col("exact"))
+    return rows.where(~((ambiguous & ~F.col("in_context")) | doubtful | small))
 
 
-def pick(matches: DataFrame, zones: DataFrame, home: DataFrame | None = None, index: DataFrame | None = None, rules: LinkRules | None = None, chain: DataFrame | None = None) -> DataFrame:
-    """The best zone of each match, else of its stem reading; one zone once a message at its first place.
+def pick(rows: DataFrame, home: DataFrame | None = None, rules: LinkRules | None = None) -> DataFrame:
+    """The best zone of each name, else of its stem reading; one zone once a message at its first place.
 
-    ``home`` has ``message_id, home_zone``. Candidates with their zones, and those that
-    are left, are written once each, as later steps use them several times.
+    ``rows`` are those of :func:`with_context`, ``home`` has ``message_id, home_zone``.
+    Everything is dealt by message, so one shuffle serves all of it.
     """
-    chain = closure(zones) if chain is None else chain
-    rows = matches.withColumns({c: F.lit(False) for c in ("alternative", "marked", "adjectival") if c not in matches.columns})
-    rows = rows.join(zones.select("zone_id", "level", "name", "population", "lat", "lon"), "zone_id")
+    rows = rows.where("fit")
     if home is None:
         rows = rows.withColumn("at_home", F.lit(False))
     else:
-        below = chain.select("zone_id", F.col("ancestor_id").alias("home_zone"))
-        rows = rows.join(home, "message_id", "left").join(below.withColumn("at_home", F.lit(True)), ["zone_id", "home_zone"], "left")
-        rows = rows.withColumn("at_home", F.coalesce("at_home", F.lit(False)))
-    rows = fitting(materialize(rows, "link-candidates"), zones, chain)
-    rows = materialize(believable(rows, index, rules or LinkRules()), "link-believable")
-    by = ["message_id", "pos", "start", "alternative"]
-    above = chain.where("depth > 0").select("zone_id", F.col("ancestor_id").alias("admin_id"))
-    cities = rows.where((F.col("level") == "place") & (F.col("population") >= MAJOR_CITY)).select(*by, "zone_id").distinct().join(above, "zone_id")
-    crowded = cities.join(rows.where("level <> 'place'").select(*by, F.col("zone_id").alias("admin_id")), [*by, "admin_id"]).select(*by, "zone_id").distinct()
-    rows = rows.join(crowded.withColumn("covered", F.lit(True)), [*by, "zone_id"], "left")
-    rows = rows.withColumn("score", score(F.col("in_context"), F.col("at_home"), F.col("level"), F.col("population"), F.col("covered").isNull()))
+        rows = rows.join(home, "message_id", "left").withColumn("at_home", F.coalesce(F.array_contains("path", F.col("home_zone")), F.lit(False)))
+    rows = believable(rows, rules or LinkRules())
+    admins = F.collect_set(F.when(F.col("level") != "place", F.col("zone_id"))).over(Window.partitionBy("message_id", "pos", "start", "alternative"))
+    rows = rows.withColumn("alone", ~F.arrays_overlap(F.array_remove("path", F.col("zone_id")), admins))
+    rows = rows.withColumn("score", score(F.col("in_context"), F.col("at_home"), F.col("level"), F.col("population"), F.col("alone")))
     best = Window.partitionBy("message_id", "pos", "start").orderBy("alternative", F.desc("score"), "zone_id")
     once = Window.partitionBy("message_id", "zone_id").orderBy("pos", "start")
     one = rows.withColumn("rn", F.row_number().over(best)).where("rn = 1").withColumn("rn", F.row_number().over(once)).where("rn = 1")
@@ -382,18 +415,9 @@ def expand_groups(phrases: DataFrame, groups: DataFrame, evidence: DataFrame) ->
 
 
 def link(phrases: DataFrame, zones: DataFrame, index: DataFrame, home: DataFrame | None = None, rules: LinkRules | None = None) -> DataFrame:
-    """The whole linker: grams, lookup with its fallback, scan, context, pick.
-
-    What the lookup finds is written once: scan, context and pick use it several times.
-    """
-    rules = rules or LinkRules()
+    """The whole linker: each distinct phrase is looked up once, then its names meet in the messages that have it."""
     zones, index = materialize(zones, "link-zones"), materialize(index, "link-index")
-    grams = materialize(ngrams(phrases), "link-grams")
-    found = materialize(candidates(grams, index, zones, rules), "link-found")
-    found = found.unionByName(district_to_city(grams, found.where("NOT alternative"), index, zones, unit=rules.district_words[0]), allowMissingColumns=True)
-    matches = materialize(leftmost_longest(plausible(found, zones, rules)), "link-matches")
-    chain = materialize(closure(zones), "link-chain")
-    return pick(with_context(matches, zones, chain), zones, home, index, rules, chain)
+    return pick(with_context(phrases, names_of(phrases, zones, index, rules)), home, rules)
 
 
 def prefix_search(zones: DataFrame, index: DataFrame, query: str, limit: int = 12) -> DataFrame:

@@ -21,12 +21,14 @@ def _zones(s, d):
     return V.zones(s, d).withColumn("name", F.translate("name", "_#", "  "))
 
 
-def _adjectives(s, d):
-    zones = V.zones(s, d).where("level = 'place'").select("zone_id", "level", F.concat(F.lit("town"), F.translate("zone_id", "c0123456789", "xabcdefghij")).alias("name"), "population")
-    words = zones.select(F.col("zone_id").alias("message_id"), F.lit(0).alias("pos"), F.concat("name", F.lit("skiy district")).alias("phrase"))
-    grams = linking.ngrams(words)
+def _towns_of_adjectives(s, d):
+    """Every place under a name of letters, asked for by its adjective before a district word."""
+    zones = V.zones(s, d).where("level = 'place'").withColumn("name", F.concat(F.lit("town"), F.translate("zone_id", "c0123456789", "xabcdefghij")))
+    asked = zones.select(F.col("zone_id").alias("message_id"), F.concat("name", F.lit("skiy district")).alias("phrase"))
+    texts = asked.select("phrase", linking.phrase_words(F.col("phrase")).alias("words"))
     index = linking.name_index(zones)
-    return grams, linking.candidates(grams, index), index, zones
+    found = linking.found_names(linking.probes(texts, linking.first_words(index), linking.LinkRules()), linking.lookup_keys(index, zones))
+    return asked.join(found, "phrase").select("message_id", "zone_id")
 
 
 def _home_sources(s, d):
@@ -139,7 +141,7 @@ QUERIES = {
     "g02_aliases": lambda s, d: linking.name_index(_zones(s, d), V.read(s, d, "nation").select(F.concat(F.lit("old land "), "n_nationkey").alias("alias"), F.translate("n_name", "_", " ").alias("target")))
     .where("norm LIKE 'old land%'")
     .select("norm", "zone_id"),
-    "g06_district_to_city": lambda s, d: linking.district_to_city(*_adjectives(s, d)).select("message_id", "zone_id"),
+    "g06_district_to_city": lambda s, d: _towns_of_adjectives(s, d),
     "g09_narrowed": lambda s, d: linking.narrowed(V.observations(s, d).select(F.col("zone_id").alias("message_id"), F.lit(0).alias("pos"), F.lit(0).alias("start"), "raw_id", "severity"), F.col("severity") >= 4).select("message_id", "raw_id"),
     "g12_groups": lambda s, d: linking.expand_groups(
         V.zones(s, d).where("level = 'place'").select(F.col("zone_id").alias("message_id"), F.lit("The Group").alias("phrase")),
