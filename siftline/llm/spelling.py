@@ -31,7 +31,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Letters of the words of a shard, about; words that may share a half before it is divided.
 SHARD, GROUP = 1 << 18, 4096
 #: Symbols between two counts of an index.
-STEP = 32
+STEP = 8
 
 
 class Index:
@@ -66,16 +66,30 @@ class Index:
         self.blocks = np.cumsum(np.cumsum(blocks, axis=0), axis=1)  # symbols below, in front of a block
         self.padded = padded
 
-    def below(self, symbol: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Symbols under ``symbol`` in front of the first ``at`` suffixes."""
+    def counts(self, symbol: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols under ``symbol``, and equal to it, in front of the first ``at`` suffixes."""
         block, rest = np.divmod(at, STEP)
-        return self.blocks[block, symbol] + ((self.padded[block] < symbol[:, None]) & (np.arange(STEP) < rest[:, None])).sum(axis=1)
+        some, ahead = self.padded[block], np.arange(STEP) < rest[:, None]
+        wanted = symbol.astype(np.uint8)[:, None]
+        below = self.blocks[block, symbol]
+        equal = self.blocks[block, symbol + 1] - below
+        return below + ((some < wanted) & ahead).sum(axis=1), equal + ((some == wanted) & ahead).sum(axis=1)
 
     def narrow(self, symbol: np.ndarray, here: np.ndarray, there: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Intervals with one more symbol at this index's end: begin here, begin in the other index, size."""
-        low, high = self.below(symbol, here), self.below(symbol, here + size)
-        equal = self.below(symbol + 1, here) - low
-        return self.first[symbol] + equal, there + high - low, self.below(symbol + 1, here + size) - high - equal
+        low, equal = self.counts(symbol, here)
+        high, more = self.counts(symbol, here + size)
+        return self.first[symbol] + equal, there + high - low, more - equal
+
+    def present(self, here: np.ndarray, size: np.ndarray, alphabet: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which interval can be narrowed by which symbols; a wide one is asked for all of them."""
+        wide = np.flatnonzero(size > alphabet)
+        few = np.flatnonzero(size <= alphabet)
+        ends = np.cumsum(size[few])
+        every = np.repeat(few, size[few])
+        place = np.repeat(here[few] - ends + size[few], size[few]) + np.arange(len(every))
+        key = np.concatenate([every * alphabet + self.padded.ravel()[place], np.repeat(wide * alphabet, alphabet) + np.tile(np.arange(alphabet), len(wide))])
+        return np.divmod(np.unique(key), alphabet)
 
 
 class States:
@@ -117,12 +131,11 @@ class Shard:
         right, left, size = self.backward.narrow(symbol, states.right, states.left, states.size)
         return States(states.word, states.at + step, left, right, size).where(size > 0)
 
-    def others(self, states: States, but: np.ndarray) -> tuple[States, np.ndarray]:
-        """Each state with each letter except ``but``."""
-        n = self.alphabet - 1
-        every = np.repeat(np.arange(len(states.word)), n)
-        symbol = np.tile(np.arange(1, n + 1), len(states.word))
-        keep = symbol != but[every]
+    def others(self, states: States, but: np.ndarray, right: bool) -> tuple[States, np.ndarray]:
+        """Each state with each letter that may follow it on one side, except ``but``."""
+        index, here = (self.backward, states.right) if right else (self.forward, states.left)
+        every, symbol = index.present(here, states.size, self.alphabet)
+        keep = (symbol != but[every]) & (symbol > 0)
         return states.where(every[keep]), symbol[keep]
 
     def start(self, word: np.ndarray, at: np.ndarray) -> States:
@@ -137,7 +150,8 @@ class Shard:
 
     def rightward(self, word: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words found with their first ``a`` letters as they are, an error before the last ``b``, and these as they are."""
-        states, matched = self.start(word, a - 1), []
+        states = self.start(word, a - 1)
+        matched = [states.where(states.at < -1)]  # none
         stop = self.size[word] - b  # by the place of a state in ``word``
         limit = np.zeros(len(self.size), np.int64)
         limit[word] = stop
@@ -156,9 +170,9 @@ class Shard:
             states = states.where((states.size > 1) & ((states.at < limit[states.word]) | (limit[states.word] == self.size[states.word])))
             open_ = states.where(states.at < limit[states.word])
             at_end = states.where(states.at >= limit[states.word])
-            other, symbol = self.others(open_, self.letter(open_, open_.at))
+            other, symbol = self.others(open_, self.letter(open_, open_.at), True)
             new = [self.to_right(other, symbol, 1), self.to_right(other, symbol, 0)]
-            other, symbol = self.others(at_end, np.zeros(len(at_end.word), np.int64))
+            other, symbol = self.others(at_end, np.zeros(len(at_end.word), np.int64), True)
             new.append(self.to_right(other, symbol, 0))
             states = self.to_right(open_, self.letter(open_, open_.at), 1)
             wrong = States.joined([wrong, *new])
@@ -174,7 +188,7 @@ class Shard:
         stop[word] = self.size[word] - b
         states = self.start(word, self.size[word] - 1)
         states = self.to_left(states, np.zeros(len(word), np.int64), 0)
-        matched = []
+        matched = [states.where(states.at < -1)]  # none
         while len(states.word):
             done = states.at < stop[states.word]
             matched.append(states.where(done))
@@ -185,10 +199,10 @@ class Shard:
         while len(states.word) or len(wrong.word):
             states = states.where((states.size > 1) & (states.at >= 0))
             letter = self.letter(states, states.at)
-            other, symbol = self.others(states, letter)
+            other, symbol = self.others(states, letter, False)
             new = [self.to_left(other, symbol, -1)]
             states = self.to_left(states, letter, -1)
-            other, symbol = self.others(states, self.letter(states, states.at + 1))
+            other, symbol = self.others(states, self.letter(states, states.at + 1), False)
             new.append(self.to_left(other, symbol, 0))
             wrong = States.joined([wrong, *new])
             done = wrong.at < 0
