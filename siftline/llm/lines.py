@@ -8,19 +8,21 @@ variants are grouped by what they have in a few places, for several choices of
 places, so other lines of the leaf do not dilute a group. Templates that recur
 across documents are boilerplate and their lines go.
 
-A line is judged by its texts: smallest hashes of the three-word shingles of the
-whole text, and of all its lines but those of the leaf. Texts are alike that share
-two thirds of the former and three eighths of the latter, and recurrence is the
-number of texts no two of which are alike. A group of near copies, of any size, is
-alike in both and counts as one, so its lines are left to near-duplicate removal.
-Unrelated texts count one each, be it that one line makes up most of them, or a
-block of lines, as long as the block does not make near copies of them.
+A line is judged by its texts, in a second reading, when it is known how often
+each line comes. Two texts are alike if as a whole they are as like as near
+copies, in the measure of near-duplicate removal (five-word shingles, 0.8), or if
+what they have besides is alike: three eighths of the three-word shingles of the
+lines that come less than half as often as the line in question. Recurrence is the
+number of texts no two of which are alike. So a group of near copies, of any
+size, counts as one, and its lines are left to near-duplicate removal; unrelated
+texts count one each, be it that one line makes up most of them, or a block of
+lines that comes as often.
 """
 
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -40,10 +42,12 @@ MIN_TOKENS = 3
 #: is missed by all of them with a chance of about 0.4 %, and the leaf as a whole is one more group.
 CHOICES = 13
 PLACES = 3
-#: One-byte hashes of what a text has besides a line, as many of the whole text, and how many of either alike texts share.
+#: One-byte hashes of what a text has besides a line, and how many of them alike texts share.
 SKETCHES = 32
 ALIKE_BESIDES = 12
-ALIKE_WHOLE = 21
+#: Bins of the shingles of a whole text, two bits each, and the Jaccard coefficient of alike texts.
+BINS = 128
+ALIKE_WHOLE = 0.8
 #: Sketches that are compared together; a line with more is compared in parts first.
 TOGETHER = 2048
 
@@ -78,10 +82,40 @@ def leaves(words: Words, sizes: np.ndarray, place: np.ndarray) -> tuple[np.ndarr
     return mix(leaf), (folded % 251).astype(np.uint8).reshape(-1, SLOTS)
 
 
-def besides(words: Words, sizes: np.ndarray, leaf: np.ndarray, text: np.ndarray) -> np.ndarray:
-    """Sketches of what the text of each line with tokens has besides the lines of its leaf, and behind them those of the whole text.
-
-    A line of fewer than three words is one shingle; no shingle reaches over two lines.
+def whole_sketch(words: Words) -> np.ndarray:
+    """BINS codes of two bits for each text: nothing (0), or 1 to 3 by the smallest hash of the five-word shingles in the bin."""
+    n = np.diff(words.word_of)
+    size = np.where(n >= 5, n - 4, np.minimum(n, 1))  # fewer words are one shingle
+    text = np.repeat(np.arange(len(n)), size)
+    at = np.repeat(words.word_of[:-1] - np.cumsum(size) + size, size) + np.arange(len(text))
+    hashed = np.append(words.plain, np.zeros(4, np.uint64))
+    shingle = np.zeros(len(text), np.uint64)
+    for k in range(5):
+        inside = at + k < words.word_of[1:][text]
+        shingle = mix(shingle + np.where(inside, hashed[at + k], np.uint64(0)) * _M1 + np.uint64(k))
+    out = np.zeros(len(n) * BINS, np.uint8)
+    cell = text * BINS + (shingle % np.uint64(BINS)).astype(np.int64)
+    order = np.lexsort((shingle, cell))
+    first = order[np.flatnonzero(np.diff(cell[order], prepend=-1))]
+    out[cell[first]] = 1 + (mix(shingle[first]) % np.uint64(3)).astype(np.uint8)
+    codes = out.reshape(len(n), BINS // 4, 4)
+    return codes[:, :, 0] | codes[:, :, 1] << 2 | codes[:, :, 2] << 4 | codes[:, :, 3] << 6
+
+
+def likeness(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Estimated Jaccard coefficient of a text with others, from their codes; a third of what differs agrees by chance."""
+    both = ((one > 0) & (others > 0)).sum(axis=1)
+    some = ((one > 0) | (others > 0)).sum(axis=1)
+    same = ((one == others) & (one > 0)).sum(axis=1)
+    return (3 * same - both) / 2 / np.maximum(some, 1)
+
+
+def besides(words: Words, sizes: np.ndarray, text: np.ndarray, often: np.ndarray) -> np.ndarray:
+    """Sketch of what the text of each line with tokens has besides it: of its lines that come less than half as often.
+
+    ``often`` is the binary logarithm of the documents that have a line, -1 for those of no
+    interest. A line of fewer than three words is one shingle; no shingle reaches over
+    two lines. Nothing besides is a sketch of zeros.
     """
     used = sizes[sizes > 0]
     starts = np.cumsum(used) - used
@@ -96,26 +130,21 @@ def besides(words: Words, sizes: np.ndarray, leaf: np.ndarray, text: np.ndarray)
     shingle = shingle[valid]
     per_line = np.maximum(used - 2, 1)
     line_starts = np.cumsum(per_line) - per_line
-    order = np.lexsort((leaf, text))
-    new_text = np.concatenate([[True], text[order][1:] != text[order][:-1]])
-    new = new_text | np.concatenate([[True], leaf[order][1:] != leaf[order][:-1]])
-    group_starts = np.flatnonzero(new)
-    text_starts = np.flatnonzero(new_text[group_starts])
-    group = np.empty(len(order), np.int64)
-    group[order] = np.cumsum(new) - 1
-    own = np.cumsum(new_text[group_starts]) - 1
-    none = np.iinfo(np.uint64).max
-    out = np.empty((len(group_starts), 2 * SKETCHES), np.uint8)
+    order = np.lexsort((often, text))
+    # the lines of a text that come before those at least half as often
+    level = text * 64 + often + 1
+    wanted = np.flatnonzero(often >= 0)
+    upto = np.searchsorted(level[order], text[wanted] * 64 + often[wanted] - 1, side="right") - 1
+    some = (upto >= 0) & (text[order][np.maximum(upto, 0)] == text[wanted])
+    out = np.zeros((len(wanted), SKETCHES), np.uint8)
+    # texts come in order, so minima of a later text are below all before it and one scan serves all of them
+    later = (np.uint64(len(text)) - text[order].astype(np.uint64)) << np.uint64(40)
     for k in range(SKETCHES):
         factor = mix(np.array([k + 1], np.uint64) * _M2) | np.uint64(1)
-        lowest = np.minimum.reduceat(np.minimum.reduceat(shingle * factor, line_starts)[order], group_starts)
-        first = np.minimum.reduceat(lowest, text_starts)
-        is_first = lowest == first[own]
-        alone = np.add.reduceat(is_first.astype(np.int64), text_starts) == 1
-        second = np.minimum.reduceat(np.where(is_first, none, lowest), text_starts)
-        out[:, k] = (mix(np.where(is_first & alone[own], second[own], first[own])) >> np.uint64(56)).astype(np.uint8)
-        out[:, SKETCHES + k] = (mix(first) >> np.uint64(56)).astype(np.uint8)[own]
-    return out[group]
+        lowest = np.minimum.reduceat(mix(shingle * factor) >> np.uint64(24), line_starts)[order]
+        running = np.minimum.accumulate(lowest | later)
+        out[some, k] = (mix(running[upto[some]] & np.uint64((1 << 40) - 1)) >> np.uint64(56)).astype(np.uint8) | np.uint8(1)
+    return out
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -123,7 +152,7 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _line_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each distinct masked line of a document: leaf, variant, slots, number of tokens and sketches of the document besides it."""
+    """Each distinct masked line of a document: leaf, variant, slots and number of tokens."""
     for batch in batches:
         for _, texts in parcels(batch["text"].tolist()):
             words = words_of(texts, mask_fields=True)
@@ -132,29 +161,78 @@ def _line_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sizes, variant, place = masked_lines(words)
             leaf, slots = leaves(words, sizes, place)
             text = np.searchsorted(words.line_of, np.flatnonzero(sizes), side="right") - 1
-            sketch = besides(words, sizes, leaf, text)
             variant, sizes = variant[sizes > 0], sizes[sizes > 0]
             order = np.lexsort((variant, text))
             new = np.concatenate([[True], (variant[order][1:] != variant[order][:-1]) | (text[order][1:] != text[order][:-1])])
             first = order[new & (variant[order] != 0)]
-            yield pd.DataFrame(
-                {
-                    "leaf": _signed(leaf[first]),
-                    "variant": _signed(variant[first]),
-                    "slots": [s.tobytes() for s in slots[first]],
-                    "size": sizes[first],
-                    "sketch": [s.tobytes() for s in sketch[first]],
-                }
-            )
+            yield pd.DataFrame({"leaf": _signed(leaf[first]), "variant": _signed(variant[first]), "slots": [s.tobytes() for s in slots[first]], "size": sizes[first]})
+
+
+def _sketched(texts: list[str | None], often_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> pd.DataFrame:
+    """``variant, sketch`` of each line of interest in some texts; ``often_of`` tells of texts and variants how often they come."""
+    words = words_of(texts, mask_fields=True)
+    if not len(words.hashes):
+        return pd.DataFrame({"variant": np.zeros(0, np.int64), "sketch": []})
+    sizes, variant, _ = masked_lines(words)
+    text = np.searchsorted(words.line_of, np.flatnonzero(sizes), side="right") - 1
+    variant = _signed(variant[sizes > 0])
+    often = np.where(variant != 0, often_of(text, variant), -1)
+    wanted = np.flatnonzero(often >= 0)
+    sketch = np.concatenate([besides(words, sizes, text, often), whole_sketch(words)[text[wanted]]], axis=1)
+    return pd.DataFrame({"variant": variant[wanted], "sketch": [s.tobytes() for s in sketch]}).drop_duplicates()
+
+
+def sketches(docs: DataFrame, interest: DataFrame, limit: int) -> DataFrame:
+    """``variant, sketch`` of each line of interest (``variant``, ``often``) in each document.
+
+    Up to ``limit`` variants go to the tasks; more are joined with the lines, and what is known of a text's lines with the text.
+    """
+    schema = "variant bigint, sketch binary"
+    if interest.count() <= limit:
+        rows = interest.collect()
+        known = np.array([r["variant"] for r in rows], np.int64)
+        level = np.array([r["often"] for r in rows], np.int64)[np.argsort(known)]
+        known.sort()
+
+        def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            def often_of(_: np.ndarray, variant: np.ndarray) -> np.ndarray:
+                at = np.minimum(np.searchsorted(known, variant), len(known) - 1)
+                return np.where(known[at] == variant, level[at], -1) if len(known) else np.full(len(variant), -1)
+
+            for batch in batches:
+                for _, texts in parcels(batch["text"].tolist()):
+                    yield _sketched(texts, often_of)
+
+        return docs.select("text").mapInPandas(told, schema)
+
+    def lines_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for begin, texts in parcels(batch["text"].tolist()):
+                words = words_of(texts, mask_fields=True)
+                variant = _signed(masked_lines(words)[1])
+                text = np.repeat(np.arange(len(texts)), np.diff(words.line_of))
+                yield pd.DataFrame({"hash": batch["hash"].array[begin + text], "variant": variant}).drop_duplicates()
+
+    def joined(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for begin, texts in parcels(batch["text"].tolist()):
+                given = [{r["variant"]: r["often"] for r in told} for told in batch["told"].iloc[begin : begin + len(texts)]]
+                yield _sketched(texts, lambda text, variant, given=given: np.array([given[t].get(v, -1) for t, v in zip(text.tolist(), variant.tolist(), strict=True)], np.int64))
+
+    hashed = docs.select(F.sha2("text", 256).alias("hash"), "text").where("text IS NOT NULL")
+    known = hashed.mapInPandas(lines_of, "hash string, variant bigint").join(interest, "variant")
+    known = known.groupBy("hash").agg(F.collect_set(F.struct("variant", "often")).alias("told"))
+    return hashed.join(known, "hash").select("text", "told").mapInPandas(joined, schema)
 
 
 def _unlike(sketches: np.ndarray, most: int) -> np.ndarray:
     """Numbers of at most ``most`` rows of ``sketches`` no two of which are alike; each other row is like one of them, or there are ``most``."""
     rest, out = np.arange(len(sketches)), []
+    whole = (sketches[:, SKETCHES:, None] >> np.arange(0, 8, 2, dtype=np.uint8) & 3).reshape(len(sketches), BINS)
     while len(rest) and len(out) < most:
         out.append(rest[0])
-        same = sketches[rest] == sketches[rest[0]]
-        rest = rest[(same[:, :SKETCHES].sum(axis=1) < ALIKE_BESIDES) | (same[:, SKETCHES:].sum(axis=1) < ALIKE_WHOLE)]
+        same = (sketches[rest, :SKETCHES] == sketches[rest[0], :SKETCHES]).sum(axis=1)
+        rest = rest[1:][((same < ALIKE_BESIDES) & (likeness(whole[rest[0]], whole[rest]) < ALIKE_WHOLE))[1:]]
     return np.array(out, np.int64)
 
 
@@ -169,7 +247,7 @@ def spread(rows: DataFrame, min_docs: int) -> DataFrame:
             def reduced(frame: pd.DataFrame) -> Iterator[tuple[np.ndarray, bool]]:
                 both = frame[["key", "part"]].to_numpy()
                 cuts = np.flatnonzero(np.concatenate([[True], (both[1:] != both[:-1]).any(axis=1), [True]]))
-                values = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(-1, 2 * SKETCHES)
+                values = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), -1)
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     yield a + _unlike(values[a:b], min_docs), b == len(frame)
 
@@ -234,7 +312,7 @@ def templates(variants: DataFrame, min_variants: int, agree: float, constant: fl
     )
 
 
-def recurring_variants(docs: DataFrame, min_docs: int, min_variants: int = 4, agree: float = 0.8, constant: float = 0.7) -> DataFrame:
+def recurring_variants(docs: DataFrame, min_docs: int, min_variants: int = 4, agree: float = 0.8, constant: float = 0.7, limit: int = 100_000) -> DataFrame:
     """Masked lines (``variant``) whose template recurs, in ``min_docs`` or more texts no two of which are alike besides it.
 
     A group of a leaf with ``min_variants`` or more variants is generalised: a slot in
@@ -242,17 +320,23 @@ def recurring_variants(docs: DataFrame, min_docs: int, min_variants: int = 4, ag
     more, and a share of at least ``constant`` of those in use, are constant, the
     variants of the leaf that have all constant values are one template.
     """
-    rows = "leaf bigint, variant bigint, slots binary, size bigint, sketch binary"
-    uses = materialize(docs.select("text").mapInPandas(_line_rows, rows).distinct(), "line-uses")
+    rows = "leaf bigint, variant bigint, slots binary, size bigint"
+    uses = docs.select("text").mapInPandas(_line_rows, rows)
     variants = materialize(uses.groupBy("leaf", "variant", "slots", "size").agg(F.count(F.lit(1)).alias("n")), "line-variants")
     often = variants.where(F.col("n") >= min_docs).select("variant", "n")
-    direct = spread(dealt_join(uses, often, ["variant"], "sketch").select(F.col("variant").alias("key"), "sketch", "n"), min_docs).select(F.col("key").alias("variant"))
     patterns = templates(variants, min_variants, agree, constant).withColumn("key", F.xxhash64("leaf", "fixed"))
     fits = F.forall("fixed", lambda f: F.substring(F.hex("slots"), f["slot"] * 2 - 1, F.lit(2)) == f["value"])
-    members = materialize(dealt_join(variants, patterns, ["leaf"], "variant").where(fits).select("key", "variant"), "line-members")
-    met = materialize(uses.select("variant", "sketch").join(members, "variant").select("key", "sketch").distinct(), "line-met")
-    often = met.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
-    wide = spread(dealt_join(met, often, ["key"], "sketch").select("key", "sketch", "n"), min_docs)
+    members = dealt_join(variants, patterns, ["leaf"], "variant").where(fits).select("key", "variant", "n")
+    all_of = members.groupBy("key").agg(F.sum("n").alias("all")).where(F.col("all") >= min_docs)
+    members = materialize(dealt_join(members, all_of, ["key"], "variant"), "line-members")
+    interest = often.select("variant", "n").unionByName(members.select("variant", F.col("all").alias("n")))
+    interest = materialize(interest.groupBy("variant").agg(F.floor(F.log2(F.max("n"))).cast("int").alias("often")), "line-interest")
+    met = materialize(sketches(docs, interest, limit).distinct(), "line-met")
+    count = lambda rows, key: rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs)
+    own = dealt_join(met, count(met, "variant"), ["variant"], "sketch")
+    direct = spread(own.select(F.col("variant").alias("key"), "sketch", "n"), min_docs).select(F.col("key").alias("variant"))
+    keyed = met.join(members.select("variant", "key"), "variant").select("key", "sketch").distinct()
+    wide = spread(dealt_join(keyed, count(keyed, "key"), ["key"], "sketch").select("key", "sketch", "n"), min_docs)
     return direct.unionByName(members.join(wide, "key").select("variant")).distinct()
 
 
@@ -275,11 +359,11 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, broadcast_limit: in
     stays; equal rows get equal results; rows are never dropped, even if no line
     is left; other columns stay, but ``n_lines`` and ``n_dropped`` are replaced.
 
-    The recurring variants go to the tasks as one array of 64-bit hashes while
-    there are at most ``broadcast_limit``; beyond that, lines are joined with them
-    and the numbers of the lines to drop are joined with the documents.
+    Variants that come often, and then those that recur, go to the tasks as arrays
+    of 64-bit hashes while there are at most ``broadcast_limit``; beyond that, lines
+    are joined with them, and what is found with the documents.
     """
-    found = materialize(recurring_variants(docs, min_docs), "line-recurring")
+    found = materialize(recurring_variants(docs, min_docs, limit=broadcast_limit), "line-recurring")
     result = "text string, n_lines bigint, n_dropped bigint"
     if found.count() <= broadcast_limit:
         known = np.sort(np.array([r["variant"] for r in found.collect()], np.int64))

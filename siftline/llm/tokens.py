@@ -41,19 +41,23 @@ def _tables(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Words:
-    """Words of texts behind each other: hash, line over all texts, and the first word and line of each text."""
+    """Words of texts behind each other: hash, line over all texts, and the first word and line of each text.
+
+    ``plain`` are the hashes before fields were masked.
+    """
 
     hashes: np.ndarray
     line: np.ndarray
     word_of: np.ndarray
     line_of: np.ndarray
+    plain: np.ndarray
 
     def of(self, k: int) -> np.ndarray:
         return self.hashes[self.word_of[k] : self.word_of[k + 1]]
 
 
-def _hashed(data: bytes, mask_fields: bool, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and hash of each word."""
+def _hashed(data: bytes, mask_fields: bool, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and hash of each word, and the hash without a mask."""
     codes = np.frombuffer(data, np.uint8)
     space = np.concatenate([[True], breaks[codes], [True]])
     edge = np.flatnonzero(space[1:] != space[:-1])
@@ -62,10 +66,10 @@ def _hashed(data: bytes, mask_fields: bool, breaks: np.ndarray) -> tuple[np.ndar
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * up[: len(codes)], out=sums[1:])
     found = mix((sums[end] - sums[start]) * down[start])
-    if mask_fields:
-        fields = np.concatenate([[0], np.cumsum(_FIELD[codes])])
-        found[fields[end] > fields[start]] = FIELD_HASH
-    return start, found
+    if not mask_fields:
+        return start, found, found
+    fields = np.concatenate([[0], np.cumsum(_FIELD[codes])])
+    return start, np.where(fields[end] > fields[start], FIELD_HASH, found), found
 
 
 def words_of(texts: list[str | None], mask_fields: bool = False, loose: bool = False, fold: bool = True, parting: np.ndarray | None = None) -> Words:
@@ -82,22 +86,25 @@ def words_of(texts: list[str | None], mask_fields: bool = False, loose: bool = F
     offset = np.concatenate([[0], np.cumsum(size + 1)])
     whole = b"\n".join([*data, b""])
     whole = whole.lower() if fold else whole
-    starts, hashes, at = [], [], 0
+    starts, hashes, plain, at = [], [], [], 0
     while at < len(whole):
         end = min(at + PARCEL, len(whole))
         while end < len(whole) and not _SPACE[whole[end]]:
             end += 1
-        start, found = _hashed(whole[at:end], mask_fields, parting)
+        start, found, raw = _hashed(whole[at:end], mask_fields, parting)
         starts.append(start + at)
         hashes.append(found)
+        plain.append(raw)
         at = end
     start = np.concatenate(starts) if starts else np.zeros(0, np.int64)
     breaks = np.flatnonzero(np.frombuffer(whole, np.uint8) == 10)
+    found = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
     return Words(
-        np.concatenate(hashes) if hashes else np.zeros(0, np.uint64),
+        found,
         np.searchsorted(breaks, start),
         np.searchsorted(start, offset),
         np.searchsorted(breaks, offset),
+        np.concatenate(plain) if mask_fields and plain else found,
     )
 
 
