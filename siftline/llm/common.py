@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,17 +81,3 @@ def n_words(text: Column) -> Column:
 def words(text: str | None) -> list[bytes]:
     """Words in UTF-8 with A-Z lower-cased; ``bytes`` knows only the six ASCII white-space characters."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
-class WordHashes(dict):
-    """64-bit hash of a word, remembered; emptied when it holds ``limit`` words."""
-
-    def __init__(self, limit: int = 100_000):
-        super().__init__()
-        self.limit = limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value

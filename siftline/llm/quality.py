@@ -11,8 +11,7 @@ so it travels with the tasks; scoring is one pass without a shuffle.
 
 from __future__ import annotations
 
-import re
-from collections import Counter
+import string
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftline.llm.common import WordHashes
+from siftline.llm.tokens import Words, parcels, words_of
 
 WORD_SLOTS = 1 << 14
 #: Edges of the one-hot bins of a statistic.
@@ -29,61 +28,112 @@ BINS = np.array([0.001, 0.01, 0.03, 0.08, 0.15, 0.25, 0.4, 0.6, 0.85])
 N_STATS = 18
 N_SLOTS = WORD_SLOTS + N_STATS * (len(BINS) + 2)
 
-_UPPER = re.compile(r"[A-Z]")
-_DIGIT = re.compile(r"[0-9]")
-_MARK = re.compile(r"[%#$&*|@^~_=<>{}\\]")
-_PUNCT = re.compile(r"[.,;:!?]")
-_BANG = re.compile(r"[!?]{2}")
-_END = re.compile(rb"[.!?,;:]$")
-
-
-def statistics(text: str, n_chars: float, counts: Counter, ordered: list[bytes]) -> np.ndarray:
-    """Shares between 0 and 1 that describe the structure of a text."""
-    size, n = max(len(text), 1), max(len(ordered), 1)
-    lines = text.split("\n")
-    again = sum(map(bytes.__eq__, ordered, ordered[1:]))
-    top = counts.most_common(4)
-    upper_words = sum(map(str.isupper, text.split()))
-    return np.array(
+def _bytes_of(*ranges: str) -> np.ndarray:
+    table = np.zeros(256, bool)
+    table[[ord(c) for r in ranges for c in r]] = True
+    return table
+
+
+_UPPER, _LOWER, _DIGIT = (_bytes_of(x) for x in (string.ascii_uppercase, string.ascii_lowercase, string.digits))
+_MARK, _PUNCT, _BANG = _bytes_of("%#$&*|@^~_=<>{}\\"), _bytes_of(".,;:!?"), _bytes_of("!?")
+_SPACE, _LINE = _bytes_of("\t\n\x0b\x0c\r "), _bytes_of("\n")
+
+
+@dataclass(frozen=True)
+class Vectors:
+    """Sparse vectors: slots and values of row ``k`` are at ``at[k]`` to ``at[k + 1]``."""
+
+    at: np.ndarray
+    slots: np.ndarray
+    values: np.ndarray
+
+
+def _sums(values: np.ndarray, cuts: np.ndarray) -> np.ndarray:
+    """Sum of ``values`` between neighbouring ``cuts``."""
+    return np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[cuts])
+
+
+def _kinds(hashes: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row its different hashes with their counts, the most frequent first."""
+    row = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+    order = np.lexsort((hashes, row))
+    first = np.flatnonzero(np.concatenate([[True], (row[order][1:] != row[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])])) if len(order) else order
+    times = np.diff(np.concatenate([first, [len(order)]]))
+    kinds, own = hashes[order][first], row[order][first]
+    by_times = np.lexsort((-times, own))
+    return own[by_times], kinds[by_times], times[by_times]
+
+
+def statistics(texts: list[str], n_chars: np.ndarray, words: Words, lines: Words) -> np.ndarray:
+    """Shares between 0 and 1 that describe the structure of each text."""
+    data = [t.encode("utf-8", "surrogatepass") for t in texts]
+    cuts = np.concatenate([[0], np.cumsum([len(d) + 1 for d in data])])
+    codes = np.frombuffer(b"\n".join([*data, b""]), np.uint8)
+    of = lambda table: _sums(table[codes], cuts)
+    size = np.maximum(_sums((codes & 0xC0) != 0x80, cuts) - 1, 1)
+    bang = np.concatenate([[False], _BANG[codes], [False]])
+    edge = np.flatnonzero(bang[1:] != bang[:-1])
+    pairs = np.bincount(np.searchsorted(cuts, edge[::2], side="right") - 1, (edge[1::2] - edge[::2]) // 2, len(texts))
+    space = np.concatenate([[True], _SPACE[codes], [True]])
+    edge = np.flatnonzero(space[1:] != space[:-1])
+    begin, end = edge[::2], edge[1::2]
+    # words by text; counts of classes of bytes in a word
+    word_cuts = words.word_of
+    n = np.maximum(np.diff(word_cuts), 1)
+    per_word = lambda table: np.diff(np.concatenate([[0], np.cumsum(table[codes])])[np.stack([begin, end])], axis=0)[0]
+    loud = (per_word(_UPPER) > 0) & (per_word(_LOWER) == 0)
+    length = end - begin
+    own, _, times = _kinds(words.hashes, word_cuts)
+    kinds = np.searchsorted(own, np.arange(len(texts) + 1))
+    rank = np.arange(len(own)) - kinds[own]
+    top = lambda most: np.bincount(own, np.where(rank < most, times, 0), len(texts))
+    again = np.concatenate([words.hashes[1:] == words.hashes[:-1], [False]])[: len(words.hashes)]
+    again[word_cuts[1:][np.diff(word_cuts) > 0] - 1] = False
+    n_lines = of(_LINE)  # the newline behind each text ends its last line
+    line_own = _kinds(lines.hashes, lines.word_of)[0]
+    blank = n_lines > np.diff(lines.word_of)
+    given = np.where(np.isnan(n_chars), _sums((codes & 0xC0) != 0x80, cuts) - 1, n_chars)
+    return np.column_stack(
         [
-            len(_UPPER.findall(text)) / size,
-            len(_DIGIT.findall(text)) / size,
-            len(_MARK.findall(text)) / size,
-            len(_PUNCT.findall(text)) / size,
-            10 * len(_BANG.findall(text)) / size,
-            again / n,
-            len(counts) / n,
-            top[0][1] / n if top else 0.0,
-            sum(c for _, c in top) / n,
-            upper_words / n,
-            min(sum(map(len, ordered)) / n / 20, 1.0),
-            min(np.log1p(n) / 12, 1.0),
-            min(np.log1p(len(lines)) / 8, 1.0),
-            len(set(lines)) / len(lines),
-            sum(1 for w in ordered if _END.search(w)) / n,
-            sum(1 for w in ordered if len(w) <= 2) / n,
-            min(np.log1p(max(n_chars, 0.0)) / 15, 1.0),
-            float(not ordered),
+            of(_UPPER) / size,
+            of(_DIGIT) / size,
+            of(_MARK) / size,
+            of(_PUNCT) / size,
+            10 * pairs / size,
+            _sums(again, word_cuts) / n,
+            np.diff(kinds) / n,
+            top(1) / n,
+            top(4) / n,
+            _sums(loud, word_cuts) / n,
+            np.minimum(_sums(length, word_cuts) / n / 20, 1.0),
+            np.minimum(np.log1p(n) / 12, 1.0),
+            np.minimum(np.log1p(n_lines) / 8, 1.0),
+            (np.bincount(line_own, minlength=len(texts)) + blank) / n_lines,
+            _sums(_PUNCT[codes[end - 1]], word_cuts) / n,
+            _sums(length <= 2, word_cuts) / n,
+            np.minimum(np.log1p(np.maximum(given, 0.0)) / 15, 1.0),
+            (np.diff(word_cuts) == 0).astype(float),
         ]
     )
 
 
-def features(text: str | None, n_chars: float | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and values of a document; every word of the whole text counts."""
-    text = text or ""
-    ordered = text.encode("utf-8", "surrogatepass").split()
-    counts = Counter(ordered)
-    stats = statistics(text, float(len(text) if n_chars is None or n_chars != n_chars else n_chars), counts, ordered)
-    slots = np.fromiter((hashes[w] % WORD_SLOTS for w in counts), np.int64, len(counts))
-    tf = np.fromiter(counts.values(), np.float64, len(counts))
-    kinds, where = np.unique(slots, return_inverse=True)
-    weight = np.sqrt(np.bincount(where, tf, len(kinds))) if len(kinds) else np.zeros(0)
-    norm = np.linalg.norm(weight)
+def features(texts: list[str | None], n_chars: np.ndarray) -> Vectors:
+    """Vectors of some documents; every word of the whole texts counts, a null text is empty."""
+    texts = [t or "" for t in texts]
+    words, lines = words_of(texts, fold=False), words_of(texts, fold=False, parting=_LINE)
+    stats = statistics(texts, n_chars, words, lines)
+    row = np.repeat(np.arange(len(texts)), np.diff(words.word_of))
+    cell, times = np.unique(row * WORD_SLOTS + (words.hashes % np.uint64(WORD_SLOTS)).astype(np.int64), return_counts=True)
+    own, slot = np.divmod(cell, WORD_SLOTS)
+    # square roots of counts, so the squared norm is the number of words
+    weight = np.sqrt(times / np.maximum(np.diff(words.word_of), 1)[own])
     stat = np.arange(N_STATS) * (len(BINS) + 2) + WORD_SLOTS
-    return (
-        np.concatenate([kinds, stat, stat + 1 + np.searchsorted(BINS, stats)]),
-        np.concatenate([weight / norm if norm else weight, stats, np.ones(N_STATS)]),
-    )
+    every = np.repeat(np.arange(len(texts)), N_STATS)
+    rows = np.concatenate([own, every, every])
+    order = np.argsort(rows, kind="stable")
+    slots = np.concatenate([slot, np.tile(stat, len(texts)), (stat + 1 + np.searchsorted(BINS, stats)).ravel()])
+    values = np.concatenate([weight, stats.ravel(), np.ones(len(every))])
+    return Vectors(np.searchsorted(rows[order], np.arange(len(texts) + 1)), slots[order], values[order])
 
 
 @dataclass(frozen=True)
@@ -94,13 +144,14 @@ class Machine:
     linear: np.ndarray
     factors: np.ndarray
 
-    def margin(self, slots: np.ndarray, values: np.ndarray) -> float:
-        vx = self.factors[slots] * values[:, None]
-        total = vx.sum(axis=0)
-        return self.bias + float(self.linear[slots] @ values) + 0.5 * float(total @ total - (vx * vx).sum())
+    def margins(self, rows: Vectors) -> np.ndarray:
+        """Value of each row; none is empty."""
+        vx = self.factors[rows.slots] * rows.values[:, None]
+        total, own = (np.add.reduceat(x, rows.at[:-1], axis=0) for x in (vx, vx * vx))
+        return self.bias + np.add.reduceat(self.linear[rows.slots] * rows.values, rows.at[:-1]) + 0.5 * (total * total - own).sum(axis=1)
 
-    def score(self, slots: np.ndarray, values: np.ndarray) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.margin(slots, values), -30, 30))))
+    def scores(self, rows: Vectors) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.margins(rows), -30, 30)))
 
 
 def fit(
@@ -148,24 +199,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes = WordHashes()
     for batch in batches:
-        made = [features(t, n, hashes) for t, n in zip(batch["text"], batch["n_chars"], strict=True)]
-        yield pd.DataFrame(
-            {
-                "quality": batch["quality"],
-                "doc_id": batch["doc_id"],
-                "slots": [s.astype("<i4").tobytes() for s, _ in made],
-                "vals": [v.astype("<f4").tobytes() for _, v in made],
-            }
-        )
+        sizes = batch["n_chars"].to_numpy(np.float64)
+        for begin, texts in parcels(batch["text"].tolist()):
+            some = batch.iloc[begin : begin + len(texts)]
+            rows = features(texts, sizes[begin : begin + len(texts)])
+            parts = [slice(a, b) for a, b in zip(rows.at, rows.at[1:], strict=False)]
+            slots, values = rows.slots.astype("<i4"), rows.values.astype("<f4")
+            yield pd.DataFrame({"quality": some["quality"].array, "doc_id": some["doc_id"].array, "slots": [slots[p].tobytes() for p in parts], "vals": [values[p].tobytes() for p in parts]})
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Machine:
     """Fit on at most ``max_rows`` labelled rows outside the held-out fold.
 
     The sample is the rows with the smallest hash of their id, so it is the same
-    in every run. Only vectors of the sample reach the driver. Rows without
+    in every run. Only vectors of the sample reach the driver, at most
+    2 * ``max_rows``, as an id may be repeated. Rows without
     label are skipped; a document with several labels counts as 1 if their mean
     is 0.5 or more.
     """
@@ -199,9 +248,10 @@ def scored(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFra
 
     @F.pandas_udf("double")
     def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        hashes = WordHashes()
         for texts, sizes in batches:
-            yield pd.Series([machine.score(*features(t, n, hashes)) for t, n in zip(texts, sizes, strict=True)], dtype="float64")
+            sizes = sizes.to_numpy(np.float64)
+            found = [machine.scores(features(part, sizes[begin : begin + len(part)])) for begin, part in parcels(texts.tolist())]
+            yield pd.Series(np.concatenate(found) if found else [], dtype="float64")
 
     out = docs.withColumn("score", score(F.col("text"), F.col("n_chars").cast("double")))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -77,7 +77,7 @@ def words_of(texts: list[str | None], mask_fields: bool = False, loose: bool = F
 
     With ``mask_fields``, words with digits or ``@`` are all alike. With ``loose``,
     ASCII punctuation parts words as well and all letters are lower-cased.
-    ``parting`` marks other bytes that part words, white space among them.
+    ``parting`` marks other bytes that part words, the newline among them.
     """
     data = [b"" if t is None else (t.lower() if loose else t).encode("utf-8", "surrogatepass") for t in texts]
     if parting is None:
@@ -89,7 +89,7 @@ def words_of(texts: list[str | None], mask_fields: bool = False, loose: bool = F
     starts, hashes, plain, at = [], [], [], 0
     while at < len(whole):
         end = min(at + PARCEL, len(whole))
-        while end < len(whole) and not _SPACE[whole[end]]:
+        while end < len(whole) and not parting[whole[end]]:
             end += 1
         start, found, raw = _hashed(whole[at:end], mask_fields, parting)
         starts.append(start + at)

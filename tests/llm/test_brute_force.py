@@ -359,9 +359,41 @@ def test_secrets_by_place(spark):
 def test_machine_is_the_pairwise_sum():
     rng = np.random.default_rng(0)
     m = quality.Machine(0.3, rng.normal(size=50).astype(np.float32), rng.normal(size=(50, 4)).astype(np.float32))
-    slots, x = np.array([3, 9, 20, 41]), rng.normal(size=4)
-    pairs = sum(m.factors[slots[i]] @ m.factors[slots[j]] * x[i] * x[j] for i in range(4) for j in range(i))
-    assert m.margin(slots, x) == pytest.approx(0.3 + m.linear[slots] @ x + pairs, rel=1e-5)
+    slots, x = np.array([3, 9, 20, 41, 7, 8]), rng.normal(size=6)
+    rows = quality.Vectors(np.array([0, 4, 6]), slots, x)
+    for k, own in enumerate(([0, 1, 2, 3], [4, 5])):
+        pairs = sum(m.factors[slots[i]] @ m.factors[slots[j]] * x[i] * x[j] for i in own for j in own if j < i)
+        assert m.margins(rows)[k] == pytest.approx(0.3 + m.linear[slots[own]] @ x[own] + pairs, rel=1e-5)
+
+
+def plain_statistics(text, n_chars):
+    """The same shares, one text at a time."""
+    words, lines, size = text.encode().split(), text.split("\n"), max(len(text), 1)
+    n, counts = max(len(words), 1), Counter(words)
+    top = [c for _, c in counts.most_common(4)]
+    of = lambda pattern: len(re.findall(pattern, text)) / size
+    return [
+        of("[A-Z]"), of("[0-9]"), of(r"[%#$&*|@^~_=<>{}\\]"), of("[.,;:!?]"), 10 * of("[!?]{2}"), sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, len(counts) / n, sum(top[:1]) / n, sum(top) / n,
+        sum(bool(re.search(rb"[A-Z]", w)) and not re.search(rb"[a-z]", w) for w in words) / n, min(sum(map(len, words)) / n / 20, 1), min(np.log1p(n) / 12, 1), min(np.log1p(len(lines)) / 8, 1), len(set(lines)) / len(lines),
+        sum(bool(re.search(rb"[.!?,;:]$", w)) for w in words) / n, sum(len(w) <= 2 for w in words) / n, min(np.log1p(max(len(text) if n_chars is None else n_chars, 0)) / 15, 1), float(not words),
+    ]
+
+
+def test_features_of_a_batch():
+    """All statistics of a batch, and the words of each document, as for one document at a time."""
+    rng = random.Random(6)
+    texts = ["", "\n", "!!! ok?? a!", "same same same\nsame same same\n\nÄÖ ä ABC Abc 漢字 x1", " \t\n\n", "A"] + ["".join(rng.choice("ab AB1.,!?\n%é ") for _ in range(rng.randint(0, 200))) for _ in range(200)]
+    sizes = [None if n % 3 else n * 7 for n in range(len(texts))]
+    rows = quality.features(texts, np.array([np.nan if s is None else s for s in sizes], float))
+    for k, (text, given) in enumerate(zip(texts, sizes, strict=True)):
+        slots, values = rows.slots[rows.at[k] : rows.at[k + 1]], rows.values[rows.at[k] : rows.at[k + 1]]
+        is_stat = (slots >= quality.WORD_SLOTS) & ((slots - quality.WORD_SLOTS) % (len(quality.BINS) + 2) == 0)
+        assert values[is_stat] == pytest.approx(plain_statistics(text, given)), text
+        assert (values[slots < quality.WORD_SLOTS] ** 2).sum() == pytest.approx(float(bool(text.split())))
+        assert len(slots) - (slots < quality.WORD_SLOTS).sum() == 2 * quality.N_STATS
+    # a document does not depend on its batch
+    alone = quality.features(texts[3:4], np.array([21.0]))
+    assert np.array_equal(alone.slots[alone.at[0] : alone.at[1]], rows.slots[rows.at[3] : rows.at[4]])
 
 
 def test_quality_on_held_out(spark):
