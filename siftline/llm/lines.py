@@ -141,7 +141,7 @@ def besides(words: Words, sizes: np.ndarray, text: np.ndarray, often: np.ndarray
     later = (np.uint64(len(text)) - text[order].astype(np.uint64)) << np.uint64(40)
     for k in range(SKETCHES):
         factor = mix(np.array([k + 1], np.uint64) * _M2) | np.uint64(1)
-        lowest = np.minimum.reduceat(mix(shingle * factor) >> np.uint64(24), line_starts)[order]
+        lowest = np.minimum.reduceat(shingle * factor >> np.uint64(24), line_starts)[order]
         running = np.minimum.accumulate(lowest | later)
         out[some, k] = (mix(running[upto[some]] & np.uint64((1 << 40) - 1)) >> np.uint64(56)).astype(np.uint8) | np.uint8(1)
     return out

@@ -4,9 +4,12 @@ Digits and letters are replaced by a keyed permutation of all strings of the
 same pattern (a Feistel network with cycle walking), so two different entities
 of one pattern can never get the same surrogate, and one entity has the same
 surrogate in every document. Case, separators, script, country codes, issuer
-digits and check digits keep their form. Person names, found by a title, a given
-name or a phrase that introduces one, get names made of syllables of the same
-script and gender; later mentions in the same text get the same name.
+digits and check digits keep their form, and dates of birth stay dates. Person
+names, found by a title, a given name, a phrase that introduces one or what they
+do (a verb of speaking or meeting beside them), get names made of syllables of the
+same script and gender; other mentions in the same text, in capitals as well, get
+the same name. A run of words that ends in a word for a street, a water or a
+place is no person.
 
 A corpus-wide check looks for surrogates that two entities share or that are
 themselves an entity of the corpus, as they stand in the text, and gives those
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from datetime import date
 from functools import lru_cache
 from hashlib import blake2b
 
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from siftline.llm.common import materialize
 
-KINDS = ("email", "card", "iban", "ip", "ssn", "phone", "address", "name")
+KINDS = ("email", "card", "iban", "ip", "ssn", "phone", "address", "document", "birth", "name")
 
 #: Titles by gender.
 TITLES = {
@@ -53,15 +57,31 @@ GIVEN = {
 #: Phrases that introduce a name, and kinds of street.
 INTRODUCED = ("my name is", "i am called", "signed by", "signed,", "sincerely,", "kind regards,", "best regards,", "full name:", "contact person:", "mit freundlichen grüßen,", "mein name ist", "je m'appelle", "me llamo", "меня зовут")
 STREETS = ("Street", "Avenue", "Road", "Boulevard", "Lane", "Drive", "Court", "Square", "Terrace", "St", "Ave", "Rd", "Blvd", "Ln")
+#: What persons do, with the words that may stand between it and a name, and words that make a name one of a place or a body.
+VERBS = "said says wrote writes met meets told tells asked asks called replied answered visited married emailed thanked phoned texted hired interviewed spoke talked introduced".split()
+BETWEEN = ("to", "with", "by")
+PLACES = {
+    *STREETS, "Way", "Place", "River", "Lake", "Bay", "Sea", "Island", "Mountain", "Mount", "Hill", "Hills", "Valley", "Beach", "Forest", "Park", "Bridge", "Town", "City", "Village", "County", "State", "Province", "Airport",
+    "Station", "University", "College", "School", "Hospital", "Museum", "Church", "Stadium", "Foundation", "Institute", "Company", "Inc", "Ltd", "Corporation", "Bank", "Award", "Prize", "License", "Act",
+}
+#: Words that begin a sentence in front of a name.
+STARTERS = set("A An The This That These Those Then Yesterday Today Tomorrow Later Now Here There When While After Before Since Until Once As So But And Or If Because Although However Also Meanwhile Finally First In On At By For From With Of To We He She They It I You Who What Our Their His Her My Your".split())
+#: Titles of scripts without capitals, in front of a name or behind it.
+ARABIC = {"m": ("السيد",), "f": ("السيدة", "الآنسة"), "n": ("الدكتور", "الدكتورة")}
+HAN = {"m": ("先生",), "f": ("女士", "小姐"), "n": ("博士", "教授")}
 _GENDER = {title: gender for gender, titles in TITLES.items() for title in titles}
 #: Syllables and endings of made-up names by script.
 SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ka ke ko la le lo ma me mo na ne no pa pe ra re ro sa se so ta te to va ve wi za zo mi ri".split(),
     "cyrillic": "ба бе бо да де до фа ге го ка ке ко ла ле ло ма ме мо на не но па пе ра ре ро са се со та те то ва ве ви за зо ми ри".split(),
+    "han": "安 白 程 戴 方 高 韩 江 康 林 罗 马 宁 潘 秦 任 苏 陶 万 夏 杨 叶 余 袁 赵 郑 钟 周 朱 卓".split(),
+    "arabic": "با دا را سا فا كا لا ما نا وا يا بو دو رو سو فو كو لو مو نو".split(),
 }
 ENDINGS = {
     "latin": {"m": ("n", "k", "r", "s"), "f": ("na", "lia", "ra", "sa"), "n": ("l", "m", "t", "x")},
     "cyrillic": {"m": ("н", "к", "р", "в"), "f": ("на", "лия", "ра", "ва"), "n": ("ль", "м", "т", "кс")},
+    "han": {"m": ("伟", "强", "军", "明"), "f": ("芳", "丽", "静", "敏"), "n": ("平", "华", "文", "宁")},
+    "arabic": {"m": ("ن", "د", "ر", "م"), "f": ("ة", "ى"), "n": ("ي", "س", "ل")},
 }
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -72,10 +92,12 @@ _ENTITY = re.compile(
     r"|(?P<ssn>(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-]))"
     r"|(?P<card>(?<![0-9A-Za-z+-])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z]))"
     r"|(?P<phone>(?<![0-9A-Za-z+])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}"
-    r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![0-9A-Za-z]))"
+    r"|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}|[0-9]{3}-[0-9]{4}(?!-)|0[1-9](?:[ .][0-9]{2}){4}|0[0-9]{2,4}[ /-][0-9]{5,8})(?![0-9A-Za-z]))"
     # bare digits only where a word says what they are
     r"|(?i:(?<![a-z])(?:phone|telephone|tel|mobile|cell|fax|telefon|téléphone|teléfono)(?: (?:number|no))?[.:]{0,2} ?)(?P<dialled>[0-9]{7,12})(?![0-9A-Za-z])"
     r"|(?i:(?<![a-z])(?:ssn|social security(?: number| no)?)[.:#]{0,2} ?)(?P<insured>[0-9]{9})(?![0-9A-Za-z])"
+    r"|(?i:(?<![a-z])(?:passport|identity card|driving licen[cs]e|driver's licen[cs]e)(?: (?:number|no))?[.:#]{0,2} ?)(?P<document>(?-i:[A-Z]{0,2}[0-9]{6,9}))(?![0-9A-Za-z])"
+    r"|(?i:(?<![a-z])(?:born|date of birth|birth ?date|dob|geboren am|né le|née le|nacido el|nacida el)(?: on)?:? ?)(?P<birth>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}(?P<gap>[./])[0-9]{1,2}(?P=gap)[0-9]{4})(?![0-9])"
     rf"|(?P<address>(?<![0-9A-Za-z.,-])[0-9]{{1,5}} (?:[A-Z][a-z]+ ){{1,3}}(?:{'|'.join(STREETS)})(?![A-Za-z]))"
 )
 #: Kinds of the groups that stand behind a word.
@@ -86,6 +108,12 @@ _NAME = re.compile(
 _WORD = r"[^\W\d_a-zа-я][^\W\d_]+"
 _CALLED = re.compile(rf"(?<!\w)(?P<given>{'|'.join(n for names in GIVEN.values() for n in names)})(?P<rest>(?: [^\W\d_a-zа-я]\.)?(?: {_WORD}){{1,2}})(?!\w)")
 _INTRODUCED = re.compile(rf"(?i:(?<!\w)(?:{'|'.join(map(re.escape, INTRODUCED))})\s)\s*(?P<name>{_WORD}(?:[ -]{_WORD}){{1,2}})(?!\w)")
+_RUN = rf"{_WORD}(?:[ -]{_WORD}){{1,2}}"
+_ACTS = re.compile(rf"(?<!\w)(?P<name>{_RUN}) (?:{'|'.join(VERBS)})(?!\w)")
+_MET = re.compile(rf"(?<!\w)(?:{'|'.join(VERBS)}) (?:(?:{'|'.join(BETWEEN)}) )?(?P<name>{_RUN})(?!\w)")
+_ARABIC = re.compile(rf"(?<!\w)(?P<title>{'|'.join(t for titles in ARABIC.values() for t in sorted(titles, key=len, reverse=True))}) (?P<name>[ء-ي]{{2,}}(?: [ء-ي]{{2,}})?)")
+_HAN = re.compile(rf"(?P<name>[\u4e00-\u9fff]{{1,3}})(?P<title>{'|'.join(t for titles in HAN.values() for t in titles)})")
+_SCRIPT_TITLES = {title: gender for table in (ARABIC, HAN) for gender, titles in table.items() for title in titles}
 #: Two words with capitals behind each other, without which there is no name to look for.
 _PAIR = re.compile(r"[^\W\d_a-zà-ÿа-яё]\w+[ -][^\W\d_a-zà-ÿа-яё]")
 _GENDER_OF = {name: gender for gender, names in GIVEN.items() for name in names}
@@ -198,7 +226,7 @@ def _hashed(text: str, key: bytes) -> int:
 def _name(norm: str, key: bytes, tweak: str, attempt: int) -> str:
     """``norm`` is role:gender:token."""
     role, gender, token = norm.split(":", 2)
-    script = "cyrillic" if re.search("[а-яё]", token) else "latin"
+    script = next((name for name, letters in (("cyrillic", "[а-яё]"), ("han", "[\u4e00-\u9fff]"), ("arabic", "[ء-ي]")) if re.search(letters, token)), "latin")
     made = _syllables(_hashed(f"{tweak}{norm}", key), attempt, script, ENDINGS[script][gender if role == "given" else "n"])
     return f"{role}:{gender}:{made}"
 
@@ -210,6 +238,27 @@ def _address(norm: str, key: bytes, tweak: str, attempt: int) -> str:
     return " ".join([_mixed(number, key, tweak, 0, {0: (ord("1"), 9)} if number[0] != "0" else None), *made, street])
 
 
+#: Days that dates of birth are taken from.
+_DAYS = (date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal())
+
+
+def _day(found: str) -> date | None:
+    """The date of a written one: year first, or day first unless it can only be the month; None if there is no such day."""
+    parts = [int(x) for x in re.split("[./-]", found)]
+    for year, month, day in ([parts] if "-" in found else [parts[::-1], [parts[2], parts[0], parts[1]]]):
+        try:
+            made = date(year, month, day)
+        except ValueError:
+            continue
+        return made if _DAYS[0] <= made.toordinal() < _DAYS[1] else None
+    return None
+
+
+def _birth(norm: str, key: bytes, tweak: str) -> str:
+    value = permute(date.fromisoformat(norm).toordinal() - _DAYS[0], _DAYS[1] - _DAYS[0], key, tweak)
+    return date.fromordinal(value + _DAYS[0]).isoformat()
+
+
 def surrogate(kind: str, norm: str, key: bytes, attempt: int = 0) -> str:
     """The replacement of a normalised entity, also normalised."""
     tweak = f"{kind}/{attempt}/"
@@ -219,7 +268,7 @@ def surrogate(kind: str, norm: str, key: bytes, attempt: int = 0) -> str:
         return _mixed(f"{local}@{host}", key, f"{tweak}{top}") + "." + top
     if kind in ("name", "address"):
         return (_name if kind == "name" else _address)(norm, key, tweak, attempt)
-    maker: Callable[[str, bytes, str], str] = {"card": _card, "iban": _iban, "ip": _ip, "phone": _phone}.get(kind, _mixed)
+    maker: Callable[[str, bytes, str], str] = {"card": _card, "iban": _iban, "ip": _ip, "phone": _phone, "birth": _birth}.get(kind, _mixed)
     return maker(norm, key, tweak)
 
 
@@ -227,6 +276,8 @@ def normal(kind: str, found: str) -> str:
     """What makes two mentions the same entity."""
     if kind == "email":
         return found.lower()
+    if kind == "birth":
+        return _day(found).isoformat()
     return re.sub(r"[ -]", "", found) if kind in ("card", "iban") else found
 
 
@@ -237,14 +288,23 @@ def _dressed(kind: str, found: str, norm: str) -> str:
     if kind in ("card", "iban"):
         rest = iter(norm)
         return "".join(c if c in " -" else next(rest) for c in found)
+    if kind == "birth" and "-" not in found:
+        day, month = (int(x) for x in re.split("[./]", found)[:2])
+        new = date.fromisoformat(norm)
+        gap, (first, second) = found[-5], (new.day, new.month) if month <= 12 else (new.month, new.day)
+        width = 2 if len(found) == 10 else 1
+        return f"{first:0{width}d}{gap}{second:0{width}d}{gap}{new.year}"
     return norm
 
 
 def _people(text: str) -> dict[str, str]:
-    """Name tokens behind a title, of a known given name or behind a phrase, with their entity; the last token of a mention is the family name."""
+    """Tokens of persons' names with their entity; the last token of a mention is the family name."""
     people: dict[str, str] = {}
 
     def add(tokens: list[str], gender: str) -> None:
+        tokens = tokens[1:] if tokens[0] in STARTERS else tokens
+        if not tokens or PLACES.intersection(tokens) or tokens[0] in STARTERS:
+            return
         for token in tokens[:-1]:
             people.setdefault(token, f"given:{gender}:{token.lower()}")
         people.setdefault(tokens[-1], f"family:n:{tokens[-1].lower()}")
@@ -252,13 +312,19 @@ def _people(text: str) -> dict[str, str]:
     if any(title in text for title in _GENDER):
         for m in _NAME.finditer(text):
             add(re.split("[ -]", m["name"]), _GENDER[m["title"]])
+    if any(title in text for title in _SCRIPT_TITLES):
+        for m in _ARABIC.finditer(text):
+            add(m["name"].split(), _SCRIPT_TITLES[m["title"]])
+        for m in _HAN.finditer(text):
+            people.setdefault(m["name"], f"given:{_SCRIPT_TITLES[m['title']]}:{m['name']}")
     if not _PAIR.search(text):
         return people
     for m in _CALLED.finditer(text):
         add([m["given"], *(t for t in m["rest"].split() if not t.endswith("."))], _GENDER_OF[m["given"]])
-    for m in _INTRODUCED.finditer(text):
-        tokens = re.split("[ -]", m["name"])
-        add(tokens, _GENDER_OF.get(tokens[0], "n"))
+    for pattern in (_INTRODUCED, _ACTS, _MET):
+        for m in pattern.finditer(text):
+            tokens = re.split("[ -]", m["name"])
+            add(tokens, _GENDER_OF.get(tokens[0], "n"))
     return people
 
 
@@ -268,11 +334,20 @@ def entities(text: str | None) -> list[tuple[int, int, str, str]]:
         return []
     out = []
     if _TRIGGER.search(text) or "@" in text:
-        groups = [(m, m.lastgroup, _BEHIND.get(m.lastgroup, m.lastgroup)) for m in _ENTITY.finditer(text)]
-        out = [(m.start(group), m.end(group), kind, normal(kind, m[group])) for m, group, kind in groups]
+        for m in _ENTITY.finditer(text):
+            group = "birth" if m["birth"] else m.lastgroup
+            kind = _BEHIND.get(group, group)
+            if kind != "birth" or _day(m[group]):
+                out.append((m.start(group), m.end(group), kind, normal(kind, m[group])))
     if people := _people(text):
         taken = [(s, e) for s, e, _, _ in out]
-        mention = re.compile(r"(?<!\w)(?:" + "|".join(sorted(map(re.escape, people), key=len, reverse=True)) + r")(?!\w)")
+        for token, entity in list(people.items()):
+            people.setdefault(token.upper(), entity)
+            people.setdefault(token.capitalize(), entity)
+        bare = [t for t in people if "\u4e00" <= t[0] <= "\u9fff"]  # a script without gaps between words
+        spaced = sorted(set(people).difference(bare), key=len, reverse=True)
+        forms = [*([r"(?<!\w)(?:" + "|".join(map(re.escape, spaced)) + r")(?!\w)"] if spaced else []), *map(re.escape, sorted(bare, key=len, reverse=True))]
+        mention = re.compile("|".join(forms))
         names = [(m.start(), m.end(), "name", people[m[0]]) for m in mention.finditer(text)]
         if taken:
             covered = bytearray(len(text))
@@ -322,8 +397,8 @@ def _crowded(found: DataFrame) -> DataFrame:
     pattern, bits = F.col("norm"), F.lit(0.0)
     for letters, sign, size in (("[0-9]", "0", 10), ("[a-z]", "a", 26), ("[A-Z]", "A", 26), ("[а-я]", "а", 32), ("[А-Я]", "А", 32)):
         pattern, bits = F.regexp_replace(pattern, letters, sign), bits + F.regexp_count("norm", F.lit(letters)) * F.log2(F.lit(float(size)))
-    ip, endless = F.col("kind") == "ip", F.col("kind").isin("name", "address")
-    keyed = found.withColumns({"pattern": F.when(ip | endless, F.lit("")).otherwise(pattern), "bits": F.when(ip, F.lit(31.0)).when(endless, F.lit(1e9)).otherwise(bits)})
+    ip, endless, birth = F.col("kind") == "ip", F.col("kind").isin("name", "address"), F.col("kind") == "birth"
+    keyed = found.withColumns({"pattern": F.when(ip | endless | birth, F.lit("")).otherwise(pattern), "bits": F.when(ip, F.lit(31.0)).when(birth, F.lit(16.0)).when(endless, F.lit(1e9)).otherwise(bits)})
     sizes = keyed.groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("n"), F.max("bits").alias("bits")).where(F.log2("n") > F.col("bits") - 4)
     return keyed.join(sizes.select("kind", "pattern", F.lit(True).alias("crowded")), ["kind", "pattern"], "left").select("kind", "norm", F.coalesce("crowded", F.lit(False)).alias("crowded"))
 

@@ -267,6 +267,59 @@ def test_surrogates_found_by_context():
     ]
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Zbigniew Kowalski wrote to Aaliyah Washington.", "Zbigniew Kowalski Aaliyah Washington"),
+        ("Yesterday Priya Natarajan met Kenji Watanabe", "Priya Natarajan Kenji Watanabe"),
+        ("Mr Smith came. SMITH left, and Smith stayed; the smith worked.", "Smith SMITH Smith"),
+        ("Jean Monnet Street, Michael Jordan River and George Town are places", ""),
+        ("The Apache License said nothing; Lake Victoria Park called", ""),
+        ("王小明先生 came and 王小明 left, 李女士 too", "王小明 王小明 李"),
+        ("قال السيد محمد العلي ثم ذهب محمد", "محمد العلي محمد"),
+        ("call 623 555 7038 or 555-7038, 01 23 45 67 89", "623 555 7038|555-7038|01 23 45 67 89"),
+        ("passport no. X1234567, born on 12.03.1975, DOB: 1980-02-29", "X1234567|12.03.1975|1980-02-29"),
+        ("born 31.02.1975, version 10.20.3000, 2020-01-01", ""),
+    ],
+)
+def test_entities_by_what_stands_beside_them(text, want):
+    found = [text[s:e] for s, e, _, _ in pii.entities(text)]
+    assert found == (want.split("|") if "|" in want else want.split())
+    attempts = {}
+    new, _ = pii.replace(text, b"k", attempts, pii.surrogate)
+    assert not any(f in new.split() for f in found)
+    # one mention, one surrogate: the same tokens stand in the same places again
+    assert [text[s:e].lower() for s, e, _, _ in pii.entities(text)].count("smith") in (0, 3)
+
+
+def test_births_are_days_in_the_same_form():
+    made = {pii.surrogate("birth", f"19{y:02d}-{m:02d}-{d:02d}", b"k") for y in range(100) for m in range(1, 13) for d in (1, 15, 28)}
+    assert len(made) == 3600 and all(len(m) == 10 for m in made)
+    for given, shape in (("12.03.1975", r"[0-9]{2}\.[0-9]{2}\.[0-9]{4}"), ("1/2/1990", r"[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}"), ("12/25/1990", r"[0-9]{2}/[0-9]{2}/[0-9]{4}"), ("1990-12-25", r"[0-9]{4}-[0-9]{2}-[0-9]{2}")):
+        new = pii.replace(f"born {given}", b"k", {}, pii.surrogate)[0].split()[1]
+        assert re.fullmatch(shape, new) and new != given
+
+
+def test_coreference_and_distinctness_of_people(spark):
+    """People whose names are in no list: one surrogate for each token in all documents, and no two tokens share one."""
+    rng = random.Random(33)
+    tokens = sorted({prose(rng, 1).capitalize() + rng.choice("xyzvw") for _ in range(2000)})
+    rng.shuffle(tokens)
+    people = list(zip(tokens[:300], tokens[300:600], strict=True))
+    rows = []
+    for n, (given, family) in enumerate(people):
+        rows += [(2 * n, f"Then {given} {family} wrote to us. Later {family} came, and {family.upper()} left."), (2 * n + 1, f"We met {given} {family} again")]
+    made = {}
+    for r in pii.pseudonymise(spark.createDataFrame(rows, DOCS), b"k").collect():
+        for old, new in zip(rows[r.doc_id][1].split(), r.text.split(), strict=True):
+            if old != new:
+                made.setdefault(old.strip(".,").lower(), set()).add(new.strip(".,").lower())
+    names = {t.lower() for p in people for t in p}
+    assert set(made) == names and all(len(v) == 1 for v in made.values())
+    shown = [v for vs in made.values() for v in vs]
+    assert len(set(shown)) == len(shown) and not names.intersection(shown)
+
+
 def test_iban_surrogates_are_valid():
     made = set()
     for n in range(500):
