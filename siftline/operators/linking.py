@@ -405,15 +405,36 @@ def extra_zones(vertices: DataFrame, zones: DataFrame, level: str = "region") ->
 
 
 def expand_groups(phrases: DataFrame, groups: DataFrame, evidence: DataFrame) -> DataFrame:
-    """Members of a group that a phrase names, in the first region of the message's evidence that has the group.
+    """Members of a group whose name stands in a phrase, in the first region of the message's evidence that has the group.
 
     ``groups`` has ``group, region_id, zone_id``; ``evidence`` has ``message_id, region_id, place``.
     """
-    named = phrases.select("message_id", T.norm_key(F.col("phrase")).alias("group")).distinct().join(groups.select("group", "region_id").distinct(), "group")
+    asked = phrases.select("phrase").distinct()
+    named = ngrams(asked.withColumn("message_id", F.col("phrase"))).select("phrase", F.col("gram").alias("group")).join(groups.select("group").distinct(), "group", "left_semi")
+    named = phrases.select("message_id", "phrase").join(named, "phrase").select("message_id", "group").distinct().join(groups.select("group", "region_id").distinct(), "group")
     first = named.join(evidence, ["message_id", "region_id"]).groupBy("message_id", "group").agg(F.min_by("region_id", F.struct("place", "region_id")).alias("region_id"))
     return first.join(groups, ["group", "region_id"]).select("message_id", "zone_id", "group")
 
 
+def with_groups(linked: DataFrame, phrases: DataFrame, groups: DataFrame, zones: DataFrame, home: DataFrame | None = None) -> DataFrame:
+    """``linked`` and the members of groups that its messages name.
+
+    The region is that of the first zone of the message, then the source's home; a
+    message without either expands nothing. Members are no places, lie in that region
+    and are added once.
+    """
+    roots = paths(zones).select("zone_id", F.element_at("zone_path", -1).alias("region_id"))
+    evidence = linked.join(roots, "zone_id").select("message_id", "region_id", F.struct(F.lit(0).alias("turn"), "pos", "start").alias("place"))
+    if home is not None:
+        at_home = home.join(roots, home["home_zone"] == roots["zone_id"])
+        evidence = evidence.unionByName(at_home.select("message_id", "region_id", F.struct(F.lit(1).alias("turn"), F.lit(0).alias("pos"), F.lit(0).alias("start")).alias("place")))
+    members = groups.join(zones.where("level <> 'place'").select("zone_id"), "zone_id", "left_semi").join(roots, ["zone_id", "region_id"], "left_semi")
+    found = expand_groups(phrases, members, evidence).join(linked.select("message_id", "zone_id"), ["message_id", "zone_id"], "left_anti").dropDuplicates(["message_id", "zone_id"])
+    last = {"pos": F.lit(2**31 - 1), "start": F.lit(0), "gram": F.col("group"), "score": F.lit(0.0)}
+    rows = found.join(zones.select("zone_id", "level", "name", "lat", "lon"), "zone_id").withColumns(last)
+    return linked.unionByName(rows.select(*[F.col(c).cast(t) for c, t in linked.dtypes if c != "message_id"], "message_id"))
+
+
 def link(phrases: DataFrame, zones: DataFrame, index: DataFrame, home: DataFrame | None = None, rules: LinkRules | None = None) -> DataFrame:
     """The whole linker: each distinct phrase is looked up once, then its names meet in the messages that have it."""
     zones, index = materialize(zones, "link-zones"), materialize(index, "link-index")

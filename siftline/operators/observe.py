@@ -43,18 +43,21 @@ def split_phrases(phrases: DataFrame, book: RuleBook) -> tuple[DataFrame, DataFr
     return observed, targets
 
 
-def _linked(views: dict[str, DataFrame], zones: DataFrame, index: DataFrame, home: DataFrame, rules: LinkRules) -> DataFrame:
+def _linked(views: dict[str, DataFrame], zones: DataFrame, index: DataFrame, home: DataFrame, rules: LinkRules, groups: DataFrame | None) -> DataFrame:
     """Zones of several views of the messages' phrases, by ``view``, in one run of the linker: a view of a message is a message of its own."""
     tagged = lambda rows, view: rows.withColumn("message_id", F.struct("message_id", F.lit(view).alias("view")))
     phrases = reduce(DataFrame.unionByName, [tagged(rows, view) for view, rows in views.items()])
     homes = home.withColumn("view", F.explode(F.array(*[F.lit(v) for v in views])))
     homes = homes.select(F.struct("message_id", "view").alias("message_id"), "home_zone")
-    found = materialize(linking.link(phrases, zones, index, homes, rules), "observe-linked")
+    found = linking.link(phrases, zones, index, homes, rules)
+    if groups is not None:
+        found = linking.with_groups(materialize(found, "observe-named"), phrases, groups, zones, homes)
+    found = materialize(found, "observe-linked")
     return found.withColumns({"view": F.col("message_id.view"), "message_id": F.col("message_id.message_id")})
 
 
-def observe(messages: DataFrame, zones: DataFrame, index: DataFrame, sources: DataFrame, book: RuleBook | None = None, rules: LinkRules | None = None) -> Observed:
-    """one observation for each zone that a relevant message reports on.
+def observe(messages: DataFrame, zones: DataFrame, index: DataFrame, sources: DataFrame, book: RuleBook | None = None, rules: LinkRules | None = None, groups: DataFrame | None = None) -> Observed:
+    """one observation for each zone that a relevant message reports on; names of ``groups`` (G12) stand for their members.
 
     A message with more than MOST_ZONES zones is a catalogue and dropped; one
     without any gets its source's home region. Of an urgent message, zones that only
@@ -71,7 +74,7 @@ def observe(messages: DataFrame, zones: DataFrame, index: DataFrame, sources: Da
     observed, targets = split_phrases(urgent, book)
     # texts without a movement have no targets, so their zones need no second look
     observed = observed.join(targets.select("message_id").distinct(), "message_id", "left_semi")
-    every = _linked({"all": phrases, "observed": observed, "targets": targets}, zones, index, home, rules)
+    every = _linked({"all": phrases, "observed": observed, "targets": targets}, zones, index, home, rules, groups)
     linked = linking.drop_covered(every.where("view = 'all'"), zones).select("message_id", "zone_id", "level", "lat", "lon", F.lit("text").alias("by"))
     per_message = linked.groupBy("message_id").agg(F.count(F.lit(1)).alias("n_zones"))
     found = linked.join(per_message.where(F.col("n_zones") <= linking.MOST_ZONES).select("message_id"), "message_id", "left_semi")
@@ -89,25 +92,26 @@ def observe(messages: DataFrame, zones: DataFrame, index: DataFrame, sources: Da
     return Observed(parsed, placed, observations)
 
 
-def counters(seen: Observed) -> DataFrame:
-    """F16: one row with messages scanned, irrelevant, catalogues and without a place, those placed by their source, and observations."""
+def counters(seen: Observed, held: DataFrame | None = None) -> DataFrame:
+    """F16: one row with messages scanned, irrelevant, catalogues and without a place, those placed by their source, and observations; with ``held`` also those that wait."""
     flags = seen.zones.groupBy("message_id").agg(F.min("by").alias("by"), F.count(F.lit(1)).alias("zones"))
     rows = seen.parsed.select("message_id", "drop_reason").join(flags, "message_id", "left")
     relevant = F.col("drop_reason").isNull()
     count = lambda c: F.count_if(c)
-    return rows.agg(
+    counted = rows.agg(
         F.count(F.lit(1)).alias("scanned"),
         count(~relevant).alias("irrelevant"),
         count(relevant & F.col("zones").isNull()).alias("unplaced"),
         count(relevant & (F.col("by") == "source")).alias("by_source"),
         F.coalesce(F.sum("zones"), F.lit(0)).alias("observations"),
     )
+    return counted if held is None else counted.crossJoin(F.broadcast(held.agg(F.count(F.lit(1)).alias("held"))))  # one row each
 
 
-def preparation(zones: DataFrame, index: DataFrame, sources: DataFrame, book: RuleBook | None = None, rules: LinkRules | None = None):
-    """For :class:`siftline.streaming.fuse.FusionSink`: a batch of messages to observations."""
+def preparation(zones: DataFrame, index: DataFrame, sources: DataFrame, book: RuleBook | None = None, rules: LinkRules | None = None, groups: DataFrame | None = None):
+    """For :class:`siftline.streaming.fuse.FusionSink`: a batch of messages to what it gives."""
 
-    def prepare(messages: DataFrame) -> DataFrame:
-        return observe(messages, zones, index, sources, book, rules).observations
+    def prepare(messages: DataFrame) -> Observed:
+        return observe(messages, zones, index, sources, book, rules, groups)
 
     return prepare

@@ -31,10 +31,10 @@ def _exported(s, d) -> DataFrame:
 
 
 def _hotspots(s, d) -> DataFrame:
-    """Suppliers as hotspots: every ninth has no number for a power, a third lie outside the box."""
+    """Suppliers as hotspots: every ninth has no number for a power, some lie outside the box."""
     path, k = _folder(s, "hotspots"), F.col("s_suppkey")
     power = F.when(k % 9 != 4, ((k * 17 % 200) / F.lit(10.0)).cast("string")).otherwise("n/a")
-    rows = V.read(s, d, "supplier").select(((k * 37 % 9000) / F.lit(100.0)).alias("latitude"), ((k * 91 % 9000) / F.lit(100.0)).alias("longitude"), power.alias("frp"))
+    rows = V.read(s, d, "supplier").select(((k * 37 % 4500) / F.lit(100.0) + 35.0).alias("latitude"), ((k * 91 % 6000) / F.lit(100.0) + 10.0).alias("longitude"), power.alias("frp"))
     rows.write.option("header", True).csv(path)
     return readers.hotspots(s, path)
 
@@ -65,7 +65,7 @@ QUERIES = {"s01_scanned_messages": _scanned, "s05_exported_messages": _exported,
 ORACLE = {
     "s01_scanned_messages": f"WITH {V.MESSAGES} SELECT source_key, message_id, posted_at, md5(text) AS text_md5 FROM messages WHERE message_id % 10 NOT IN (3, 7) AND text <> ''",
     "s05_exported_messages": f"WITH {V.MESSAGES} SELECT source_key, count(*) AS n, sum(length(text))::BIGINT AS chars FROM messages WHERE text <> '' GROUP BY 1",
-    "s06_hotspots": """SELECT round(lat, 3) AS lat, round(lon, 3) AS lon, round(frp, 1) AS frp FROM (SELECT (s_suppkey * 37 % 9000) / 100.0::DOUBLE AS lat, (s_suppkey * 91 % 9000) / 100.0::DOUBLE AS lon, (s_suppkey * 17 % 200) / 10.0::DOUBLE AS frp FROM supplier WHERE s_suppkey % 9 <> 4)
+    "s06_hotspots": """SELECT round(lat, 3) AS lat, round(lon, 3) AS lon, round(frp, 1) AS frp FROM (SELECT (s_suppkey * 37 % 4500) / 100.0::DOUBLE + 35.0 AS lat, (s_suppkey * 91 % 6000) / 100.0::DOUBLE + 10.0 AS lon, (s_suppkey * 17 % 200) / 10.0::DOUBLE AS frp FROM supplier WHERE s_suppkey % 9 <> 4)
 WHERE lon BETWEEN 19 AND 65 AND lat BETWEEN 40 AND 72 AND frp >= 5""",
     "s07_registry": """WITH m AS (SELECT (p_partkey // 8 % 7)::VARCHAR AS region, lpad((p_partkey // 8 + 1)::VARCHAR, 6, '0') AS unit, p_name || ' ' || p_partkey AS name FROM part)
 SELECT region, unit, 'unit ' || unit AS name, count(DISTINCT name)::INT AS n, array_to_string(list_sort(list(DISTINCT name)), '|') AS members FROM m GROUP BY region, unit""",

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
 from siftline.operators.fusion import CARRIED, assign, incidents
+from siftline.operators.observe import Observed, counters
 
 
 def _read(spark: SparkSession, path: str) -> DataFrame | None:
@@ -51,11 +52,12 @@ def progress(provenance: DataFrame, stored: DataFrame | None = None, key: str =
 class FusionSink:
     """``foreachBatch`` target with ``held``, ``mark``, ``assigned``, ``members``, ``open`` and ``changed`` under ``path/<name>/batch=N``.
 
-    ``prepare`` turns released rows into observations where the stream has messages;
+    ``prepare`` turns released rows into observations where the stream has messages,
+    whose counts (F16) are then under ``summary``;
     ``key`` and ``at`` are then the names of a message's id and time.
     """
 
-    def __init__(self, path: str, hold_back_seconds: int = 30, prepare: Callable[[DataFrame], DataFrame] | None = None, key: str = "raw_id", at: str = "moment"):
+    def __init__(self, path: str, hold_back_seconds: int = 30, prepare: Callable[[DataFrame], DataFrame | Observed] | None = None, key: str = "raw_id", at: str = "moment"):
         self.path, self.hold_back, self.prepare, self.key, self.at = path.rstrip("/"), hold_back_seconds, prepare, key, at
 
     def _last(self, spark: SparkSession, name: str, batch: int) -> DataFrame | None:
@@ -78,6 +80,10 @@ class FusionSink:
     def _fold(self, spark: SparkSession, go: DataFrame, batch: int) -> None:
         self._write(progress(go, self._last(spark, "mark", batch - 1), self.key), "mark", batch)
         rows = go if self.prepare is None else self.prepare(go)
+        if isinstance(rows, Observed):
+            wait = self._last(spark, "held", batch)
+            self._write(counters(rows, go.limit(0) if wait is None else wait), "summary", batch)
+            rows = rows.observations
         stored, before = self._last(spark, "open", batch - 1), self._last(spark, "members", batch - 1)
         assigned = self._write(assign(rows, stored, keep_open=True), "assigned", batch)
         names = [c.split()[0] for c in CARRIED.split(", ")] + ["id", "part", "new"]

@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
 from siftline.operators.fusion import CARRIED, Open, event_id, place_row, typed_rows
 from siftline.operators.linking import closure, paths
@@ -143,6 +144,32 @@ def fused_stream(observations: DataFrame, zones: DataFrame, hold_back: str = "30
     return keyed.groupBy("zone_id").transformWithStateInPandas(ZoneFusion(), ASSIGNED, "Append", "EventTime")
 
 
+class BatchCounts(StreamingQueryListener):
+    """F16 while a stream runs: what its batches observed, by name of the observation and number of the batch."""
+
+    def __init__(self):
+        self.seen: dict[str, dict[int, dict]] = {}
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        for name, row in event.progress.observedMetrics.items():
+            self.seen.setdefault(name, {})[event.progress.batchId] = row.asDict()
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
+def counted(rows: DataFrame, name: str = "messages") -> DataFrame:
+    """F16: a stream of parsed messages or observations that is counted as it passes, for :class:`BatchCounts`."""
+    dropped = F.count_if(F.col("drop_reason").isNotNull()).alias("irrelevant") if "drop_reason" in rows.columns else F.lit(0).cast("long").alias("irrelevant")
+    return rows.observe(name, F.count(F.lit(1)).alias("scanned"), dropped)
+
+
 def assigned_rows(log: DataFrame, zones: DataFrame) -> DataFrame:
     """The batch form's assigned rows of what :func:`fused_stream` has written, for ``incidents`` and ``contributions``."""
     rows = log.where("part <> 'expire'").withColumn("moment", F.timestamp_micros("at")).join(paths(zones), "zone_id")

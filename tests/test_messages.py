@@ -91,6 +91,20 @@ def test_links(spark):
     assert {i: found.get(i, set()) for i in range(len(LINKS))} == {i: want for i, (_, want) in enumerate(LINKS)}
 
 
+def test_groups(spark):
+    """A group's name stands for its members in the first region of the message, or in the source's home; without either for none."""
+    zones = spark.createDataFrame([*ZONES, ("d2", "r1", "district", "Betan", 1.7, 1.7, None), ("d3", "r2", "district", "Gamman", 9.7, 9.7, None)], ZONE)
+    groups = spark.createDataFrame([("the lowlands", "r1", "d1"), ("the lowlands", "r1", "d2"), ("the lowlands", "r1", "p3"), ("the lowlands", "r2", "d3"), ("the lowlands", "r2", "d1")], "group string, region_id string, zone_id string")
+    texts = ["alarm in the lowlands,Northland", "alarm in the lowlands,Southland,Northland", "alarm in the lowlands", "alarm in the lowlands", "Alphan,the lowlands"]
+    phrases = spark.createDataFrame([(i, n, p) for i, t in enumerate(texts) for n, p in enumerate(t.split(","))], "message_id int, pos int, phrase string")
+    home = spark.createDataFrame([(1, "r1"), (3, "r2")], "message_id int, home_zone string")
+    linked = linking.link(phrases, zones, linking.name_index(zones), home)
+    found = {}
+    for r in linking.with_groups(linked, phrases, groups, zones, home).collect():
+        found.setdefault(r.message_id, []).append(r.zone_id)
+    assert {k: sorted(v) for k, v in found.items()} == {0: ["d1", "d2", "r1"], 1: ["d3", "r1", "r2"], 3: ["d3"], 4: ["d1", "d2"]}
+
+
 SOURCES = [("a", "federal", None, None), ("b", "federal", None, None), ("c", "regional", None, "Northland"), ("d", "regional", "net:x", None), ("e", "regional", "net:x", None)]
 TEXTS = [
     (0, "a", "Drone detected, Light"),
@@ -124,6 +138,7 @@ def test_messages_to_incidents(spark, gazetteer):
     assert rows[1, "p3"] == ("detection", "uav", 8) and rows[3, "r1"] == ("alarm", "rocket", 7) and 4 not in {k[0] for k in rows}
     assert rows[5, "p3"] == ("detection", "uav", 8) and rows[5, "r2"] == ("danger", "uav", 5)
     counted = observe.counters(seen).first().asDict()
+    assert observe.counters(seen, messages(spark).limit(3)).first().held == 3
     assert counted == {"scanned": 11, "irrelevant": 1, "unplaced": 1, "by_source": 1, "observations": len(rows)}
     events = {(r.zone_id, r.first_seen): r for r in fuse(seen.observations).collect()}
     first = events["p3", T0]
@@ -146,6 +161,8 @@ def test_stream_of_messages_equals_batch(spark, gazetteer, tmp_path):
     columns = ["id", "zone_id", "signal", "severity", "threat", "first_seen", "last_seen", "resolved_at", "source_count", "voices", "confidence"]
     got = sink.finish(spark, last).select(columns).orderBy("id").collect()
     assert got == fuse(observe.observe(rows, *gazetteer).observations).select(columns).orderBy("id").collect()
+    counts = spark.read.parquet(f"{tmp_path}/out/summary")
+    assert counts.agg(F.sum("scanned")).first()[0] == rows.count() and counts.where("batch = 0").first().held > 0 and counts.where(f"batch = {last + 1}").first().held == 0
     marks = [spark.read.parquet(str(p)).first().mark for p in sorted((tmp_path / "out" / "mark").iterdir(), key=lambda p: int(p.name.split("=")[1]))]
     assert marks == sorted(marks) and marks[-1] == 11
 
