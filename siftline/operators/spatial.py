@@ -104,6 +104,44 @@ def majority_parent(samples: DataFrame, vertices: DataFrame, tolerance: float =
     return best.groupBy("unit_id").agg(F.min_by("feature_id", F.struct("area", "feature_id")).alias("feature_id"))
 
 
+def raster(vertices: DataFrame, step: float) -> DataFrame:
+    """``feature_id, row, first, last``: runs of grid cells of ``step`` degrees whose middle lies in a feature, holes left out.
+
+    Every edge crosses the middles of its rows once; between the first and the second,
+    the third and the fourth crossing of a row lies the feature. So work and rows grow
+    with the edges and the height of a feature, not with its area. A count of cells is
+    off its area by at most a cell at either end of each run, and a row at either end.
+    """
+    behind = lambda c: F.ceil(c / step - 0.5)
+    low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
+    rows = edges(vertices).withColumns({"from": behind(low), "upto": behind(high) - 1}).where("from <= upto")
+    rows = rows.withColumn("row", F.explode(F.sequence("from", "upto")))
+    at = F.col("lon1") + ((F.col("row") + 0.5) * step - F.col("lat1")) * (F.col("lon2") - F.col("lon1")) / (F.col("lat2") - F.col("lat1"))
+    crossed = rows.groupBy("feature_id", "row").agg(F.sort_array(F.collect_list(behind(at))).alias("c"))
+    runs = F.transform(F.sequence(F.lit(0), F.size("c") - 2, F.lit(2)), lambda i: F.struct(F.get("c", i).alias("first"), (F.get("c", i + 1) - 1).alias("last")))
+    return crossed.where("size(c) > 1").select("feature_id", "row", F.inline(F.filter(runs, lambda r: r["first"] <= r["last"])))
+
+
+def overlap_cells(units: DataFrame, parents: DataFrame, step: float = 0.01, tile: int = 64) -> DataFrame:
+    """``unit_id, feature_id, n``: cells of a unit's grid that lie in a parent; runs meet by row and tile of columns."""
+
+    def tiled(runs: DataFrame) -> DataFrame:
+        rows = runs.withColumn("tile", F.explode(F.sequence(F.floor(F.col("first") / tile), F.floor(F.col("last") / tile))))
+        return rows.withColumns({"first": F.greatest("first", F.col("tile") * tile), "last": F.least("last", F.col("tile") * tile + tile - 1)})
+
+    ours = tiled(raster(units, step)).withColumnsRenamed({"feature_id": "unit_id", "first": "a", "last": "b"})
+    met = ours.join(tiled(raster(parents, step)), ["row", "tile"])
+    cells = F.least("b", "last") - F.greatest("a", "first") + 1
+    return met.where(cells > 0).groupBy("unit_id", "feature_id").agg(F.sum(cells).alias("n"))
+
+
+def parents_by_overlap(units: DataFrame, parents: DataFrame, step: float = 0.01, tolerance: float = 0.9) -> DataFrame:
+    """Parent of each unit by the area they share, from the polygons alone; near the best the smallest wins."""
+    shares = overlap_cells(units, parents, step).join(feature_area(parents), "feature_id")
+    best = shares.withColumn("most", F.max("n").over(Window.partitionBy("unit_id"))).where(F.col("n") >= F.lit(tolerance) * F.col("most"))
+    return best.groupBy("unit_id").agg(F.min_by("feature_id", F.struct("area", "feature_id")).alias("feature_id"))
+
+
 def composition(polygons: DataFrame, registry: DataFrame, least_hits: int = 3, least_score: float = 1.0, lead: float = 1.1) -> DataFrame:
     """P5: registry unit of each polygon by the names of its members: hits squared over size, clearly ahead of the next."""
     sizes = registry.groupBy("unit").agg(F.count_distinct("member").alias("size"))

@@ -165,6 +165,8 @@ QUERIES = {
     "p02_smallest_containing": lambda s, d: spatial.smallest_containing(_points(s, d), _squares(s, d)),
     "p03_nearest_zone": lambda s, d: spatial.nearest(_points(s, d), spatial.contains(_points(s, d), _squares(s, d)), V.zones(s, d).where("level = 'district'").select(F.col("zone_id").alias("feature_id"), "lon", "lat")),
     "p04_majority_parent": lambda s, d: spatial.majority_parent(_points(s, d).withColumn("unit_id", F.concat(F.lit("u"), F.substring("point_id", 2, 9).cast("int") % 50)), _squares(s, d)),
+    "p04_overlap_cells": lambda s, d: spatial.overlap_cells(_shapes(s, d), _squares(s, d)),
+    "p04_parents_by_overlap": lambda s, d: spatial.parents_by_overlap(_shapes(s, d), _squares(s, d)),
     "p05_composition": lambda s, d: spatial.composition(_polygons(s, d), _registry(s, d)),
     "p06_anchor_match": lambda s, d: spatial.anchor_match(_polygons(s, d), _registry(s, d)),
     "p07_claims": lambda s, d: spatial.claim(spatial.composition(_polygons(s, d), _registry(s, d))).select("polygon", "unit"),
@@ -189,6 +191,11 @@ QUERIES = {
     "p18_without_specks": lambda s, d: spatial.without_specks(_parted(s, d), 0.05).select("feature_id", "part").distinct(),
     "p19_active_layer": lambda s, d: spatial.active_layer(V.incidents(s, d), V.zones(s, d), ("region", "district")).select("zone_id", "level"),
 }
+_span = lambda a, b, c, d: f"greatest(0, ceil(least({b}, {d}) / 0.01 - 0.5) - ceil(greatest({a}, {c}) / 0.01 - 0.5))"
+_CELLS = f"""cells AS (SELECT shapes.feature_id AS unit_id, boxes.feature_id, CASE WHEN hole THEN 15.0 ELSE 16.0 END AS area,
+    ({_span("shapes.x", "shapes.x + side", "boxes.x", "boxes.x + 4")} * {_span("shapes.y", "shapes.y + side", "boxes.y", "boxes.y + 4")}
+    - CASE WHEN hole THEN {_span("shapes.x", "shapes.x + side", "boxes.x + 1", "boxes.x + 2")} * {_span("shapes.y", "shapes.y + side", "boxes.y + 1", "boxes.y + 2")} ELSE 0 END)::BIGINT AS n FROM shapes, boxes),
+shared AS (SELECT *, max(n) OVER (PARTITION BY unit_id) AS most FROM cells WHERE n > 0)"""
 _ENDINGS = "|".join(text.ENDINGS)
 _NAME = "lower(replace(replace(name, '_', ' '), '#', ' '))"
 ORACLE = {
@@ -221,6 +228,8 @@ SELECT query, arg_min(zone_id, (norm <> query, CASE level WHEN 'region' THEN 0 W
 SELECT point_id, arg_min(feature_id, (d, feature_id)) AS feature_id FROM far GROUP BY 1""",
     "p04_majority_parent": f"""{_P}, n AS (SELECT 'u' || (substr(point_id, 2)::INT % 50) AS unit_id, feature_id, any_value(area) AS area, count(*) AS n FROM inside GROUP BY 1, 2), m AS (SELECT *, max(n) OVER (PARTITION BY unit_id) AS most FROM n)
 SELECT unit_id, arg_min(feature_id, (area, feature_id)) AS feature_id FROM m WHERE n >= 0.9::DOUBLE * most GROUP BY 1""",
+    "p04_overlap_cells": f"WITH {V.ZONES}, {_SQ}, {_SHAPES}, {_CELLS} SELECT unit_id, feature_id, n FROM shared",
+    "p04_parents_by_overlap": f"WITH {V.ZONES}, {_SQ}, {_SHAPES}, {_CELLS} SELECT unit_id, arg_min(feature_id, (area, feature_id)) AS feature_id FROM shared WHERE n >= 0.9::DOUBLE * most GROUP BY 1",
     "p05_composition": f"WITH {_REG} SELECT polygon, unit, hits, score FROM ranked WHERE rn = 1 AND hits >= 3 AND score >= 1 AND (second IS NULL OR score >= 1.1::DOUBLE * second)",
     "p06_anchor_match": f"""WITH {_REG}, top AS (SELECT polygon, max(population) AS population, arg_max(member, (population, member)) AS member FROM poly GROUP BY 1)
 SELECT polygon, min(unit) AS unit FROM top t JOIN reg r ON t.member = r.member WHERE t.population >= 5000 GROUP BY 1 HAVING count(*) = 1""",
