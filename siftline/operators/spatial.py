@@ -1,8 +1,8 @@
 """Spatial joins and gazetteer building on grids.
 
 Polygons are vertex tables ``feature_id, part, ring, seq, lon, lat`` with closed
-rings; points are ``point_id, lon, lat``. A polygon covers the grid cells of its
-edges' latitude bands, so points only meet the edges of their own band.
+rings; points are ``point_id, lon, lat``. Points meet the grid cells that a polygon
+covers and, where its edges pass, the edges of their own cell.
 """
 
 from __future__ import annotations
@@ -26,25 +26,58 @@ def edges(vertices: DataFrame) -> DataFrame:
     return rows.where("lon2 IS NOT NULL").select(*RING, F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), "lon2", "lat2")
 
 
+def covering(vertices: DataFrame, band: float) -> tuple[DataFrame, DataFrame]:
+    """Cells of ``band`` degrees that a feature covers, and the edges in each cell.
+
+    ``feature_id, cx, cy, inside, crossed``: whether the cell's middle lies in the
+    feature and whether an edge passes; a cell that none passes is inside as a
+    whole. Edges come once for each cell they pass.
+    """
+    e = edges(vertices)
+    low, high = F.least("lat1", "lat2"), F.greatest("lat1", "lat2")
+    rows = e.withColumn("cy", F.explode(F.sequence(F.floor(low / band), F.floor(high / band))))
+    # the part of the edge in this row of cells; a level edge is there as a whole
+    slope = (F.col("lon2") - F.col("lon1")) / (F.col("lat2") - F.col("lat1"))
+    at = lambda y: F.when(F.col("lat1") == F.col("lat2"), F.col("lon1")).otherwise(F.col("lon1") + (y - F.col("lat1")) * slope)
+    start, end = at(F.greatest(low, F.col("cy") * band)), at(F.least(high, (F.col("cy") + 1) * band))
+    level = F.col("lat1") == F.col("lat2")
+    west = F.when(level, F.least("lon1", "lon2")).otherwise(F.least(start, end))
+    east = F.when(level, F.greatest("lon1", "lon2")).otherwise(F.greatest(start, end))
+    # rounding may put a crossing beside its cell, so the cell next to a near border counts as well
+    near = 1e-9
+    passed = rows.withColumn("cx", F.explode(F.sequence(F.floor(west / band - near), F.floor(east / band + near))))
+    passed = passed.select("feature_id", "cx", "cy", "lon1", "lat1", "lon2", "lat2")
+    crossed = passed.select("feature_id", "cx", "cy").distinct().withColumn("crossed", F.lit(True))
+    middles = raster(vertices, band).select("feature_id", F.col("row").alias("cy"), F.explode(F.sequence("first", "last")).alias("cx")).withColumn("inside", F.lit(True))
+    cells = middles.join(crossed, ["feature_id", "cx", "cy"], "full")
+    return cells.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("inside", "crossed")}), passed
+
+
 def contains(points: DataFrame, vertices: DataFrame, band: float = 0.5) -> DataFrame:
     """Features that contain a point: even-odd over all rings, so holes count.
 
-    A feature takes part in the cells of ``band`` degrees that its box covers, a
-    point in its own; they meet by cell and box first. Only such pairs meet the
-    edges of their feature, by its latitude bands, and the crossings to the right of
-    the point are counted with a partial aggregate.
+    Points meet the cells of the features. A cell that no edge passes answers at
+    once; in the others a point is in the feature if the middle of the cell is,
+    unless the way there, level and then upright, crosses an odd number of the edges
+    in the cell. So no point meets more edges than pass its cell, and what a feature
+    has of points is dealt by cells.
     """
-    cell = lambda c: F.floor(F.col(c) / band)
-    boxes = vertices.groupBy("feature_id").agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n"))
-    cells = boxes.withColumn("cx", F.explode(F.sequence(cell("w"), cell("e")))).withColumn("cy", F.explode(F.sequence(cell("s"), cell("n"))))
-    near = points.select("point_id", "lon", "lat").withColumns({"cx": cell("lon"), "cy": cell("lat")}).join(cells, ["cx", "cy"])
-    near = near.where(F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n"))).select("point_id", "lon", "lat", "feature_id", F.col("cy").alias("band"))
-    e = edges(vertices)
-    low, high = F.floor(F.least("lat1", "lat2") / band), F.floor(F.greatest("lat1", "lat2") / band)
-    met = near.join(e.withColumn("band", F.explode(F.sequence(low, high))), ["feature_id", "band"])
-    at = (F.col("lon2") - F.col("lon1")) * (F.col("lat") - F.col("lat1")) / (F.col("lat2") - F.col("lat1")) + F.col("lon1")
-    crosses = ((F.col("lat1") > F.col("lat")) != (F.col("lat2") > F.col("lat"))) & (F.col("lon") < at)
-    return met.groupBy("point_id", "feature_id").agg(F.count_if(crosses).alias("n")).where("n % 2 = 1").select("point_id", "feature_id")
+    cells, passed = covering(vertices, band)
+    at = points.select("point_id", "lon", "lat").withColumns({"cx": F.floor(F.col("lon") / band), "cy": F.floor(F.col("lat") / band)})
+    whole = at.join(cells.where("NOT crossed"), ["cx", "cy"]).select("point_id", "feature_id")
+    # one row a cell with its edges, so points are not multiplied by them
+    edged = passed.groupBy("feature_id", "cx", "cy").agg(F.collect_list(F.struct("lon1", "lat1", "lon2", "lat2")).alias("edges"))
+    edged = edged.join(cells.where("crossed").drop("crossed"), ["feature_id", "cx", "cy"])
+    x, y = (F.col("cx") + 0.5) * band, (F.col("cy") + 0.5) * band
+
+    def turns(e: Column) -> Column:
+        on_level = ((e["lat1"] > F.col("lat")) != (e["lat2"] > F.col("lat"))) & ((F.col("lon") < (lon := e["lon1"] + (F.col("lat") - e["lat1"]) * (e["lon2"] - e["lon1"]) / (e["lat2"] - e["lat1"]))) != (x < lon))
+        upright = ((e["lon1"] > x) != (e["lon2"] > x)) & ((F.col("lat") < (lat := e["lat1"] + (x - e["lon1"]) * (e["lat2"] - e["lat1"]) / (e["lon2"] - e["lon1"]))) != (y < lat))
+        return F.coalesce(on_level, F.lit(False)).cast("int") + F.coalesce(upright, F.lit(False)).cast("int")
+
+    met = at.join(edged, ["cx", "cy"])
+    odd = F.aggregate("edges", F.lit(0), lambda n, e: n + turns(e)) % 2 == 1
+    return whole.unionByName(met.where(F.col("inside") != odd).select("point_id", "feature_id"))
 
 
 def ring_area(vertices: DataFrame) -> DataFrame:

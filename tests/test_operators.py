@@ -1,6 +1,7 @@
 """Readers, text columns, routes and spatial edges on literal rows."""
 
 import json
+import math
 import random
 from datetime import datetime
 
@@ -100,3 +101,33 @@ def test_raster_is_as_large_as_the_polygon(spark):
     cells = {r.feature_id: r.n for r in spatial.raster(vertices, 0.002).groupBy("feature_id").agg(F.sum(F.col("last") - F.col("first") + 1).alias("n")).collect()}
     assert set(cells) == set(shapes) and all(abs(cells[k] * 0.002**2 / area - 1) < 0.01 for k, (_, area) in shapes.items())
     assert spatial.overlap_cells(vertices, vertices, 0.002).where("unit_id = feature_id").count() == len(shapes)
+
+
+def test_containment_by_cells(spark):
+    """P1 against even-odd over all edges: stars with holes, in cells of any size, points on the lines of the grid among them."""
+    rng = random.Random(8)
+    rows, rings = [], {}
+    for n in range(6):
+        x, y = rng.uniform(-3, 3), rng.uniform(-3, 3)
+        for r, size in enumerate((2.0, 0.7)):
+            ring = [(x + size * rng.uniform(0.6, 1) * math.cos(2 * math.pi * k / 17), y + size * rng.uniform(0.6, 1) * math.sin(2 * math.pi * k / 17)) for k in range(17)]
+            rings.setdefault(f"f{n}", []).append([*ring, ring[0]])
+            rows += [(f"f{n}", 0, r, i, *p) for i, p in enumerate([*ring, ring[0]])]
+    square = [(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0), (-1.0, -1.0)]
+    rings["sq"] = [square]
+    rows += [("sq", 0, 0, i, *p) for i, p in enumerate(square)]
+    vertices = spark.createDataFrame(rows, "feature_id string, part int, ring int, seq int, lon double, lat double")
+    points = [(i, rng.uniform(-5, 5), rng.uniform(-5, 5)) for i in range(400)] + [(1000 + i, (i % 11 - 5) / 4 + 0.0001, (i // 11 - 5) / 4) for i in range(121)]
+
+    def holds(feature, lon, lat):
+        n = 0
+        for ring in rings[feature]:
+            for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False):
+                n += (y1 > lat) != (y2 > lat) and lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1
+        return n % 2 == 1
+
+    want = {(i, f) for i, lon, lat in points for f in rings if holds(f, lon, lat)}
+    at = spark.createDataFrame(points, "point_id long, lon double, lat double")
+    for band in (0.3, 0.5, 2.0):
+        found = [tuple(r) for r in spatial.contains(at, vertices, band).collect()]
+        assert set(found) == want and len(found) == len(want) > 100
