@@ -189,15 +189,14 @@ def sketches(docs: DataFrame, interest: DataFrame, limit: int) -> DataFrame:
     """
     schema = "variant bigint, sketch binary"
     if interest.count() <= limit:
-        rows = interest.collect()
-        known = np.array([r["variant"] for r in rows], np.int64)
-        level = np.array([r["often"] for r in rows], np.int64)[np.argsort(known)]
-        known.sort()
+        rows = interest.toArrow()  # numbers, not a Python object for each
+        known, level = rows["variant"].to_numpy(), rows["often"].to_numpy().astype(np.int8)
+        known, level = np.sort(known), level[np.argsort(known)]
 
         def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             def often_of(_: np.ndarray, variant: np.ndarray) -> np.ndarray:
                 at = np.minimum(np.searchsorted(known, variant), len(known) - 1)
-                return np.where(known[at] == variant, level[at], -1) if len(known) else np.full(len(variant), -1)
+                return np.where(known[at] == variant, level[at], -1).astype(np.int64) if len(known) else np.full(len(variant), -1)
 
             for batch in batches:
                 for _, texts in parcels(batch["text"].tolist()):
@@ -366,7 +365,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, broadcast_limit: in
     found = materialize(recurring_variants(docs, min_docs, limit=broadcast_limit), "line-recurring")
     result = "text string, n_lines bigint, n_dropped bigint"
     if found.count() <= broadcast_limit:
-        known = np.sort(np.array([r["variant"] for r in found.collect()], np.int64))
+        known = np.sort(found.toArrow()["variant"].to_numpy())
 
         @F.pandas_udf(result)
         def kept(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

@@ -175,7 +175,7 @@ def fit(
             chosen = order[at : at + batch]
             sizes = [len(examples[i][0]) for i in chosen]
             slots = np.concatenate([examples[i][0] for i in chosen])
-            x = np.concatenate([examples[i][1] for i in chosen])[:, None]
+            x = np.concatenate([examples[i][1] for i in chosen]).astype(np.float64)[:, None]
             starts, row = np.cumsum([0, *sizes[:-1]]), np.repeat(np.arange(len(chosen)), sizes)
             wx = theta[slots] * x
             sums = np.add.reduceat(wx, starts, axis=0)
@@ -231,11 +231,11 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 4000) -> Machine:
         .mapInPandas(_vectors, "quality int, doc_id long, slots binary, vals binary")
         .orderBy(F.xxhash64("doc_id"), "doc_id", "slots", "vals")
         .limit(2 * max_rows)  # ids may be repeated
-        .collect()
+        .toArrow()  # no Python object for each row
     )
-    rows.sort(key=lambda r: (r["doc_id"], r["slots"], r["vals"]))
-    examples = [(np.frombuffer(r["slots"], "<i4").astype(np.int64), np.frombuffer(r["vals"], "<f4").astype(np.float64)) for r in rows]
-    return fit(examples, np.array([float(r["quality"]) for r in rows]))
+    rows = rows.sort_by([("doc_id", "ascending"), ("slots", "ascending"), ("vals", "ascending")])
+    examples = [(np.frombuffer(s.as_buffer(), "<i4"), np.frombuffer(v.as_buffer(), "<f4")) for s, v in zip(rows["slots"], rows["vals"], strict=True)]
+    return fit(examples, rows["quality"].to_numpy().astype(np.float64))
 
 
 def scored(docs: DataFrame, machine: Machine, threshold: float = 0.7) -> DataFrame:
