@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import text as T
-from siftline.sources.scratch import materialize
+from siftline.sources.scratch import dealt, materialize
 
 MOST_WORDS = 4
 #: Fixed values.
@@ -198,7 +198,7 @@ def found_names(asked: DataFrame, keys: DataFrame) -> DataFrame:
     Exact names count before stems, which stay as ``alternative`` of their place; the
     town of an adjective counts where nothing else is found.
     """
-    rows = asked.join(keys, ["kind", "key"])
+    rows = dealt(asked.join(keys, ["kind", "key"]), "phrase")
     known = F.max(F.col("kind") == "region").over(_in_text("start", "size"))
     rows = rows.withColumn("known", known).where("kind <> 'region' AND (NOT bound OR known)")
     rows = rows.withColumn("exact", F.col("kind") == "exact")
@@ -282,8 +282,8 @@ def names_of(phrases: DataFrame, zones: DataFrame, index: DataFrame, rules: Link
     """
     rules = rules or LinkRules()
     keys = materialize(lookup_keys(index, zones), "link-keys")
-    texts = materialize(phrases.select("phrase").distinct().withColumn("words", phrase_words(F.col("phrase"))).where(F.size("words") > 0), "link-phrases")
-    rows = judged(scanned(found_names(probes(texts, first_words(index), rules).repartition("phrase"), keys)))
+    texts = materialize(dealt(phrases.select("phrase").distinct(), "phrase").withColumn("words", phrase_words(F.col("phrase"))).where(F.size("words") > 0), "link-phrases")
+    rows = judged(scanned(found_names(probes(texts, first_words(index), rules), keys)))
     fields = ("cased", "start", "gram", "key", "exact", "alternative", "marked", "adjectival", "witness", "fit", "prominent", "zone_id", "level", "name", "population", "lat", "lon", "path")
     found = rows.groupBy("phrase").agg(F.collect_list(F.struct(*fields)).alias("found"))
     side = lambda name: F.exists("words", lambda w: w[name]).alias(name)
@@ -299,7 +299,7 @@ def with_context(phrases: DataFrame, names: DataFrame) -> DataFrame:
     """
     message = Window.partitionBy("message_id")
     met = phrases.select("message_id", "pos", "phrase").join(names, "phrase").drop("phrase")
-    met = met.withColumn("mixed", F.max("up").over(message) & F.max("low").over(message)).where("found IS NOT NULL")
+    met = dealt(met, "message_id").withColumn("mixed", F.max("up").over(message) & F.max("low").over(message)).where("found IS NOT NULL")
     met = met.withColumn("found", F.filter("found", lambda c: c["cased"] == F.col("mixed")))
     seen = F.transform(F.filter("found", lambda c: c["witness"]), lambda c: F.struct(c["key"].alias("key"), c["path"].alias("path")))
     met = met.withColumn("evidence", F.array_distinct(F.flatten(F.collect_list(seen).over(message))))

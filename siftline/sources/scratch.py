@@ -24,3 +24,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/siftline/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Rows dealt by ``by`` over as many tasks as the session shuffles into.
+
+    A number of its own keeps Spark from joining small partitions: for rows that are
+    few in bytes but dear to work on.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
