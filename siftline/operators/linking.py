@@ -82,15 +82,24 @@ def name_index(zones: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """Every variant of a zone's name, with its stem; three-letter names only of regions and larger places.
 
     ``aliases`` (``alias, target``) point to zones by name; one whose key another
-    zone has is left out (G20).
+    zone has is left out (G20). With a column ``kind``, ``region`` takes regions only
+    and ``landmark`` no places but known ones; with a column ``within``, the zone has
+    to lie in the region of that name. Null kinds and regions take all.
     """
     named = zones.select("zone_id", "level", "population", F.explode(T.name_variants(F.col("name"))).alias("norm"))
     named = named.where((F.length("norm") > 3) | (F.col("level") == "region") | (F.coalesce("population", F.lit(0)) >= 20_000))
     named = named.select("norm", "zone_id").distinct()
     if aliases is not None:
-        wanted = aliases.select(T.norm_key(F.col("alias")).alias("norm"), T.norm_key(F.col("target")).alias("target"))
-        wanted = wanted.join(named.withColumnRenamed("norm", "target"), "target").select("norm", "zone_id")
-        named = named.unionByName(wanted.join(named.select("norm"), "norm", "left_anti")).distinct()
+        asked = aliases.withColumns({c: F.lit(None).cast("string") for c in ("kind", "within") if c not in aliases.columns})
+        asked = asked.select(T.norm_key(F.col("alias")).alias("norm"), T.norm_key(F.col("target")).alias("target"), "kind", T.norm_key(F.col("within")).alias("within"))
+        wanted = asked.join(named.withColumnRenamed("norm", "target"), "target").join(zones.select("zone_id", "level", "population"), "zone_id")
+        large = (F.col("level") != "place") | (F.coalesce("population", F.lit(0)) >= KNOWN_PLACE)
+        wanted = wanted.where(F.when(F.col("kind") == "region", F.col("level") == "region").when(F.col("kind") == "landmark", large).otherwise(True))
+        roots = paths(zones).select("zone_id", F.element_at("zone_path", -1).alias("root"))
+        regions = zones.select(F.col("zone_id").alias("root"), T.norm_key(F.col("name")).alias("region"))
+        free = wanted.where("within IS NULL").select("norm", "zone_id")
+        bound = wanted.where("within IS NOT NULL").join(roots, "zone_id").join(regions, "root").where("within = region").select("norm", "zone_id")
+        named = named.unionByName(free.unionByName(bound).join(named.select("norm"), "norm", "left_anti")).distinct()
     return named.withColumn("stem", T.stem_key(F.col("norm")))
 
 

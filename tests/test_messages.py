@@ -91,6 +91,19 @@ def test_links(spark):
     assert {i: found.get(i, set()) for i in range(len(LINKS))} == {i: want for i, (_, want) in enumerate(LINKS)}
 
 
+def test_aliases_by_kind(spark):
+    """Aliases of regions, of landmarks and inside a region; a key that a zone has stays with that zone."""
+    zones = spark.createDataFrame(ZONES, ZONE)
+    rows = [("NL", "Northland", "region", None), ("Gam", "Gamma", "region", None), ("old gamma", "Gamma", None, None), ("north gamma", "Gamma", None, "Northland"), ("small one", "Tiny", "landmark", None), ("big one", "Gamma", "landmark", None), ("Light", "Gamma", None, None)]
+    aliases = spark.createDataFrame(rows, "alias string, target string, kind string, within string")
+    found = {}
+    for r in linking.name_index(zones, aliases).collect():
+        found.setdefault(r.norm, set()).add(r.zone_id)
+    assert found["nl"] == {"r1"} and "gam" not in found and found["old gamma"] == {"p1", "p2"} and found["north gamma"] == {"p1"}
+    assert "small one" not in found and found["big one"] == {"p1", "p2"} and found["light"] == {"p3"}
+    assert {r.zone_id for r in linking.name_index(zones, aliases.select("alias", "target")).where("norm = 'gam'").collect()} == {"p1", "p2"}
+
+
 def test_groups(spark):
     """A group's name stands for its members in the first region of the message, or in the source's home; without either for none."""
     zones = spark.createDataFrame([*ZONES, ("d2", "r1", "district", "Betan", 1.7, 1.7, None), ("d3", "r2", "district", "Gamman", 9.7, 9.7, None)], ZONE)
