@@ -102,23 +102,32 @@ def smallest_containing(points: DataFrame, vertices: DataFrame, band: float = 0.
     )
 
 
-def nearest(points: DataFrame, found: DataFrame, anchors: DataFrame, cell: float = 2.0) -> DataFrame:
-    """For points without a feature the nearest anchor (``feature_id, lon, lat``).
-
-    Points look for anchors in the nine cells around them; cells double in size for
-    those that are not yet sure, until one holds everything, so near points meet few
-    anchors and only points far from all meet many. A distance within one cell's
-    height and width, at the latitude of the cells, is surely the least.
+def _to_segment(lon: Column, lat: Column) -> Column:
+    """Kilometres from a point to the edge ``lon1, lat1, lon2, lat2``, in the plane at the point's latitude."""
+    wide = F.cos(F.radians(lat)) * 111.0
+    ax, ay = (F.col("lon1") - lon) * wide, (F.col("lat1") - lat) * 111.0
+    dx, dy = (F.col("lon2") - F.col("lon1")) * wide, (F.col("lat2") - F.col("lat1")) * 111.0
+    along = F.coalesce(-(ax * dx + ay * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+    return F.sqrt((ax + share * dx) * (ax + share * dx) + (ay + share * dy) * (ay + share * dy))
+
+
+def _nearest(points: DataFrame, found: DataFrame, things: DataFrame, distance: Column, cell: float) -> DataFrame:
+    """For points without a feature the nearest of ``things`` (``feature_id`` and a box ``w, e, s, n``).
+
+    Points look around in the nine cells about them; cells double in size for those
+    that are not yet sure, until one holds everything, so near points meet few things
+    and only points far from all meet many. A distance within one cell's height and
+    width, at the latitude of the cells, is surely the least.
     """
     lost = materialize(points.select("point_id", "lon", "lat").join(found.select("point_id"), "point_id", "left_anti"), "nearest-points")
-    a = anchors.select("feature_id", F.col("lon").alias("alon"), F.col("lat").alias("alat"))
     around = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)])
-    d = km(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon"))
     out = None
     while cell < 720 and not lost.isEmpty():
-        at = a.withColumns({"cx": F.floor(F.col("alon") / cell), "cy": F.floor(F.col("alat") / cell)})
+        span = lambda low, high: F.explode(F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell)))
+        at = things.withColumn("cx", span("w", "e")).withColumn("cy", span("s", "n"))
         p = lost.withColumn("o", F.explode(around)).withColumns({"cx": F.floor(F.col("lon") / cell) + F.col("o.x"), "cy": F.floor(F.col("lat") / cell) + F.col("o.y")})
-        near = p.join(at, ["cx", "cy"]).groupBy("point_id", "lat").agg(F.min(F.struct(d.alias("d"), "feature_id")).alias("best"))
+        near = p.join(at, ["cx", "cy"]).groupBy("point_id", "lat").agg(F.min(F.struct(distance.alias("d"), "feature_id")).alias("best"))
         # what lies beyond the nine cells is at least a cell away, in longitude by the shortest degree between the two
         width = F.cos(F.radians(F.least(F.abs("lat") + cell, F.lit(90.0)))) * cell * 111.0
         sure = near.where((F.col("best.d") <= F.least(width, F.lit(cell * 111.0))) | F.lit(cell >= 360)).select("point_id", "best.feature_id")
@@ -126,7 +135,20 @@ def nearest(points: DataFrame, found: DataFrame, anchors: DataFrame, cell: float
         out = sure if out is None else out.unionByName(sure)
         lost = materialize(lost.join(sure.select("point_id"), "point_id", "left_anti"), "nearest-points")
         cell *= 2
-    return out if out is not None else lost.select("point_id", F.lit(None).cast(anchors.schema["feature_id"].dataType).alias("feature_id"))
+    return out if out is not None else lost.select("point_id", F.lit(None).cast(things.schema["feature_id"].dataType).alias("feature_id"))
+
+
+def nearest(points: DataFrame, found: DataFrame, anchors: DataFrame, cell: float = 2.0) -> DataFrame:
+    """For points without a feature the nearest anchor (``feature_id, lon, lat``)."""
+    a = anchors.select("feature_id", F.col("lon").alias("alon"), F.col("lat").alias("alat"), F.col("lon").alias("w"), F.col("lon").alias("e"), F.col("lat").alias("s"), F.col("lat").alias("n"))
+    return _nearest(points, found, a, km(F.col("lat"), F.col("lon"), F.col("alat"), F.col("alon")), cell)
+
+
+def nearest_boundary(points: DataFrame, found: DataFrame, vertices: DataFrame, sea: DataFrame | None = None, cell: float = 2.0) -> DataFrame:
+    """For points without a feature the one whose boundary is nearest, ties (to the micrometre) by id; features of ``sea`` (``feature_id``) are no parents."""
+    land = vertices if sea is None else vertices.join(sea.select("feature_id").distinct(), "feature_id", "left_anti")
+    box = {"w": F.least("lon1", "lon2"), "e": F.greatest("lon1", "lon2"), "s": F.least("lat1", "lat2"), "n": F.greatest("lat1", "lat2")}
+    return _nearest(points, found, edges(land).withColumns(box), F.round(_to_segment(F.col("lon"), F.col("lat")), 9), cell)
 
 
 def majority_parent(samples: DataFrame, vertices: DataFrame, tolerance: float = 0.9, band: float = 0.5) -> DataFrame:

@@ -164,6 +164,7 @@ QUERIES = {
     "p01_containment": lambda s, d: spatial.contains(_points(s, d), _squares(s, d)),
     "p02_smallest_containing": lambda s, d: spatial.smallest_containing(_points(s, d), _squares(s, d)),
     "p03_nearest_zone": lambda s, d: spatial.nearest(_points(s, d), spatial.contains(_points(s, d), _squares(s, d)), V.zones(s, d).where("level = 'district'").select(F.col("zone_id").alias("feature_id"), "lon", "lat")),
+    "p03_nearest_boundary": lambda s, d: spatial.nearest_boundary(_points(s, d), spatial.contains(_points(s, d), _squares(s, d)), _squares(s, d), V.read(s, d, "nation").where("n_nationkey % 7 = 3").select(F.concat(F.lit("n"), "n_nationkey").alias("feature_id"))),
     "p04_majority_parent": lambda s, d: spatial.majority_parent(_points(s, d).withColumn("unit_id", F.concat(F.lit("u"), F.substring("point_id", 2, 9).cast("int") % 50)), _squares(s, d)),
     "p04_overlap_cells": lambda s, d: spatial.overlap_cells(_shapes(s, d), _squares(s, d)),
     "p04_parents_by_overlap": lambda s, d: spatial.parents_by_overlap(_shapes(s, d), _squares(s, d)),
@@ -226,6 +227,11 @@ SELECT query, arg_min(zone_id, (norm <> query, CASE level WHEN 'region' THEN 0 W
     "p02_smallest_containing": f"{_P} SELECT point_id, arg_min(feature_id, (area, feature_id)) AS feature_id FROM inside GROUP BY 1",
     "p03_nearest_zone": f"""{_P}, lost AS (SELECT * FROM points WHERE point_id NOT IN (SELECT point_id FROM inside)), far AS (SELECT point_id, zone_id AS feature_id, {S.km_sql("p.lat", "p.lon", "z.lat", "z.lon")} AS d FROM lost p, zones z WHERE level = 'district')
 SELECT point_id, arg_min(feature_id, (d, feature_id)) AS feature_id FROM far GROUP BY 1""",
+    "p03_nearest_boundary": f"""{_P}, lost AS (SELECT *, cos(radians(lat)) * 111.0 AS k FROM points WHERE point_id NOT IN (SELECT point_id FROM inside)),
+land AS (SELECT feature_id, x AS w, x + 4 AS e, y AS s, y + 4 AS n FROM boxes WHERE substr(feature_id, 2)::INT % 7 <> 3 UNION ALL SELECT feature_id, x + 1, x + 2, y + 1, y + 2 FROM boxes WHERE hole AND substr(feature_id, 2)::INT % 7 <> 3),
+far AS (SELECT point_id, feature_id, CASE WHEN lon > w AND lon < e AND lat > s AND lat < n THEN least((lon - w) * k, (e - lon) * k, (lat - s) * 111.0, (n - lat) * 111.0)
+  ELSE sqrt(pow(greatest(w - lon, lon - e, 0) * k, 2) + pow(greatest(s - lat, lat - n, 0) * 111.0, 2)) END AS d FROM lost, land)
+SELECT point_id, arg_min(feature_id, (round(d, 9), feature_id)) AS feature_id FROM far GROUP BY 1""",
     "p04_majority_parent": f"""{_P}, n AS (SELECT 'u' || (substr(point_id, 2)::INT % 50) AS unit_id, feature_id, any_value(area) AS area, count(*) AS n FROM inside GROUP BY 1, 2), m AS (SELECT *, max(n) OVER (PARTITION BY unit_id) AS most FROM n)
 SELECT unit_id, arg_min(feature_id, (area, feature_id)) AS feature_id FROM m WHERE n >= 0.9::DOUBLE * most GROUP BY 1""",
     "p04_overlap_cells": f"WITH {V.ZONES}, {_SQ}, {_SHAPES}, {_CELLS} SELECT unit_id, feature_id, n FROM shared",
