@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftline.functions import scoring as S
 from siftline.operators import fusion
 from siftline.plans import views as V
+from siftline.sources.scratch import materialize
 
 
 def _fused(s, d):
@@ -52,7 +53,7 @@ QUERIES = {
     "f09_status": lambda s, d: V.incidents(s, d).select("id", S.status(F.col("resolved_at"), F.col("last_seen"), V.now()).alias("status")),
     "f11_accuracy": lambda s, d: V.zones(s, d).select("zone_id", S.accuracy(F.col("level")).alias("accuracy_m")),
     "f12_destination_downgrade": lambda s, d: _downgraded(V.observations(s, d)),
-    "f14_upsert": lambda s, d: fusion.upsert(*[_flat(s, d, k) for k in (0, 1)]),
+    "f14_upsert": lambda s, d: fusion.upsert(*_flat(s, d)),
     "f16_summary": lambda s, d: fusion.summary(_fused(s, d)),
     "f00_sessionize": lambda s, d: V.sessions(s, d).select("raw_id", "session"),
 }
@@ -63,12 +64,12 @@ def _downgraded(rows):
     return rows.select("raw_id", signal.alias("signal"), severity.alias("severity"))
 
 
-def _flat(s, d, turn: int):
-    rows = V.incidents(s, d).withColumn("massive", F.col("severity") > 3)
-    if turn == 0:
-        return rows.where("severity < 5").select("id", "first_seen", "last_seen", "severity", "source_count", "confidence", "massive", "resolved_at", "threat")
+def _flat(s, d):
+    """What is stored and what is fresh, of incidents that are made once."""
+    columns = ("id", "first_seen", "last_seen", "severity", "source_count", "confidence", "massive", "resolved_at", "threat")
+    rows = materialize(V.incidents(s, d).withColumn("massive", F.col("severity") > 3).select(*columns), "upsert-incidents")
     late = rows.where("severity > 1").withColumn("last_seen", F.col("last_seen") + F.expr("INTERVAL 1 MINUTE")).withColumn("resolved_at", F.lit(None).cast("timestamp"))
-    return late.select("id", "first_seen", "last_seen", "severity", "source_count", "confidence", "massive", "resolved_at", "threat")
+    return rows.where("severity < 5"), late
 
 
 ORACLE = {
