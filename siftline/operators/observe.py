@@ -18,11 +18,13 @@ from siftline.functions.parsing import RuleBook
 from siftline.operators import linking
 from siftline.operators.fusion import destination_only
 from siftline.operators.linking import LinkRules
-from siftline.sources.scratch import materialize
+from siftline.sources.scratch import dealt, materialize
 
 #: Fixed values.
 DEFAULT_TIER = "mixed"
 URGENT = 5
+#: Messages from which on a text goes to the tasks, so that none of them gets all that repeat it.
+OFTEN = 10_000
 
 
 @dataclass(frozen=True)
@@ -45,16 +47,36 @@ def split_phrases(phrases: DataFrame, book: RuleBook) -> tuple[DataFrame, DataFr
 
 
 def _linked(views: dict[str, DataFrame], zones: DataFrame, index: DataFrame, home: DataFrame, rules: LinkRules, groups: DataFrame | None) -> DataFrame:
-    """Zones of several views of the messages' phrases, by ``view``, in one run of the linker: a view of a message is a message of its own."""
-    tagged = lambda rows, view: rows.withColumn("message_id", F.struct("message_id", F.lit(view).alias("view")))
+    """Zones of several views of the messages' phrases, by ``view``, in one run of the linker: a view of a message is a message of its own.
+
+    Its id is that of the message, a digest of 16 bytes, with the name of the view behind it.
+    """
+    of = lambda view: F.concat("message_id", F.encode(view, "UTF-8"))
+    tagged = lambda rows, view: rows.withColumn("message_id", of(F.lit(view)))
     phrases = reduce(DataFrame.unionByName, [tagged(rows, view) for view, rows in views.items()])
     homes = home.withColumn("view", F.explode(F.array(*[F.lit(v) for v in views])))
-    homes = homes.select(F.struct("message_id", "view").alias("message_id"), "home_zone")
+    homes = homes.select(of(F.col("view")).alias("message_id"), "home_zone")
     found = linking.resolve(phrases, zones, index, homes, rules)
     if groups is not None:
         found = linking.with_groups(materialize(found, "observe-named"), phrases, groups, zones, homes)
     found = materialize(found, "observe-linked")
-    return found.withColumns({"view": F.col("message_id.view"), "message_id": F.col("message_id.message_id")})
+    tag = F.col("message_id")
+    return found.withColumns({"view": F.decode(F.substring(tag, 17, 2**31 - 1), "UTF-8"), "message_id": F.substring(tag, 1, 16)})
+
+
+def parsed_once(messages: DataFrame, book: RuleBook) -> DataFrame:
+    """The parse of each distinct text, met again by the messages that have it; ``heard`` is a digest of its phrases and urgency, null for those dropped."""
+    text = F.coalesce("text", F.lit(""))
+    texts = dealt(messages.groupBy(text.alias("text")).agg(F.count(F.lit(1)).alias("n")), "text")
+    heard = F.when(F.col("drop_reason").isNull(), linking.case_key(F.col("phrases"), F.col("severity") > URGENT))
+    parse = materialize(parsing.parsed(texts, book).withColumn("heard", heard), "observe-texts")
+    found = [c for c in parse.columns if c not in ("text", "n")]
+    named = lambda rows, name: rows.select(F.col("text").alias(name), F.struct(*found).alias(f"by_{name}"))
+    # what is met already is dealt by its id, which meets at most a text that is not looked at
+    rows = messages.drop(*found).withColumn("often", text).join(F.broadcast(named(parse.where(F.col("n") >= OFTEN), "often")), "often", "left")
+    rows = rows.withColumn("seldom", F.when(F.col("by_often").isNull(), text).otherwise(F.col("message_id").cast("string")))
+    rows = rows.join(named(parse.where(F.col("n") < OFTEN), "seldom"), "seldom", "left").withColumn("parse", F.coalesce("by_often", "by_seldom"))
+    return rows.drop("often", "by_often", "seldom", "by_seldom").select("*", "parse.*").drop("parse")
 
 
 def observe(messages: DataFrame, zones: DataFrame, index: DataFrame, sources: DataFrame, book: RuleBook | None = None, rules: LinkRules | None = None, groups: DataFrame | None = None) -> Observed:
@@ -67,10 +89,10 @@ def observe(messages: DataFrame, zones: DataFrame, index: DataFrame, sources: Da
     """
     book, rules = book or RuleBook(), rules or LinkRules()
     homes = linking.home_of(sources, zones)
-    known = sources.select("source_key", "tier", "network").join(homes, "source_key", "left")
+    known = materialize(sources.select("source_key", "tier", "network").join(homes, "source_key", "left"), "observe-sources")
     urgency = (F.col("severity") > URGENT).alias("urgent")
-    case = F.when(F.col("drop_reason").isNull(), linking.case_key(F.col("phrases"), F.col("home_zone"), urgency))
-    parsed = materialize(parsing.parsed(messages, book).join(known, "source_key", "left").withColumn("case", case), "observe-parsed")
+    case = F.when(F.col("heard").isNotNull(), linking.case_key(F.col("heard"), F.col("home_zone")))
+    parsed = materialize(parsed_once(messages, book).join(known, "source_key", "left").withColumn("case", case).drop("heard"), "observe-parsed")
     relevant = parsed.where("drop_reason IS NULL")
     cases = materialize(relevant.select("case", "phrases", "home_zone", urgency).distinct(), "observe-cases").withColumnRenamed("case", "message_id")
     phrases = cases.select("message_id", F.posexplode("phrases").alias("pos", "phrase"))
