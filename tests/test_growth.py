@@ -85,14 +85,16 @@ def test_incidents_meet_recipients_in_cells(spark, monkeypatch):
     seen = []
     monkeypatch.setattr(delivery, "dealt", lambda rows, *by: seen.append(rows.count()) or scratch.dealt(rows, *by))
     incidents = spark.createDataFrame([(f"e{n}", ["abcd"[n % 4], "r"]) for n in range(200)], "id string, zone_path array<string>")
-    for people, cells in ((10, 1), (80, 1), (80, 40)):
+    for people, cells, strip in ((10, 1, 999), (80, 1, 999), (80, 40, 999), (80, 1, 5), (0, 40, 5)):
         monkeypatch.setattr(delivery, "CELLS", cells, raising=False)
+        monkeypatch.setattr(delivery, "STRIP", strip, raising=False)
         lists = {f"u{n}": (["a"], ["a", "b"], ["r"], ["c", "r"])[n % 4] for n in range(people)}
         subs = spark.createDataFrame(list(lists.items()), "recipient string, zones array<string>")
+        assert delivery.watching(incidents.limit(0), subs).count() == 0
         met = [tuple(x) for x in delivery.watching(incidents, subs).select("recipient", "id").collect()]
         assert len(met) == len(set(met)) and set(met) == {(u, f"e{n}") for u, zones in lists.items() for n in range(200) if {"abcd"[n % 4], "r"} & set(zones)}
     # a row for each zone that is watched: a, b, c and, of all incidents, r
-    assert seen[:2] == [350, 350] and seen[2] < 4 * 350
+    assert seen[1:4:2] == [350, 350] and seen[5] < 4 * 350 < seen[7]
 
 
 @pytest.mark.parametrize("kinds", ["zone", "recipient", "zone recipient"])
